@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratafold.llm.exact_dedup import exact_duplicates
 from stratafold.llm.mixing import sampled
+from stratafold.llm.packing import pack
+from stratafold.llm.quality import quality
+from stratafold.llm.secrets import secret_digests
+from stratafold.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,16 +20,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_mixing": op3_mixing, "op6_exact_dedup": op6_exact_dedup}
+    return {
+        "op2_secret_scan": op2_secret_scan,
+        "op3_mixing": op3_mixing,
+        "op4_packing": op4_packing,
+        "op6_exact_dedup": op6_exact_dedup,
+        "op9_toxicity": op9_toxicity,
+        "op10_quality": op10_quality,
+    }
 
 
 SQL = {
