@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratafold.llm.exact_dedup import exact_duplicates
+from stratafold.llm.jaccard import jaccard_components
 from stratafold.llm.mixing import sampled
 from stratafold.llm.packing import pack
 from stratafold.llm.quality import quality
@@ -20,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_secret_scan": op2_secret_scan,
         "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
