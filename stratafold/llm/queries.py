@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stratafold.llm.exact_dedup import exact_duplicates
 from stratafold.llm.jaccard import jaccard_components
 from stratafold.llm.mixing import sampled
+from stratafold.llm.near_vectors import near_vectors
 from stratafold.llm.packing import pack
 from stratafold.llm.quality import quality
 from stratafold.llm.secrets import secret_digests
@@ -41,6 +42,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -56,6 +61,7 @@ def queries() -> dict[str, Query]:
         "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_near_vectors": op8_near_vectors,
         "op9_toxicity": op9_toxicity,
         "op10_quality": op10_quality,
     }
