@@ -54,7 +54,7 @@ PERCENT = 75
 #: Sharers of a signature up to which all pairs are candidates.
 FEW = 16
 #: Signatures in a bucket of the candidate search.
-BUCKET = 2_000_000
+BUCKET = 500_000
 #: Frequent equal sets that are broadcast at most, and counters of their sketch.
 HEAVY, COUNTERS = 256, 4096
 #: Ids of sets to verify up to which they are broadcast; more are joined by a shuffle.
