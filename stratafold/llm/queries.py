@@ -12,6 +12,7 @@ from stratafold.llm.mixing import sampled
 from stratafold.llm.near_vectors import near_vectors
 from stratafold.llm.packing import pack
 from stratafold.llm.quality import quality
+from stratafold.llm.repeats import without_repeats
 from stratafold.llm.secrets import secret_digests
 from stratafold.llm.toxicity import toxicity
 
@@ -42,6 +43,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_repeats": op7_repeats,
         "op8_near_vectors": op8_near_vectors,
         "op9_toxicity": op9_toxicity,
         "op10_quality": op10_quality,
