@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratafold.llm.joins import RID, by_number, numbered
 from stratafold.scratch import materialize
 
 #: Verified heavy digests that are broadcast at most, and counters of the sketch.
@@ -68,15 +69,14 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     """``docs`` with one row of each group of equal texts, all columns kept.
 
     The row number is drawn while reading ``docs``, so ``docs`` must read the same
-    twice (a table, a file); texts are shuffled only for the rows that stay.
+    twice (a table, a file).
     """
-    rid = "__sf_rid"
-    numbered = docs.withColumn(rid, F.monotonically_increasing_id())
-    digests = numbered.select(
+    rows = numbered(docs)
+    digests = rows.select(
         F.col(doc_id).alias("doc_id"),
         F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("digest"),
-        F.col(rid).alias("rid"),
+        F.col(RID).alias("rid"),
     )
     done = _decided(materialize(digests, "dedup-digests"))
-    losers = done.where(F.col("rid") != F.col("winner.rid")).select(F.col("rid").alias(rid))
-    return numbered.join(losers, rid, "left_anti").select(docs.columns)
+    losers = done.where(F.col("rid") != F.col("winner.rid")).select(F.col("rid").alias(RID))
+    return by_number(rows, losers, "left_anti").select(docs.columns)

@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from stratafold.llm.arrow import map_texts, slices
 from stratafold.llm.components import components
+from stratafold.llm.joins import RID, by_number, numbered
 from stratafold.llm.shingles import mix, shingle_sets
 from stratafold.scratch import materialize
 
@@ -230,30 +231,35 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-class _Search:
-    """Candidate pairs -> links, with what both ends need for it."""
+def _few(rows: DataFrame) -> DataFrame:
+    """rows (written already), broadcast if there are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> None:
-        """reps: one row per node with a rid; nodes: those that may take part."""
-        self.facts = reps.select("node", "n_shingles", *(f"s{k}" for k in range(SKETCH)))
-        needed = materialize(reps.join(nodes, "node").select("rid", "node"), "jaccard-needed")
-        if needed.count() <= BROADCAST_IDS:
-            needed = F.broadcast(needed)
-        chosen = docs.join(needed, "rid").select("node", F.col(text).alias("text"))
-        self.sets = materialize(map_texts(chosen, _sets, "shingles binary"), "jaccard-sets")
 
-    def possible(self, pairs: DataFrame) -> DataFrame:
-        """pairs(a, b) that sizes and sketches leave."""
-        a, b = (self.facts.select([F.col(c).alias(f"{side}_{c}") for c in self.facts.columns]) for side in "ab")
-        joined = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
-        apart: Column = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(SKETCH)), F.lit(0))
-        most, least, total = F.greatest("a_n_shingles", "b_n_shingles"), F.least("a_n_shingles", "b_n_shingles"), F.col("a_n_shingles") + F.col("b_n_shingles")
-        return joined.where((100 * least >= PERCENT * most) & ((100 + PERCENT) * apart <= (100 - PERCENT) * total)).select("a", "b")
+def _possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """pairs(a, b) that sizes and sketches leave."""
+    facts = reps.select("node", "n_shingles", *(f"s{k}" for k in range(SKETCH)))
+    a, b = (facts.select([F.col(c).alias(f"{side}_{c}") for c in facts.columns]) for side in "ab")
+    joined = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
+    apart: Column = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(SKETCH)), F.lit(0))
+    most, least, total = F.greatest("a_n_shingles", "b_n_shingles"), F.least("a_n_shingles", "b_n_shingles"), F.col("a_n_shingles") + F.col("b_n_shingles")
+    return joined.where((100 * least >= PERCENT * most) & ((100 + PERCENT) * apart <= (100 - PERCENT) * total)).select("a", "b")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        x, y = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        joined = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return joined.mapInArrow(_linked, "a bigint, b bigint")
+
+def _fetched_sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
+    """(node, shingles) of the given nodes, from one text each.  reps: one row per node with a rid."""
+    needed = materialize(reps.join(nodes, "node").select("rid", "node"), "jaccard-needed")
+    chosen = docs.join(_few(needed), "rid").select("node", F.col(text).alias("text"))
+    return materialize(map_texts(chosen, _sets, "shingles binary"), "jaccard-sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The linked ones of pairs (written already).  Only sets that take part are moved."""
+    left = _few(materialize(pairs.select(F.col("a").alias("node")).distinct(), "jaccard-ends"))
+    right = _few(materialize(pairs.select(F.col("b").alias("node")).distinct(), "jaccard-ends"))
+    x = sets.join(left, "node", "left_semi").select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = sets.join(right, "node", "left_semi").select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_linked, "a bigint, b bigint")
 
 
 def _across(rows: DataFrame, labels: DataFrame | None, *ends: str) -> DataFrame:
@@ -276,7 +282,7 @@ def _sure(hot: DataFrame, reps: DataFrame) -> DataFrame:
     return hot.join(enough, ["a", "odd"]).select("sign", "a")
 
 
-def _node_components(docs: DataFrame, described: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+def _node_components(docs: DataFrame, described: DataFrame, text: str) -> tuple[DataFrame, DataFrame | None]:
     """One row per distinct non-empty set, and (node, component) of the linked ones.  docs has rid."""
     full = described.where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "rid")).alias("first")
@@ -291,9 +297,9 @@ def _node_components(docs: DataFrame, described: DataFrame, doc_id: str, text: s
     met = materialize(blocks.groupBy("bucket").applyInArrow(_met, "a bigint, b bigint, sign bigint"), "jaccard-met")
     cold = materialize(met.where("sign is null").select("a", "b").distinct(), "jaccard-pairs")
     hot = materialize(_sure(met.where("sign is not null").select("sign", "a"), reps), "jaccard-frequent")
+    cold = materialize(_possible(cold, reps), "jaccard-possible")
     nodes = cold.select(F.col("a").alias("node")).unionByName(cold.select(F.col("b").alias("node"))).unionByName(hot.select(F.col("a").alias("node"))).distinct()
-    search = _Search(docs, reps, nodes, doc_id, text)
-    cold = materialize(search.possible(cold), "jaccard-possible")
+    sets = _fetched_sets(docs, reps, nodes, text)
     links, labels, turn, pivots = None, None, 0, 1
     while True:
         hot = _across(hot.select("sign", "a"), labels, "a")
@@ -306,12 +312,13 @@ def _node_components(docs: DataFrame, described: DataFrame, doc_id: str, text: s
         marked = materialize(marked.withColumn("pivot", (F.col("a") == F.col("head")) | chance), "jaccard-marked")
         left, right = marked.where("pivot").select("sign", F.col("a").alias("p"), F.col("c_a").alias("c_p")), marked.select("sign", "a", "c_a")
         fresh = left.join(right, "sign").where("c_p != c_a").select(F.least("p", "a").alias("a"), F.greatest("p", "a").alias("b")).distinct()
-        fresh = search.possible(fresh)
+        fresh = _possible(fresh, reps)
         if turn == 0:  # a first forest of candidate pairs; most others then lie within one component
             fresh = fresh.unionByName(cold.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
         elif turn == 1:
             fresh = fresh.unionByName(_across(cold, labels, "a", "b").where("c_a != c_b").select("a", "b"))
-        found_links = materialize(search.links(fresh.distinct()), "jaccard-links")
+        fresh = materialize(fresh.distinct(), "jaccard-fresh")
+        found_links = materialize(_links(fresh, sets), "jaccard-links")
         links = found_links if links is None else links.unionByName(found_links)
         if not found_links.isEmpty():
             labels = materialize(components(links, "jaccard-components"), "jaccard-labels")
@@ -321,19 +328,35 @@ def _node_components(docs: DataFrame, described: DataFrame, doc_id: str, text: s
             return reps, labels
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rid: str | None = None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (and rid).
-
-    ``docs`` must read the same twice (a table, a file).
-    """
-    own = rid or "__sf_rid"
-    numbered = docs if rid else docs.withColumn(own, F.monotonically_increasing_id())
-    numbered = numbered.select(F.col(doc_id).alias("doc_id"), F.col(own).alias("rid"), F.col(text).alias("text"))
-    described = _described_docs(numbered, "rid", "doc_id", "text")
-    reps, labels = _node_components(numbered, described, "doc_id", "text")
+def _named(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, rid, text) -> doc_id, rid, n_shingles, component (a node; null for empty sets), component_id."""
+    described = _described_docs(docs, "rid", "doc_id", "text")
+    reps, labels = _node_components(docs, described, "text")
     named = _across(reps.select("node", "doc_id"), labels, "node")
     names = named.groupBy("c_node").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(names, "c_node").select("node", "component_id")
+    named = named.join(names, "c_node").select("node", F.col("c_node").alias("component"), "component_id")
     rows = described.select("doc_id", "rid", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), *(["rid"] if rid else []))
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "rid", "n_shingles", "component", own.alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id.
+
+    ``docs`` must read the same twice (a table, a file).
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"))
+    return _named(rows).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the row of the least id (nulls last, then the first row) of each component, all columns kept.
+
+    Documents without shingles all stay.
+    """
+    rows = numbered(docs)
+    named = materialize(_named(rows.select(F.col(doc_id).alias("doc_id"), F.col(RID).alias("rid"), F.col(text).alias("text"))), "jaccard-named")
+    order = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "rid")
+    first = named.where("component is not null").groupBy("component").agg(F.min(order)["rid"].alias("first"))
+    losers = named.join(first, "component").where("rid != first").select(F.col("rid").alias(RID))
+    return by_number(rows, losers, "left_anti").select(docs.columns)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from stratafold.llm.arrow import map_texts
+from stratafold.llm.joins import RID, by_number, numbered
 from stratafold.scratch import materialize
 
 NAMES = ("length", "word_length", "symbols", "capitals", "digits", "stops", "lines", "distinct", "stutter", "commonest", "line_repeats")
@@ -163,8 +164,7 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
 
     ``docs`` must read the same twice (a table, a file).
     """
-    rid = "__sf_rid"
-    numbered = docs.withColumn(rid, F.monotonically_increasing_id())
-    table = materialize(document_statistics(numbered, rid=rid), "quality-statistics")
-    out = score(table, fit(table, labels)).where(F.col("score") < threshold).select(F.col("rid").alias(rid))
-    return numbered.join(out, rid, "left_anti").select(docs.columns)
+    rows = numbered(docs)
+    table = materialize(document_statistics(rows, rid=RID), "quality-statistics")
+    out = score(table, fit(table, labels)).where(F.col("score") < threshold).select(F.col("rid").alias(RID))
+    return by_number(rows, out, "left_anti").select(docs.columns)

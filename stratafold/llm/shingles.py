@@ -34,11 +34,14 @@ def _power_table(n: int) -> np.ndarray:
     return _powers
 
 
-def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the number of words of each text."""
+def word_hashes(texts: list, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the number of words of each text.
+
+    space: by byte whether it separates words; the space itself must.
+    """
     parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-    body = ~_SPACE[data]
+    body = ~space[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([0], body.view(np.int8)))))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
