@@ -174,7 +174,7 @@ def _blocks(heavy: dict[int, object], buckets: int):
 
 
 def _met(key: tuple, table: pa.Table) -> pa.Table:
-    """All blocks of a bucket -> candidate pairs (sign null) and members of frequent signatures (b null)."""
+    """All blocks of a bucket -> pairs with the number of rare signatures they share (sign null), members of frequent ones (b null)."""
     signs, nodes = [], []
     for low, mid, place, names in zip(*(table.column(c) for c in ("low", "mid", "place", "nodes")), strict=True):
         low, mid, names = np.frombuffer(low.as_buffer(), np.uint32), np.frombuffer(mid.as_buffer(), np.uint16), np.frombuffer(names.as_buffer(), np.int64)
@@ -197,20 +197,27 @@ def _met(key: tuple, table: pa.Table) -> pa.Table:
     sign, node = sign[fresh], node[fresh]
     first = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1]))) if len(sign) else np.zeros(0, np.int64)
     count = np.diff(np.concatenate((first, [len(sign)])))
-    pairs = []
+    pairs = [np.zeros((0, 3), np.int64)]
     for size in range(2, FEW + 1):
         at = first[count == size]
         if len(at):
             members = node[at[:, None] + np.arange(size)]
             i, j = np.triu_indices(size, 1)
-            pairs.append(np.unique(np.stack((members[:, i].ravel(), members[:, j].ravel()), 1), axis=0))
+            odd = np.repeat((sign[at] & np.uint64(1)).astype(np.int64), len(i))
+            pairs.append(np.stack((members[:, i].ravel(), members[:, j].ravel(), odd), 1))
+    pair = np.concatenate(pairs)
+    pair = pair[np.lexsort(pair.T)]
+    lead = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]).any(axis=1)))) if len(pair) else np.zeros(0, np.int64)
+    times, pair = np.diff(np.concatenate((lead, [len(pair)]))), pair[lead]
     many = np.repeat(count > FEW, count)
-    pair = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
     full = (sign[many] | (np.uint64(key[0].as_py()) << np.uint64(48))).view(np.int64)
+    none = pa.nulls(len(full), pa.int64())
     a = pa.array(np.concatenate((pair[:, 0], node[many])))
-    b = pa.concat_arrays([pa.array(pair[:, 1]), pa.nulls(len(full), pa.int64())])
+    b = pa.concat_arrays([pa.array(pair[:, 1]), none])
+    odd = pa.array(np.concatenate((pair[:, 2], full & 1)))
+    times = pa.concat_arrays([pa.array(times), none])
     s = pa.concat_arrays([pa.nulls(len(pair), pa.int64()), pa.array(full)])
-    return pa.table([a, b, s], names=["a", "b", "sign"])
+    return pa.table([a, b, odd, times, s], names=["a", "b", "odd", "times", "sign"])
 
 
 def _sets(texts: list) -> tuple[None, list[pa.Array]]:
@@ -236,14 +243,20 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
-def _possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """pairs(a, b) that sizes and sketches leave."""
-    facts = reps.select("node", "n_shingles", *(f"s{k}" for k in range(SKETCH)))
+def _possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """pairs(a, b and more) that sizes and sketches leave, with the facts of both ends."""
     a, b = (facts.select([F.col(c).alias(f"{side}_{c}") for c in facts.columns]) for side in "ab")
     joined = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
     apart: Column = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(SKETCH)), F.lit(0))
     most, least, total = F.greatest("a_n_shingles", "b_n_shingles"), F.least("a_n_shingles", "b_n_shingles"), F.col("a_n_shingles") + F.col("b_n_shingles")
-    return joined.where((100 * least >= PERCENT * most) & ((100 + PERCENT) * apart <= (100 - PERCENT) * total)).select("a", "b")
+    return joined.where((100 * least >= PERCENT * most) & ((100 + PERCENT) * apart <= (100 - PERCENT) * total))
+
+
+def _shared_enough(pairs: DataFrame) -> DataFrame:
+    """Of pairs(a, b, odd, times and facts) those whose rare signatures and the frequent ones that both may share reach t of both."""
+    by_band = lambda side, c: F.when(F.col("odd") == 0, F.col(f"{side}_{c}0")).otherwise(F.col(f"{side}_{c}1"))
+    frequent = F.least(by_band("a", "h"), by_band("b", "h"))
+    return pairs.where(F.col("times") + frequent >= F.greatest(by_band("a", "t"), by_band("b", "t")))
 
 
 def _fetched_sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
@@ -294,10 +307,14 @@ def _node_components(docs: DataFrame, described: DataFrame, text: str) -> tuple[
     total = reps.agg(F.sum("n_signs")).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     blocks = docs.select("rid", F.col(text).alias("text")).mapInArrow(_blocks(found, buckets), "bucket bigint, low binary, mid binary, place binary, nodes binary")
-    met = materialize(blocks.groupBy("bucket").applyInArrow(_met, "a bigint, b bigint, sign bigint"), "jaccard-met")
-    cold = materialize(met.where("sign is null").select("a", "b").distinct(), "jaccard-pairs")
-    hot = materialize(_sure(met.where("sign is not null").select("sign", "a"), reps), "jaccard-frequent")
-    cold = materialize(_possible(cold, reps), "jaccard-possible")
+    met = materialize(blocks.groupBy("bucket").applyInArrow(_met, "a bigint, b bigint, odd bigint, times bigint, sign bigint"), "jaccard-met")
+    cold = met.where("sign is null").groupBy("a", "b", "odd").agg(F.sum("times").alias("times"))
+    hot = met.where("sign is not null")
+    have = hot.groupBy(F.col("a").alias("node")).agg(F.count_if(F.col("odd") == 0).alias("h0"), F.count_if(F.col("odd") == 1).alias("h1"))
+    facts = reps.join(have, "node", "left").fillna(0, ["h0", "h1"]).select("node", "n_shingles", "t0", "t1", "h0", "h1", *(f"s{k}" for k in range(SKETCH)))
+    facts = materialize(facts, "jaccard-facts")
+    hot = materialize(_sure(hot.select("sign", "a"), reps), "jaccard-frequent")
+    cold = materialize(_shared_enough(_possible(cold, facts)).select("a", "b").distinct(), "jaccard-possible")
     nodes = cold.select(F.col("a").alias("node")).unionByName(cold.select(F.col("b").alias("node"))).unionByName(hot.select(F.col("a").alias("node"))).distinct()
     sets = _fetched_sets(docs, reps, nodes, text)
     links, labels, turn, pivots = None, None, 0, 1
@@ -312,7 +329,7 @@ def _node_components(docs: DataFrame, described: DataFrame, text: str) -> tuple[
         marked = materialize(marked.withColumn("pivot", (F.col("a") == F.col("head")) | chance), "jaccard-marked")
         left, right = marked.where("pivot").select("sign", F.col("a").alias("p"), F.col("c_a").alias("c_p")), marked.select("sign", "a", "c_a")
         fresh = left.join(right, "sign").where("c_p != c_a").select(F.least("p", "a").alias("a"), F.greatest("p", "a").alias("b")).distinct()
-        fresh = _possible(fresh, reps)
+        fresh = _possible(fresh, facts).select("a", "b")
         if turn == 0:  # a first forest of candidate pairs; most others then lie within one component
             fresh = fresh.unionByName(cold.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
         elif turn == 1:
