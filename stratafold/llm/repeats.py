@@ -206,7 +206,7 @@ def _encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-_SEGMENTS = "rid bigint, first bigint, last bigint, anchor bigint, segment bigint, place bigint, copies bigint"
+_SEGMENTS = "rid bigint, first bigint, last bigint, anchor bigint, segment bigint, copies bigint"
 
 
 def _segments(length: int, gram: int, spare: int):
@@ -221,7 +221,7 @@ def _segments(length: int, gram: int, spare: int):
             for pieces in _pieces(rows, length):
                 names, offsets, bodies = (list(x) for x in zip(*pieces, strict=True))
                 bounds = np.concatenate(([0], np.cumsum([len(b) for b in bodies])))
-                first, last, at, anchor, segment = segments(np.frombuffer(b"".join(bodies), np.uint8), bounds, length, gram)
+                first, last, _, anchor, segment = segments(np.frombuffer(b"".join(bodies), np.uint8), bounds, length, gram)
                 owner = np.searchsorted(bounds, first, side="right") - 1
                 rid = np.array(names, np.int64)[owner]
                 shift = np.array(offsets, np.int64)[owner] - bounds[owner]
@@ -242,8 +242,8 @@ def _segments(length: int, gram: int, spare: int):
                 lost = pa.nulls(len(start), pa.int64())
                 joined = [(rid[one], spans_of), ((first + shift)[one], start), ((last + shift)[one], end)]
                 columns = [pa.array(np.concatenate(pair).astype(np.int64)) for pair in joined]
-                columns += [pa.concat_arrays([pa.array(np.asarray(x, np.int64)), lost]) for x in (anchor[one], segment[one], (at - first)[one], copies)]
-                yield pa.RecordBatch.from_arrays(columns, names=["rid", "first", "last", "anchor", "segment", "place", "copies"])
+                columns += [pa.concat_arrays([pa.array(np.asarray(x, np.int64)), lost]) for x in (anchor[one], segment[one], copies)]
+                yield pa.RecordBatch.from_arrays(columns, names=["rid", "first", "last", "anchor", "segment", "copies"])
 
     return run
 
@@ -256,10 +256,10 @@ def _fetched(length: int):
             for wanted, text in zip(batch.column(0), batch.column(1), strict=True):
                 text = _encoded(text.as_py())
                 rows = wanted.values
-                columns = [rows.field(k) for k in ("bucket", "anchor", "segment", "n", "rank", "place")]
+                columns = [rows.field(k) for k in ("bucket", "anchor", "segment", "n", "rid", "first")]
                 spans = zip(rows.field("first").to_pylist(), rows.field("last").to_pylist(), strict=True)
                 columns.append(pa.array([text[a : b + length] for a, b in spans], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "anchor", "segment", "n", "rank", "place", "bytes"])
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "anchor", "segment", "n", "rid", "first", "bytes"])
 
     return run
 
@@ -274,7 +274,7 @@ def _factored(length: int, first_stays: bool):
     """All distinct segments of a bucket -> runs of their windows that repeat."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("rank", "ascending"), ("anchor", "ascending"), ("segment", "ascending")]).combine_chunks()
+        table = table.sort_by([("rid", "ascending"), ("first", "ascending")]).combine_chunks()
         bodies = table.column("bytes").to_pylist()
         sizes = np.array([len(b) for b in bodies])
         begin = np.cumsum(sizes) - sizes
@@ -302,8 +302,8 @@ def _windows(length: int):
             for k, body in enumerate(batch.column(batch.schema.get_field_index("bytes")).to_pylist()):
                 data = np.frombuffer(body, np.uint8)
                 at = np.arange(len(data) - length + 1)
-                same = [pa.array([batch.column(c)[k].as_py()] * len(at), pa.int64()) for c in ("anchor", "segment", "n", "rank")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(at), pa.array(Hashed(data).of(at, at + length).view(np.int64))], names=["anchor", "segment", "n", "rank", "low", "window"])
+                same = [pa.array([batch.column(c)[k].as_py()] * len(at), pa.int64()) for c in ("anchor", "segment", "n", "rid", "first")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(at), pa.array(Hashed(data).of(at, at + length).view(np.int64))], names=["anchor", "segment", "n", "rid", "first", "low", "window"])
 
     return run
 
@@ -335,7 +335,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     found = found.where("anchor is not null")
     often = found.groupBy("anchor").agg(F.sum("copies").alias("n"), F.min("segment").alias("one"), F.max("segment").alias("other")).where("n > 1").select("anchor", (F.col("one") != F.col("other")).alias("mixed"))
     found = materialize(found.join(often, "anchor"), "repeats-frequent")
-    place = F.struct("rid", "first", "last", "place")
+    place = F.struct("rid", "first", "last")
     if stays:  # every copy but the first goes whole
         firsts = found.groupBy("anchor", "segment").agg(F.min(F.struct("rid", "first")).alias("lead"))
         later = found.join(firsts, ["anchor", "segment"]).where(F.struct("rid", "first") != F.col("lead"))
@@ -350,21 +350,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("different"))
     wanted = distinct.join(per_anchor, "anchor").select(
-        "rid", "anchor", "segment", "n", "first", "last", "place", F.expr("rid * 4294967296 + first").alias("rank"),
+        "rid", "anchor", "segment", "n", "first", "last",
         F.when(F.col("different") > SPLIT, F.lit(-1)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(buckets))).cast("bigint").alias("bucket"),
     )
-    fields = ("bucket", "anchor", "segment", "n", "rank", "place", "first", "last")
+    fields = ("bucket", "anchor", "segment", "n", "rid", "first", "last")
     wanted = materialize(wanted.groupBy("rid").agg(F.collect_list(F.struct(*fields)).alias("wanted")), "repeats-wanted")
-    fetched = _joined(docs, wanted, "inner").select("wanted", "text").mapInArrow(_fetched(length), "bucket bigint, anchor bigint, segment bigint, n bigint, rank bigint, place bigint, bytes binary")
+    fetched = _joined(docs, wanted, "inner").select("wanted", "text").mapInArrow(_fetched(length), "bucket bigint, anchor bigint, segment bigint, n bigint, rid bigint, first bigint, bytes binary")
     fetched = materialize(fetched, "repeats-fetched")
     runs = fetched.where("bucket >= 0").groupBy("bucket").applyInArrow(_factored(length, stays), "anchor bigint, segment bigint, low bigint, high bigint")
     if not per_anchor.where(F.col("different") > SPLIT).isEmpty():
-        windows = fetched.where("bucket < 0").mapInArrow(_windows(length), "anchor bigint, segment bigint, n bigint, rank bigint, low bigint, window bigint")
+        windows = fetched.where("bucket < 0").mapInArrow(_windows(length), "anchor bigint, segment bigint, n bigint, rid bigint, first bigint, low bigint, window bigint")
         windows = materialize(windows, "repeats-windows")
-        counted = windows.groupBy("window").agg(F.sum("n").alias("all"), F.min(F.struct("rank", "low")).alias("lead")).where("all > 1")
+        counted = windows.groupBy("window").agg(F.sum("n").alias("all"), F.min(F.struct("rid", (F.col("first") + F.col("low")).alias("at"))).alias("lead")).where("all > 1")
         counted = windows.join(counted, "window")
         if stays:
-            counted = counted.where(F.struct("rank", "low") != F.col("lead"))
+            counted = counted.where((F.col("rid") != F.col("lead.rid")) | (F.col("first") + F.col("low") != F.col("lead.at")))
         runs = runs.unionByName(counted.select("anchor", "segment", "low", F.col("low").alias("high")))
     runs = materialize(runs, "repeats-runs")
     if stays:  # these windows are repeats already at the first copy
