@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratafold.llm.exact_dedup import exact_duplicates
 from stratafold.llm.jaccard import jaccard_components
+from stratafold.llm.licenses import license_scan
 from stratafold.llm.mixing import sampled
 from stratafold.llm.near_vectors import near_vectors
 from stratafold.llm.packing import pack
@@ -39,6 +40,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op2_secret_scan": op2_secret_scan,
         "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
+        "op5_license_scan": op5_license_scan,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_repeats": op7_repeats,
         "op8_near_vectors": op8_near_vectors,
