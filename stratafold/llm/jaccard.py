@@ -13,14 +13,15 @@ non-empty partitions but D, so linked sets share at least
 
 signatures, where D follows from the threshold and the sizes.
 
-Signatures are rare in real use, or shared by a family of near copies, or made of a
-common passage only.  Up to ``FEW`` sharers all pairs are candidates.  Beyond that the
-count t decides: a set that has fewer than t such frequent signatures must share a rare
-one with every partner, so it leaves the frequent groups; this removes what only shares
-passages.  The rest are families: a few pivots of a group are compared with its other
-members, links are contracted, and members of one component need no more comparison;
-rounds with growing numbers of pivots run until no group spans two components.  This is
-exact: no candidate is capped, a pivot leaves a group only once compared with all of it.
+The search goes by lists: the sets that share a signature, equal lists counted once.  It
+never forms all pairs of a list.  A set with fewer than t shared signatures is linked with
+nobody and leaves; this removes what only shares a passage.  Each list is first compared with
+one pivot, the member that shares most; verified links are contracted, and lists within one
+component are done.  Then a set leaves if the other components, by narrow bands of sizes, do
+not cover as many of its shingles as a linked set would.  What is left is little: pairs of
+short lists, if they share t signatures together, and growing numbers of pivots of long
+ones, until no list spans two components.  This is exact: no candidate is capped, and a
+pivot leaves a list only once it was compared with all of it.
 
 Sets are never shuffled to find candidates.  Signatures travel in blocks of about nine
 bytes each, one block per slice of texts and bucket, with the number of buckets following the exact
@@ -60,6 +61,10 @@ BUCKET = 500_000
 HEAVY, COUNTERS = 256, 4096
 #: Ids of sets to verify up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Nodes of a list in one row.
+PART = 64
+#: Growth of the narrow size bands.
+NARROW = 1.05
 #: Longs of a set's sketch.
 SKETCH = 8
 #: Sets up to this size are signed shingle by shingle.
@@ -174,7 +179,10 @@ def _blocks(heavy: dict[int, object], buckets: int):
 
 
 def _met(key: tuple, table: pa.Table) -> pa.Table:
-    """All blocks of a bucket -> pairs with the number of rare signatures they share (sign null), members of frequent ones (b null)."""
+    """All blocks of a bucket -> the distinct lists of nodes that share signatures, with the number m of these.
+
+    A list has an id (gid) that says the same everywhere; long lists come in parts of ``PART`` nodes.
+    """
     signs, nodes = [], []
     for low, mid, place, names in zip(*(table.column(c) for c in ("low", "mid", "place", "nodes")), strict=True):
         low, mid, names = np.frombuffer(low.as_buffer(), np.uint32), np.frombuffer(mid.as_buffer(), np.uint16), np.frombuffer(names.as_buffer(), np.int64)
@@ -197,27 +205,19 @@ def _met(key: tuple, table: pa.Table) -> pa.Table:
     sign, node = sign[fresh], node[fresh]
     first = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1]))) if len(sign) else np.zeros(0, np.int64)
     count = np.diff(np.concatenate((first, [len(sign)])))
-    pairs = [np.zeros((0, 3), np.int64)]
-    for size in range(2, FEW + 1):
-        at = first[count == size]
-        if len(at):
-            members = node[at[:, None] + np.arange(size)]
-            i, j = np.triu_indices(size, 1)
-            odd = np.repeat((sign[at] & np.uint64(1)).astype(np.int64), len(i))
-            pairs.append(np.stack((members[:, i].ravel(), members[:, j].ravel(), odd), 1))
-    pair = np.concatenate(pairs)
-    pair = pair[np.lexsort(pair.T)]
-    lead = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]).any(axis=1)))) if len(pair) else np.zeros(0, np.int64)
-    times, pair = np.diff(np.concatenate((lead, [len(pair)]))), pair[lead]
-    many = np.repeat(count > FEW, count)
-    full = (sign[many] | (np.uint64(key[0].as_py()) << np.uint64(48))).view(np.int64)
-    none = pa.nulls(len(full), pa.int64())
-    a = pa.array(np.concatenate((pair[:, 0], node[many])))
-    b = pa.concat_arrays([pa.array(pair[:, 1]), none])
-    odd = pa.array(np.concatenate((pair[:, 2], full & 1)))
-    times = pa.concat_arrays([pa.array(times), none])
-    s = pa.concat_arrays([pa.nulls(len(pair), pa.int64()), pa.array(full)])
-    return pa.table([a, b, odd, times, s], names=["a", "b", "odd", "times", "sign"])
+    first, count = first[count > 1], count[count > 1]
+    odd = sign[first] & np.uint64(1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(node.view(np.uint64) ^ _BAND), dtype=np.uint64)))
+    gid, lead, times = np.unique(mix(total[first + count] - total[first] + count.astype(np.uint64) * _GOLD + odd), return_index=True, return_counts=True)
+    first, count, odd = first[lead], count[lead], odd[lead].astype(np.int64)
+    parts = -(-count // PART)
+    of = np.repeat(np.arange(len(count)), parts)
+    part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    size = np.minimum(PART, count[of] - part * PART)
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    where = np.arange(offsets[-1]) + np.repeat(first[of] + part * PART - offsets[:-1], size)
+    members = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(node[where]))
+    return pa.table([pa.array(gid.view(np.int64)[of]), pa.array(odd[of]), pa.array(part), pa.array(times[of]), members], names=["gid", "odd", "part", "m", "members"])
 
 
 def _sets(texts: list) -> tuple[None, list[pa.Array]]:
@@ -286,13 +286,46 @@ def _across(rows: DataFrame, labels: DataFrame | None, *ends: str) -> DataFrame:
     return rows
 
 
-def _sure(hot: DataFrame, reps: DataFrame) -> DataFrame:
-    """Rows (sign, a) of frequent signatures of nodes that have enough of them to be linked by these alone."""
-    hot = hot.withColumn("odd", F.col("sign").bitwiseAND(F.lit(1)))
-    have = hot.groupBy("a", "odd").agg(F.count("*").alias("have"))
+def _spanning(rows: DataFrame) -> DataFrame:
+    """Rows (gid, odd, m, a, c_a) of lists that span two components, with the size of the list."""
+    spread = rows.groupBy("gid").agg(F.min("c_a").alias("low"), F.max("c_a").alias("high"), F.count("*").alias("members")).where("low != high")
+    return rows.drop("members").join(spread.select("gid", "members"), "gid")
+
+
+def _sure(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of nodes whose shared signatures number t or more; others are linked with nobody.  Adds have, their number."""
+    have = rows.groupBy("a", "odd").agg(F.sum("m").alias("have"))
     need = reps.select(F.col("node").alias("a"), "t0", "t1")
-    enough = have.join(need, "a").where(F.col("have") >= F.when(F.col("odd") == 0, F.col("t0")).otherwise(F.col("t1"))).select("a", "odd")
-    return hot.join(enough, ["a", "odd"]).select("sign", "a")
+    enough = have.join(need, "a").where(F.col("have") >= F.when(F.col("odd") == 0, F.col("t0")).otherwise(F.col("t1"))).select("a", "odd", "have")
+    return rows.drop("have").join(enough, ["a", "odd"])
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component, n, shingles) -> one row per shingle."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            found = np.frombuffer(batch.column(3)[k].as_buffer(), np.int64)
+            same = [pa.array(np.full(len(found), batch.column(c)[k].as_py(), np.int64)) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(found), *same], names=["e", "node", "component", "n"])
+
+
+def _covered(rows: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of nodes that the sets of other components of about one size cover enough to hold a linked set.
+
+    A linked set of size k has at least percent * (n + k) / (100 + percent) of the n shingles.
+    Sizes are taken in narrow bands, so this leaves out sets that share less, whatever
+    the number of sets that they share it with.
+    """
+    nodes = rows.select(F.col("a").alias("node"), F.col("c_a").alias("component")).distinct().join(facts.select("node", F.col("n_shingles").alias("n")), "node")
+    table = materialize(nodes.join(sets, "node").select("node", "component", "n", "shingles").mapInArrow(_elements, "e bigint, node bigint, component bigint, n bigint"), "jaccard-elements")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(NARROW))).cast("int")
+    held = table.groupBy("e", band.alias("band")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    held = held.groupBy("e").agg(F.collect_list(F.struct("band", "low", "high")).alias("held"), F.min("low").alias("least"), F.max("high").alias("most")).where("least != most").select("e", "held")
+    seen = table.join(held, "e").select("node", "component", "n", F.inline("held"))
+    seen = seen.where("low != component or high != component").groupBy("node", "n", "band").agg(F.count("*").alias("shared"))
+    other = F.floor(F.pow(F.lit(NARROW), F.col("band")) - 1e-6)
+    stays = seen.where((100 + PERCENT) * F.col("shared") >= PERCENT * (F.col("n") + other)).select(F.col("node").alias("a")).distinct()
+    return rows.join(stays, "a", "left_semi")
 
 
 def _node_components(docs: DataFrame, described: DataFrame, text: str) -> tuple[DataFrame, DataFrame | None]:
@@ -307,42 +340,42 @@ def _node_components(docs: DataFrame, described: DataFrame, text: str) -> tuple[
     total = reps.agg(F.sum("n_signs")).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     blocks = docs.select("rid", F.col(text).alias("text")).mapInArrow(_blocks(found, buckets), "bucket bigint, low binary, mid binary, place binary, nodes binary")
-    met = materialize(blocks.groupBy("bucket").applyInArrow(_met, "a bigint, b bigint, odd bigint, times bigint, sign bigint"), "jaccard-met")
-    cold = met.where("sign is null").groupBy("a", "b", "odd").agg(F.sum("times").alias("times"))
-    hot = met.where("sign is not null")
-    have = hot.groupBy(F.col("a").alias("node")).agg(F.count_if(F.col("odd") == 0).alias("h0"), F.count_if(F.col("odd") == 1).alias("h1"))
-    facts = reps.join(have, "node", "left").fillna(0, ["h0", "h1"]).select("node", "n_shingles", "t0", "t1", "h0", "h1", *(f"s{k}" for k in range(SKETCH)))
-    facts = materialize(facts, "jaccard-facts")
-    hot = materialize(_sure(hot.select("sign", "a"), reps), "jaccard-frequent")
-    cold = materialize(_shared_enough(_possible(cold, facts)).select("a", "b").distinct(), "jaccard-possible")
-    nodes = cold.select(F.col("a").alias("node")).unionByName(cold.select(F.col("b").alias("node"))).unionByName(hot.select(F.col("a").alias("node"))).distinct()
+    lists = blocks.groupBy("bucket").applyInArrow(_met, "gid bigint, odd bigint, part bigint, m bigint, members array<bigint>")
+    lists = materialize(materialize(lists, "jaccard-met").groupBy("gid", "odd", "part").agg(F.sum("m").alias("m"), F.any_value("members").alias("members")), "jaccard-lists")
+    rows = lists.select("gid", "odd", "m", F.explode("members").alias("a"))
+    facts = reps.select("node", "n_shingles", "t0", "t1", *(f"s{k}" for k in range(SKETCH)))
+    rows = materialize(_sure(rows, reps), "jaccard-rows")
+    rows = materialize(_sure(_spanning(_across(rows, None, "a")), reps), "jaccard-rows")
+    # A first star in each list, around the node that shares most.
+    pivots = rows.groupBy("gid").agg(F.max(F.struct("have", "a"))["a"].alias("p"))
+    fresh = rows.join(pivots, "gid").where("a != p").select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b")).distinct()
+    fresh = materialize(_possible(fresh, facts).select("a", "b"), "jaccard-fresh")
+    nodes = rows.select(F.col("a").alias("node")).distinct()
     sets = _fetched_sets(docs, reps, nodes, text)
-    links, labels, turn, pivots = None, None, 0, 1
+    links = materialize(_links(fresh, sets), "jaccard-links")
+    turn = 0
     while True:
-        hot = _across(hot.select("sign", "a"), labels, "a")
-        spread = hot.groupBy("sign").agg(F.min("c_a").alias("low"), F.max("c_a").alias("high"), F.min("a").alias("head"), F.count("*").alias("members")).where("low != high")
-        hot = materialize(_sure(hot.join(spread.select("sign"), "sign").select("sign", "a"), reps), "jaccard-frequent")
-        hot = _across(hot, labels, "a")
-        spread = hot.groupBy("sign").agg(F.min("a").alias("head"), F.count("*").alias("members"))
-        marked = hot.join(spread, "sign")
-        chance = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(1 << 20)) * F.col("members") < F.lit((pivots - 1) << 20)
-        marked = materialize(marked.withColumn("pivot", (F.col("a") == F.col("head")) | chance), "jaccard-marked")
-        left, right = marked.where("pivot").select("sign", F.col("a").alias("p"), F.col("c_a").alias("c_p")), marked.select("sign", "a", "c_a")
-        fresh = left.join(right, "sign").where("c_p != c_a").select(F.least("p", "a").alias("a"), F.greatest("p", "a").alias("b")).distinct()
-        fresh = _possible(fresh, facts).select("a", "b")
-        if turn == 0:  # a first forest of candidate pairs; most others then lie within one component
-            fresh = fresh.unionByName(cold.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        elif turn == 1:
-            fresh = fresh.unionByName(_across(cold, labels, "a", "b").where("c_a != c_b").select("a", "b"))
-        fresh = materialize(fresh.distinct(), "jaccard-fresh")
-        found_links = materialize(_links(fresh, sets), "jaccard-links")
-        links = found_links if links is None else links.unionByName(found_links)
-        if not found_links.isEmpty():
-            labels = materialize(components(links, "jaccard-components"), "jaccard-labels")
-        hot = marked.where("not pivot").select("sign", "a")
-        turn, pivots = turn + 1, pivots * 8
-        if turn >= 2 and hot.isEmpty():
+        labels = materialize(components(links, "jaccard-components"), "jaccard-labels")
+        rows = materialize(_sure(_spanning(_across(rows.select("gid", "odd", "m", "a"), labels, "a")), reps), "jaccard-rows")
+        if turn == 0:
+            rows = materialize(_sure(_spanning(_covered(rows, facts, sets)), reps), "jaccard-rows")
+        if rows.isEmpty():
             return reps, labels
+        few, many = rows.where(F.col("members") <= FEW), rows.where(F.col("members") > FEW)
+        x, y = few.select("gid", "odd", "m", "a", "c_a"), few.select("gid", F.col("a").alias("b"), F.col("c_a").alias("c_b"))
+        pairs = x.join(y, "gid").where("a < b and c_a != c_b").groupBy("a", "b", "odd").agg(F.sum("m").alias("times"))
+        more = many.groupBy("a").agg(*(F.sum(F.when(F.col("odd") == k, F.col("m")).otherwise(0)).alias(f"h{k}") for k in (0, 1)))
+        counted = facts.join(more.withColumnRenamed("a", "node"), "node", "left").fillna(0, ["h0", "h1"])
+        pairs = _shared_enough(_possible(pairs, counted)).select("a", "b")
+        # In longer lists a few pivots, that then leave, and more of them each time.
+        head = many.groupBy("gid").agg(F.max(F.struct("have", "a"))["a"].alias("head"))
+        chance = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(1 << 20)) * F.col("members") < F.lit((8**turn - 1) << 20)
+        marked = materialize(many.join(head, "gid").withColumn("pivot", (F.col("a") == F.col("head")) | chance).drop("head"), "jaccard-marked")
+        pivots = marked.where("pivot").select("gid", F.col("a").alias("p"), F.col("c_a").alias("c_p"))
+        stars = marked.join(pivots, "gid").where("c_p != c_a").select(F.least("p", "a").alias("a"), F.greatest("p", "a").alias("b")).distinct()
+        fresh = materialize(pairs.unionByName(_possible(stars, facts).select("a", "b")).distinct(), "jaccard-fresh")
+        links = links.unionByName(materialize(_links(fresh, sets), "jaccard-links"))
+        rows, turn = marked.where("not pivot"), turn + 1
 
 
 def _named(docs: DataFrame) -> DataFrame:
