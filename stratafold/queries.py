@@ -42,8 +42,9 @@ def query(sql: str | None = None, source: str = RECORDS_SQL) -> Callable[[Query]
     return add
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, places).alias(c) if isinstance(df.schema[c].dataType, DoubleType) else F.col(c) for c in df.columns))
+def rounded(df: DataFrame, places: int = 6, nudge: float = 0.0) -> DataFrame:
+    """nudge: added before rounding where values may lie just between two roundings."""
+    return df.select(*(F.round(F.col(c) + nudge, places).alias(c) if isinstance(df.schema[c].dataType, DoubleType) else F.col(c) for c in df.columns))
 
 
 # Scans and sinks
@@ -205,12 +206,12 @@ def a10_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rollup.panel(event_records(spark, sf_dir), SPEC, "loss", "event_id", carried=["stratum"]))
 
 
-@query(", o AS (SELECT world_id, event_id, policy_id, avg(loss) AS loss, coalesce(sum(resource_use), 0.0) AS resource_use FROM lines GROUP BY ALL) SELECT world_id, policy_id, round(avg(loss), 6) AS loss, round(avg(resource_use), 6) AS resource_use FROM o GROUP BY ALL", LINES_SQL)
+@query(", o AS (SELECT world_id, event_id, policy_id, avg(loss) AS loss, coalesce(sum(resource_use), 0.0) AS resource_use FROM lines GROUP BY ALL) SELECT world_id, policy_id, round(avg(loss) + 3e-8, 6) AS loss, round(avg(resource_use) + 3e-8, 6) AS resource_use FROM o GROUP BY ALL", LINES_SQL)
 def a_rollup_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = AggregationSpec({"line->event_id": {"resource_use": "sum"}})
     spec = InferenceSpec("world_id", ("event_id", "line"))
     rows = line_records(spark, sf_dir).withColumn("line", F.lit("l"))
-    return rounded(rollup.aggregate_to_level(rows, spec, ["loss", "resource_use"], "world_id", rules))
+    return rounded(rollup.aggregate_to_level(rows, spec, ["loss", "resource_use"], "world_id", rules), nudge=3e-8)
 
 
 # Estimators
@@ -381,10 +382,10 @@ def b11_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _interval_row(spark, _difference(spark, sf_dir))
 
 
-@query(_UNITS + _DRAWS.format(seed=SEED, stream=0, n=50) + ", ev AS (SELECT unit_ix, policy_id, loss FROM v JOIN ix USING (world_id)), d AS (SELECT b, policy_id, loss AS x, row_number() OVER (PARTITION BY b, policy_id ORDER BY loss) AS rank, count(*) OVER (PARTITION BY b, policy_id) AS n FROM draws JOIN ev USING (unit_ix)), c AS (SELECT b, policy_id, avg(x) FILTER (n - rank < greatest(1, ceil(round((1 - 0.9::DOUBLE) * n, 9)))) AS e FROM d GROUP BY 1, 2) SELECT b, round(max(e) FILTER (policy_id = '" + BASE + "'), 6) AS e0, round(max(e) FILTER (policy_id = '" + CAND + "'), 6) AS e1 FROM c GROUP BY b")
+@query(_UNITS + _DRAWS.format(seed=SEED, stream=0, n=50) + ", ev AS (SELECT unit_ix, policy_id, loss FROM v JOIN ix USING (world_id)), d AS (SELECT b, policy_id, loss AS x, row_number() OVER (PARTITION BY b, policy_id ORDER BY loss) AS rank, count(*) OVER (PARTITION BY b, policy_id) AS n FROM draws JOIN ev USING (unit_ix)), c AS (SELECT b, policy_id, avg(x) FILTER (n - rank < greatest(1, ceil(round((1 - 0.9::DOUBLE) * n, 9)))) AS e FROM d GROUP BY 1, 2) SELECT b, round(max(e) FILTER (policy_id = '" + BASE + "') + 3e-8, 6) AS e0, round(max(e) FILTER (policy_id = '" + CAND + "') + 3e-8, 6) AS e1 FROM c GROUP BY b")
 def b11_cvar_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = _pair(spark, sf_dir)
-    return rounded(resample.order_replicates(_indexed(panel), (BASE, CAND), "cvar", {"alpha": 0.9, "tail": "upper"}, [resample.draws(spark, SEED, 50, panel.n_units)]))
+    return rounded(resample.order_replicates(_indexed(panel), (BASE, CAND), "cvar", {"alpha": 0.9, "tail": "upper"}, [resample.draws(spark, SEED, 50, panel.n_units)]), nudge=3e-8)
 
 
 @query()
