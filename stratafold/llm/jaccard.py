@@ -18,9 +18,9 @@ never forms all pairs of a list.  A set with fewer than t shared signatures is l
 nobody and leaves; this removes what only shares a passage.  Each list is first compared with
 one pivot, the member that shares most; verified links are contracted, and lists within one
 component are done.  Then a set leaves if the other components, by narrow bands of sizes, do
-not cover as many of its shingles as a linked set would.  What is left is little: pairs of
-short lists, if they share t signatures together, and growing numbers of pivots of long
-ones, until no list spans two components.  This is exact: no candidate is capped, and a
+not cover as many of its shingles as a linked set would.  Of the lists of what is left all
+but the longest with t - 1 signatures are enough; pairs of short lists are compared, and growing
+numbers of pivots of long ones, outside the component of most members, until no list spans two components.  This is exact: no candidate is capped, and a
 pivot leaves a list only once it was compared with all of it.
 
 Sets are never shuffled to find candidates.  Signatures travel in blocks of about nine
@@ -43,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafold.llm.arrow import map_texts, slices
@@ -61,6 +61,8 @@ BUCKET = 500_000
 HEAVY, COUNTERS = 256, 4096
 #: Ids of sets to verify up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Pivots of a long list in the first round; eight times as many in each that follows.
+PIVOTS = 4
 #: Nodes of a list in one row.
 PART = 64
 #: Growth of the narrow size bands.
@@ -252,13 +254,6 @@ def _possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.where((100 * least >= PERCENT * most) & ((100 + PERCENT) * apart <= (100 - PERCENT) * total))
 
 
-def _shared_enough(pairs: DataFrame) -> DataFrame:
-    """Of pairs(a, b, odd, times and facts) those whose rare signatures and the frequent ones that both may share reach t of both."""
-    by_band = lambda side, c: F.when(F.col("odd") == 0, F.col(f"{side}_{c}0")).otherwise(F.col(f"{side}_{c}1"))
-    frequent = F.least(by_band("a", "h"), by_band("b", "h"))
-    return pairs.where(F.col("times") + frequent >= F.greatest(by_band("a", "t"), by_band("b", "t")))
-
-
 def _fetched_sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     """(node, shingles) of the given nodes, from one text each.  reps: one row per node with a rid."""
     needed = materialize(reps.join(nodes, "node").select("rid", "node"), "jaccard-needed")
@@ -300,6 +295,43 @@ def _sure(rows: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.drop("have").join(enough, ["a", "odd"])
 
 
+def _first_lists(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Of each node's lists the shortest ones, all but t - 1 of its signatures.
+
+    In one order of all lists, two nodes that share t signatures meet within these.
+    """
+    need = reps.select(F.col("node").alias("a"), "t0", "t1")
+    t = F.greatest(F.when(F.col("odd") == 0, F.col("t0")).otherwise(F.col("t1")), F.lit(1))
+    # The lists of one node: no more than it has signatures.
+    own = Window.partitionBy("a", "odd").orderBy("members", "gid").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("m").over(own), F.lit(0))
+    return rows.join(need, "a").withColumn("before", before).where(F.col("before") <= F.col("have") - t).select("gid", "a", "c_a")
+
+
+def _star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pivot, members) -> distinct pairs of a batch."""
+    for batch in batches:
+        members = batch.column(1)
+        pivot = np.repeat(batch.column(0).to_numpy(), members.value_lengths().to_numpy())
+        other = members.flatten().to_numpy()
+        pair = np.stack((np.minimum(pivot, other), np.maximum(pivot, other)), 1)[pivot != other]
+        pair = np.unique(pair, axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+
+def _stars(marked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the pivots of each list with its members.
+
+    Members come in arrays of about ``PART``, and all arrays of a pivot that lie next to each other
+    give each pair once: the lists of a pivot have mostly the same members.
+    """
+    size = marked.groupBy("gid").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    parts = marked.join(size, "gid").groupBy("gid", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")).agg(F.collect_list("a").alias("members"))
+    pivots = marked.where("pivot").select("gid", F.col("a").alias("p"))
+    near = pivots.join(parts, "gid").select("p", "part", "members")
+    return near.repartition("p", "part").sortWithinPartitions("p", "part").select("p", "members").mapInArrow(_star_pairs, "a bigint, b bigint")
+
+
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, component, n, shingles) -> one row per shingle."""
     for batch in batches:
@@ -353,28 +385,27 @@ def _node_components(docs: DataFrame, described: DataFrame, text: str) -> tuple[
     nodes = rows.select(F.col("a").alias("node")).distinct()
     sets = _fetched_sets(docs, reps, nodes, text)
     links = materialize(_links(fresh, sets), "jaccard-links")
-    turn = 0
+    labels = materialize(components(links, "jaccard-components"), "jaccard-labels")
+    rows = materialize(_sure(_spanning(_across(rows.select("gid", "odd", "m", "a"), labels, "a")), reps), "jaccard-rows")
+    rows = materialize(_sure(_spanning(_covered(rows, facts, sets)), reps), "jaccard-rows")
+    rows, turn = _first_lists(rows, reps), 0
     while True:
-        labels = materialize(components(links, "jaccard-components"), "jaccard-labels")
-        rows = materialize(_sure(_spanning(_across(rows.select("gid", "odd", "m", "a"), labels, "a")), reps), "jaccard-rows")
-        if turn == 0:
-            rows = materialize(_sure(_spanning(_covered(rows, facts, sets)), reps), "jaccard-rows")
+        rows = materialize(_spanning(_across(rows.select("gid", "a"), labels, "a")), "jaccard-rows")
         if rows.isEmpty():
             return reps, labels
         few, many = rows.where(F.col("members") <= FEW), rows.where(F.col("members") > FEW)
-        x, y = few.select("gid", "odd", "m", "a", "c_a"), few.select("gid", F.col("a").alias("b"), F.col("c_a").alias("c_b"))
-        pairs = x.join(y, "gid").where("a < b and c_a != c_b").groupBy("a", "b", "odd").agg(F.sum("m").alias("times"))
-        more = many.groupBy("a").agg(*(F.sum(F.when(F.col("odd") == k, F.col("m")).otherwise(0)).alias(f"h{k}") for k in (0, 1)))
-        counted = facts.join(more.withColumnRenamed("a", "node"), "node", "left").fillna(0, ["h0", "h1"])
-        pairs = _shared_enough(_possible(pairs, counted)).select("a", "b")
-        # In longer lists a few pivots, that then leave, and more of them each time.
-        head = many.groupBy("gid").agg(F.max(F.struct("have", "a"))["a"].alias("head"))
-        chance = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(1 << 20)) * F.col("members") < F.lit((8**turn - 1) << 20)
-        marked = materialize(many.join(head, "gid").withColumn("pivot", (F.col("a") == F.col("head")) | chance).drop("head"), "jaccard-marked")
-        pivots = marked.where("pivot").select("gid", F.col("a").alias("p"), F.col("c_a").alias("c_p"))
-        stars = marked.join(pivots, "gid").where("c_p != c_a").select(F.least("p", "a").alias("a"), F.greatest("p", "a").alias("b")).distinct()
-        fresh = materialize(pairs.unionByName(_possible(stars, facts).select("a", "b")).distinct(), "jaccard-fresh")
+        pairs = few.join(few.select("gid", F.col("a").alias("b"), F.col("c_a").alias("c_b")), "gid").where("a < b and c_a != c_b").select("a", "b")
+        # In longer lists pivots outside the component that most members have; they then leave, and more of them each time.
+        shares = many.groupBy("gid", "c_a").agg(F.count("*").alias("n"), F.min("a").alias("first"))
+        most = shares.groupBy("gid").agg(F.max(F.struct("n", "c_a")).alias("top"), F.sum("n").alias("all"))
+        head = shares.join(most, "gid").where("c_a != top.c_a").groupBy("gid").agg(F.min("first").alias("head"), F.any_value("top.c_a").alias("c_top"), F.any_value(F.col("all") - F.col("top.n")).alias("others"))
+        chance = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(1 << 20)) * F.col("others") < F.lit(PIVOTS * (8**turn) << 20)
+        pivot = (F.col("a") == F.col("head")) | ((F.col("c_a") != F.col("c_top")) & chance)
+        marked = materialize(many.join(head, "gid").withColumn("pivot", pivot).select("gid", "a", "c_a", "pivot"), "jaccard-marked")
+        stars = _stars(marked)
+        fresh = materialize(_possible(pairs.unionByName(stars).distinct(), facts).select("a", "b"), "jaccard-fresh")
         links = links.unionByName(materialize(_links(fresh, sets), "jaccard-links"))
+        labels = materialize(components(links, "jaccard-components"), "jaccard-labels")
         rows, turn = marked.where("not pivot"), turn + 1
 
 
