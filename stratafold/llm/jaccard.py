@@ -18,10 +18,9 @@ never forms all pairs of a list.  A set with fewer than t shared signatures is l
 nobody and leaves; this removes what only shares a passage.  Each list is first compared with
 one pivot, the member that shares most; verified links are contracted, and lists within one
 component are done.  Then a set leaves if the other components, by narrow bands of sizes, do
-not cover as many of its shingles as a linked set would.  Of the lists of what is left all
-but the longest with t - 1 signatures are enough; pairs of short lists are compared, and growing
-numbers of pivots of long ones, outside the component of most members, until no list spans two components.  This is exact: no candidate is capped, and a
-pivot leaves a list only once it was compared with all of it.
+not cover as many of its shingles as a linked set would.  The few that remain find each other
+by their rarest shingles: so many that a linked set must have one of them.  This is exact: no
+candidate is capped, and nothing is left out that could be linked.
 
 Sets are never shuffled to find candidates.  Signatures travel in blocks of about nine
 bytes each, one block per slice of texts and bucket, with the number of buckets following the exact
@@ -53,16 +52,12 @@ from stratafold.llm.shingles import mix, shingle_sets
 from stratafold.scratch import materialize
 
 PERCENT = 75
-#: Sharers of a signature up to which all pairs are candidates.
-FEW = 16
 #: Signatures in a bucket of the candidate search.
 BUCKET = 500_000
 #: Frequent equal sets that are broadcast at most, and counters of their sketch.
 HEAVY, COUNTERS = 256, 4096
 #: Ids of sets to verify up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Pivots of a long list in the first round; eight times as many in each that follows.
-PIVOTS = 4
 #: Nodes of a list in one row.
 PART = 64
 #: Growth of the narrow size bands.
@@ -295,43 +290,6 @@ def _sure(rows: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.drop("have").join(enough, ["a", "odd"])
 
 
-def _first_lists(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of each node's lists the shortest ones, all but t - 1 of its signatures.
-
-    In one order of all lists, two nodes that share t signatures meet within these.
-    """
-    need = reps.select(F.col("node").alias("a"), "t0", "t1")
-    t = F.greatest(F.when(F.col("odd") == 0, F.col("t0")).otherwise(F.col("t1")), F.lit(1))
-    # The lists of one node: no more than it has signatures.
-    own = Window.partitionBy("a", "odd").orderBy("members", "gid").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("m").over(own), F.lit(0))
-    return rows.join(need, "a").withColumn("before", before).where(F.col("before") <= F.col("have") - t).select("gid", "a", "c_a")
-
-
-def _star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, members) -> distinct pairs of a batch."""
-    for batch in batches:
-        members = batch.column(1)
-        pivot = np.repeat(batch.column(0).to_numpy(), members.value_lengths().to_numpy())
-        other = members.flatten().to_numpy()
-        pair = np.stack((np.minimum(pivot, other), np.maximum(pivot, other)), 1)[pivot != other]
-        pair = np.unique(pair, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
-
-
-def _stars(marked: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the pivots of each list with its members.
-
-    Members come in arrays of about ``PART``, and all arrays of a pivot that lie next to each other
-    give each pair once: the lists of a pivot have mostly the same members.
-    """
-    size = marked.groupBy("gid").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    parts = marked.join(size, "gid").groupBy("gid", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")).agg(F.collect_list("a").alias("members"))
-    pivots = marked.where("pivot").select("gid", F.col("a").alias("p"))
-    near = pivots.join(parts, "gid").select("p", "part", "members")
-    return near.repartition("p", "part").sortWithinPartitions("p", "part").select("p", "members").mapInArrow(_star_pairs, "a bigint, b bigint")
-
-
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, component, n, shingles) -> one row per shingle."""
     for batch in batches:
@@ -341,13 +299,21 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(found), *same], names=["e", "node", "component", "n"])
 
 
-def _covered(rows: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows of nodes that the sets of other components of about one size cover enough to hold a linked set.
+def _least_shared(n: Column, k: Column) -> Column:
+    """100 + percent times what linked sets of these sizes share at least."""
+    return F.lit(PERCENT) * (n + k)
 
-    A linked set of size k has at least percent * (n + k) / (100 + percent) of the n shingles.
-    Sizes are taken in narrow bands, so this leaves out sets that share less, whatever
-    the number of sets that they share it with.
+
+def _last_pairs(rows: DataFrame, labels: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of different components among the nodes of rows (a, c_a).
+
+    A node that the sets of other components do not cover enough is left out: of a linked
+    set of size k it holds ``_least_shared``, and sizes are taken in narrow bands.  The
+    others are found by shingles: of a node's shingles, rarest first, a linked set misses
+    no more than n less what both share, so it has one of those up to there.  The node of
+    the smaller component looks for the other.
     """
+    sizes = labels.groupBy("component").agg(F.count("*").alias("members"))
     nodes = rows.select(F.col("a").alias("node"), F.col("c_a").alias("component")).distinct().join(facts.select("node", F.col("n_shingles").alias("n")), "node")
     table = materialize(nodes.join(sets, "node").select("node", "component", "n", "shingles").mapInArrow(_elements, "e bigint, node bigint, component bigint, n bigint"), "jaccard-elements")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(NARROW))).cast("int")
@@ -356,11 +322,22 @@ def _covered(rows: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
     seen = table.join(held, "e").select("node", "component", "n", F.inline("held"))
     seen = seen.where("low != component or high != component").groupBy("node", "n", "band").agg(F.count("*").alias("shared"))
     other = F.floor(F.pow(F.lit(NARROW), F.col("band")) - 1e-6)
-    stays = seen.where((100 + PERCENT) * F.col("shared") >= PERCENT * (F.col("n") + other)).select(F.col("node").alias("a")).distinct()
-    return rows.join(stays, "a", "left_semi")
-
-
-def _node_components(docs: DataFrame, described: DataFrame, text: str) -> tuple[DataFrame, DataFrame | None]:
+    stays = seen.where((100 + PERCENT) * F.col("shared") >= _least_shared(F.col("n"), other)).select("node").distinct()
+    stays = stays.join(nodes, "node").join(sizes, "component", "left").select("node", F.coalesce("members", F.lit(1)).alias("members"))
+    table = materialize(table.join(stays, "node"), "jaccard-covered")
+    common = table.groupBy("e").agg(F.count("*").alias("df"))
+    # The shingles of one set.
+    rarest = Window.partitionBy("node").orderBy("df", "e")
+    looking = table.join(common, "e").withColumn("rank", F.row_number().over(rarest))
+    enough = lambda k: (100 + PERCENT) * (F.col("n") - F.col("rank") + 1) >= _least_shared(F.col("n"), k)
+    looking = looking.where((F.col("df") > 1) & enough(F.ceil(F.col("n") * PERCENT / 100)))
+    there = table.select("e", F.col("node").alias("o_node"), F.col("component").alias("o_component"), F.col("n").alias("o_n"), F.col("members").alias("o_members"))
+    smaller = (F.col("members") < F.col("o_members")) | ((F.col("members") == F.col("o_members")) & (F.col("component") < F.col("o_component")))
+    pairs = looking.join(there, "e").where(smaller & (F.col("component") != F.col("o_component")) & (100 * F.col("o_n") >= PERCENT * F.col("n")) & enough(F.col("o_n")))
+    return pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+
+
+def _node_components(docs: DataFrame, described: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """One row per distinct non-empty set, and (node, component) of the linked ones.  docs has rid."""
     full = described.where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "rid")).alias("first")
@@ -387,26 +364,9 @@ def _node_components(docs: DataFrame, described: DataFrame, text: str) -> tuple[
     links = materialize(_links(fresh, sets), "jaccard-links")
     labels = materialize(components(links, "jaccard-components"), "jaccard-labels")
     rows = materialize(_sure(_spanning(_across(rows.select("gid", "odd", "m", "a"), labels, "a")), reps), "jaccard-rows")
-    rows = materialize(_sure(_spanning(_covered(rows, facts, sets)), reps), "jaccard-rows")
-    rows, turn = _first_lists(rows, reps), 0
-    while True:
-        rows = materialize(_spanning(_across(rows.select("gid", "a"), labels, "a")), "jaccard-rows")
-        if rows.isEmpty():
-            return reps, labels
-        few, many = rows.where(F.col("members") <= FEW), rows.where(F.col("members") > FEW)
-        pairs = few.join(few.select("gid", F.col("a").alias("b"), F.col("c_a").alias("c_b")), "gid").where("a < b and c_a != c_b").select("a", "b")
-        # In longer lists pivots outside the component that most members have; they then leave, and more of them each time.
-        shares = many.groupBy("gid", "c_a").agg(F.count("*").alias("n"), F.min("a").alias("first"))
-        most = shares.groupBy("gid").agg(F.max(F.struct("n", "c_a")).alias("top"), F.sum("n").alias("all"))
-        head = shares.join(most, "gid").where("c_a != top.c_a").groupBy("gid").agg(F.min("first").alias("head"), F.any_value("top.c_a").alias("c_top"), F.any_value(F.col("all") - F.col("top.n")).alias("others"))
-        chance = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(1 << 20)) * F.col("others") < F.lit(PIVOTS * (8**turn) << 20)
-        pivot = (F.col("a") == F.col("head")) | ((F.col("c_a") != F.col("c_top")) & chance)
-        marked = materialize(many.join(head, "gid").withColumn("pivot", pivot).select("gid", "a", "c_a", "pivot"), "jaccard-marked")
-        stars = _stars(marked)
-        fresh = materialize(_possible(pairs.unionByName(stars).distinct(), facts).select("a", "b"), "jaccard-fresh")
-        links = links.unionByName(materialize(_links(fresh, sets), "jaccard-links"))
-        labels = materialize(components(links, "jaccard-components"), "jaccard-labels")
-        rows, turn = marked.where("not pivot"), turn + 1
+    fresh = materialize(_possible(_last_pairs(rows, labels, facts, sets), facts).select("a", "b"), "jaccard-fresh")
+    links = links.unionByName(materialize(_links(fresh, sets), "jaccard-links"))
+    return reps, materialize(components(links, "jaccard-components"), "jaccard-labels")
 
 
 def _named(docs: DataFrame) -> DataFrame:

@@ -49,9 +49,7 @@ def brute_components(rows):
     return bag((r[0], len(sets[i]), name[find(i)]) for i, r in enumerate(rows)), [find(i) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("few", [2, 16])
-def test_jaccard_join(corpus, rows, monkeypatch, few):
-    monkeypatch.setattr(jaccard, "FEW", few)
+def test_jaccard_join(corpus, rows):
     got = jaccard.jaccard_components(corpus).collect()
     assert bag(got) == brute_components(rows)[0]
 
