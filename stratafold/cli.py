@@ -21,6 +21,7 @@ from stratafold.operators.prepare import MissingValues
 from stratafold.operators.resample import BootstrapError
 from stratafold.operators.validate import validate_for_config, validate_records
 from stratafold.plans.compare import compare_by_stratum, compare_policies
+from stratafold.ship import ship
 from stratafold.sources.records import load_records, write_records
 from stratafold.synth import scenarios
 from stratafold.synth.generate import to_spark
@@ -60,7 +61,9 @@ strata: []
 
 def session() -> SparkSession:
     found = SparkSession.getActiveSession()
-    return found or SparkSession.builder.appName("stratafold").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    made = found or SparkSession.builder.appName("stratafold").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    ship(made)
+    return made
 
 
 def _say(args: argparse.Namespace, value: object, text: str) -> None:
