@@ -36,6 +36,8 @@ SIGNIFICANT = 3.0
 PENALTY = 1e-2
 STEPS = 120
 RATE = 0.02
+#: How far the intercept goes from equal classes to the labels' own shares (1: all the way).
+PRIOR = 0.5
 
 _ODD = 0x9E3779B1
 _MIX = 0x85EBCA6B
@@ -120,7 +122,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id")
     got = map_texts(rows.select("toxic", "text"), _features_of, "features binary").collect()
     got.sort(key=lambda r: (r["toxic"], r["features"]))
-    return fit([np.frombuffer(r["features"], np.uint32) for r in got], np.array([r["toxic"] for r in got]))
+    weights, bias = fit([np.frombuffer(r["features"], np.uint32) for r in got], np.array([r["toxic"] for r in got]))
+    seen = {r["toxic"]: r["count"] for r in usable.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
+    if weights.any():  # fitted as if both classes were equally common
+        bias += PRIOR * float(np.log(seen[1] / seen[0]))
+    return weights, bias
 
 
 def score_texts(texts: list, weights: np.ndarray, bias: float) -> np.ndarray:
