@@ -43,8 +43,8 @@ CHUNK = 1_000_000
 #: Bytes of segments in a bucket, and distinct segments of an anchor string above which it is split.
 BUCKET = 1_000_000
 SPLIT = 6000
-#: Rows up to which a table of places in texts is broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Places in texts (of up to seven longs each) up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_PLACES = 500_000
 
 _rng = np.random.default_rng(20240301)
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
@@ -319,13 +319,22 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _joined(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
-    """docs joined on rid with a table that is broadcast only if it is small."""
-    return docs.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, "rid", how)
+def _joined(docs: DataFrame, side: DataFrame, places: str, how: str) -> DataFrame:
+    """docs joined on rid with a written table of arrays of places, broadcast only if these are few in all."""
+    total = side.agg(F.sum(F.size(places))).first()[0] or 0
+    return docs.join(F.broadcast(side) if total <= BROADCAST_PLACES else side, "rid", how)
+
+
+def _merged_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, spans) with overlapping and touching spans made one."""
+    for batch in batches:
+        made = [merged([(s["start"], s["end"]) for s in spans]) for spans in batch.column(1).to_pylist()]
+        spans = pa.array([[{"start": a, "end": b} for a, b in m] for m in made], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), spans], names=["rid", "spans"])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none") -> DataFrame:
-    """docs(rid, text) -> rid and its spans of repeated bytes (array of start, end; not merged).
+    """docs(rid, text) -> rid and its maximal spans of repeated bytes (array of start, end).
 
     keep: "none" marks every copy, "first" all but the first in order of rid and place.
     """
@@ -355,7 +364,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     )
     fields = ("bucket", "anchor", "segment", "n", "rid", "first", "last")
     wanted = materialize(wanted.groupBy("rid").agg(F.collect_list(F.struct(*fields)).alias("wanted")), "repeats-wanted")
-    fetched = _joined(docs, wanted, "inner").select("wanted", "text").mapInArrow(_fetched(length), "bucket bigint, anchor bigint, segment bigint, n bigint, rid bigint, first bigint, bytes binary")
+    fetched = _joined(docs, wanted, "wanted", "inner").select("wanted", "text").mapInArrow(_fetched(length), "bucket bigint, anchor bigint, segment bigint, n bigint, rid bigint, first bigint, bytes binary")
     fetched = materialize(fetched, "repeats-fetched")
     runs = fetched.where("bucket >= 0").groupBy("bucket").applyInArrow(_factored(length, stays), "anchor bigint, segment bigint, low bigint, high bigint")
     if not per_anchor.where(F.col("different") > SPLIT).isEmpty():
@@ -371,7 +380,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
         mixed = distinct.select("anchor", "segment", "rid", "first")
     hits = mixed.select("anchor", "segment", "rid", "first").join(runs, ["anchor", "segment"])
     spans = spans.unionByName(hits.select("rid", (F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high") + length).alias("end")))
-    return materialize(spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeats-spans")
+    # The spans of one text.
+    by_text = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return materialize(by_text.mapInArrow(_merged_spans, "rid bigint, spans array<struct<start: bigint, end: bigint>>"), "repeats-spans")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -387,7 +398,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
             out = []
             for body, marks in zip(batch.column(1), batch.column(2), strict=True):
                 body = _encoded(body.as_py())
-                gone = merged(list(zip(marks.values.field(0).to_pylist(), marks.values.field(1).to_pylist(), strict=True))) if marks.is_valid else []
+                gone = list(zip(marks.values.field(0).to_pylist(), marks.values.field(1).to_pylist(), strict=True)) if marks.is_valid else []
                 edges = [0, *(x for span in gone for x in span), len(body)]
                 kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 out.append((len(body), len(body) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
@@ -396,6 +407,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    joined = _joined(numbered, spans, "left").select("doc_id", "text", "spans")
+    joined = _joined(numbered, spans, "spans", "left").select("doc_id", "text", "spans")
     kind = numbered.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
