@@ -7,7 +7,7 @@ an L2 penalty is trained on the scaled features.
 
 The classifier is fitted on at most ``FIT_ROWS`` labelled rows of each class, chosen
 by a hash of the id (the rows are found by a top-k over the labels and joined by
-broadcasting those few ids); scoring covers every row and whole texts, one document at
+broadcasting those few ids, and each sends at most 32 KiB to the driver); scoring covers every row and whole texts, one document at
 a time in fixed memory, without a shuffle.
 
 Defined results: null and empty texts have no n-grams and get the score of the
@@ -66,10 +66,26 @@ def presence(text: str | None, bits: int = BITS) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.uint32)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, steps: int = STEPS) -> tuple[np.ndarray, float]:
+def packed(text: str | None, bits: int = BITS) -> bytes:
+    """``presence`` as its numbers or, if that is shorter, as a bitmap: never over 2 ** bits / 8 bytes."""
+    found = presence(text, bits)
+    if 4 * len(found) < (1 << bits) // 8:
+        return found.tobytes()
+    seen = np.zeros(1 << bits, bool)
+    seen[found] = True
+    return np.packbits(seen).tobytes()
+
+
+def unpacked(data: bytes, bits: int = BITS) -> np.ndarray:
+    if len(data) == (1 << bits) // 8:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8))).astype(np.uint32)
+    return np.frombuffer(data, np.uint32)
+
+
+def fit(rows: list[bytes], labels: np.ndarray, bits: int = BITS, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights by feature (ratio times coefficient) and the intercept; zeros unless both classes are there.
 
-    rows: the distinct features of each text.  Features whose presence differs between the
+    rows: the ``packed`` features of each text.  Features whose presence differs between the
     classes by less than ``SIGNIFICANT`` standard errors keep the weight 0.
     """
     total = 1 << bits
@@ -78,13 +94,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, steps: int
     toxic = labels.astype(bool)
     counts = np.zeros((2, total))
     for row, y in zip(rows, toxic, strict=True):
-        counts[int(y), row] += 1
+        counts[int(y), unpacked(row, bits)] += 1
     n_other, n_toxic = (~toxic).sum(), toxic.sum()
     p_other, p_toxic = (counts[0] + SMOOTHING) / (n_other + 2 * SMOOTHING), (counts[1] + SMOOTHING) / (n_toxic + 2 * SMOOTHING)
     ratio = np.log(p_toxic) - np.log(p_other)
     error = np.sqrt(p_toxic * (1 - p_toxic) / n_toxic + p_other * (1 - p_other) / n_other)
     used = np.abs(p_toxic - p_other) >= SIGNIFICANT * error
-    kept = [row[used[row]].astype(np.int64) for row in rows]
+    kept = [found[used[found]].astype(np.int32) for found in (unpacked(row, bits) for row in rows)]
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in kept])
     flat = np.concatenate(kept)
     value = ratio[flat]
@@ -109,7 +125,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features_of(texts: list) -> tuple[None, list[pa.Array]]:
-    return None, [pa.array([presence(t).tobytes() for t in texts], pa.binary())]
+    return None, [pa.array([packed(t) for t in texts], pa.binary())]
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
@@ -122,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id")
     got = map_texts(rows.select("toxic", "text"), _features_of, "features binary").collect()
     got.sort(key=lambda r: (r["toxic"], r["features"]))
-    weights, bias = fit([np.frombuffer(r["features"], np.uint32) for r in got], np.array([r["toxic"] for r in got]))
+    weights, bias = fit([r["features"] for r in got], np.array([r["toxic"] for r in got]))
     seen = {r["toxic"]: r["count"] for r in usable.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
     if weights.any():  # fitted as if both classes were equally common
         bias += PRIOR * float(np.log(seen[1] / seen[0]))
