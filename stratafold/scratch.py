@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,11 +38,27 @@ def remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows that go to Python at once while a table is written: texts are long.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    held = spark.conf.get(_BATCH)
+    try:
+        spark.conf.set(_BATCH, str(min(int(held), BATCH_ROWS) if int(held) > 0 else BATCH_ROWS))
+        yield
+    finally:
+        spark.conf.set(_BATCH, held)
+
+
 def save(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder; return the reread table and its path."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
