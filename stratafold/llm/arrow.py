@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 Kernel = Callable[[list], tuple[Sequence[int] | None, list[pa.Array]]]
 
 #: Characters handled at once.
-SLICE = 1_000_000
+SLICE = 500_000
 
 
 def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
