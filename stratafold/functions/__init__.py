@@ -1,0 +1 @@
+"""Estimators, intervals and decisions."""

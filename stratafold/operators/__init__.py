@@ -1,0 +1 @@
+"""Plans over record tables."""

@@ -1,0 +1 @@
+"""Whole analyses."""

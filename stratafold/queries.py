@@ -14,11 +14,13 @@ from pyspark.sql.types import DoubleType
 
 from stratafold.config import AggregationSpec, FilterSpec, Margin, MetricSpec, MissingDataSpec, config_from_mapping
 from stratafold.functions import decisions, estimators
-from stratafold.hierarchy import InferenceSpec
+from stratafold.hierarchy import InferenceSpec, nesting_relation
 from stratafold.operators import failures, pairing, prepare, resample, rollup, strata, validate
-from stratafold.plans.compare import compare_policies
+from stratafold.plans.compare import compare_by_stratum, compare_policies
 from stratafold.scratch import materialize, shared_root
 from stratafold.sources.records import coerce_types, scan
+from stratafold.synth.generate import Policy, World, scaled
+from stratafold.synth.scenarios import coverage_study
 from stratafold.views import LINES_SQL, RECORDS_SQL, event_records, line_records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -580,3 +582,47 @@ def k2_compare_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(table[["metric", "n_units", "difference", "ci_low", "ci_high", "verdict", "favours"]]))
 
 
+
+
+# Structure, strata and sources as a whole
+
+_PAIRS = (("world_id", "event_id"), ("world_id", "stratum"), ("event_id", "regime"), ("resident_id", "event_id"))
+
+
+def _relation_sql(a: str, b: str) -> str:
+    most = lambda x, y: f"(SELECT max(n) FROM (SELECT count(DISTINCT {y}) AS n FROM records WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY {x}))"
+    ab, ba = most(a, b), most(b, a)
+    return f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN {ab} = 1 AND {ba} = 1 THEN 'one_to_one' WHEN {ab} = 1 THEN 'a_within_b' WHEN {ba} = 1 THEN 'b_within_a' ELSE 'crossed' END AS relation"
+
+
+@query(" UNION ALL ".join(_relation_sql(*p) for p in _PAIRS))
+def n1_nesting_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_records(spark, sf_dir)
+    return spark.createDataFrame([(a, b, nesting_relation(rows, a, b)) for a, b in _PAIRS], "a string, b string, relation string")
+
+
+@query("SELECT policy_id, stratum, round(avg(loss), 6) AS mean_loss, count(DISTINCT world_id) AS units FROM records WHERE loss IS NOT NULL GROUP BY 1, 2")
+def t6_strata_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prepare.with_missing_policy(event_records(spark, sf_dir), "loss", "drop_record")
+    means = estimators.estimate_by(rows, ["policy_id", "stratum"], "loss", "mean").withColumnRenamed("estimate", "mean_loss")
+    units = rows.groupBy("policy_id", "stratum").agg(F.countDistinct("world_id").alias("units"))
+    return rounded(means.join(units, ["policy_id", "stratum"]))
+
+
+@query()
+def t6_compare_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = config_from_mapping({**query_config(100), "metrics": query_config()["metrics"][:1]})
+    found = compare_by_stratum(event_records(spark, sf_dir), config, "stratum", min_units=2)
+    return rounded(spark.createDataFrame(found.summary_table()[["stratum", "metric", "n_units", "difference", "ci_low", "ci_high", "verdict"]]))
+
+
+@query()
+def c6_coverage_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = coverage_study(spark, World(20, 2, 5), (Policy("policy_a"), Policy("policy_b", shift=0.6)), 0.6, 40, 5)
+    low, high = found.interval
+    return spark.createDataFrame([(found.hits, found.n, round(low, 6), round(high, 6), found.consistent)], "hits bigint, n bigint, low double, high double, consistent boolean")
+
+
+@query()
+def g1_scaled_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(scaled(spark, 50).groupBy("policy_id").agg(F.count("*").alias("rows"), F.avg("loss").alias("mean_loss")))

@@ -1,0 +1 @@
+"""Reading and writing records."""

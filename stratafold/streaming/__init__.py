@@ -1,0 +1 @@
+"""Reserved: the record format and its analyses are batch only."""
