@@ -2,19 +2,22 @@
 
 Text is lower-cased (A-Z), everything but letters, digits and non-ASCII bytes separates
 words.  A template with b bigrams can only reach the threshold d against between
-b*d/(2-d) and b*(2-d)/d bigrams: these bounds prune templates for a whole text, and bound
-the windows that are tried within longer texts.  There, the windows of b bigrams with the
-most hits of the template are candidates (one pass over running counts); a template with too
-few hits in the whole text is never compared.  Dice counts repeated bigrams.
+b*d/(2-d) and b*(2-d)/d bigrams: every window of such a length is a candidate, the whole
+text among them.  Windows with the highest Dice begin and end at a hit of the template, so
+those are compared, from the hits whose running counts allow the threshold; a template with
+too few hits in the whole text is never compared.  Dice counts repeated bigrams.
 
 Defined results: null, empty and one-word texts have no bigrams and no licence; of
-overlapping finds the better one stays (higher Dice, then longer, then first by name);
+overlapping windows the better one stays (higher Dice, then longer, then first by name, then
+the earlier), so a find leaves out foreign words around it;
 repeated rows repeat their result; other columns are ignored.  Rows are independent: one pass,
 no shuffle, memory bounded by the largest text.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +29,8 @@ from stratafold.llm.arrow import map_texts
 from stratafold.llm.shingles import mix, word_hashes
 
 THRESHOLD = 0.8
+#: Windows compared at once, and room for rounding in bounds.
+CELLS, SLACK = 500_000, 1e-9
 
 # Public licence texts and the usual notices.
 TEMPLATES = {
@@ -139,38 +144,65 @@ def _known(items: tuple) -> Templates:
     return Templates(dict(items))
 
 
+def _ends(at: np.ndarray, back: np.ndarray, size: int, starts: np.ndarray, most: int, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """Highest Dice of the windows that begin at each of the hits ``starts`` and end before ``before``, and the longest length that has it."""
+    width = int((np.searchsorted(at, at[starts] + most) - starts).max())
+    values, lengths = np.zeros(len(starts)), np.zeros(len(starts), np.int64)
+    rows = max(1, CELLS // width)
+    for low in range(0, len(starts), rows):
+        i = starts[low : low + rows, None]
+        j = np.minimum(i + np.arange(width), len(at) - 1)
+        length = at[j] - at[i] + 1
+        inside = (i + np.arange(width) < len(at)) & (length <= most) & (at[j] < before)
+        value = np.where(inside, 2 * np.cumsum(back[j] < at[i], axis=1) / (size + length), 0.0)
+        best = width - 1 - np.argmax(value[:, ::-1], axis=1)
+        each = np.arange(len(best))
+        values[low : low + rows], lengths[low : low + rows] = value[each, best], length[each, best]
+    return values, lengths
+
+
 def found(numbers: np.ndarray, templates: Templates, threshold: float = THRESHOLD) -> list[tuple[str, float, int, int]]:
     """Licences of one text: name, Dice, first word and end (exclusive) of the match."""
-    n, out = len(numbers), []
     hit = np.flatnonzero(numbers < len(templates.known))
     if not len(hit):
-        return out
+        return []
     mine = templates.counts[:, numbers[hit]] > 0
-    for k in np.flatnonzero(mine.sum(axis=1) * (2 - threshold) >= threshold * templates.sizes):
+    heap: list[tuple[float, int, str, int, int, int]] = []
+    parts = {}
+    for k in np.flatnonzero(mine.sum(axis=1) * (2 - threshold) >= threshold * templates.sizes - SLACK).tolist():
         size, at = int(templates.sizes[k]), hit[mine[k]]
-        if size * threshold <= n * (2 - threshold) and n * threshold <= size * (2 - threshold):
-            value = templates.dice(k, numbers)
-            if value >= threshold:
-                out.append((templates.names[k], value, 0, n + 1))
-        # Windows of the template's size that begin at a hit; of those that hold enough hits, the fullest first.
-        held = np.searchsorted(at, at + size) - np.arange(len(at))
-        tried = np.zeros(n + 1, bool)
-        for j in np.argsort(-held, kind="stable"):
-            if 2 * held[j] < threshold * (size + min(size, n - at[j])):
-                break
-            start = int(at[j])
-            end = min(start + size, n)
-            if tried[start:end].any():
-                continue
-            value = templates.dice(k, numbers[start:end])
+        # Hits from i to j are enough for the threshold where 2j - d*at[j] is so much more than 2i - d*at[i].
+        gain = 2 * np.arange(len(at)) - threshold * at
+        starts = np.flatnonzero(np.maximum.accumulate(gain[::-1])[::-1] - gain >= threshold * (size + 1) - 2 - SLACK)
+        if not len(starts):
+            continue
+        grams = numbers[at]
+        order = np.argsort(grams, kind="stable")
+        earlier = np.arange(len(at)) - templates.counts[k][grams[order]]
+        same = (earlier >= 0) & (grams[order[np.maximum(earlier, 0)]] == grams[order])
+        back = np.empty(len(at), np.int64)  # a hit counts in windows that begin after this place: the template has no more of its bigram
+        back[order] = np.where(same, at[order[np.maximum(earlier, 0)]], -1)
+        parts[k] = at, back, size, int(size * (2 - threshold) / threshold + SLACK)
+        values, lengths = _ends(at, back, size, starts, parts[k][3], len(numbers))
+        for i, value, length in zip(starts.tolist(), values.tolist(), lengths.tolist(), strict=True):
             if value >= threshold:
-                tried[start:end] = True
-                out.append((templates.names[k], value, start, end + 1))
-    chosen: list[tuple[str, float, int, int]] = []
-    for one in sorted(out, key=lambda m: (-m[1], m[2] - m[3], m[0], m[2])):
-        if all(one[3] <= other[2] or one[2] >= other[3] for other in chosen):
-            chosen.append(one)
-    return sorted(chosen, key=lambda m: (m[2], m[0]))
+                heap.append((-value, -length, templates.names[k], int(at[i]), k, i))
+    heapq.heapify(heap)
+    chosen: list[tuple[int, int, str, float]] = []
+    while heap:
+        value, length, name, start, k, i = heapq.heappop(heap)
+        after = bisect.bisect_left(chosen, (start + 1,))
+        if after and chosen[after - 1][1] > start:
+            continue
+        free = chosen[after][0] if after < len(chosen) else len(numbers) + 1
+        if start - length + 1 <= free:
+            chosen.insert(after, (start, start - length + 1, name, -value))
+            continue
+        at, back, size, most = parts[k]
+        values, lengths = _ends(at, back, size, np.array([i]), most, free - 1)
+        if values[0] >= threshold:
+            heapq.heappush(heap, (-float(values[0]), -int(lengths[0]), name, start, k, i))
+    return [(name, value, start, end) for start, end, name, value in chosen]
 
 
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

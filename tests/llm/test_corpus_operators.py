@@ -1,6 +1,7 @@
 """Every corpus operator against brute force on awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -241,6 +242,47 @@ def test_license_scan(spark, corpus):
     assert licenses.license_scan(corpus).count() == corpus.count()
 
 
+def brute_licenses(numbers, templates, threshold):
+    """Every window of every length, the best first."""
+    n = len(numbers)
+    windows = [(templates.dice(k, numbers[i:j]), j - i, name, i) for k, name in enumerate(templates.names) for i in range(n) for j in range(i + 1, n + 1)]
+    chosen = []
+    for value, length, name, start in sorted((w for w in windows if w[0] >= threshold), key=lambda w: (-w[0], -w[1], w[2], w[3])):
+        if all(start + length + 1 <= low or start >= high for _, _, low, high in chosen):
+            chosen.append((name, value, start, start + length + 1))
+    return sorted(chosen, key=lambda m: m[2])
+
+
+def test_license_windows_of_every_length():
+    rng = random.Random(11)
+    word = lambda: rng.choice("abcdef")
+    finds = 0
+    for case in range(150):
+        texts = {f"t{k}": [word() for _ in range(rng.randint(2, 12))] for k in range(3)}
+        body = [word() for _ in range(rng.randint(0, 8))]
+        for t in rng.choices(list(texts.values()), k=3):
+            body += [w for x in t for w in ([] if rng.random() < 0.1 else [x, "zz"] if rng.random() < 0.1 else [x])] + [rng.choice("abcxyz") for _ in range(rng.randint(0, 4))]
+        known = licenses.Templates({k: " ".join(t) for k, t in texts.items()})
+        numbers = known.numbers(licenses.bigrams([" ".join(body)])[0])
+        for threshold in (0.8, 0.6):
+            want = brute_licenses(numbers, known, threshold)
+            assert licenses.found(numbers, known, threshold) == want, case
+            finds += len(want)
+    assert finds > 300
+
+
+def test_license_lengthened_or_shortened_within_a_document():
+    """120 words within 1000 others: a foreign word after every 8, and only the first 84 or 90."""
+    licence = [f"l{i}" for i in range(120)]
+    known = licenses.Templates({"it": " ".join(licence)})
+    longer = [w for i, x in enumerate(licence) for w in ([x, f"f{i}"] if i % 8 == 7 and i < 119 else [x])]
+    for kept in (longer, licence[:84], licence[:90]):
+        around = [f"o{i}" for i in range(1000)]
+        inside, alone = (licenses.found(known.numbers(licenses.bigrams([" ".join(t)])[0]), known) for t in ([*around[:500], *kept, *around[500:]], kept))
+        assert [(name, start, end) for name, _, start, end in inside] == [("it", 500, 500 + len(kept))]
+        assert [m[:2] for m in inside] == [m[:2] for m in alone]
+
+
 # 6
 
 
