@@ -3,6 +3,10 @@
 Each estimator has three faces: a kernel over (values, integer multiplicities) in numpy, for
 resampling; a Spark aggregate where plain aggregates express it; and otherwise an
 aggregate over exact ranks.  All drop null, NaN and infinite values.
+
+A custom estimator is a kernel with one of ``plain``, ``ranked`` and ``states``, which any
+number of values passes, or a kernel alone: then the distinct values of a group, with their
+multiplicities, meet in one task and must fit it.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ import inspect
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -20,6 +25,11 @@ from pyspark.sql import functions as F
 from stratafold.operators.ranks import ranked
 
 Kernel = Callable[[np.ndarray, np.ndarray], float]
+#: State of (values, multiplicities), of two states together, and the estimate of a state; a state is a sequence of doubles.
+States = tuple[Callable[[np.ndarray, np.ndarray], Sequence[float]], Callable[[Sequence[float], Sequence[float]], Sequence[float]], Callable[[Sequence[float]], float]]
+
+#: Values of a group are made into states by at most 2 ** CHUNK_BITS at once.
+CHUNK_BITS = 17
 
 
 @dataclass(frozen=True)
@@ -34,6 +44,7 @@ class Estimator:
     definition: str
     plain: Callable[..., Callable[[Column], Column]] | None = None
     ranked: Callable[..., Callable[[Column, Column, Column], Column]] | None = None
+    states: Callable[..., States] | None = None
 
     def parameters(self) -> dict[str, Any]:
         return {k: p.default for k, p in inspect.signature(self.factory).parameters.items()}
@@ -43,11 +54,11 @@ REGISTRY: dict[str, Estimator] = {}
 METRIC_REGISTRY = REGISTRY
 
 
-def register_estimator(name: str, *, min_units: int = 5, min_values: int = 1, tail: bool = False, definition: str = "", plain: Callable | None = None, ranked: Callable | None = None) -> Callable:
-    """Decorator for a factory of kernels; a custom estimator needs nothing else."""
+def register_estimator(name: str, *, min_units: int = 5, min_values: int = 1, tail: bool = False, definition: str = "", plain: Callable | None = None, ranked: Callable | None = None, states: Callable | None = None) -> Callable:
+    """Decorator for a factory of kernels; for tables of any size, ``plain``, ``ranked`` or ``states`` say the same in parts."""
 
     def add(factory: Callable[..., Kernel]) -> Callable[..., Kernel]:
-        REGISTRY[name] = Estimator(name, factory, min_units, min_values, tail, definition or (factory.__doc__ or name), plain, ranked)
+        REGISTRY[name] = Estimator(name, factory, min_units, min_values, tail, definition or (factory.__doc__ or name), plain, ranked, states)
         return factory
 
     return add
@@ -224,6 +235,30 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
+def _weighed(have: DataFrame, keys: Sequence[str], kernel: Kernel, fields: str) -> DataFrame:
+    """A kernel alone: a group's distinct values meet in one task, as it needs them."""
+
+    def one(group):  # noqa: ANN001, ANN202
+        return group[list(keys)].head(1).assign(estimate=kernel(group["__value"].to_numpy(float), group["__w"].to_numpy(np.int64)))
+
+    return have.groupBy(*keys, "__value").agg(F.count("*").alias("__w")).groupBy(*keys).applyInPandas(one, f"{fields}estimate double")
+
+
+def _merged(have: DataFrame, keys: Sequence[str], states: States, fields: str) -> DataFrame:
+    """Mergeable states: one for each chunk of a group's values; only those meet in one task."""
+    state, merge, finish = states
+
+    def partial(group):  # noqa: ANN001, ANN202
+        x = group["__value"].to_numpy(float)
+        return group[list(keys)].head(1).assign(__state=[[float(v) for v in state(x, np.ones(len(x), np.int64))]])
+
+    def total(group):  # noqa: ANN001, ANN202
+        return group[list(keys)].head(1).assign(estimate=float(finish(reduce(merge, group["__state"]))))
+
+    chunks = have.withColumn("__chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS))
+    return chunks.groupBy("__chunk", *keys).applyInPandas(partial, f"{fields}__state array<double>").groupBy(*keys).applyInPandas(total, f"{fields}estimate double")
+
+
 def estimate_by(df: DataFrame, keys: Sequence[str], value: str, name: str, **params: Any) -> DataFrame:
     """An estimator by group: keys and ``estimate``; groups without a finite value stay (null, or 0 for sum and count)."""
     build(name, **params)
@@ -236,15 +271,9 @@ def estimate_by(df: DataFrame, keys: Sequence[str], value: str, name: str, **par
     if kind.ranked:
         order = ranked(have, keys, "__value")
         made = order.groupBy(*keys).agg(kind.ranked(**params)(F.col("__value"), F.col("__rank"), F.col("__n")).alias("estimate"))
-    else:  # a custom estimator: values of a group meet in one task, as its kernel needs them
-        kernel = build(name, **params)
-
-        def one(group):  # noqa: ANN001, ANN202
-            x = group["__value"].to_numpy(float)
-            return group[list(keys)].head(1).assign(estimate=kernel(x, np.ones(len(x), np.int64)))
-
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-        made = have.groupBy(*keys).applyInPandas(one, f"{fields}, estimate double")
+    else:
+        fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+        made = _merged(have, keys, kind.states(**params), fields) if kind.states else _weighed(have, keys, build(name, **params), fields)
     if everyone is None:
         return made
     on = [F.col(f"e.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]

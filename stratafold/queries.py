@@ -253,7 +253,7 @@ def _custom(values, weights) -> float:  # noqa: ANN001
 @query("SELECT policy_id, round(avg(loss) * avg(loss), 6) AS estimate FROM records GROUP BY policy_id")
 def e13_custom_estimator(spark: SparkSession, sf_dir: str) -> DataFrame:
     if "squared_mean" not in estimators.REGISTRY:
-        estimators.register_estimator("squared_mean", definition="square of the mean")(lambda: _custom)
+        estimators.register_estimator("squared_mean", definition="square of the mean", plain=lambda: lambda v: F.pow(F.avg(v), F.lit(2.0)))(lambda: _custom)
     return rounded(estimators.estimate_by(event_records(spark, sf_dir), ["policy_id"], "loss", "squared_mean"))
 
 

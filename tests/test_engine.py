@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -118,6 +119,36 @@ def test_custom_estimator(spark):
     del estimators.REGISTRY["range_"]
 
 
+def test_custom_estimator_of_any_size(spark, monkeypatch):
+    """Plain: no group passes through Python.  States: no more than a chunk does.  A kernel alone: each distinct value once."""
+    from stratafold import queries
+
+    small = "/root/testdata/sf0.001"
+    if os.path.isdir(small):
+        plan = queries.QUERIES["e13_custom_estimator"](spark, small)._jdf.queryExecution().toString()
+        assert "InPandas" not in plan and "HashAggregate" in plan
+    rows = spark.createDataFrame([(g, float(i % 9 + 1)) for i in range(400) for g in ("a", None)] + [("b", 2.0), ("c", None), ("d", math.nan)], "g string, v double")
+    monkeypatch.setattr(estimators, "CHUNK_BITS", 4)
+
+    def few(x, w):
+        assert len(x) <= 16
+        return [float(np.dot(np.log(x), w)), float(w.sum())]
+
+    def distinct(x, w):
+        assert len(x) <= 9
+        return float(np.exp(np.dot(np.log(x), w) / w.sum()))
+
+    monkeypatch.setitem(estimators.REGISTRY, "geometric", None)
+    monkeypatch.setitem(estimators.REGISTRY, "geometric_kernel", None)
+    estimators.register_estimator("geometric", states=lambda: (few, lambda a, b: [a[0] + b[0], a[1] + b[1]], lambda s: math.exp(s[0] / s[1])))(lambda: distinct)
+    estimators.register_estimator("geometric_kernel")(lambda: distinct)
+    mean = math.exp(sum(math.log(i % 9 + 1) for i in range(400)) / 400)
+    for name in ("geometric", "geometric_kernel"):
+        got = {r["g"]: r["estimate"] for r in sf.estimate_by(rows, ["g"], "v", name).collect()}
+        assert got == {"a": pytest.approx(mean), None: pytest.approx(mean), "b": pytest.approx(2.0), "c": None, "d": None}
+        assert sf.estimate_by(rows.where("g = 'a'"), [], "v", name).first()["estimate"] == pytest.approx(mean)
+
+
 def test_credibility():
     assert not sf.credibility("max", 29)[0] and sf.credibility("max", 30)[0]
     assert not sf.credibility("std", 10, 1)[0]
