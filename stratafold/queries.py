@@ -21,7 +21,7 @@ from stratafold.scratch import materialize, shared_root
 from stratafold.sources.records import coerce_types, scan
 from stratafold.synth.generate import Policy, World, scaled
 from stratafold.synth.scenarios import coverage_study
-from stratafold.views import LINES_SQL, RECORDS_SQL, event_records, line_records
+from stratafold.views import ALL_RECORDS_SQL, LINES_SQL, RECORDS_SQL, event_records, event_rows, every_row, line_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,7 +54,7 @@ def rounded(df: DataFrame, places: int = 6, nudge: float = 0.0) -> DataFrame:
 
 def _copied(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     rows = event_records(spark, sf_dir).select("world_id", "policy_id", "resident_id", "loss", "failure_reason")
-    path = f"{shared_root(spark)}/copy-{kind}-{abs(hash(sf_dir))}"
+    path = f"{shared_root(spark)}/copy-{kind}-{abs(hash((sf_dir, event_rows())))}"
     out = rows.write.mode("overwrite")
     if kind in ("csv", "tsv"):
         out.option("header", True).option("sep", "," if kind == "csv" else "\t").csv(path)
@@ -626,3 +626,26 @@ def c6_coverage_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def g1_scaled_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scaled(spark, 50).groupBy("policy_id").agg(F.count("*").alias("rows"), F.avg("loss").alias("mean_loss")))
+
+
+# Whole tables
+
+#: Of these, the incomplete arm of the records is the point; the others over one or two complete arms see no purchase.
+_INCOMPLETE = ("j1_shared_units", "j2_dropped_units", "p1_paired_panel", "p7_overlap", "t4_allocation_ledger", "t4_composition_shift")
+_TWO_ARMS = ("f1_include", "p5_imbalance", "q1_tost", "q3_non_inferiority", "q5_verdict", "k1_compare")
+_WITHOUT_SQL = ("t5_redundancy", "v_validation_report")
+
+
+def _whole(made: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with every_row():
+            return made(spark, sf_dir)
+
+    return run
+
+
+for _name in [n for n in QUERIES if n in _WITHOUT_SQL or RECORDS_SQL in SQL.get(n, "")]:
+    if _name not in (*_INCOMPLETE, *_TWO_ARMS) and not _name.startswith("b"):
+        QUERIES[f"{_name}_whole"] = _whole(QUERIES[_name])
+        if _name in SQL:
+            SQL[f"{_name}_whole"] = SQL[_name].replace(RECORDS_SQL, ALL_RECORDS_SQL)

@@ -158,6 +158,24 @@ def test_credibility():
 # Preparation
 
 
+def test_whole_forms_read_every_event(spark):
+    """Scans, counts and estimators have a form over all of events, the incomplete arm's missing rows included."""
+    from stratafold import queries, views
+
+    small = "/root/testdata/sf0.001"
+    if not os.path.isdir(small):
+        pytest.skip("needs the driver's tables")
+    events = spark.read.parquet(f"{small}/events.parquet")
+    total, kept = events.count(), events.where(views.EVENT_ROWS).count()
+    assert kept < total
+    run = lambda name: queries.QUERIES[name](spark, small)
+    whole, part = run("s1_scan_parquet_whole"), run("s1_scan_parquet")  # both before either is read
+    assert (whole.count(), part.count()) == (total, kept)
+    assert run("r9_missing_counts_whole").agg(F.sum("rows")).first()[0] == total
+    assert run("r9_missing_counts").agg(F.sum("rows")).first()[0] == kept
+    assert views.event_rows() == views.EVENT_ROWS
+
+
 def test_filters_and_log(spark):
     df = spark.createDataFrame([("u1", "a", 1.0), ("u1", None, 5.0), ("u2", "b", 9.0), ("u3", "c", None)], "world_id string, g string, loss double")
     spec = FilterSpec({"g": ("a", "b", "c")}, {"g": ("c",)}, {"big": "loss > 8"})
