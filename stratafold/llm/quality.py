@@ -15,6 +15,7 @@ every score is 0.5; other columns are ignored or, in ``drop_rejected``, carried.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -54,7 +55,7 @@ def statistics(text: str | None) -> tuple[float, ...]:
     kinds = np.bincount(_KIND[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], minlength=6)
     letters = kinds[2] + kinds[3]
     lines = [x for x in text.split("\n") if x]
-    distinct = len(set(words))
+    counted = Counter(words)
     return (
         np.log1p(n),
         np.log(len(text) / n),
@@ -63,9 +64,9 @@ def statistics(text: str | None) -> tuple[float, ...]:
         np.sqrt(kinds[4] / n),
         np.sqrt(kinds[5] / n),
         np.sqrt(len(lines) / n),
-        np.log1p(n / distinct) / np.log1p(np.log1p(n)),
+        np.log1p(n / len(counted)) / np.log1p(np.log1p(n)),
         np.sqrt(sum(map(eq, words, words[1:])) / n),
-        np.sqrt(sum(map(words[n // 2].__eq__, words)) / n),
+        np.sqrt(max(counted.values()) / n),
         np.sqrt(1 - len(set(lines)) / len(lines)) if lines else 0.0,
     )
 

@@ -459,6 +459,14 @@ def test_classifiers(spark, corpus, operator, column, divisor, rest):
     assert len(none) == corpus.count() and {r["score"] for r in none} == {0.5}
 
 
+def test_commonest_word_wherever_it_stands():
+    at = quality.NAMES.index("commonest")
+    some = ["buy"] * 30 + [f"w{i}" for i in range(20)] + ["buy"] + [f"v{i}" for i in range(50)]
+    for seed in range(5):
+        assert quality.statistics(" ".join(some))[at] == pytest.approx((31 / 101) ** 0.5)
+        random.Random(seed).shuffle(some)
+
+
 def test_rejected_documents_go(spark, tmp_path):
     docs, labels = labelled()
     d, y = made_of(spark, docs, labels)
