@@ -1,6 +1,11 @@
-"""Byte strings that repeat: sampling anchors, then longest-previous-factor arrays where they meet.
+"""Strings that repeat: sampling anchors, then longest-previous-factor arrays where they meet.
 
-A window is ``LENGTH`` bytes of one text.  Its anchor is the position of the least hash among
+The symbols of a text are its bytes, or its words as 64-bit hashes (``shingles.word_hashes``).
+Bytes are cut out where ``LENGTH`` of them also start anywhere else; words are counted where
+``WORDS`` of them also stand in another text, as short words make such passages shorter
+than ``LENGTH`` bytes.
+
+A window is ``LENGTH`` symbols of one text.  Its anchor is the position of the least hash among
 the ``GRAM``-byte strings in it (leftmost of equals), so equal windows have equal anchor
 strings at equal places.  The windows of a text with the same anchor are consecutive;
 they and their bytes are a segment, about 1.4 windows long.  Every window belongs to
@@ -14,6 +19,8 @@ exactly one segment, and equal windows lie in segments with equal anchor strings
     previous (and next) factor of every window, cut at ``LENGTH``.
 4.  An anchor string with very many distinct segments is split over all tasks instead: its
     windows are counted by hash, with partial counts before the shuffle.
+Equal means equal hashes of the anchor string and of the segment (or window): 64 bits each,
+that of the segments only compared within one anchor string.
 5.  Repeated windows become spans of the texts, which are cut out (or all copies but the
     first are kept track of, see ``keep``).
 
@@ -30,19 +37,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.shingles import mix
+from stratafold.llm.arrow import slices
+from stratafold.llm.shingles import mix, word_hashes
 from stratafold.scratch import materialize
 
 LENGTH = 400
 GRAM = 128
-#: Bytes handled at once in the first pass; longer texts are cut into overlapping chunks.
+#: Words of a passage, and of an anchor string in it.
+WORDS = 50
+WORD_GRAM = 16
+#: Symbols handled at once in the first pass; longer texts are cut into overlapping chunks.
 CHUNK = 1_000_000
-#: Bytes of segments in a bucket, and distinct segments of an anchor string above which it is split.
+#: Symbols of segments in a bucket, and distinct segments of an anchor string above which it is split.
 BUCKET = 1_000_000
-SPLIT = 6000
+SPLIT = 1500
 #: Places in texts (of up to seven longs each) up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_PLACES = 500_000
 
@@ -63,11 +75,12 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 class Hashed:
-    """Hashes of any substrings of a byte array."""
+    """Hashes of any substrings of an array of symbols (bytes, or words by their hashes)."""
 
     def __init__(self, data: np.ndarray) -> None:
         power, self.inverse = _powers(len(data) + 1)
-        self.prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)))
+        values = _BYTE[data] if data.dtype == np.uint8 else data
+        self.prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * power[: len(data)], dtype=np.uint64)))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start])
@@ -112,14 +125,18 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: i
 
 
 class Suffixes:
-    """Order of suffixes by their first ``depth`` bytes, equal ones by position, and exact common prefixes up to there."""
+    """Order of suffixes by their first ``depth`` symbols, equal ones by position, and exact common prefixes up to there."""
 
     def __init__(self, data: np.ndarray, depth: int = LENGTH) -> None:
         self.depth, n = depth, len(data)
-        self.data = np.concatenate((data, np.zeros(8 + 2 * depth, np.uint8)))
-        words = np.lib.stride_tricks.sliding_window_view(self.data, 8)[: n + 2 * depth]
-        first = np.ascontiguousarray(words).view(">u8").ravel().astype(np.uint64)
-        self.levels = [(8, self._ranks(first))]
+        self.unit = 8 if data.dtype == np.uint8 else 1
+        self.data = np.concatenate((data, np.zeros(self.unit + 2 * depth, data.dtype)))
+        if self.unit == 8:
+            words = np.lib.stride_tricks.sliding_window_view(self.data, 8)[: n + 2 * depth]
+            first = np.ascontiguousarray(words).view(">u8").ravel().astype(np.uint64)
+        else:
+            first = self.data
+        self.levels = [(self.unit, self._ranks(first))]
         while 2 * self.levels[-1][0] <= depth:
             size, rank = self.levels[-1]
             key = rank[:-size].astype(np.uint64) * np.uint64(len(rank) + 1) + rank[size:]
@@ -149,7 +166,7 @@ class Suffixes:
                 same = rank[x] == rank[y]
                 step = np.where(same, size, 0)
                 done, x, y = done + step, x + step, y + step
-        for _ in range(7):
+        for _ in range(self.unit - 1):
             same = self.data[x] == self.data[y]
             done, x, y = done + same, x + same, y + same
             if not same.any():
@@ -187,8 +204,19 @@ def longest_factors(suffixes: Suffixes, starts: np.ndarray) -> tuple[np.ndarray,
     return best[0], best[1]
 
 
-def _pieces(rows: Iterator[tuple[object, bytes]], length: int) -> Iterator[list[tuple[object, int, bytes]]]:
-    """(row, text) -> lists of (row, offset, bytes) of about ``CHUNK`` bytes; windows lie in exactly one piece."""
+def shared_windows(suffixes: Suffixes, starts: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether the equal windows of each start (ascending) lie in texts of different numbers; low, high: least and greatest by start."""
+    order = suffixes.order(starts)
+    fresh = np.concatenate(([True], suffixes.common(order[1:], order[:-1]) < suffixes.depth))
+    at, lead = np.searchsorted(starts, order), np.flatnonzero(fresh)
+    differ = np.minimum.reduceat(low[at], lead) != np.maximum.reduceat(high[at], lead)
+    out = np.empty(len(order), bool)
+    out[at] = differ[np.cumsum(fresh) - 1]
+    return out
+
+
+def _pieces(rows: Iterator[tuple[object, np.ndarray]], length: int) -> Iterator[list[tuple[object, int, np.ndarray]]]:
+    """(row, symbols) -> lists of (row, offset, symbols) of about ``CHUNK`` symbols; windows lie in exactly one piece."""
     waiting, size = [], 0
     for name, text in rows:
         for at in range(0, max(1, len(text) - length + 1), CHUNK):
@@ -206,10 +234,20 @@ def _encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _symbols(texts: pa.Array, words: bool) -> Iterator[np.ndarray]:
+    """The symbols of each text."""
+    if not words:
+        yield from (np.frombuffer(_encoded(t.as_py()), np.uint8) for t in texts)
+        return
+    for start, end in slices(texts):
+        hashes, counts = word_hashes(texts.slice(start, end - start).to_pylist())
+        yield from np.split(hashes, np.cumsum(counts)[:-1])
+
+
 _SEGMENTS = "rid bigint, first bigint, last bigint, anchor bigint, segment bigint, copies bigint"
 
 
-def _segments(length: int, gram: int, spare: int):
+def _segments(length: int, gram: int, spare: int, words: bool):
     """Mapper: (rid, text) -> segments, one row for those that repeat within a piece, and spans (anchor null) of these.
 
     spare: how many of the equal segments of a piece are not spans (1: the first stays).
@@ -217,11 +255,11 @@ def _segments(length: int, gram: int, spare: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = ((r, _encoded(t.as_py())) for r, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+            rows = zip(batch.column(0).to_pylist(), _symbols(batch.column(1), words), strict=True)
             for pieces in _pieces(rows, length):
                 names, offsets, bodies = (list(x) for x in zip(*pieces, strict=True))
                 bounds = np.concatenate(([0], np.cumsum([len(b) for b in bodies])))
-                first, last, _, anchor, segment = segments(np.frombuffer(b"".join(bodies), np.uint8), bounds, length, gram)
+                first, last, _, anchor, segment = segments(np.concatenate(bodies), bounds, length, gram)
                 owner = np.searchsorted(bounds, first, side="right") - 1
                 rid = np.array(names, np.int64)[owner]
                 shift = np.array(offsets, np.int64)[owner] - bounds[owner]
@@ -248,18 +286,20 @@ def _segments(length: int, gram: int, spare: int):
     return run
 
 
-def _fetched(length: int):
-    """Mapper: (wanted segments of a text, text) -> their bytes."""
+_WANTED = ("bucket", "anchor", "segment", "n", "low_rid", "high_rid", "rid", "first")
+
+
+def _fetched(length: int, words: bool):
+    """Mapper: (wanted segments of a text, text) -> their symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for wanted, text in zip(batch.column(0), batch.column(1), strict=True):
-                text = _encoded(text.as_py())
+            for wanted, text in zip(batch.column(0), _symbols(batch.column(1), words), strict=True):
                 rows = wanted.values
-                columns = [rows.field(k) for k in ("bucket", "anchor", "segment", "n", "rid", "first")]
+                columns = [rows.field(k) for k in _WANTED]
                 spans = zip(rows.field("first").to_pylist(), rows.field("last").to_pylist(), strict=True)
-                columns.append(pa.array([text[a : b + length] for a, b in spans], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "anchor", "segment", "n", "rid", "first", "bytes"])
+                columns.append(pa.array([text[a : b + length].tobytes() for a, b in spans], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*_WANTED, "symbols"])
 
     return run
 
@@ -270,21 +310,25 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2] - 1
 
 
-def _factored(length: int, first_stays: bool):
+def _factored(length: int, first_stays: bool, words: bool, across: bool):
     """All distinct segments of a bucket -> runs of their windows that repeat."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("rid", "ascending"), ("first", "ascending")]).combine_chunks()
-        bodies = table.column("bytes").to_pylist()
-        sizes = np.array([len(b) for b in bodies])
+        data = np.frombuffer(b"".join(table.column("symbols").to_pylist()), np.uint64 if words else np.uint8)
+        sizes = pc.binary_length(table.column("symbols")).to_numpy() // data.itemsize
         begin = np.cumsum(sizes) - sizes
         windows = sizes - length + 1
         owner = np.repeat(np.arange(len(sizes)), windows)
         starts = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + begin[owner]
-        before, after = longest_factors(Suffixes(np.frombuffer(b"".join(bodies), np.uint8), length), starts)
-        repeats = before >= length
-        if not first_stays:
-            repeats |= (after >= length) | (table.column("n").to_numpy() > 1)[owner]
+        suffixes = Suffixes(data, length)
+        if across:
+            repeats = shared_windows(suffixes, starts, *(table.column(k).to_numpy()[owner] for k in ("low_rid", "high_rid")))
+        else:
+            before, after = longest_factors(suffixes, starts)
+            repeats = before >= length
+            if not first_stays:
+                repeats |= (after >= length) | (table.column("n").to_numpy() > 1)[owner]
         mask = np.zeros(sizes.sum() + 1, bool)
         mask[starts[repeats]] = True
         low, high = _runs(mask)
@@ -294,16 +338,19 @@ def _factored(length: int, first_stays: bool):
     return run
 
 
-def _windows(length: int):
-    """Mapper: segments with bytes -> hash of every window, for anchor strings too frequent for one task."""
+_COUNTED = ("anchor", "segment", "n", "low_rid", "high_rid", "rid", "first")
+
+
+def _windows(length: int, words: bool):
+    """Mapper: segments with symbols -> hash of every window, for anchor strings too frequent for one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, body in enumerate(batch.column(batch.schema.get_field_index("bytes")).to_pylist()):
-                data = np.frombuffer(body, np.uint8)
+            for k, body in enumerate(batch.column(batch.schema.get_field_index("symbols")).to_pylist()):
+                data = np.frombuffer(body, np.uint64 if words else np.uint8)
                 at = np.arange(len(data) - length + 1)
-                same = [pa.array([batch.column(c)[k].as_py()] * len(at), pa.int64()) for c in ("anchor", "segment", "n", "rid", "first")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(at), pa.array(Hashed(data).of(at, at + length).view(np.int64))], names=["anchor", "segment", "n", "rid", "first", "low", "window"])
+                same = [pa.array(np.full(len(at), batch.column(c)[k].as_py())) for c in _COUNTED]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(at), pa.array(Hashed(data).of(at, at + length).view(np.int64))], names=[*_COUNTED, "low", "window"])
 
     return run
 
@@ -321,7 +368,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _joined(docs: DataFrame, side: DataFrame, places: str, how: str) -> DataFrame:
     """docs joined on rid with a written table of arrays of places, broadcast only if these are few in all."""
-    total = side.agg(F.sum(F.size(places))).first()[0] or 0
+    total = side.agg(F.sum(F.coalesce(F.size(places), F.lit(0)) + 1)).first()[0] or 0
     return docs.join(F.broadcast(side) if total <= BROADCAST_PLACES else side, "rid", how)
 
 
@@ -333,16 +380,22 @@ def _merged_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), spans], names=["rid", "spans"])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none") -> DataFrame:
-    """docs(rid, text) -> rid and its maximal spans of repeated bytes (array of start, end).
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", words: bool = False, across: bool = False) -> DataFrame:
+    """docs(rid, text) -> rid and its maximal spans of repeated symbols (array of start, end).
 
     keep: "none" marks every copy, "first" all but the first in order of rid and place.
+    words: symbols are words, not bytes.  across: only what also stands in another text
+    repeats (with keep "none").
     """
     stays = keep == "first"
-    found = materialize(docs.select("rid", "text").mapInArrow(_segments(length, gram, int(stays)), _SEGMENTS), "repeats-segments")
+    if across and stays:
+        raise ValueError("across texts every copy is marked")
+    spare = 2**62 if across else int(stays)
+    found = materialize(docs.select("rid", "text").mapInArrow(_segments(length, gram, spare, words), _SEGMENTS), "repeats-segments")
     spans = found.where("anchor is null").select("rid", F.col("first").alias("start"), F.col("last").alias("end"))
     found = found.where("anchor is not null")
-    often = found.groupBy("anchor").agg(F.sum("copies").alias("n"), F.min("segment").alias("one"), F.max("segment").alias("other")).where("n > 1").select("anchor", (F.col("one") != F.col("other")).alias("mixed"))
+    twice = F.min("rid") != F.max("rid") if across else F.sum("copies") > 1
+    often = found.groupBy("anchor").agg(twice.alias("twice"), (F.min("segment") != F.max("segment")).alias("mixed")).where("twice").select("anchor", "mixed")
     found = materialize(found.join(often, "anchor"), "repeats-frequent")
     place = F.struct("rid", "first", "last")
     if stays:  # every copy but the first goes whole
@@ -353,25 +406,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
         alike = found.where("not mixed")
         spans = spans.unionByName(alike.select("rid", F.col("first").alias("start"), (F.col("last") + length).alias("end")))
     mixed = found.where("mixed")
-    distinct = mixed.groupBy("anchor", "segment").agg(F.sum("copies").alias("n"), F.min(place).alias("at")).select("anchor", "segment", "n", "at.*")
-    distinct = materialize(distinct, "repeats-distinct")
+    distinct = mixed.groupBy("anchor", "segment").agg(F.sum("copies").alias("n"), F.min("rid").alias("low_rid"), F.max("rid").alias("high_rid"), F.min(place).alias("at"))
+    distinct = materialize(distinct.select("anchor", "segment", "n", "low_rid", "high_rid", "at.*"), "repeats-distinct")
     total = distinct.agg(F.sum(F.col("last") - F.col("first") + length)).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("different"))
     wanted = distinct.join(per_anchor, "anchor").select(
-        "rid", "anchor", "segment", "n", "first", "last",
+        *(c for c in distinct.columns),
         F.when(F.col("different") > SPLIT, F.lit(-1)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(buckets))).cast("bigint").alias("bucket"),
     )
-    fields = ("bucket", "anchor", "segment", "n", "rid", "first", "last")
-    wanted = materialize(wanted.groupBy("rid").agg(F.collect_list(F.struct(*fields)).alias("wanted")), "repeats-wanted")
-    fetched = _joined(docs, wanted, "wanted", "inner").select("wanted", "text").mapInArrow(_fetched(length), "bucket bigint, anchor bigint, segment bigint, n bigint, rid bigint, first bigint, bytes binary")
+    wanted = materialize(wanted.groupBy("rid").agg(F.collect_list(F.struct(*wanted.columns)).alias("wanted")), "repeats-wanted")
+    fetched = _joined(docs, wanted, "wanted", "inner").select("wanted", "text").mapInArrow(_fetched(length, words), ", ".join(f"{k} bigint" for k in _WANTED) + ", symbols binary")
     fetched = materialize(fetched, "repeats-fetched")
-    runs = fetched.where("bucket >= 0").groupBy("bucket").applyInArrow(_factored(length, stays), "anchor bigint, segment bigint, low bigint, high bigint")
+    runs = fetched.where("bucket >= 0").groupBy("bucket").applyInArrow(_factored(length, stays, words, across), "anchor bigint, segment bigint, low bigint, high bigint")
     if not per_anchor.where(F.col("different") > SPLIT).isEmpty():
-        windows = fetched.where("bucket < 0").mapInArrow(_windows(length), "anchor bigint, segment bigint, n bigint, rid bigint, first bigint, low bigint, window bigint")
+        windows = fetched.where("bucket < 0").mapInArrow(_windows(length, words), ", ".join(f"{k} bigint" for k in (*_COUNTED, "low", "window")))
         windows = materialize(windows, "repeats-windows")
-        counted = windows.groupBy("window").agg(F.sum("n").alias("all"), F.min(F.struct("rid", (F.col("first") + F.col("low")).alias("at"))).alias("lead")).where("all > 1")
-        counted = windows.join(counted, "window")
+        lead = F.min(F.struct("rid", (F.col("first") + F.col("low")).alias("at"))).alias("lead")
+        counted = windows.groupBy("anchor", "window").agg(F.sum("n").alias("all"), (F.min("low_rid") != F.max("high_rid")).alias("differ"), lead).where("differ" if across else "all > 1")
+        counted = windows.join(counted, ["anchor", "window"])
         if stays:
             counted = counted.where((F.col("rid") != F.col("lead.rid")) | (F.col("first") + F.col("low") != F.col("lead.at")))
         runs = runs.unionByName(counted.select("anchor", "segment", "low", F.col("low").alias("high")))
@@ -385,28 +438,34 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     return materialize(by_text.mapInArrow(_merged_spans, "rid bigint, spans array<struct<start: bigint, end: bigint>>"), "repeats-spans")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes).
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", words: int = WORDS, word_gram: int = WORD_GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words, and kept (the remaining bytes).
 
+    n_shared_words: words in passages of at least ``words`` words that also stand in another
+    document (A-Z in lower case, any space between words); these are counted, not cut out.
     ``docs`` must read the same twice (a table, a file).
     """
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     spans = repeated_spans(numbered, length, gram, keep)
+    passages = repeated_spans(numbered, words, word_gram, words=True, across=True)
+    shared = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
+    marks = materialize(spans.join(passages.select("rid", shared.alias("shared")), "rid", "full"), "repeats-marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for body, marks in zip(batch.column(1), batch.column(2), strict=True):
+            for body, spans in zip(batch.column(1), batch.column(2), strict=True):
                 body = _encoded(body.as_py())
-                gone = list(zip(marks.values.field(0).to_pylist(), marks.values.field(1).to_pylist(), strict=True)) if marks.is_valid else []
+                gone = list(zip(spans.values.field(0).to_pylist(), spans.values.field(1).to_pylist(), strict=True)) if spans.is_valid else []
                 edges = [0, *(x for span in gone for x in span), len(body)]
                 kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 out.append((len(body), len(body) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+            n_bytes, n_removed, n_spans, sha, kept = (pa.array(c, k) for c, k in zip(columns, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, n_removed, n_spans, sha, batch.column(3), kept], names=names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    joined = _joined(numbered, spans, "spans", "left").select("doc_id", "text", "spans")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "kept"]
+    joined = _joined(numbered, marks, "spans", "left").select("doc_id", "text", "spans", F.coalesce("shared", F.lit(0)).cast("bigint"))
     kind = numbered.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_shared_words bigint, kept binary")

@@ -318,12 +318,25 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("split", "chunk"), [(6000, 1_000_000), (1, 3000)])
-def test_repeats(corpus, rows, monkeypatch, split, chunk):
+def brute_passages(rows, words):
+    """Words in passages of so many words that stand in another row, too."""
+    bodies = [re.findall("[^ \t-\r]+", re.sub("[A-Z]+", lambda m: m[0].lower(), r[1] or "")) for r in rows]
+    holders = defaultdict(set)
+    for n, body in enumerate(bodies):
+        for x in range(len(body) - words + 1):
+            holders[tuple(body[x : x + words])].add(n)
+    shared = [repeats.merged([(x, x + words) for x in range(len(b) - words + 1) if len(holders[tuple(b[x : x + words])]) > 1]) for b in bodies]
+    return Counter((r[0], sum(end - start for start, end in spans)) for r, spans in zip(rows, shared, strict=True))
+
+
+@pytest.mark.parametrize(("split", "chunk", "broadcast"), [(1500, 1_000_000, 500_000), (1, 3000, 0)])
+def test_repeats(corpus, rows, monkeypatch, split, chunk, broadcast):
     monkeypatch.setattr(repeats, "SPLIT", split)
     monkeypatch.setattr(repeats, "CHUNK", chunk)
-    got = repeats.without_repeats(corpus, 60, 20).drop("kept").collect()
-    assert bag(got) == brute_repeats(rows, 60)
+    monkeypatch.setattr(repeats, "BROADCAST_PLACES", broadcast)
+    got = repeats.without_repeats(corpus, 60, 20, words=12, word_gram=4).drop("kept")
+    assert bag(got.drop("n_shared_words").collect()) == brute_repeats(rows, 60)
+    assert bag(got.select("doc_id", "n_shared_words").collect()) == brute_passages(rows, 12)
 
 
 def test_first_copies_stay(spark, tmp_path):
