@@ -133,8 +133,12 @@ def _std() -> Kernel:
     return kernel
 
 
-@register_estimator("quantile", min_units=20, min_values=2, tail=True, definition="linear quantile", ranked=lambda q=0.9: _ranked_quantile(q))
-def _quantile(q: float = 0.9) -> Kernel:
+#: The quantile that is meant where none is named.
+DEFAULT_QUANTILE = 0.9
+
+
+@register_estimator("quantile", min_units=20, min_values=2, tail=True, definition="linear quantile", ranked=lambda q=DEFAULT_QUANTILE: _ranked_quantile(q))
+def _quantile(q: float = DEFAULT_QUANTILE) -> Kernel:
     if not 0 <= q <= 1:
         raise ValueError(f"q is {q}; expected a number from 0 to 1")
     return lambda x, w: _at(x, w, q)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.issues import Issue
+from stratafold.jobs import together
 from stratafold.schema import OUTCOME_COLUMNS, REQUIRED_COLUMNS
 
 DEFAULT_ORDER = ("world_id", "event_id", "resident_id")
@@ -85,7 +87,7 @@ def _max_partners(records: DataFrame, a: str, b: str) -> Column:
 
 def nesting_relation(records: DataFrame, a: str, b: str) -> str:
     """one_to_one, a_within_b, b_within_a or crossed (also when no pair is there)."""
-    b_per_a, a_per_b = _max_partners(records, a, b).first()[0], _max_partners(records, b, a).first()[0]
+    b_per_a, a_per_b = (r[0] for r in together(lambda: _max_partners(records, a, b).first(), lambda: _max_partners(records, b, a).first()))
     if b_per_a is None:
         return "crossed"
     if b_per_a == 1:
@@ -104,18 +106,21 @@ def check_structure(records: DataFrame, spec: InferenceSpec) -> list[Issue]:
     if missing:
         return [Issue("error", "undeclared_unit_column_missing", f"declared level column(s) not in the records: {', '.join(missing)}")]
     issues: list[Issue] = []
-    for outer, inner in zip(spec.levels, spec.levels[1:], strict=False):
-        relation = nesting_relation(records, outer, inner)
+    nested, others = list(zip(spec.levels, spec.levels[1:], strict=False)), candidate_units(records, spec)
+    pairs = [*nested, *((spec.primary_unit, other) for other in others)]
+    units, *found = together(lambda: records.select(F.countDistinct(spec.primary_unit)).first()[0], *(partial(nesting_relation, records, a, b) for a, b in pairs))
+    relations = dict(zip(pairs, found, strict=True))
+    for outer, inner in nested:
+        relation = relations[outer, inner]
         if relation == "a_within_b":
             issues.append(Issue("error", "inverted_nesting", f"{outer} is nested in {inner}, the reverse of what is declared"))
         elif relation == "crossed":
             issues.append(Issue("error", "crossed_levels", f"{inner} and {outer} are crossed: a {inner} occurs under several {outer}"))
         elif relation == "one_to_one":
             issues.append(Issue("warning", "degenerate_level", f"each {outer} has exactly one {inner}; the level adds nothing"))
-    for other in candidate_units(records, spec):
-        if nesting_relation(records, spec.primary_unit, other) == "a_within_b":
+    for other in others:
+        if relations[spec.primary_unit, other] == "a_within_b":
             issues.append(Issue("error", "undeclared_coarser_grouping", f"{spec.primary_unit} is nested in {other}, which is not declared; units in one {other} are not independent"))
-    units = records.select(F.countDistinct(spec.primary_unit)).first()[0]
     if units <= 1:
         issues.append(Issue("error", "single_primary_unit", f"{spec.primary_unit} has {units} distinct value(s); nothing can be resampled"))
     return issues

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratafold.jobs import together
+
 UNSPECIFIED = "unspecified"
 
 
@@ -69,8 +71,9 @@ def summarize_failures(df: DataFrame, unit: str, baseline: str, candidates: list
     if success not in df.columns and reason not in df.columns:
         return None
     rows = lambda t, *order: [r.asDict() for r in t.orderBy(*order).collect()]
-    return FailureSummary(
-        rows(failure_totals(df, success, reason), "policy_id"),
-        rows(failure_table(df, success, reason), "policy_id", F.col("failures").desc(), "reason"),
-        {c: rows(failure_shifts(df, unit, baseline, c, success, reason), F.col("shift").desc(), "reason") for c in candidates},
+    totals, table, *shifts = together(
+        lambda: rows(failure_totals(df, success, reason), "policy_id"),
+        lambda: rows(failure_table(df, success, reason), "policy_id", F.col("failures").desc(), "reason"),
+        *(lambda c=c: rows(failure_shifts(df, unit, baseline, c, success, reason), F.col("shift").desc(), "reason") for c in candidates),
     )
+    return FailureSummary(totals, table, dict(zip(candidates, shifts, strict=True)))

@@ -99,7 +99,8 @@ def imbalance(panel: DataFrame, policies: Sequence[str], threshold: float = 0.2)
 def imbalance_report(panel: DataFrame, policies: Sequence[str], threshold: float = 0.2) -> dict[str, object]:
     found = imbalance(panel, policies, threshold)
     top = found.agg(F.max("gap"), F.count_if("flagged")).first()
-    return {"threshold": threshold, "max": top[0] or 0.0, "n_flagged": top[1], "units": [r["unit"] for r in found.where("flagged").orderBy("unit").limit(NAMED_UNITS).collect()]}
+    named = found.where("flagged").orderBy("unit").limit(NAMED_UNITS).collect() if top[1] else []
+    return {"threshold": threshold, "max": top[0] or 0.0, "n_flagged": top[1], "units": [r["unit"] for r in named]}
 
 
 def overlap(panel: DataFrame, policies: Sequence[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from stratafold.config import DEFAULT_HANDLING, FilterSpec, MissingDataSpec
+from stratafold.jobs import together
 from stratafold.functions.estimators import finite
 
 UNSPECIFIED = "unspecified"
@@ -123,12 +124,12 @@ def apply_run_status(df: DataFrame, spec: MissingDataSpec, unit: str, log: Prepa
     log = log or PreparationLog()
     if spec.status_column not in df.columns:
         return df, log
-    log.counters |= status_counts(df, spec).first().asDict()
     gone = df.where(handling_of(spec) == "excluded_documented").select(F.col(unit).cast("string").alias("u")).distinct()
-    log.excluded_units = [r["u"] for r in gone.orderBy("u").limit(NAMED_UNITS).collect()]
     known = [*DEFAULT_HANDLING, *spec.status_handling]
     strange = df.select(spec.status_column).where(F.col(spec.status_column).isNotNull() & ~F.col(spec.status_column).isin(known)).distinct()
-    log.unknown_statuses = sorted(r[0] for r in strange.limit(NAMED_UNITS).collect())
+    counts, excluded, unknown = together(lambda: status_counts(df, spec).first(), lambda: gone.orderBy("u").limit(NAMED_UNITS).collect(), lambda: strange.limit(NAMED_UNITS).collect())
+    log.counters |= counts.asDict()
+    log.excluded_units, log.unknown_statuses = [r["u"] for r in excluded], sorted(r[0] for r in unknown)
     return with_status(df, spec), log
 
 

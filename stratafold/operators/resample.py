@@ -14,6 +14,7 @@ values and multiplicities are joined by unit and aggregated over exact ranks.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,6 +33,7 @@ FEW_UNITS = 20
 LEAST_REPLICATES = 100
 #: Seed streams.
 BASE, CANDIDATE, SUB = 0, 1, 2
+ITSELF = -1
 
 
 class BootstrapError(ValueError):
@@ -44,6 +46,11 @@ def draw(seed: int, stream: int, n: Column, *counters: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % n
 
 
+def each_once(spark: SparkSession, n_units: int) -> DataFrame:
+    """The replicate ``ITSELF``, which draws every unit once: its estimates are those of the panel."""
+    return spark.range(n_units).select(F.lit(ITSELF).cast("bigint").alias("b"), F.col("id").alias("slot"), F.col("id").alias("unit_ix"))
+
+
 def draws(spark: SparkSession, seed: int, n_resamples: int, n_units: int, stream: int = BASE) -> DataFrame:
     """(b, slot, unit_ix) for every replicate and slot."""
     ids = spark.range(n_resamples * n_units).select((F.col("id") / n_units).cast("bigint").alias("b"), (F.col("id") % n_units).alias("slot"))
@@ -206,10 +213,6 @@ def _result(point: float, replicates: np.ndarray, jackknife: np.ndarray | None,
     return BootstrapResult(point, low, high, float(np.std(usable, ddof=1)), used, n_units, usable, intervals.p_two_sided(usable) if paired else None, notes, seed, level)
 
 
-def _frame(values: DataFrame, n: int) -> pd.DataFrame:
-    return values.toPandas().sort_values("b").head(n)
-
-
 def points(rows: DataFrame, policies: tuple[str, ...], estimator: str, params: dict) -> list[float]:
     """The estimator of each policy on the rows themselves."""
     got = {r["policy_id"]: r["estimate"] for r in estimators.estimate_by(rows, ["policy_id"], "value", estimator, **params).collect()}
@@ -235,16 +238,18 @@ def paired_cluster_bootstrap(
         made = estimators.estimate_by(drawn, ["b", "policy_id"], "value", estimator, **params)
         made = made.groupBy("b").agg(*(F.max(F.when(F.col("policy_id") == p, F.col("estimate"))).alias(f"e{k}") for k, p in enumerate(pair)))
     else:
-        picks = [draws(spark, seed, n_resamples, n, BASE)]
-        if not paired:
-            picks.append(draws(spark, seed, n_resamples, n, CANDIDATE))
+        picks = [draws(spark, seed, n_resamples, n, stream).unionByName(each_once(spark, n)) for stream in ((BASE,) if paired else (BASE, CANDIDATE))]
         if estimator in estimators.ALGEBRAIC:
             made = algebraic_replicates(sufficient(rows, estimator, float(params.get("threshold", 0.0))), pair, estimator, picks)
         else:
             made = order_replicates(rows, pair, estimator, params, picks)
-    table = _frame(made, n_resamples)
+    table = made.toPandas().sort_values("b")  # a row for each replicate
     left = _jackknife(rows, pair, estimator, params, n) if method == "bca" else None
-    base, cand = points(rows, pair, estimator, params)
+    if hierarchical:
+        base, cand = points(rows, pair, estimator, params)
+    else:
+        base, cand = table.loc[table["b"] == ITSELF, ["e0", "e1"]].to_numpy(float)[0]
+        table = table[table["b"] != ITSELF]
     series = {"baseline": (base, "e0"), "candidate": (cand, "e1")}
     out = {k: _result(v, table[c].to_numpy(float), None if left is None else left[c].to_numpy(float), n, confidence_level, method, seed, False) for k, (v, c) in series.items()}
     gap = (table["e1"] - table["e0"]).to_numpy(float)
@@ -264,11 +269,13 @@ def cluster_bootstrap(rows: DataFrame, estimator: str = "mean", params: dict | N
         drawn = two_stage(rows, seed, n_resamples, n)
         made = estimators.estimate_by(drawn, ["b"], "value", estimator, **params).withColumnRenamed("estimate", "e0")
     else:
-        picks = [draws(rows.sparkSession, seed, n_resamples, n)]
+        picks = [draws(rows.sparkSession, seed, n_resamples, n).unionByName(each_once(rows.sparkSession, n))]
         one = ("one",)
         made = algebraic_replicates(sufficient(rows, estimator, float(params.get("threshold", 0.0))), one, estimator, picks) if estimator in estimators.ALGEBRAIC else order_replicates(rows, one, estimator, params, picks)
     left = _jackknife(rows, ("one",), estimator, params, n)["e0"].to_numpy(float) if method == "bca" else None
-    return _result(points(rows, ("one",), estimator, params)[0], _frame(made, n_resamples)["e0"].to_numpy(float), left, n, confidence_level, method, seed, False)
+    table = made.toPandas().sort_values("b")  # a row for each replicate
+    point = points(rows, ("one",), estimator, params)[0] if hierarchical else float(table.loc[table["b"] == ITSELF, "e0"].to_numpy(float)[0])
+    return _result(point, table.loc[table["b"] != ITSELF, "e0"].to_numpy(float), left, n, confidence_level, method, seed, False)
 
 
 def naive_iid_bootstrap(rows: DataFrame, estimator: str = "mean", params: dict | None = None, **options: object) -> BootstrapResult:
@@ -276,10 +283,10 @@ def naive_iid_bootstrap(rows: DataFrame, estimator: str = "mean", params: dict |
     return cluster_bootstrap(rows.withColumn("unit", unit_label(("label",)) if "label" in rows.columns else F.monotonically_increasing_id().cast("string")), estimator, params, **options)
 
 
-def design_effect(rows: DataFrame) -> DataFrame:
-    """One-way random effects: n_units, n, icc, design_effect, effective_n; nulls where they cannot be had."""
-    unit = rows.groupBy("unit").agg(F.count("value").cast("double").alias("n"), F.avg("value").alias("m"), F.coalesce(F.var_samp("value") * (F.count("value") - 1), F.lit(0.0)).alias("ssw"))
-    total = unit.agg(F.count("*").cast("double").alias("k"), F.sum("n").alias("N"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"), F.sum("ssw").alias("ssw"))
+def design_effect(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One-way random effects (of each group): n_units, n, icc, design_effect, effective_n; nulls where they cannot be had."""
+    unit = rows.groupBy("unit", *by).agg(F.count("value").cast("double").alias("n"), F.avg("value").alias("m"), F.coalesce(F.var_samp("value") * (F.count("value") - 1), F.lit(0.0)).alias("ssw"))
+    total = unit.groupBy(*by).agg(F.count("*").cast("double").alias("k"), F.sum("n").alias("N"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"), F.sum("ssw").alias("ssw"))
     ssb = F.col("q") - F.col("s") * F.col("s") / F.col("N")
     facts = total.withColumns({"msb": F.try_divide(ssb, F.col("k") - 1), "msw": F.try_divide(F.col("ssw"), F.col("N") - F.col("k")), "m0": F.try_divide(F.col("N") - F.col("nn") / F.col("N"), F.col("k") - 1)})
     between = F.greatest(F.try_divide(F.col("msb") - F.col("msw"), F.col("m0")), F.lit(0.0))
@@ -287,6 +294,6 @@ def design_effect(rows: DataFrame) -> DataFrame:
     usable = (F.col("k") >= 2) & (F.col("N") > F.col("k")) & (F.col("m0") > 0)
     icc = F.when(usable, icc)
     effect = 1 + (F.col("N") / F.col("k") - 1) * icc
-    return facts.select(F.col("k").cast("bigint").alias("n_units"), F.col("N").cast("bigint").alias("n"), icc.alias("icc"), effect.alias("design_effect"), (F.col("N") / effect).alias("effective_n"))
+    return facts.select(*by, F.col("k").cast("bigint").alias("n_units"), F.col("N").cast("bigint").alias("n"), icc.alias("icc"), effect.alias("design_effect"), (F.col("N") / effect).alias("effective_n"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -101,14 +102,19 @@ def validate_records(records: DataFrame, spec: InferenceSpec | None = None, stra
         if f["nulls"]:
             add("warning", "missing_outcome", f"{c} is missing in {f['nulls']} of {n} row(s)", c, f["nulls"])
     if "run_status" in records.columns:
-        counts = {r[0]: r[1] for r in records.groupBy("run_status").count().collect()}
+        by_arm = [r.asDict() for r in records.groupBy("run_status", "policy_id").count().collect()]
+        counts, late = Counter(), Counter()
+        for r in by_arm:
+            counts[r["run_status"]] += r["count"]
+            if r["run_status"] != "completed":
+                late[r["policy_id"]] += r["count"]
         add("info", "run_status_present", ", ".join(f"{k or 'unspecified'}: {v}" for k, v in sorted(counts.items(), key=lambda x: x[0] or "")))
         strange = sorted(k for k in counts if k is not None and k not in DEFAULT_HANDLING)
         if strange:
             add("warning", "unknown_run_status", f"unknown run status: {', '.join(strange)}", "run_status")
-        unfinished = sum(v for k, v in counts.items() if k != "completed")
-        if unfinished:
-            add("warning", "incomplete_runs", f"{unfinished} row(s) come from runs that did not complete", "run_status", unfinished)
+        if late:
+            shares = ", ".join(f"{k if k is not None else 'no policy'}: {v}" for k, v in sorted(late.items(), key=lambda x: x[0] or ""))
+            add("warning", "incomplete_runs", f"{late.total()} row(s) come from runs that did not complete ({shares})", "run_status", late.total())
     if "failure_reason" in records.columns and "mission_success" in records.columns and isinstance(records.schema["mission_success"].dataType, NumericType):
         given = F.coalesce(F.length(F.trim(F.col("failure_reason").cast("string"))) > 0, F.lit(False))
         f = records.agg(F.count_if((F.col("mission_success") == 0) & ~given).alias("silent"), F.count_if((F.col("mission_success") == 1) & given).alias("odd")).first()
@@ -151,7 +157,7 @@ def validate_for_config(records: DataFrame, config: AnalysisConfig) -> Validatio
     if not any(m.role == "primary" for m in config.metrics):
         report.add("warning", "no_primary_metric", "no metric is primary")
     if config.protocol.analysis_status == "unspecified":
-        report.add("info", "analysis_status_unspecified", "say whether the analysis is exploratory or confirmatory")
+        report.add("info", "analysis_status_unspecified", "say whether the analysis is exploratory or preregistered")
     return report
 
 

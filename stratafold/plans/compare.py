@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
 import pandas as pd
@@ -14,9 +15,10 @@ from stratafold.config import AnalysisConfig, Margin, MetricSpec
 from stratafold.functions import decisions, estimators, intervals
 from stratafold.hierarchy import InferenceStructureError, require_valid_structure, resolve_unit
 from stratafold.issues import Issue
+from stratafold.jobs import together
 from stratafold.operators import pairing, resample
 from stratafold.operators.failures import FailureSummary, summarize_failures
-from stratafold.operators.prepare import PreparationLog, apply_filters, apply_missing_policy, apply_run_status, run_status_ledger
+from stratafold.operators.prepare import PreparationLog, apply_filters, apply_missing_policy, apply_run_status, run_status_ledger, with_status
 from stratafold.operators.rollup import panel
 from stratafold.operators.strata import WIDE_GAP, allocation_balance, unit_strata
 from stratafold.operators.validate import validate_for_config
@@ -91,8 +93,14 @@ def _one(config: AnalysisConfig, metric: MetricSpec, rows: DataFrame, base: str,
     own = pairing.build_paired_panel(rows, [base, cand], ask.require_common_units)
     notes = [] if own.paired else ["the policies are compared on different sets of units"]
     b = config.bootstrap
-    made = resample.paired_cluster_bootstrap(
-        own, metric.estimator, metric.parameters, n_resamples=b.n_resamples, seed=b.seed, confidence_level=b.confidence_level, method=b.method, hierarchical=b.hierarchical, paired=ask.paired and own.paired
+    bootstrap = partial(
+        resample.paired_cluster_bootstrap, own, metric.estimator, metric.parameters, n_resamples=b.n_resamples, seed=b.seed, confidence_level=b.confidence_level, method=b.method, hierarchical=b.hierarchical, paired=ask.paired and own.paired
+    )
+    made, overlap, effect, uneven = together(
+        bootstrap,
+        lambda: [r.asDict() for r in pairing.overlap(rows, [base, cand]).collect()],
+        lambda: {r["policy_id"]: {k: v for k, v in r.asDict().items() if k != "policy_id"} for r in resample.design_effect(own.rows, ["policy_id"]).collect()},
+        lambda: pairing.imbalance_report(own.rows, [base, cand], config.missing_data.max_count_imbalance),
     )
     gap = made["difference"]
     for arm, support in ((made["baseline"], (metric.bounds.lower, metric.bounds.upper)), (made["candidate"], (metric.bounds.lower, metric.bounds.upper)), (gap, metric.bounds.of_difference() or (None, None))):
@@ -104,10 +112,7 @@ def _one(config: AnalysisConfig, metric: MetricSpec, rows: DataFrame, base: str,
     credible, why = estimators.credibility(metric.estimator, own.n_units)
     if not credible:
         notes.append(why)
-    overlap = [r.asDict() for r in pairing.overlap(rows, [base, cand]).collect()]
     notes += [f"shared units of {r['policy_id']} are not typical of its units: standardised shift {r['shift']:.2f}" for r in overlap if r["flagged"]]
-    effect = {p: resample.design_effect(own.rows.where(F.col("policy_id") == p)).first().asDict() for p in (base, cand)}
-    uneven = pairing.imbalance_report(own.rows, [base, cand], config.missing_data.max_count_imbalance)
     if uneven["n_flagged"]:
         notes.append(f"{uneven['n_flagged']} unit(s) have uneven numbers of values")
     out = MetricComparison(metric, base, cand, made["baseline"], made["candidate"], gap, verdict, {"candidate": cand, "baseline": base}.get(favours), same, safe, margin, own.n_units, own.coverage, own.estimand(), credible, [*notes, *gap.notes])
@@ -155,22 +160,29 @@ def compare_policies(records: DataFrame, config: AnalysisConfig, *, validate: bo
         report = validate_for_config(records, config)
         report.raise_if_invalid()
         warnings = report.warnings
-    ready, log = apply_filters(records, config.filters, unit)
+    kept, log = apply_filters(records, config.filters, unit)
     status = config.missing_data.status_column
-    ledger = [r.asDict() for r in run_status_ledger(ready, config.missing_data, unit).orderBy("policy_id", "status").collect()] if status in ready.columns else []
-    ready, log = apply_run_status(ready, config.missing_data, unit, log)
-    ready = materialize(ready, "compare-ready")
+    ledger = run_status_ledger(kept, config.missing_data, unit).orderBy("policy_id", "status") if status in kept.columns else None
+    ledger, (_, log), ready = together(
+        lambda: [r.asDict() for r in ledger.collect()] if ledger is not None else [],
+        lambda: apply_run_status(kept, config.missing_data, unit, log),
+        lambda: materialize(with_status(kept, config.missing_data), "compare-ready"),
+    )
     base, cands = pairing.resolve_policies(ready, config.comparison.baseline, config.comparison.candidates)
     chosen = [config.metric(m) for m in metrics] if metrics else sorted(config.metrics, key=lambda m: ROLE_ORDER[m.role])
-    out = []
-    for metric in chosen:
-        rows, log = apply_missing_policy(ready, metric.column, config.missing_data, metric.direction == "lower_is_better", log)
+
+    def compared(metric: MetricSpec) -> tuple[dict[str, int], list[MetricComparison]]:
+        rows, seen = apply_missing_policy(ready, metric.column, config.missing_data, metric.direction == "lower_is_better")
         rolled = materialize(panel(rows, config.inference, metric.column, resolve_unit(metric.level), config.aggregation), "compare-panel")
-        out += [_one(config, metric, rolled, base, cand, source) for cand in cands]
+        return seen.missing_by_policy, together(*(partial(_one, config, metric, rolled, base, cand, source) for cand in cands))
+
+    failures, *found = together(lambda: summarize_failures(ready, unit, base, cands, config.failure_column), *(partial(compared, m) for m in chosen))
+    out = [c for _, own in found for c in own]
+    if found:
+        log.missing_by_policy = found[-1][0]
     families = _families(config, out)
     for c in out:
         c.p_adjusted = families[c.metric.role]["p_adjusted"][c.key]
-    failures = summarize_failures(ready, unit, base, cands, config.failure_column)
     return ComparisonResult(config, base, cands, out, log, ledger, warnings, detect_disagreements(out), failures, families)
 
 
@@ -202,15 +214,19 @@ def compare_by_stratum(records: DataFrame, config: AnalysisConfig, column: str,
     policies = [overall.baseline, *overall.candidates]
     arms = mapped.where(F.col("policy_id").isin(policies)).groupBy("__stratum", unit).agg(F.countDistinct("policy_id").alias("n"))
     shared = {r[0]: r[1] for r in arms.groupBy("__stratum").agg(F.count_if(F.col("n") == len(policies))).collect()}
-    done, skipped = {}, {}
-    for level in sorted(shared):
+
+    def within(level: str) -> ComparisonResult | str:
         if shared[level] < min_units:
-            skipped[level] = f"{shared[level]} unit(s) have every policy; {min_units} are needed"
-            continue
+            return f"{shared[level]} unit(s) have every policy; {min_units} are needed"
         try:
-            done[level] = compare_policies(mapped.where(F.col("__stratum") == level).drop("__stratum"), config, validate=False, source=source, metrics=metrics)
+            return compare_policies(mapped.where(F.col("__stratum") == level).drop("__stratum"), config, validate=False, source=source, metrics=metrics)
         except (InferenceStructureError, pairing.PairingError, resample.BootstrapError) as e:
-            skipped[level] = str(e)
+            return str(e)
+
+    levels = sorted(shared)
+    found = dict(zip(levels, together(*(partial(within, level) for level in levels)), strict=True))
+    skipped = {level: why for level, why in found.items() if isinstance(why, str)}
+    done = {level: made for level, made in found.items() if level not in skipped}
     gap = allocation_balance(records, unit, column).agg(F.max("gap")).first()[0] or 0.0
     note = f"shares of units in a level of {column} differ by up to {gap:.2f} between policies" if gap > WIDE_GAP else ""
     return StratifiedResult(column, overall, done, skipped, stratum_disagreements(overall, done), note)

@@ -17,8 +17,8 @@ from stratafold.config import AnalysisConfig, MetricSpec
 VERSION = "0.1.0"
 REPORT_VERSION = "1"
 RNG = "md5-counter-32"
-#: Keys of a configuration that change how a result is shown, not what it is.
-PRESENTATION = frozenset(("label", "title", "description", "notes", "output", "report"))
+# Keys of a configuration that change how a result is shown or where it lies, not what it is.
+PRESENTATION = frozenset(("created_at", "label", "title", "path", "source_path", "description", "basename"))
 
 
 def digest(value: Any) -> str:
@@ -86,13 +86,14 @@ class Provenance:
 
 @dataclass
 class ReproducibilityManifest:
-    """Five digests: data, configuration, protocol, code and results."""
+    """Five digests (data, configuration, protocol, code and results) and the version of the report's generator."""
 
     data: str
     config: str
     protocol: str
     code: str
     results: str
+    report_generator: str = REPORT_VERSION
     environment: dict[str, str] = field(default_factory=environment)
 
 

@@ -618,7 +618,7 @@ def t6_compare_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c6_coverage_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = coverage_study(spark, World(20, 2, 5), (Policy("policy_a"), Policy("policy_b", shift=0.6)), 0.6, 40, 5)
+    found = coverage_study(spark, World(20, 2, 5), (Policy("policy_a"), Policy("policy_b", shift=0.6)), 0.6, 120, 5)
     low, high = found.interval
     return spark.createDataFrame([(found.hits, found.n, round(low, 6), round(high, 6), found.consistent)], "hits bigint, n bigint, low double, high double, consistent boolean")
 

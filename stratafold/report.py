@@ -17,11 +17,23 @@ from stratafold.plans.compare import ROLE_ORDER, ComparisonResult, MetricCompari
 
 # Phrasings that claim more than an interval shows.
 OVERCLAIMS = (
-    r"\bno difference\b",
-    r"\bproves?\b",
+    r"\bprove[sdn]?\b",
     r"\bproven\b",
-    r"\bguarantees?\b",
+    r"\bno difference\b",
+    r"\bno significant difference\b",
+    r"\bare the same\b",
+    r"\bis the same as\b",
     r"\bidentical performance\b",
+    r"\bbetter overall\b",
+    r"\bworse overall\b",
+    r"\boverall winner\b",
+    r"\bis safe\b",
+    r"\bare safe\b",
+    r"\bbeats\b",
+)
+#: Further phrasings of the kind.
+OVERCLAIMS += (
+    r"\bguarantees?\b",
     r"\binterchangeable\b",
     r"\bsafe to deploy\b",
     r"\bhighly significant\b",
@@ -29,7 +41,6 @@ OVERCLAIMS = (
     r"\btrending? toward",
     r"\bclearly (better|worse|superior)\b",
     r"\bno effect\b",
-    r"\bthe same as\b",
 )
 
 

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import threading
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (single-machine tests).
+#: Used only on a local master whose session names no folder (single-machine tests).
 LOCAL_FALLBACK = "file:///tmp/checkpoints/stratafold"
 
 _roots: set[str] = set()
@@ -23,7 +24,11 @@ _roots: set[str] = set()
 
 def shared_root(spark: SparkSession) -> str:
     """Folder of this application's intermediate tables, below ``spark.checkpoint.dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = LOCAL_FALLBACK
     root = f"{base.rstrip('/')}/stratafold-{spark.sparkContext.applicationId}"
     if root not in _roots:
         _roots.add(root)
@@ -43,14 +48,24 @@ BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+_lock = threading.Lock()
+_writing: list[str] = []
+
+
 @contextlib.contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
-    held = spark.conf.get(_BATCH)
-    try:
+    """Several threads may write at once; the first sets the size and the last puts it back."""
+    with _lock:
+        held = _writing[0] if _writing else spark.conf.get(_BATCH)
+        _writing.append(held)
         spark.conf.set(_BATCH, str(min(int(held), BATCH_ROWS) if int(held) > 0 else BATCH_ROWS))
+    try:
         yield
     finally:
-        spark.conf.set(_BATCH, held)
+        with _lock:
+            _writing.pop()
+            if not _writing:
+                spark.conf.set(_BATCH, held)
 
 
 def save(df: DataFrame, tag: str) -> tuple[DataFrame, str]:

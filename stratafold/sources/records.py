@@ -19,7 +19,7 @@ FORMATS = {".parquet": "parquet", ".pq": "parquet", ".csv": "csv", ".txt": "csv"
 
 @dataclass(frozen=True)
 class DataSource:
-    """Where records came from; the checksum is of the file's bytes (of a directory's data files in name order)."""
+    """Where records came from; the checksum is of the file's bytes (of a directory's data files, see ``combined``)."""
 
     path: str
     sha256: str
@@ -28,15 +28,60 @@ class DataSource:
     columns: tuple[str, ...]
 
 
+#: Files up to this size are digested by executors, each in one row; larger ones stream through the driver's JVM.
+ROW_BYTES = 512 << 20
+
+
+def combined(digests: dict[str, str], algorithm: str = "sha256") -> str:
+    """One digest for the files of a directory, by their names below it."""
+    lines = "".join(f"{name} {digests[name]}\n" for name in sorted(digests))
+    return hashlib.new(algorithm, lines.encode()).hexdigest()
+
+
 def file_checksum(path: str | Path, algorithm: str = "sha256") -> str:
-    """Digest of a file, or of a directory's data files in order, read a mebibyte at a time."""
-    digest, path = hashlib.new(algorithm), Path(path)
-    files = [path] if path.is_file() else sorted(p for p in path.rglob("*") if p.is_file() and not p.name.startswith(("_", ".")))
-    for file in files:
+    """Digest of a local file, or of a directory's data files, read a mebibyte at a time in this process."""
+    path = Path(path)
+
+    def of(file: Path) -> str:
+        digest = hashlib.new(algorithm)
         with file.open("rb") as f:
             while block := f.read(1 << 20):
                 digest.update(block)
-    return digest.hexdigest()
+        return digest.hexdigest()
+
+    if path.is_file():
+        return of(path)
+    return combined({p.relative_to(path).as_posix(): of(p) for p in path.rglob("*") if p.is_file() and not p.name.startswith(("_", "."))}, algorithm)
+
+
+def _store(spark: SparkSession, path: str | Path) -> tuple:
+    """The file system that holds the path, and the whole path there."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    store = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store, store.makeQualified(found)
+
+
+def dataset_checksum(spark: SparkSession, path: str | Path) -> str:
+    """The same as ``file_checksum``, for any path that Spark reads; executors digest the files."""
+    store, root = _store(spark, path)
+    sizes, walk = {}, store.listFiles(root, True)
+    while walk.hasNext():
+        status = walk.next()
+        if not status.getPath().getName().startswith(("_", ".")):
+            sizes[status.getPath().toString()] = status.getLen()
+    small = [f for f, n in sizes.items() if n <= ROW_BYTES]
+    digests = {}
+    if small:
+        files = spark.read.format("binaryFile").load(small).select("path", F.sha2("content", 256).alias("digest"))
+        digests = {r["path"]: r["digest"] for r in files.collect()}  # a row for each file
+    for f in sizes.keys() - digests.keys():
+        stream = store.open(spark._jvm.org.apache.hadoop.fs.Path(f))
+        try:
+            digests[f] = spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+    top = root.toString().rstrip("/")
+    return digests[top] if top in digests else combined({f.removeprefix(top + "/"): d for f, d in digests.items()})
 
 
 def _typed(df: DataFrame, name: str) -> Column:
@@ -73,24 +118,25 @@ def format_of(path: str | Path) -> str:
 
 
 def load_records(spark: SparkSession, path: str | Path, coerce: bool = True) -> tuple[DataFrame, DataSource]:
-    """Records and where they came from."""
+    """Records and where they came from; the path may lie in any file system that Spark reads, and relative ones in its default."""
     kind = format_of(path)
-    if not Path(path).exists():
+    store, where = _store(spark, path)
+    if not store.exists(where):
         raise FileNotFoundError(path)
-    df = scan(spark, str(Path(path).absolute()), kind)
+    df = scan(spark, where.toString(), kind)
     if coerce:
         df = coerce_types(df)
-    return df, DataSource(str(path), file_checksum(path), df.count(), kind, tuple(df.columns))
+    return df, DataSource(str(path), dataset_checksum(spark, path), df.count(), kind, tuple(df.columns))
 
 
 def write_records(df: DataFrame, path: str | Path, single: bool = False) -> None:
     """Write by suffix; a directory of part files, or one of them as a plain file."""
-    kind, path = format_of(path), Path(path)
+    kind = format_of(path)
     if kind == "tsv":
         raise ValueError("tables are not written as .tsv")
-    target = path.with_name(path.name + ".parts") if single else path
+    store, target = _store(df.sparkSession, path)
     out = (df.coalesce(1) if single else df).write.mode("overwrite")
-    where = f"file://{target.absolute()}"
+    where = target.toString() + (".parts" if single else "")
     if kind == "csv":
         out.option("header", True).option("escape", '"').csv(where)
     elif kind == "jsonl":
@@ -98,8 +144,8 @@ def write_records(df: DataFrame, path: str | Path, single: bool = False) -> None
     else:
         out.parquet(where)
     if single:
-        part = next(p for p in target.iterdir() if p.name.startswith("part-"))
-        part.replace(path)
-        for p in target.iterdir():
-            p.unlink()
-        target.rmdir()
+        parts = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
+        part = next(s.getPath() for s in store.listStatus(parts) if s.getPath().getName().startswith("part-"))
+        store.delete(target, True)
+        store.rename(part, target)
+        store.delete(parts, True)

@@ -12,13 +12,14 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratafold.config import AnalysisConfig, ConfigError, Margin, config_from_mapping
 from stratafold.functions import decisions, estimators, intervals
 from stratafold.operators import pairing, prepare, resample, rollup, strata
 from stratafold.plans.compare import compare_policies
+from stratafold.scratch import materialize
 from stratafold.synth.generate import Policy, World, drop_records, generate_experiment, hardest_units, mark_status, to_spark
 
 SEED = 20260919
@@ -60,25 +61,34 @@ def _difference(df: DataFrame, config: AnalysisConfig, **options: Any) -> resamp
 
 
 def coverage_study(spark: SparkSession, world: World, policies: tuple[Policy, Policy], truth: float, replications: int, seed: int, cluster: str = "world_id", resamples: int = 200) -> decisions.CoverageEstimate:
-    """How often the percentile interval holds the truth; every replication is one group of a partitioned job."""
+    """How often the percentile interval of the engine's bootstrap holds the truth.
 
-    def run(key: pd.DataFrame) -> pd.DataFrame:
+    All replications are one table of units: a replication's draws stay within its own units.
+    cluster: ``world_id`` draws paired units, ``row`` draws the rows of each policy on their own.
+    """
+    names, alone = tuple(p.name for p in policies), cluster == "row"
+
+    def made(key: pd.DataFrame) -> pd.DataFrame:
         r = int(key["r"].iloc[0])
         table = generate_experiment(world, policies, seed + 7919 * r)
-        if cluster == "row":
-            table = table.assign(row=np.arange(len(table)))
-        side = [table[table["policy_id"] == p.name].groupby("row" if cluster == "row" else cluster)["loss"].mean() for p in policies]
-        rng = np.random.default_rng([seed, r])
-        if cluster == "row":
-            gaps = [side[1].to_numpy()[rng.integers(0, len(side[1]), len(side[1]))].mean() - side[0].to_numpy()[rng.integers(0, len(side[0]), len(side[0]))].mean() for _ in range(resamples)]
-        else:
-            paired = (side[1] - side[0]).to_numpy()
-            gaps = paired[rng.integers(0, len(paired), (resamples, len(paired)))].mean(axis=1)
-        low, high = intervals.percentile(np.asarray(gaps), 0.95)
-        return pd.DataFrame({"r": [r], "low": [low], "high": [high]})
-
-    made = spark.range(replications).withColumnRenamed("id", "r").repartition(min(replications, 32), "r").groupBy("r").applyInPandas(run, "r bigint, low double, high double")
-    hits, n = made.agg(F.count_if((F.col("low") <= truth) & (F.col("high") >= truth)), F.count("*")).first()
+        unit = [f"{k:09d}" for k in range(len(table))] if alone else table[cluster]
+        return pd.DataFrame({"r": r, "unit": unit, "policy_id": table["policy_id"], "value": table["loss"]})
+
+    numbers = spark.range(replications).withColumnRenamed("id", "r").repartition(min(replications, 32), "r")
+    rows = materialize(numbers.groupBy("r").applyInPandas(made, "r bigint, unit string, policy_id string, value double"), "coverage-rows")
+    sizes = rows.groupBy("r", *(["policy_id"] if alone else [])).agg(F.countDistinct("unit").alias("n"))
+    n = sizes.agg(F.max("n")).first()[0]
+    place = F.dense_rank().over(Window.partitionBy("r", *(["policy_id"] if alone else [])).orderBy("unit")) - 1  # the units of one replication
+    rows = rows.select("policy_id", "value", (F.col("r") * n + place).alias("unit_ix"))
+
+    def picks(stream: int) -> DataFrame:
+        drawn = resample.draws(spark, seed, replications * resamples, n, stream)
+        return drawn.withColumn("unit_ix", F.floor(F.col("b") / resamples) * n + F.col("unit_ix"))
+
+    streams = (resample.BASE, resample.CANDIDATE) if alone else (resample.BASE,)
+    replicates = resample.algebraic_replicates(resample.sufficient(rows), names, "mean", [picks(k) for k in streams])
+    ends = replicates.groupBy(F.floor(F.col("b") / resamples).alias("r")).agg(F.percentile(F.col("e1") - F.col("e0"), F.array(F.lit(0.025), F.lit(0.975))).alias("ends"))
+    hits, n = ends.agg(F.count_if((F.col("ends")[0] <= truth) & (F.col("ends")[1] >= truth)), F.count("*")).first()
     return decisions.CoverageEstimate(hits, n)
 
 
@@ -100,7 +110,7 @@ def observation_bootstrap_false_precision(spark: SparkSession, seed: int) -> Out
 def unit_bootstrap_calibration(spark: SparkSession, seed: int) -> Outcome:
     few = coverage_study(spark, World(20, 3, 10, interaction_sd=2.0), (A, replace(B, shift=0.6)), 0.6, 150, seed)
     many = coverage_study(spark, World(60, 3, 10, interaction_sd=2.0), (A, replace(B, shift=0.6)), 0.6, 150, seed)
-    naive = coverage_study(spark, World(20, 3, 10, interaction_sd=2.0), (A, replace(B, shift=0.6)), 0.6, 150, seed, cluster="row")
+    naive = coverage_study(spark, World(20, 3, 10, interaction_sd=2.0), (A, replace(B, shift=0.6)), 0.6, 150, seed, cluster="row", resamples=60)
     return Outcome(naive.interval[1] < 0.95, many.consistent and few.rate > naive.rate, {"units_20": few.rate, "units_60": many.rate, "rows": naive.rate})
 
 

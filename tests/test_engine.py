@@ -18,7 +18,9 @@ from stratafold.hierarchy import infer_default, nesting_relation
 from stratafold.operators import failures, pairing, prepare, resample, rollup, strata, validate
 from stratafold.operators.ranks import ranked
 from stratafold.plans.compare import stratified_estimate
+from stratafold.jobs import together
 from stratafold.sources.records import coerce_types, load_records, write_records
+from stratafold.views import event_rows, every_row
 from stratafold.synth import scenarios
 from stratafold.synth.generate import Policy, World, generate_experiment, scaled, to_spark
 
@@ -366,6 +368,33 @@ def test_configuration():
     assert config(equivalence={"margins": {"mean_loss": 0.5}}).margin_for(c.metrics[0]) == sf.Margin(0.5, 0.5)
 
 
+def test_tails_follow_the_direction():
+    tail = lambda **more: sf.MetricSpec("m", "loss", "cvar", **more)
+    with pytest.raises(sf.ConfigError, match="contradicts"):
+        tail(params={"alpha": 0.9, "tail": "lower"})
+    with pytest.raises(sf.ConfigError, match="contradicts"):
+        tail(params={"tail": "upper"}, tail="beneficial")
+    assert tail(params={"tail": "lower"}, tail="lower").parameters["tail"] == "lower"
+    assert tail(direction="higher_is_better").parameters["tail"] == "lower"
+    quantile = lambda **more: sf.MetricSpec("m", "gain", "quantile", **more).orientation_warnings()
+    assert quantile(direction="higher_is_better") and not quantile() and not quantile(direction="higher_is_better", params={"q": 0.1})
+    assert not quantile(direction="higher_is_better", tail="beneficial") and not quantile(params={"q": 0.5})
+    for mechanism in ("MCAR", "MAR", "MNAR", "unknown"):
+        assert config(missing_data={"assumed_mechanism": mechanism}).missing_data.assumed_mechanism == mechanism
+    with pytest.raises(sf.ConfigError):
+        config(missing_data={"assumed_mechanism": "mnar"})
+    with pytest.raises(sf.ConfigError):
+        config(analysis_role={"primary": "nothing"})
+
+
+def test_together(spark):
+    assert together(lambda: 1, lambda: spark.range(5).count(), lambda: 3) == [1, 5, 3] and together() == []
+    with pytest.raises(KeyError):
+        together(lambda: {}["x"], lambda: 1)
+    with every_row():
+        assert together(event_rows, event_rows) == ["true", "true"]
+
+
 # Structure and validation
 
 
@@ -406,7 +435,9 @@ def test_validation_codes(spark, records):
     assert {"unbalanced_policy_coverage"} <= codes(records.where("policy_id = 'policy_a' or world_id < 'u0016'"))
     assert "single_policy" in codes(records.where("policy_id = 'policy_a'")) and "few_units" in codes(records.where("world_id < 'u0010'"))
     assert {"weight_column_ignored", "extra_columns"} <= codes(records.withColumn("weight", F.lit(1.0)))
-    assert {"unknown_run_status", "incomplete_runs", "run_status_present"} <= codes(records.withColumn("run_status", F.lit("strange")))
+    strange = sf.validate_records(records.withColumn("run_status", F.lit("strange")))
+    assert {"unknown_run_status", "incomplete_runs", "run_status_present"} <= strange.codes()
+    assert [f"policy_a: {records.where(F.col('policy_id') == 'policy_a').count()}" in i.message for i in strange.issues if i.code == "incomplete_runs"] == [True]
     assert "failure_without_reason" in codes(records.withColumn("failure_reason", F.lit(None).cast("string"))) and "success_with_failure_reason" in codes(records.withColumn("failure_reason", F.lit("x")))
     odd = records.withColumns({"same": F.col("difficulty"), "one": F.lit("x"), "varies": F.col("resident_id"), "holes": F.lit(None).cast("string"), "arm": F.col("policy_id")})
     found = codes(odd, strata=["difficulty", "same", "one", "varies", "holes", "loss", "nowhere"])
@@ -444,6 +475,9 @@ def test_comparison(compared, records):
     first = compared.comparisons[0].provenance
     again = sf.provenance_for(config(label="other"), compared.config.metrics[0], "policy_a", "policy_b", None, "percentile")
     other = sf.provenance_for(config(bootstrap={"n_resamples": 120, "seed": 8}), compared.config.metrics[0], "policy_a", "policy_b", None, "percentile")
+    elsewhere = sf.provenance_for(config(protocol={"path": "here.md"}), compared.config.metrics[0], "policy_a", "policy_b", None, "percentile")
+    moved = sf.provenance_for(config(protocol={"path": "there.md"}), compared.config.metrics[0], "policy_a", "policy_b", None, "percentile")
+    assert elsewhere.scientific_fingerprint() == moved.scientific_fingerprint() and elsewhere.full_fingerprint() != moved.full_fingerprint()
     assert first.scientific_fingerprint() == again.scientific_fingerprint() != other.scientific_fingerprint()
 
 
@@ -463,6 +497,9 @@ def test_reports(compared, tmp_path):
     assert sf.audit_wording("A proves it\nfine") == ["line 1: 'proves'"] and not sf.audit_wording(paths["markdown"].read_text())
     with pytest.raises(report.WordingError):
         sf.write_report(compared, tmp_path, title="this proves it")
+    for claim in ("no significant difference", "A beats B", "better overall", "the overall winner", "it is safe", "they are the same"):
+        assert sf.audit_wording(claim), claim
+    assert report.reproducibility_manifest(compared).report_generator == sf.REPORT_GENERATOR_VERSION
     assert report.plain({"a": math.nan, "b": (1, np.float64(2))}) == {"a": None, "b": [1, 2.0]}
 
 
@@ -473,6 +510,9 @@ def test_files(spark, records, tmp_path):
         back, source = load_records(spark, path)
         assert source.rows == records.count() and source.sha256 == sf.file_checksum(path)
         assert back.agg(F.round(F.sum("loss"), 6)).first() == records.agg(F.round(F.sum("loss"), 6)).first()
+    write_records(records, tmp_path / "many.parquet")
+    back, source = load_records(spark, f"file://{tmp_path}/many.parquet")
+    assert back.count() == source.rows == records.count() and source.sha256 == sf.file_checksum(tmp_path / "many.parquet")
     (tmp_path / "x.tsv").write_text("world_id\tloss\tother\n0001\t 2.5\tNA\nb\tno\tq\n")
     df, _ = load_records(spark, tmp_path / "x.tsv")
     assert [tuple(r) for r in df.collect()] == [("0001", 2.5, None), ("b", None, "q")]
