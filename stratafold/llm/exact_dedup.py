@@ -4,8 +4,10 @@ One pass digests every text.  A Misra-Gries style frequent-items sketch
 (``approx_top_k``: mergeable, a fixed number of counters) names digests that may
 be very frequent; an exact aggregate over those few digests verifies their size
 and winner, and at most ``HEAVY`` verified rows are broadcast, so rows of hot
-groups are decided map-side and never meet in one task.  All other digests hold
-at most ``rows / HEAVY`` rows each and go through an ordinary shuffle.
+groups are decided map-side and never meet in one task.  All other digests, of
+at most ``rows / HEAVY`` rows each, go through an ordinary shuffle: groups of two
+and more are aggregated with map-side maxima and counts and joined back, a join whose
+large keys are split at run time.
 
 Defined results: a null text counts as the empty text; of equal texts the row
 with the largest ``doc_id`` stays (a null id is smallest, and of rows repeating
@@ -15,10 +17,10 @@ columns are ignored by ``exact_duplicates`` and carried by ``drop_exact_duplicat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.joins import RID, by_number, numbered
+from stratafold.llm.joins import RID, by_number, numbered, steady
 from stratafold.scratch import materialize
 
 #: Verified heavy digests that are broadcast at most, and counters of the sketch.
@@ -39,12 +41,10 @@ def _decided(rows: DataFrame) -> DataFrame:
     heavy = materialize(heavy, "dedup-heavy")
     split = rows.join(F.broadcast(heavy), "digest", "left")
     hot = split.where(F.col("group_size").isNotNull())
-    per_digest = Window.partitionBy("digest")
-    cold = (
-        split.where(F.col("group_size").isNull())
-        .select("doc_id", "rid", "digest")
-        .withColumns({"winner": F.max(ident).over(per_digest), "group_size": F.count("*").over(per_digest)})
-    )
+    cold = split.where(F.col("group_size").isNull()).select("doc_id", "rid", "digest")
+    groups = cold.groupBy("digest").agg(F.max(ident).alias("winner"), F.count("*").alias("group_size")).where("group_size > 1")
+    alone = {"winner": F.coalesce("winner", ident), "group_size": F.coalesce("group_size", F.lit(1).cast("bigint"))}
+    cold = cold.join(groups, "digest", "left").withColumns(alone)
     return hot.select(cold.columns).unionByName(cold)
 
 
@@ -66,11 +66,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept.
-
-    The row number is drawn while reading ``docs``, so ``docs`` must read the same
-    twice (a table, a file).
-    """
+    """``docs`` with one row of each group of equal texts, all columns kept."""
+    docs = steady(docs)
     rows = numbered(docs)
     digests = rows.select(
         F.col(doc_id).alias("doc_id"),

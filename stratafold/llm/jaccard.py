@@ -28,7 +28,9 @@ number of signatures.  Equal sets collapse to one node first: frequent equal set
 found by a sketch and signed once.  A candidate's size and a 512-bit sketch of its set
 rule out most unlinked pairs before sets are joined for the exact test.
 
-Sets are of 64-bit hashes and a node is the 64-bit hash of its set.
+Sets are of 64-bit hashes.  A node is the 64-bit hash of its set; a second hash tells sets apart
+whose nodes are equal, and all but one of these get nodes of their own (``_apart``), so that
+128 bits say which sets are equal.
 
 Defined results: null, empty and blank texts have the empty set, link with nothing and
 are their own component; repeated rows and equal texts link; a null id takes part in
@@ -47,7 +49,7 @@ from pyspark.sql import functions as F
 
 from stratafold.llm.arrow import map_texts, slices
 from stratafold.llm.components import components
-from stratafold.llm.joins import RID, by_number, numbered
+from stratafold.llm.joins import RID, by_number, numbered, steady
 from stratafold.llm.shingles import mix, shingle_sets
 from stratafold.scratch import materialize
 
@@ -58,6 +60,8 @@ BUCKET = 500_000
 HEAVY, COUNTERS = 256, 4096
 #: Ids of sets to verify up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Nodes that several sets share, at most; each is a chance in 2^63.
+CLASHES = 100_000
 #: Nodes of a list in one row.
 PART = 64
 #: Growth of the narrow size bands.
@@ -123,17 +127,26 @@ def nodes_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def checks_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A second, independent hash of each set."""
+    out = np.zeros(len(sizes), np.uint64)
+    full = sizes > 0
+    if full.any():
+        out[full] = mix(np.add.reduceat(mix((hashes ^ _BAND) * _GOLD), (np.cumsum(sizes) - sizes)[full]))
+    return out.view(np.int64)
+
+
 def _described(texts: list) -> tuple[None, list[pa.Array]]:
     hashes, sizes = shingle_sets(texts)
     signs, rows, sure = signatures(hashes, sizes)
     bits = np.zeros((len(sizes), 64 * SKETCH), bool)
     bits[np.repeat(np.arange(len(sizes)), sizes), (hashes & np.uint64(64 * SKETCH - 1)).astype(np.int64)] = True
     longs = np.packbits(bits, axis=1).view(np.int64)
-    made = [sizes, nodes_of(hashes, sizes), np.bincount(rows, minlength=len(sizes)), sure[:, 0], sure[:, 1]]
+    made = [sizes, nodes_of(hashes, sizes), checks_of(hashes, sizes), np.bincount(rows, minlength=len(sizes)), sure[:, 0], sure[:, 1]]
     return None, [*map(pa.array, made), *(pa.array(np.ascontiguousarray(longs[:, k])) for k in range(SKETCH))]
 
 
-_DESCRIBED = "n_shingles bigint, node bigint, n_signs bigint, t0 bigint, t1 bigint, " + ", ".join(f"s{k} bigint" for k in range(SKETCH))
+_DESCRIBED = "n_shingles bigint, node bigint, check bigint, n_signs bigint, t0 bigint, t1 bigint, " + ", ".join(f"s{k} bigint" for k in range(SKETCH))
 
 
 def _described_docs(docs: DataFrame, rid: str | None, doc_id: str, text: str) -> DataFrame:
@@ -141,7 +154,25 @@ def _described_docs(docs: DataFrame, rid: str | None, doc_id: str, text: str) ->
     return materialize(map_texts(chosen, _described, _DESCRIBED), "jaccard-described")
 
 
-def _blocks(heavy: dict[int, object], buckets: int):
+def _apart(described: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """described with a node for each set, and the new nodes by (node, check) of sets that had one with others.
+
+    Equal nodes of different sets are as rare as equal 63-bit hashes: the sets squared over 2^64.
+    """
+    shared = described.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("stays"), F.max("check").alias("other")).where("stays != other")
+    shared = materialize(shared.select("node", "stays"), "jaccard-shared")
+    if shared.isEmpty():
+        return described, {}
+    if shared.count() > CLASHES:
+        raise RuntimeError("so many sets with equal hashes cannot come from chance")
+    moved = described.join(F.broadcast(shared), "node").where("check != stays").select("node", "check").distinct()
+    moved = materialize(moved.withColumn("new", F.xxhash64("node", "check")), "jaccard-moved")
+    named = {(r["node"], r["check"]): r["new"] for r in moved.collect()}
+    joined = described.join(F.broadcast(moved), ["node", "check"], "left")
+    return materialize(joined.withColumn("node", F.coalesce("new", "node")).drop("new"), "jaccard-described"), named
+
+
+def _blocks(heavy: dict[int, object], buckets: int, moved: dict[tuple[int, int], int]):
     """Mapper: (doc_id, text) batches -> one block of signatures per slice and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +181,8 @@ def _blocks(heavy: dict[int, object], buckets: int):
                 part = batch.slice(start, end - start)
                 hashes, sizes = shingle_sets(part.column(1).to_pylist())
                 nodes = nodes_of(hashes, sizes)
+                if moved:
+                    nodes = np.array([moved.get(pair, pair[0]) for pair in zip(nodes.tolist(), checks_of(hashes, sizes).tolist(), strict=True)], np.int64)
                 names = part.column(0).to_pylist()
                 once = np.flatnonzero([n not in heavy or heavy[n] == i for n, i in zip(nodes.tolist(), names, strict=True)])
                 kept = np.zeros(len(nodes), bool)
@@ -337,7 +370,7 @@ def _last_pairs(rows: DataFrame, labels: DataFrame, facts: DataFrame, sets: Data
     return pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
 
-def _node_components(docs: DataFrame, described: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+def _node_components(docs: DataFrame, described: DataFrame, moved: dict[tuple[int, int], int], text: str) -> tuple[DataFrame, DataFrame]:
     """One row per distinct non-empty set, and (node, component) of the linked ones.  docs has rid."""
     full = described.where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "rid")).alias("first")
@@ -348,7 +381,7 @@ def _node_components(docs: DataFrame, described: DataFrame, text: str) -> tuple[
     found = {r["node"]: r["rid"] for r in reps.where("copies > 1").orderBy(F.col("copies").desc(), "node").limit(HEAVY).select("node", "rid").collect()}
     total = reps.agg(F.sum("n_signs")).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    blocks = docs.select("rid", F.col(text).alias("text")).mapInArrow(_blocks(found, buckets), "bucket bigint, low binary, mid binary, place binary, nodes binary")
+    blocks = docs.select("rid", F.col(text).alias("text")).mapInArrow(_blocks(found, buckets, moved), "bucket bigint, low binary, mid binary, place binary, nodes binary")
     lists = blocks.groupBy("bucket").applyInArrow(_met, "gid bigint, odd bigint, part bigint, m bigint, members array<bigint>")
     lists = materialize(materialize(lists, "jaccard-met").groupBy("gid", "odd", "part").agg(F.sum("m").alias("m"), F.any_value("members").alias("members")), "jaccard-lists")
     rows = lists.select("gid", "odd", "m", F.explode("members").alias("a"))
@@ -371,8 +404,8 @@ def _node_components(docs: DataFrame, described: DataFrame, text: str) -> tuple[
 
 def _named(docs: DataFrame) -> DataFrame:
     """docs(doc_id, rid, text) -> doc_id, rid, n_shingles, component (a node; null for empty sets), component_id."""
-    described = _described_docs(docs, "rid", "doc_id", "text")
-    reps, labels = _node_components(docs, described, "text")
+    described, moved = _apart(_described_docs(docs, "rid", "doc_id", "text"))
+    reps, labels = _node_components(docs, described, moved, "text")
     named = _across(reps.select("node", "doc_id"), labels, "node")
     names = named.groupBy("c_node").agg(F.min("doc_id").alias("component_id"))
     named = named.join(names, "c_node").select("node", F.col("c_node").alias("component"), "component_id")
@@ -382,11 +415,8 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
-
-    ``docs`` must read the same twice (a table, a file).
-    """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"))
+    """One row per document: doc_id, n_shingles, component_id."""
+    rows = steady(docs).select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"))
     return _named(rows).select("doc_id", "n_shingles", "component_id")
 
 
@@ -395,6 +425,7 @@ def keep_one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     Documents without shingles all stay.
     """
+    docs = steady(docs)
     rows = numbered(docs)
     named = materialize(_named(rows.select(F.col(doc_id).alias("doc_id"), F.col(RID).alias("rid"), F.col(text).alias("text"))), "jaccard-named")
     order = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "rid")

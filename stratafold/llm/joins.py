@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,23 @@ RID = "__sf_rid"
 BROADCAST_ROWS = 1_000_000
 
 
+#: What a plan holds that reads stored rows in the same order each time.
+_STORED = re.compile(r"^[\s+:*()\d-]*(FileScan|Scan|BatchScan|ColumnarToRow|Filter|Project|WholeStageCodegen|InputAdapter)\b")
+_DRAWN = re.compile(r"\b(rand|randn|uuid|shuffle|monotonically_increasing_id|Scan ExistingRDD)\b", re.IGNORECASE)
+
+
+def steady(docs: DataFrame) -> DataFrame:
+    """``docs`` if each of its reads numbers its rows alike (a stored table, filtered or projected), else a written copy.
+
+    After a shuffle, for one, rows come in another order each time, and numbers drawn twice would not agree.
+    """
+    plan = docs._jdf.queryExecution().executedPlan().toString().strip().splitlines()
+    stored = all(_STORED.match(line) for line in plan) and not any(_DRAWN.search(line) for line in plan)
+    return docs if stored else materialize(docs, "numbered")
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``RID``; the same numbers each time if ``docs`` reads the same (a table, a file)."""
+    """``docs`` (``steady``) with ``RID``, the same numbers each time."""
     return docs.withColumn(RID, F.monotonically_increasing_id())
 
 

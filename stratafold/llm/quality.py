@@ -25,8 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from stratafold.llm.arrow import map_texts
-from stratafold.llm.joins import RID, by_number, numbered
+from stratafold.llm.arrow import map_texts, slices
 from stratafold.scratch import materialize
 
 NAMES = ("length", "word_length", "symbols", "capitals", "digits", "stops", "lines", "distinct", "stutter", "commonest", "line_repeats")
@@ -163,9 +162,16 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``docs`` without the documents scored below ``threshold``, all columns kept.
 
-    ``docs`` must read the same twice (a table, a file).
+    Once the classifier is fitted, texts are scored in the map that passes them on: nothing is joined.
     """
-    rows = numbered(docs)
-    table = materialize(document_statistics(rows, rid=RID), "quality-statistics")
-    out = score(table, fit(table, labels)).where(F.col("score") < threshold).select(F.col("rid").alias(RID))
-    return by_number(rows, out, "left_anti").select(docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(materialize(document_statistics(docs), "quality-statistics"), labels))
+    at = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end in slices(batch.column(at)):
+                part = batch.slice(start, end - start)
+                rows = np.array([statistics(t) for t in part.column(at).to_pylist()], float).reshape(len(part), len(NAMES))
+                yield part.filter(pa.array(shared.value.scores(rows) >= threshold))
+
+    return docs.mapInArrow(kept, docs.schema)

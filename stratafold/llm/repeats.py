@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.llm.arrow import slices
+from stratafold.llm.joins import steady
 from stratafold.llm.shingles import mix, word_hashes
 from stratafold.scratch import materialize
 
@@ -51,9 +52,9 @@ GRAM = 128
 WORDS = 50
 WORD_GRAM = 16
 #: Symbols handled at once in the first pass; longer texts are cut into overlapping chunks.
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Symbols of segments in a bucket, and distinct segments of an anchor string above which it is split.
-BUCKET = 1_000_000
+BUCKET = 500_000
 SPLIT = 1500
 #: Places in texts (of up to seven longs each) up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_PLACES = 500_000
@@ -443,9 +444,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
 
     n_shared_words: words in passages of at least ``words`` words that also stand in another
     document (A-Z in lower case, any space between words); these are counted, not cut out.
-    ``docs`` must read the same twice (a table, a file).
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    numbered = steady(docs).select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     spans = repeated_spans(numbered, length, gram, keep)
     passages = repeated_spans(numbered, words, word_gram, words=True, across=True)
     shared = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])

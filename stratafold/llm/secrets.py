@@ -113,10 +113,11 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
                 free[kind] = end
             if counts:
                 spans.append((kind, start, end))
-    narrow = len(data) == len(text)
-    for start, end in _hex_runs(data):
-        at = start if narrow else len(data[:start].decode("utf-8", "surrogatepass"))
-        spans.append(("hex", at, at + end - start))
+    runs = _hex_runs(data)
+    if runs and len(data) > len(text):  # bytes before a run that continue a character count for nothing
+        more = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) == 0x80)
+        runs = [(start - int(more[start]), end - int(more[start])) for start, end in runs]
+    spans += [("hex", start, end) for start, end in runs]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

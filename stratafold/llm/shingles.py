@@ -17,7 +17,6 @@ _ODD = _rng.integers(0, 2**63, WIDTH + 2, dtype=np.uint64) * np.uint64(2) + np.u
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,13 +26,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.full(max(n, 2 * len(_powers)), _BASE, np.uint64)) * np.uint64(1)
-    return _powers
-
-
 def word_hashes(texts: list, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the number of words of each text.
 
@@ -48,8 +40,9 @@ def word_hashes(texts: list, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
-    place = np.arange(lengths.sum()) - np.repeat(first, lengths)
-    hashed = np.add.reduceat(_BYTE[data[body]] * _power_table(int(lengths.max()))[place], first)
+    place = (np.arange(lengths.sum()) - np.repeat(first, lengths)).astype(np.uint64)
+    # A sum of mixed (byte, place) values: unlike a polynomial modulo 2^64, no letters cancel one another.
+    hashed = np.add.reduceat(mix(_BYTE[data[body]] + place * _BASE), first)
     bounds = np.cumsum([len(p) + 1 for p in parts])
     counts = np.diff(np.concatenate(([0], np.searchsorted(starts, bounds))))
     return mix(hashed + lengths.astype(np.uint64) * _ODD[WIDTH]), counts

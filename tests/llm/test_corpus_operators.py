@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratafold.llm import exact_dedup, jaccard, licenses, mixing, near_vectors, packing, quality, repeats, secrets, shingles, toxicity
+from stratafold.llm import exact_dedup, jaccard, joins, licenses, mixing, near_vectors, packing, quality, repeats, secrets, shingles, toxicity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -286,9 +286,10 @@ def test_license_lengthened_or_shortened_within_a_document():
 # 6
 
 
-@pytest.mark.parametrize("heavy", [1, 256])
-def test_exact_dedup(corpus, rows, monkeypatch, heavy):
+@pytest.mark.parametrize(("heavy", "broadcast"), [(1, 0), (256, 1_000_000)])
+def test_exact_dedup(corpus, rows, monkeypatch, heavy, broadcast):
     monkeypatch.setattr(exact_dedup, "HEAVY", heavy)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast)
     got = exact_dedup.exact_duplicates(corpus).collect()
     groups = defaultdict(list)
     for r in rows:
@@ -318,6 +319,35 @@ def brute_repeats(rows, length):
     return out
 
 
+def test_words_that_a_polynomial_confuses():
+    """Thue-Morse words of 1024 letters: different words, equal under any polynomial modulo 2^64."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    hashes, _ = shingles.word_hashes([one + " " + other])
+    assert hashes[0] != hashes[1]
+
+
+def test_equal_hashes_of_different_sets(corpus, rows, monkeypatch):
+    """Nodes cut down to four values: the second hash tells sets apart."""
+    want = bag(jaccard.jaccard_components(corpus).collect())
+    real, described = jaccard.nodes_of, jaccard._described_docs
+    few = F.shiftright("node", 8).bitwiseAND(F.lit(3)).bitwiseOR(F.lit(1))
+    monkeypatch.setattr(jaccard, "nodes_of", lambda hashes, sizes: np.where(sizes > 0, (real(hashes, sizes) >> 8) & 3 | 1, 0))
+    monkeypatch.setattr(jaccard, "_described_docs", lambda *a: described(*a).withColumn("node", F.when(F.col("n_shingles") > 0, few).otherwise(F.lit(0))))
+    assert described(corpus.withColumn("rid", F.monotonically_increasing_id()), "rid", "doc_id", "text").where("n_shingles > 0").select(few).distinct().count() <= 2
+    assert bag(jaccard.jaccard_components(corpus).collect()) == want
+
+
+def test_numbers_are_drawn_from_stored_rows(spark, corpus):
+    assert joins.steady(corpus) is corpus
+    held = corpus.where("doc_id > 1").select("doc_id", "text")
+    assert joins.steady(held) is held
+    for moving in (corpus.repartition(3), corpus.distinct(), corpus.sample(0.5, 1), spark.createDataFrame([(1, "x")], "doc_id bigint, text string")):
+        assert joins.steady(moving) is not moving
+    shuffled = corpus.repartition(5)
+    assert exact_dedup.drop_exact_duplicates(shuffled).count() == exact_dedup.drop_exact_duplicates(corpus).count()
+
+
 def brute_passages(rows, words):
     """Words in passages of so many words that stand in another row, too."""
     bodies = [re.findall("[^ \t-\r]+", re.sub("[A-Z]+", lambda m: m[0].lower(), r[1] or "")) for r in rows]
