@@ -390,12 +390,17 @@ def b11_cvar_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(resample.order_replicates(_indexed(panel), (BASE, CAND), "cvar", {"alpha": 0.9, "tail": "upper"}, [resample.draws(spark, SEED, 50, panel.n_units)]), nudge=3e-8)
 
 
-@query()
+_SUBS = ", ev AS (SELECT world_id, event_id, policy_id, avg(loss) AS x FROM records WHERE loss IS NOT NULL AND policy_id IN ('{a}', '{b}') GROUP BY 1, 2, 3), sub AS (SELECT unit_ix, policy_id, x, row_number() OVER w - 1 AS sub_ix, count(*) OVER (PARTITION BY unit_ix, policy_id) AS n_subs FROM ev JOIN ix USING (world_id) WINDOW w AS (PARTITION BY unit_ix, policy_id ORDER BY event_id))".format(a=BASE, b=CAND)
+_TWO_STAGE = f", picked AS (SELECT b, unit_ix, policy_id, ('0x' || substr(md5('{SEED}|2|' || b || '|' || slot || '|' || sub_ix), 1, 8))::BIGINT % n_subs AS sub_ix FROM draws JOIN sub USING (unit_ix)), reps AS (SELECT b, avg(x) FILTER (policy_id = '{BASE}') AS e0, avg(x) FILTER (policy_id = '{CAND}') AS e1 FROM picked JOIN sub USING (unit_ix, policy_id, sub_ix) GROUP BY b)"
+_ENDS = ", q AS (SELECT quantile_cont(e1 - e0, 0.025) AS lo, quantile_cont(e1 - e0, 0.975) AS hi, least(1.0, greatest(2 * least(avg((e1 - e0 <= 0)::INT), avg((e1 - e0 >= 0)::INT)), 1.0 / (count(*) + 1))) AS p FROM reps)"
+
+
+@query(_UNITS + _SUBS + _DRAWS.format(seed=SEED, stream=0, n=RESAMPLES) + _TWO_STAGE + _ENDS + f" SELECT round((SELECT avg(x) FILTER (policy_id = '{CAND}') - avg(x) FILTER (policy_id = '{BASE}') FROM sub), 6) AS estimate, round(lo, 6) AS low, round(hi, 6) AS high, 'percentile' AS method, k AS n_units, round(p, 6) AS p_value FROM q, k")
 def b6_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _interval_row(spark, _difference(spark, sf_dir, level="event_id", hierarchical=True))
 
 
-@query()
+@query(f", r AS (SELECT loss, row_number() OVER (ORDER BY world_id || chr(31) || event_id || chr(31) || resident_id) - 1 AS unit_ix FROM records WHERE loss IS NOT NULL AND policy_id = '{BASE}'), k AS (SELECT count(*) AS k FROM r)" + _DRAWS.format(seed=SEED, stream=0, n=100) + ", reps AS (SELECT b, avg(loss) AS e0 FROM draws JOIN r USING (unit_ix) GROUP BY b) SELECT round((SELECT avg(loss) FROM r), 6) AS estimate, round(quantile_cont(e0, 0.025), 6) AS low, round(quantile_cont(e0, 0.975), 6) AS high, 'percentile' AS method, (SELECT k FROM k) AS n_units, NULL::DOUBLE AS p_value FROM reps")
 def b15_naive_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pairing.single_policy_values(_panel(spark, sf_dir, "resident_id"), BASE)
     return _interval_row(spark, resample.naive_iid_bootstrap(rows, n_resamples=100, seed=SEED))
@@ -493,9 +498,28 @@ def t4_composition_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strata.composition_shift(event_records(spark, sf_dir), "world_id", "stratum", [BASE, "purchase"])
 
 
-@query()
+#: Strata of which some say the same, or nothing.
+_STRATA = {"stratum": "stratum", "regime": "regime", "twin": "'t' || stratum", "half": "CASE WHEN stratum IN ('s0', 's1') THEN 'low' ELSE 'high' END", "one": "'x'"}
+
+
+def _stratum_maps(columns: dict[str, str]) -> str:
+    """m: (column, its place, unit, commonest value)."""
+    parts = " UNION ALL ".join(f"SELECT world_id AS unit, '{c}' AS c, {k} AS place, coalesce({e}, '__missing__') AS v FROM records" for k, (c, e) in enumerate(columns.items()))
+    return f", m AS (SELECT unit, c, place, v FROM (SELECT *, row_number() OVER (PARTITION BY c, unit ORDER BY n DESC, v) AS r FROM (SELECT unit, c, place, v, count(*) AS n FROM ({parts}) GROUP BY 1, 2, 3, 4)) WHERE r = 1)"
+
+
+_REDUNDANT = """, cells AS (SELECT c, count(*) AS levels, min(n) AS least FROM (SELECT c, v, count(*) AS n FROM m GROUP BY 1, 2) GROUP BY 1),
+ both_maps AS (SELECT DISTINCT x.c AS a, y.c AS b, x.v AS va, y.v AS vb FROM m x JOIN m y USING (unit) WHERE x.place < y.place),
+ partners AS (SELECT a, b, (SELECT max(n) FROM (SELECT count(*) AS n FROM both_maps i WHERE i.a = o.a AND i.b = o.b GROUP BY va)) AS ab, (SELECT max(n) FROM (SELECT count(*) AS n FROM both_maps i WHERE i.a = o.a AND i.b = o.b GROUP BY vb)) AS ba FROM (SELECT DISTINCT a, b FROM both_maps) o),
+ redundant AS (SELECT 'warning' AS severity, 'single_level_stratum' AS code, c AS "column", NULL::BIGINT AS "count" FROM cells WHERE levels <= 1
+  UNION ALL SELECT 'warning', 'thin_stratum_cell', c, least FROM cells WHERE levels > 1 AND least < 5
+  UNION ALL SELECT 'warning', CASE WHEN ab = 1 AND ba = 1 THEN 'identical_strata' ELSE 'nested_strata' END, a, NULL FROM partners WHERE 1 IN (ab, ba))"""
+
+
+@query(_stratum_maps(_STRATA) + _REDUNDANT + ' SELECT severity, code, "column" FROM redundant')
 def t5_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = strata.stratum_redundancy(event_records(spark, sf_dir), "world_id", ["stratum", "regime"])
+    rows = event_records(spark, sf_dir).withColumns({c: F.expr(e) for c, e in _STRATA.items()})
+    found = strata.stratum_redundancy(rows, "world_id", list(_STRATA))
     return spark.createDataFrame([(i.severity, i.code, i.column) for i in found], "severity string, code string, column string")
 
 
@@ -546,7 +570,24 @@ def v_policy_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.policy_coverage(event_records(spark, sf_dir), "world_id")
 
 
-@query()
+_REPORT = """, arms AS (SELECT world_id, count(DISTINCT policy_id) AS n FROM records GROUP BY 1), facts AS (SELECT count(*) AS units, count(*) FILTER (n = (SELECT count(DISTINCT policy_id) FROM records)) AS common FROM arms),
+ varying AS (SELECT 'stratum' AS c, count(*) AS n FROM (SELECT world_id FROM records GROUP BY 1 HAVING count(DISTINCT coalesce(stratum, '__missing__')) > 1) UNION ALL SELECT 'regime', count(*) FROM (SELECT world_id FROM records GROUP BY 1 HAVING count(DISTINCT coalesce(regime, '__missing__')) > 1)),
+ absent AS (SELECT 'mission_success' AS c, count(*) - count(mission_success) AS n FROM records UNION ALL SELECT 'loss', count(*) - count(loss) FROM records UNION ALL SELECT 'travel_time', count(*) - count(travel_time) FROM records)
+ SELECT * FROM redundant
+ UNION ALL SELECT 'info', code, NULL, NULL FROM (VALUES ('extra_columns'), ('absent_optional_columns'), ('run_status_present'), ('nesting_ratio')) t(code)
+ UNION ALL SELECT 'error', 'outcome_used_as_stratum', 'loss', NULL
+ UNION ALL SELECT 'warning', 'missing_outcome', c, n FROM absent WHERE n > 0
+ UNION ALL SELECT 'warning', 'incomplete_runs', 'run_status', n FROM (SELECT count(*) FILTER (run_status IS DISTINCT FROM 'completed') AS n FROM records) WHERE n > 0
+ UNION ALL SELECT 'warning', 'failure_without_reason', 'failure_reason', n FROM (SELECT count(*) FILTER (mission_success = 0 AND coalesce(trim(failure_reason), '') = '') AS n FROM records) WHERE n > 0
+ UNION ALL SELECT 'warning', 'success_with_failure_reason', 'failure_reason', n FROM (SELECT count(*) FILTER (mission_success = 1 AND coalesce(trim(failure_reason), '') <> '') AS n FROM records) WHERE n > 0
+ UNION ALL SELECT 'warning', 'stratum_varies_within_unit', c, n FROM varying WHERE n > 0
+ UNION ALL SELECT 'warning', 'null_stratum', 'regime', n FROM (SELECT count(*) - count(regime) AS n FROM records) WHERE n > 0
+ UNION ALL SELECT 'warning', 'few_units', NULL, units FROM facts WHERE units BETWEEN 2 AND 19
+ UNION ALL SELECT 'warning', 'unbalanced_policy_coverage', NULL, units - common FROM facts WHERE common BETWEEN 1 AND units - 1
+ UNION ALL SELECT 'error', 'no_common_units', NULL, NULL FROM facts WHERE common = 0"""
+
+
+@query(_stratum_maps({"stratum": "stratum", "regime": "regime"}) + _REDUNDANT + _REPORT)
 def v_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = validate.validate_records(event_records(spark, sf_dir), SPEC, ["stratum", "regime", "loss"])
     return spark.createDataFrame([(i.severity, i.code, i.column, i.count) for i in report.issues], "severity string, code string, column string, count bigint")
@@ -575,7 +616,11 @@ def k1_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(table[columns]))
 
 
-@query()
+_TAIL = ", tails AS (SELECT b, policy_id, x, row_number() OVER (PARTITION BY b, policy_id ORDER BY x) AS rank, count(*) OVER (PARTITION BY b, policy_id) AS n FROM (SELECT b, unit_ix FROM draws UNION ALL SELECT -1, unit_ix FROM ix) JOIN sub USING (unit_ix)), means AS (SELECT b, policy_id, avg(x) FILTER (n - rank < greatest(1, ceil(round((1 - 0.9::DOUBLE) * n, 9)))) AS e FROM tails GROUP BY 1, 2), gaps AS (SELECT b, max(e) FILTER (policy_id = '{b}') - max(e) FILTER (policy_id = '{a}') AS gap FROM means GROUP BY b), both_metrics AS (SELECT 'mean_loss' AS metric, d, lo, hi, (SELECT quantile_cont(e1 - e0, 0.05) > -3 AND quantile_cont(e1 - e0, 0.95) < 4 FROM reps) AS same FROM point, q UNION ALL SELECT 'cvar_loss', max(gap) FILTER (b = -1), quantile_cont(gap, 0.025) FILTER (b >= 0), quantile_cont(gap, 0.975) FILTER (b >= 0), false FROM gaps)".format(a=BASE, b=CAND)
+_VERDICT = "CASE WHEN (lo > 0 OR hi < 0) AND same THEN 'statistically_different_within_margin' WHEN lo > 0 OR hi < 0 THEN CASE WHEN d < 0 THEN 'superior' ELSE 'worse' END WHEN same THEN 'statistically_equivalent' ELSE 'inconclusive' END"
+
+
+@query(_UNITS + _SUBS + _DRAWS.format(seed=SEED, stream=0, n=100) + _REPS + _POINT + _TAIL + f" SELECT metric, k AS n_units, round(d, 6) AS difference, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, {_VERDICT} AS verdict, CASE WHEN (lo > 0 OR hi < 0) AND NOT same THEN CASE WHEN d < 0 THEN '{CAND}' ELSE '{BASE}' END ELSE 'neither' END AS favours FROM both_metrics, k")
 def k2_compare_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = config_from_mapping(query_config(100))
     table = compare_policies(event_records(spark, sf_dir), config, validate=False).summary_table()
@@ -609,7 +654,16 @@ def t6_strata_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(means.join(units, ["policy_id", "stratum"]))
 
 
-@query()
+_STRATIFIED = """, v AS (SELECT g, world_id, policy_id, loss FROM (SELECT '__all__' AS g, world_id, policy_id, loss FROM records UNION ALL SELECT stratum, world_id, policy_id, loss FROM records) WHERE loss IS NOT NULL AND policy_id IN ('{a}', '{b}')),
+ s AS (SELECT g, world_id FROM v GROUP BY 1, 2 HAVING count(DISTINCT policy_id) = 2), ix AS (SELECT g, world_id, row_number() OVER (PARTITION BY g ORDER BY world_id) - 1 AS unit_ix FROM s),
+ stats AS (SELECT g, unit_ix, count(*) FILTER (policy_id = '{a}') AS na, sum(loss) FILTER (policy_id = '{a}') AS sa, count(*) FILTER (policy_id = '{b}') AS nb, sum(loss) FILTER (policy_id = '{b}') AS sb FROM v JOIN ix USING (g, world_id) GROUP BY 1, 2), k AS (SELECT g, count(*) AS k FROM ix GROUP BY 1),
+ draws AS (SELECT g, b, slot, ('0x' || substr(md5('{seed}|0|' || b || '|' || slot), 1, 8))::BIGINT % k AS unit_ix FROM range(100) t(b), k, LATERAL (SELECT unnest(range(k)) AS slot)),
+ reps AS (SELECT g, b, sum(sb) / sum(nb) - sum(sa) / sum(na) AS gap FROM draws JOIN stats USING (g, unit_ix) GROUP BY 1, 2),
+ point AS (SELECT g, sum(sb) / sum(nb) - sum(sa) / sum(na) AS d, count(*) AS n FROM stats GROUP BY 1),
+ q AS (SELECT g, quantile_cont(gap, 0.025) AS lo, quantile_cont(gap, 0.975) AS hi, quantile_cont(gap, 0.05) > -3 AND quantile_cont(gap, 0.95) < 4 AS same FROM reps GROUP BY 1)""".format(a=BASE, b=CAND, seed=SEED)
+
+
+@query(_STRATIFIED + f" SELECT g AS stratum, 'mean_loss' AS metric, n AS n_units, round(d, 6) AS difference, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, {_VERDICT} AS verdict FROM point JOIN q USING (g)")
 def t6_compare_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = config_from_mapping({**query_config(100), "metrics": query_config()["metrics"][:1]})
     found = compare_by_stratum(event_records(spark, sf_dir), config, "stratum", min_units=2)
@@ -632,8 +686,7 @@ def g1_scaled_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Of these, the incomplete arm of the records is the point; the others over one or two complete arms see no purchase.
 _INCOMPLETE = ("j1_shared_units", "j2_dropped_units", "p1_paired_panel", "p7_overlap", "t4_allocation_ledger", "t4_composition_shift")
-_TWO_ARMS = ("f1_include", "p5_imbalance", "q1_tost", "q3_non_inferiority", "q5_verdict", "k1_compare")
-_WITHOUT_SQL = ("t5_redundancy", "v_validation_report")
+_TWO_ARMS = ("f1_include", "p5_imbalance", "q1_tost", "q3_non_inferiority", "q5_verdict", "k1_compare", "k2_compare_tail", "t6_compare_by_stratum")
 
 
 def _whole(made: Query) -> Query:
@@ -644,8 +697,7 @@ def _whole(made: Query) -> Query:
     return run
 
 
-for _name in [n for n in QUERIES if n in _WITHOUT_SQL or RECORDS_SQL in SQL.get(n, "")]:
+for _name in [n for n in QUERIES if RECORDS_SQL in SQL.get(n, "")]:
     if _name not in (*_INCOMPLETE, *_TWO_ARMS) and not _name.startswith("b"):
         QUERIES[f"{_name}_whole"] = _whole(QUERIES[_name])
-        if _name in SQL:
-            SQL[f"{_name}_whole"] = SQL[_name].replace(RECORDS_SQL, ALL_RECORDS_SQL)
+        SQL[f"{_name}_whole"] = SQL[_name].replace(RECORDS_SQL, ALL_RECORDS_SQL)
