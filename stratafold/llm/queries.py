@@ -79,7 +79,47 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: links: (a, b) both ways -> reach: what each document or vector reaches, itself included.
+_REACH = "reach(id, there) AS (SELECT {id}, {id} FROM {table} UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.there)"
+
 SQL = {
+    "op1_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS (
+  SELECT doc_id, len(w) AS n_words, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w
+), runs AS (
+  SELECT doc_id, n_words, i, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS e
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), shingles AS (
+  SELECT DISTINCT doc_id, e FROM runs WHERE i <= greatest(1, n_words - 4)
+), sizes AS (
+  SELECT d.doc_id, count(e) AS n FROM documents d LEFT JOIN shingles USING (doc_id) GROUP BY 1
+), common AS (
+  SELECT e, row_number() OVER () AS k FROM (SELECT e FROM shingles GROUP BY e HAVING count(*) > 1)
+), held AS (
+  SELECT doc_id, n, k FROM shingles JOIN common USING (e) JOIN sizes USING (doc_id)
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM held x JOIN held y ON x.k = y.k AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n) GROUP BY 1, 2
+), linked AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)
+), links AS (
+  SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked
+), """ + _REACH.format(id="doc_id", table="documents") + """
+SELECT sizes.doc_id, CAST(any_value(sizes.n) AS BIGINT) AS n_shingles, min(there) AS component_id FROM sizes JOIN reach ON reach.id = sizes.doc_id GROUP BY 1""",
+    "op8_near_vectors": """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.93
+), """ + _REACH.format(id="vec_id", table="embeddings") + """, counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY 1
+), named AS (
+  SELECT id, min(there) AS component_id FROM reach GROUP BY 1
+)
+SELECT id AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, id = component_id AS kept FROM named LEFT JOIN counted ON a = id""",
     "op3_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
