@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.joins import RID, by_number, numbered, steady
+from stratafold.llm.joins import RID, numbered, steady, without
 from stratafold.scratch import materialize
 
 #: Verified heavy digests that are broadcast at most, and counters of the sketch.
@@ -76,4 +76,4 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     )
     done = _decided(materialize(digests, "dedup-digests"))
     losers = done.where(F.col("rid") != F.col("winner.rid")).select(F.col("rid").alias(RID))
-    return by_number(rows, losers, "left_anti").select(docs.columns)
+    return without(rows, losers).select(docs.columns)

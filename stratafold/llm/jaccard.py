@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from stratafold.llm.arrow import map_texts, slices
 from stratafold.llm.components import components
-from stratafold.llm.joins import RID, by_number, numbered, steady
+from stratafold.llm.joins import RID, numbered, steady, without
 from stratafold.llm.shingles import mix, shingle_sets
 from stratafold.scratch import materialize
 
@@ -431,4 +431,4 @@ def keep_one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str =
     order = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "rid")
     first = named.where("component is not null").groupBy("component").agg(F.min(order)["rid"].alias("first"))
     losers = named.join(first, "component").where("rid != first").select(F.col("rid").alias(RID))
-    return by_number(rows, losers, "left_anti").select(docs.columns)
+    return without(rows, losers).select(docs.columns)

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafold.llm.joins import RID, by_number, numbered, steady
+from stratafold.llm.joins import MARK, RID, marked, numbered, steady
 from stratafold.scratch import materialize
 
 #: Weights repeat over the sources in code-point order.
@@ -97,9 +97,8 @@ def sampled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mix itself: rows of ``docs`` repeated as often as they are taken, all columns kept."""
-    n = "__sf_copies"
     docs = steady(docs)
     rows = numbered(docs)
     takes = sampled(rows, doc_id, text, source, seed, weights, cap, RID).where("copies > 0")
-    takes = takes.select(F.col("rid").alias(RID), F.col("copies").alias(n))
-    return by_number(rows, takes, "inner").withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)
+    takes = marked(rows, takes.select(F.col("rid").alias(RID), F.col("copies").alias(MARK)), cap).where(F.col(MARK) > 0)
+    return takes.withColumn(MARK, F.explode(F.sequence(F.lit(1), F.col(MARK)))).select(docs.columns)

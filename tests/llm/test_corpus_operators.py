@@ -286,10 +286,10 @@ def test_license_lengthened_or_shortened_within_a_document():
 # 6
 
 
-@pytest.mark.parametrize(("heavy", "broadcast"), [(1, 0), (256, 1_000_000)])
+@pytest.mark.parametrize(("heavy", "broadcast"), [(1, 0), (256, 1 << 14)])
 def test_exact_dedup(corpus, rows, monkeypatch, heavy, broadcast):
     monkeypatch.setattr(exact_dedup, "HEAVY", heavy)
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(joins, "BROADCAST_BITMAPS", broadcast)
     got = exact_dedup.exact_duplicates(corpus).collect()
     groups = defaultdict(list)
     for r in rows:
@@ -338,6 +338,21 @@ def test_equal_hashes_of_different_sets(corpus, rows, monkeypatch):
     assert bag(jaccard.jaccard_components(corpus).collect()) == want
 
 
+@pytest.mark.parametrize("broadcast", [0, 1 << 14])
+def test_marks_of_rows(spark, monkeypatch, tmp_path, broadcast):
+    """Partitions with several bitmaps, and parts of them without a mark."""
+    monkeypatch.setattr(joins, "BROADCAST_BITMAPS", broadcast)
+    spark.range(0, 300_000, 1, 3).withColumn("text", F.lit("x")).write.parquet(f"file://{tmp_path}/d")
+    docs = joins.numbered(spark.read.parquet(f"file://{tmp_path}/d"))
+    mark = F.when((F.col("id") < 40_000) | (F.col("id") > 160_000), F.col("id") % 7 % 6)
+    marks = docs.select(joins.RID, mark.alias(joins.MARK)).where(F.col(joins.MARK) > 0)
+    got = joins.marked(docs, marks, 5)
+    assert got.columns == [*docs.columns, joins.MARK] and got.count() == 300_000
+    assert got.where(F.col(joins.MARK) != F.coalesce(mark, F.lit(0))).count() == 0
+    kept = joins.without(docs, marks.select(joins.RID))
+    assert kept.count() == got.where(F.col(joins.MARK) == 0).count() and kept.where(mark > 0).count() == 0
+
+
 def test_numbers_are_drawn_from_stored_rows(spark, corpus):
     assert joins.steady(corpus) is corpus
     held = corpus.where("doc_id > 1").select("doc_id", "text")
