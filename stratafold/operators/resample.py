@@ -23,8 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratafold.functions import estimators, intervals
-from stratafold.operators.pairing import PairedPanel
 from stratafold.hierarchy import unit_label
+from stratafold.operators import leave_out
+from stratafold.operators.pairing import PairedPanel
+from stratafold.scratch import materialize
 
 #: Panel rows up to which order statistics ship the panel to every task.
 BROADCAST_ROWS = 1_000_000
@@ -146,20 +148,37 @@ def _joined_replicates(rows: DataFrame, policies: tuple[str, ...], estimator: st
     return made
 
 
-def two_stage(rows: DataFrame, seed: int, n_resamples: int, n_units: int, stream: int = BASE) -> DataFrame:
-    """Drawn rows (b, policy_id, value): units first, then as many sub-units within each drawn unit and policy.
-
-    rows: unit_ix, policy_id, sub, value.  Sub-units are numbered in code-point order.
-    """
+def sub_units(rows: DataFrame) -> DataFrame:
+    """(unit_ix, policy_id, sub, sub_ix, n_subs, first): sub-units in code-point order within a unit and policy, numbered from first."""
     subs = rows.select("unit_ix", "policy_id", "sub").distinct()
     place = Window.partitionBy("unit_ix", "policy_id")
-    subs = subs.withColumns({"sub_ix": F.row_number().over(place.orderBy("sub")) - 1, "n_subs": F.count("*").over(place)})
+    subs = materialize(subs.withColumns({"sub_ix": (F.row_number().over(place.orderBy("sub")) - 1).cast("bigint"), "n_subs": F.count("*").over(place)}), "sub-units")
+    # One row per unit and policy passes this window.
+    ahead = Window.orderBy("unit_ix", "policy_id").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = subs.where("sub_ix = 0").select("unit_ix", "policy_id", F.coalesce(F.sum("n_subs").over(ahead), F.lit(0)).alias("first"))
+    return subs.join(firsts, ["unit_ix", "policy_id"])
+
+
+def two_stage(rows: DataFrame, seed: int, n_resamples: int, n_units: int, stream: int = BASE) -> tuple[DataFrame, DataFrame]:
+    """Units first, then as many sub-units within each drawn unit and policy: rows by sub-unit, and draws of sub-units.
+
+    rows: unit_ix, policy_id, sub, value.  In both results ``unit_ix`` is the number of a sub-unit of one policy, so they
+    are resampled like units.  The draws hold the replicate ``ITSELF`` too.
+    """
+    subs = sub_units(rows)
     slots = draws(rows.sparkSession, seed, n_resamples, n_units, stream).join(subs, "unit_ix")
-    picked = slots.withColumn("pick", draw(seed, SUB + stream, F.col("n_subs"), F.col("b"), F.col("slot"), F.col("sub_ix")))
-    names = subs.select(F.col("unit_ix").alias("u"), F.col("policy_id").alias("p"), F.col("sub_ix").alias("i"), F.col("sub").alias("drawn"))
-    picked = picked.join(names, (F.col("unit_ix") == F.col("u")) & (F.col("policy_id") == F.col("p")) & (F.col("pick") == F.col("i")))
-    values = rows.select(F.col("unit_ix").alias("vu"), F.col("policy_id").alias("vp"), F.col("sub").alias("vs"), "value")
-    return picked.select("b", "unit_ix", "policy_id", "drawn").join(values, (F.col("unit_ix") == F.col("vu")) & (F.col("policy_id") == F.col("vp")) & F.col("drawn").eqNullSafe(F.col("vs"))).select("b", "policy_id", "value")
+    pick = draw(seed, SUB + stream, F.col("n_subs"), F.col("b"), F.col("slot"), F.col("sub_ix"))
+    whole = subs.select(F.lit(ITSELF).cast("bigint").alias("b"), (F.col("first") + F.col("sub_ix")).alias("unit_ix"))
+    picks = slots.select("b", (F.col("first") + pick).alias("unit_ix")).unionByName(whole)
+    s, r = subs.alias("s"), rows.alias("r")
+    on = (F.col("s.unit_ix") == F.col("r.unit_ix")) & (F.col("s.policy_id") == F.col("r.policy_id")) & F.col("s.sub").eqNullSafe(F.col("r.sub"))
+    return r.join(s, on).select((F.col("first") + F.col("sub_ix")).alias("unit_ix"), F.col("r.policy_id").alias("policy_id"), "value"), picks
+
+
+def _replicates(rows: DataFrame, policies: tuple[str, ...], estimator: str, params: dict, picks: list[DataFrame]) -> DataFrame:
+    if estimator in estimators.ALGEBRAIC:
+        return algebraic_replicates(sufficient(rows, estimator, float(params.get("threshold", 0.0))), policies, estimator, picks)
+    return order_replicates(rows, policies, estimator, params, picks)
 
 
 @dataclass
@@ -184,13 +203,20 @@ class BootstrapResult:
 
 
 def _jackknife(rows: DataFrame, policies: tuple[str, ...], estimator: str, params: dict, n_units: int) -> pd.DataFrame:
-    """Leave-one-unit-out estimates of each policy: totals minus own for sums, otherwise one weighing per unit."""
+    """Leave-one-unit-out estimates of each policy: totals minus own for sums, by ranks for ordered values.
+
+    Only a custom estimator weighs the panel once for each unit.
+    """
     if estimator in estimators.ALGEBRAIC:
         wide = _wide(sufficient(rows, estimator, float(params.get("threshold", 0.0))), policies)
         names = [f"{c}{i}" for i in range(len(policies)) for c in ("n", "s", "ss")]
         totals = wide.agg(*(F.sum(c).alias(f"t_{c}") for c in names))
         left = wide.crossJoin(F.broadcast(totals))
         made = left.select("unit_ix", *(_combined(estimator, *(F.col(f"t_{c}{i}") - F.col(f"{c}{i}") for c in ("n", "s", "ss"))).alias(f"e{i}") for i in range(len(policies))))
+    elif estimator in leave_out.FORMS:
+        units = rows.sparkSession.range(n_units).select(F.col("id").alias("unit_ix"), F.explode(F.array(*map(F.lit, policies))).alias("policy_id"))
+        each = leave_out.leave_one_out(rows, units, estimator, params).groupBy("unit_ix")
+        made = each.agg(*(F.max(F.when(F.col("policy_id") == p, F.col("estimate"))).alias(f"e{k}") for k, p in enumerate(policies)))
     else:
         out = rows.sparkSession.range(n_units).select(F.col("id").alias("b"))
         ins = out.crossJoin(out.select(F.col("b").alias("unit_ix"))).where("b != unit_ix")
@@ -213,12 +239,6 @@ def _result(point: float, replicates: np.ndarray, jackknife: np.ndarray | None,
     return BootstrapResult(point, low, high, float(np.std(usable, ddof=1)), used, n_units, usable, intervals.p_two_sided(usable) if paired else None, notes, seed, level)
 
 
-def points(rows: DataFrame, policies: tuple[str, ...], estimator: str, params: dict) -> list[float]:
-    """The estimator of each policy on the rows themselves."""
-    got = {r["policy_id"]: r["estimate"] for r in estimators.estimate_by(rows, ["policy_id"], "value", estimator, **params).collect()}
-    return [float(got[p]) if got.get(p) is not None else math.nan for p in policies]
-
-
 def paired_cluster_bootstrap(
     panel: PairedPanel, estimator: str = "mean", params: dict | None = None, *, n_resamples: int = 2000, seed: int = 0, confidence_level: float = 0.95, method: str = "percentile", hierarchical: bool = False, paired: bool = True
 ) -> dict[str, BootstrapResult]:
@@ -234,22 +254,15 @@ def paired_cluster_bootstrap(
     if hierarchical:
         if not rows.groupBy("unit_ix", "policy_id").agg(F.countDistinct("sub").alias("k")).where("k > 1").limit(1).count():
             raise BootstrapError("a two-stage bootstrap needs sub-units below the unit at the metric's level")
-        drawn = two_stage(rows, seed, n_resamples, n)
-        made = estimators.estimate_by(drawn, ["b", "policy_id"], "value", estimator, **params)
-        made = made.groupBy("b").agg(*(F.max(F.when(F.col("policy_id") == p, F.col("estimate"))).alias(f"e{k}") for k, p in enumerate(pair)))
+        within, drawn = two_stage(rows, seed, n_resamples, n)
+        made = _replicates(within, pair, estimator, params, [drawn])
     else:
         picks = [draws(spark, seed, n_resamples, n, stream).unionByName(each_once(spark, n)) for stream in ((BASE,) if paired else (BASE, CANDIDATE))]
-        if estimator in estimators.ALGEBRAIC:
-            made = algebraic_replicates(sufficient(rows, estimator, float(params.get("threshold", 0.0))), pair, estimator, picks)
-        else:
-            made = order_replicates(rows, pair, estimator, params, picks)
+        made = _replicates(rows, pair, estimator, params, picks)
     table = made.toPandas().sort_values("b")  # a row for each replicate
     left = _jackknife(rows, pair, estimator, params, n) if method == "bca" else None
-    if hierarchical:
-        base, cand = points(rows, pair, estimator, params)
-    else:
-        base, cand = table.loc[table["b"] == ITSELF, ["e0", "e1"]].to_numpy(float)[0]
-        table = table[table["b"] != ITSELF]
+    base, cand = table.loc[table["b"] == ITSELF, ["e0", "e1"]].to_numpy(float)[0]
+    table = table[table["b"] != ITSELF]
     series = {"baseline": (base, "e0"), "candidate": (cand, "e1")}
     out = {k: _result(v, table[c].to_numpy(float), None if left is None else left[c].to_numpy(float), n, confidence_level, method, seed, False) for k, (v, c) in series.items()}
     gap = (table["e1"] - table["e0"]).to_numpy(float)
@@ -266,15 +279,13 @@ def cluster_bootstrap(rows: DataFrame, estimator: str = "mean", params: dict | N
     if n < 2:
         raise BootstrapError("fewer than two units; nothing can be resampled")
     if hierarchical:
-        drawn = two_stage(rows, seed, n_resamples, n)
-        made = estimators.estimate_by(drawn, ["b"], "value", estimator, **params).withColumnRenamed("estimate", "e0")
+        within, drawn = two_stage(rows, seed, n_resamples, n)
+        made = _replicates(within, ("one",), estimator, params, [drawn])
     else:
-        picks = [draws(rows.sparkSession, seed, n_resamples, n).unionByName(each_once(rows.sparkSession, n))]
-        one = ("one",)
-        made = algebraic_replicates(sufficient(rows, estimator, float(params.get("threshold", 0.0))), one, estimator, picks) if estimator in estimators.ALGEBRAIC else order_replicates(rows, one, estimator, params, picks)
+        made = _replicates(rows, ("one",), estimator, params, [draws(rows.sparkSession, seed, n_resamples, n).unionByName(each_once(rows.sparkSession, n))])
     left = _jackknife(rows, ("one",), estimator, params, n)["e0"].to_numpy(float) if method == "bca" else None
     table = made.toPandas().sort_values("b")  # a row for each replicate
-    point = points(rows, ("one",), estimator, params)[0] if hierarchical else float(table.loc[table["b"] == ITSELF, "e0"].to_numpy(float)[0])
+    point = float(table.loc[table["b"] == ITSELF, "e0"].to_numpy(float)[0])
     return _result(point, table.loc[table["b"] != ITSELF, "e0"].to_numpy(float), left, n, confidence_level, method, seed, False)
 
 

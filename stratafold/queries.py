@@ -379,6 +379,15 @@ def b10_jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(table))
 
 
+@query(
+    _UNITS + ", ev AS (SELECT unit_ix, policy_id, loss AS x FROM v JOIN ix USING (world_id)), o AS (SELECT ix.unit_ix AS out, policy_id, x, row_number() OVER (PARTITION BY ix.unit_ix, policy_id ORDER BY x) AS rank, count(*) OVER (PARTITION BY ix.unit_ix, policy_id) AS n FROM ix JOIN ev ON ev.unit_ix <> ix.unit_ix), c AS (SELECT out, policy_id, avg(x) FILTER (n - rank < greatest(1, ceil(round((1 - 0.9::DOUBLE) * n, 9)))) AS e FROM o GROUP BY 1, 2) SELECT out AS unit_ix, round(max(e) FILTER (policy_id = '" + BASE + "') + 3e-8, 6) AS e0, round(max(e) FILTER (policy_id = '" + CAND + "') + 3e-8, 6) AS e1 FROM c GROUP BY out"
+)
+def b10_jackknife_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = _pair(spark, sf_dir)
+    table = resample._jackknife(_indexed(panel), (BASE, CAND), "cvar", {"alpha": 0.9, "tail": "upper"}, panel.n_units)
+    return rounded(spark.createDataFrame(table), nudge=3e-8)
+
+
 @query(_BOOT + _POINT + " SELECT round(d, 6) AS estimate, round(lo, 6) AS low, round(hi, 6) AS high, 'percentile' AS method, n AS n_units, round(p, 6) AS p_value FROM point, q")
 def b11_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _interval_row(spark, _difference(spark, sf_dir))

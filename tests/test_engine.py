@@ -1,5 +1,6 @@
 """The evaluation engine: hand-computed values, invariances, refusals, round trips."""
 
+import hashlib
 import json
 import math
 import os
@@ -15,7 +16,7 @@ from stratafold import cli, mutation, report
 from stratafold.config import FilterSpec, MissingDataSpec
 from stratafold.functions import decisions, estimators, intervals
 from stratafold.hierarchy import infer_default, nesting_relation
-from stratafold.operators import failures, pairing, prepare, resample, rollup, strata, validate
+from stratafold.operators import failures, leave_out, pairing, prepare, resample, rollup, strata, validate
 from stratafold.operators.ranks import ranked
 from stratafold.plans.compare import stratified_estimate
 from stratafold.jobs import together
@@ -278,6 +279,45 @@ def test_pairing_narrows_and_methods_agree(records):
     assert naive.high - naive.low < one.high - one.low
 
 
+def test_leaving_units_out_by_ranks(spark, monkeypatch):
+    """Ties, a unit with half of the rows, units without rows of a policy, a unit that is a policy's only one, no finite value."""
+    monkeypatch.setattr(leave_out, "CHUNK_BITS", 4)
+    rng = np.random.default_rng(8)
+    rows = [(int(u), p, float(round(x, 1))) for p, n in (("a", 150), ("b", 90)) for u, x in zip(rng.integers(0, 12, n), rng.normal(size=n), strict=True)]
+    rows += [(12, "a", float(x)) for x in rng.normal(size=150)] + [(13, "a", float("nan")), (14, "c", 1.0), (14, "c", 3.0)]
+    df = spark.createDataFrame(rows, "unit_ix bigint, policy_id string, value double")
+    for name, params in (("median", {}), ("quantile", {"q": 0.83}), ("cvar", {"alpha": 0.8, "tail": "upper"}), ("cvar", {"alpha": 0.9, "tail": "lower"}), ("trimmed_mean", {"trim": 0.2}), ("min", {}), ("max", {})):
+        made = resample._jackknife(df, ("a", "b", "c"), name, params, 16)
+        assert made["unit_ix"].tolist() == list(range(16))
+        for k, p in enumerate("abc"):
+            for u, e in zip(made["unit_ix"], made[f"e{k}"], strict=True):
+                left = [v for i, q, v in rows if q == p and i != u and np.isfinite(v)]
+                want = estimators.estimate(name, left, **params) if left else np.nan
+                assert e == pytest.approx(want, abs=1e-9, nan_ok=True), (name, p, u)
+
+
+@pytest.mark.parametrize("name", ["mean", "median"])
+def test_two_stages(spark, name):
+    """Units, then sub-units within unit and policy: against the draws' definition, null sub-units and several rows included."""
+    rng = np.random.default_rng(5)
+    rows = [(int(u), p, None if s == 0 else f"s{s}", float(rng.normal())) for u in range(6) for p in "ab" for s in range(int(rng.integers(1, 5))) for _ in range(int(rng.integers(1, 3)))]
+    df = spark.createDataFrame(rows, "unit_ix bigint, policy_id string, sub string, value double")
+    within, drawn = resample.two_stage(df, 3, 20, 6)
+    got = resample._replicates(within, ("a", "b"), name, {}, [drawn]).toPandas().set_index("b")
+    word = lambda *c: int(hashlib.md5("|".join(map(str, c)).encode()).hexdigest()[:8], 16)
+    for b in range(20):
+        for k, p in enumerate("ab"):
+            taken = []
+            for slot in range(6):
+                unit = word(3, 0, b, slot) % 6
+                subs = sorted({r[2] for r in rows if r[:2] == (unit, p)}, key=lambda s: (s is not None, s or ""))
+                for i in range(len(subs)):
+                    pick = subs[word(3, 2, b, slot, i) % len(subs)]
+                    taken += [r[3] for r in rows if r[:3] == (unit, p, pick)]
+            assert got.loc[b, f"e{k}"] == pytest.approx(estimators.estimate(name, taken))
+    assert got.loc[resample.ITSELF, "e0"] == pytest.approx(estimators.estimate(name, [r[3] for r in rows if r[1] == "a"]))
+
+
 def test_refusals_of_the_bootstrap(spark):
     one = spark.createDataFrame([("u", "a", 1.0, None), ("u", "b", 2.0, None)], "unit string, policy_id string, value double, sub string")
     with pytest.raises(resample.BootstrapError):
