@@ -512,11 +512,113 @@ def test_classifiers(spark, corpus, operator, column, divisor, rest):
     # held-out labels change nothing
     flipped = [(i, 1 - q, 1 - t) if i in held else (i, q, t) for i, q, t in labels]
     again = {r["doc_id"]: r["score"] for r in operator(*made_of(spark, docs, flipped)).collect()}
-    assert all(again[i] == pytest.approx(made[i]["score"], abs=0.05) for i, _ in docs)
+    assert all(again[i] == pytest.approx(made[i]["score"], abs=1e-9) for i, _ in docs)
     none = operator(corpus, corpus.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))).collect()
     assert len(none) == corpus.count() and {r["score"] for r in none} == {0.5}
 
 
+def awkward_labelled(spark):
+    """Repeated, null and empty rows, repeated and null labels, and columns with names that the operators use."""
+    docs, labels = labelled(160)
+    docs += [docs[3], docs[4], (5, "another text of five"), (None, "no id $$$"), (900, None), (901, ""), (902, "word " * 3000)]
+    labels += [labels[3], labels[8], (None, 1, 1), (900, 0, 0), (901, None, None), (999, 1, 0)]
+    d, y = made_of(spark, docs, labels)
+    d = d.select(F.lit(7).alias("score"), "doc_id", F.lit("x").alias("features"), F.lit(0).alias("toxic"), "text", F.lit(1).alias("quality"), F.lit(2.0).alias("length"), F.lit(3).alias("label"))
+    return docs, labels, d, y.select("quality", F.lit("t").alias("text"), "toxic", "doc_id", F.lit(1).alias("length"), F.lit(1).alias("n"))
+
+
+def training_rows(docs, labels, column, divisor, rest):
+    """(text, label) of every document and label row with one id that labels are learned from."""
+    known = [(y[0], y[column]) for y in labels if y[0] is not None and y[column] in (0, 1) and zlib.crc32(str(y[0]).encode()) % divisor != rest]
+    return [(t, y) for i, y in known for j, t in docs if i == j], Counter(y for _, y in known)
+
+
+def brute_ngrams(text):
+    """The set of hashed n-grams, one n-gram at a time."""
+    data, low = "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in text or "").encode(), 2**32 - 1
+    found = set()
+    for n in toxicity.SIZES:
+        for i in range(len(data) - n + 1):
+            h = (sum(b * pow(0x9E3779B1, k, 2**32) for k, b in enumerate(data[i : i + n])) & low) ^ n
+            h = h * 0x85EBCA6B & low
+            found.add(((h ^ h >> 15) * 0x9E3779B1 & low) >> 32 - toxicity.BITS)
+    return found
+
+
+def test_toxicity_against_dense_matrices(spark):
+    docs, labels, d, y = awkward_labelled(spark)
+    train, shares = training_rows(docs, labels, 2, 4, 2)
+    sets, toxic = [brute_ngrams(t) for t, _ in train], np.array([bool(v) for _, v in train])
+    names = sorted(set().union(*sets))
+    seen = np.array([[name in s for name in names] for s in sets], float)
+    a, b = toxic.sum(), (~toxic).sum()
+    p, q = (seen[toxic].sum(axis=0) + 1) / (a + 2), (seen[~toxic].sum(axis=0) + 1) / (b + 2)
+    used = abs(p - q) >= toxicity.SIGNIFICANT * np.sqrt(p * (1 - p) / a + q * (1 - q) / b)
+    ratio = np.log(p / q)
+    x = np.column_stack([(seen * ratio)[:, used], np.ones(len(train))])
+    share = np.where(toxic, 0.5 / a, 0.5 / b)
+    w, m, v = np.zeros(x.shape[1]), 0, 0
+    small = np.array([1e-6] * used.sum() + [1e-8])
+    for k in range(1, toxicity.STEPS + 1):
+        slope = x.T @ ((1 / (1 + np.exp(-x @ w)) - toxic) * share) + toxicity.PENALTY * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+        w -= toxicity.RATE * m / (1 - 0.9**k) / (np.sqrt(v / (1 - 0.99**k)) + small)
+    weight = {name: r * c for name, r, c in zip(np.array(names)[used], ratio[used], w, strict=False)}
+    bias = w[-1] + toxicity.PRIOR * np.log(shares[1] / shares[0])
+    want = [(i, 1 / (1 + np.exp(-bias - sum(weight.get(g, 0) for g in brute_ngrams(t))))) for i, t in docs]
+    got = [(r["doc_id"], r["score"]) for r in toxicity.toxicity(d, y).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert [r[0] for r in sorted(got, key=order)] == [r[0] for r in sorted(want, key=order)]
+    assert [r[1] for r in sorted(got, key=order)] == pytest.approx([r[1] for r in sorted(want, key=order)], abs=1e-4)
+    assert used.sum() > 5 and len({round(s, 3) for _, s in got}) > 5
+
+
+def brute_statistics(text):
+    words = (text or "").split()
+    if not words:
+        return [0.0] * 11
+    n, lines = len(words), [x for x in text.split("\n") if x]
+    count = lambda kind: sum(len(re.findall(kind, c)) for c in text)
+    capitals, small = count("[A-Z]"), sum(1 if c.isascii() else len(c.encode()) for c in text if "a" <= c <= "z" or not c.isascii())
+    most = max(words.count(w) for w in set(words))
+    return [
+        np.log(1 + n), np.log(len(text) / n), (count(r"[#$%&*+/<=>@\\^_`|~!{}\[\]]") / n) ** 0.5, (capitals / (capitals + small + 1)) ** 0.5, (count("[0-9]") / n) ** 0.5, (count("[.,;:?]") / n) ** 0.5,
+        (len(lines) / n) ** 0.5, np.log(1 + n / len(set(words))) / np.log(1 + np.log(1 + n)), (sum(a == b for a, b in zip(words, words[1:], strict=False)) / n) ** 0.5, (most / n) ** 0.5, (1 - len(set(lines)) / len(lines)) ** 0.5 if lines else 0.0,
+    ]
+
+
+def test_quality_against_plain_densities(spark):
+    docs, labels, d, y = awkward_labelled(spark)
+    docs += [(903, "Ünï x\nA#b {1}\nA#b {1}\n\n7,8;9"), (904, "\n \n"), (905, "GO go GO")]
+    d = d.unionByName(spark.createDataFrame(docs[-3:], "doc_id bigint, text string"), allowMissingColumns=True)
+    train, _ = training_rows(docs, labels, 1, 5, 0)
+    table, good = np.array([brute_statistics(t) for t, _ in train]), np.array([v for _, v in train])
+    scale = np.maximum(table.std(axis=0), 1e-9**0.5)
+    z = (table - table.mean(axis=0)) / scale
+    covs = {v: np.cov(z[good == v].T, bias=True) for v in (0, 1)}
+    pooled = sum(covs[v] * (good == v).mean() for v in (0, 1))
+
+    def density(x, v):
+        cov = (1 - quality.POOLED) * covs[v] + quality.POOLED * pooled
+        cov = np.where(np.eye(11) > 0, cov + quality.FLOOR * np.eye(11), (1 - quality.DIAGONAL) * cov)
+        off = x - z[good == v].mean(axis=0)
+        return np.log((good == v).mean()) - 0.5 * (np.linalg.slogdet(cov)[1] + off @ np.linalg.solve(cov, off))
+
+    want = []
+    for i, t in docs:
+        x = (np.array(brute_statistics(t)) - table.mean(axis=0)) / scale
+        margin = density(x, 1) - density(x, 0)
+        odds = (1 + abs(margin)) ** np.sign(margin)
+        want.append((i, odds / (1 + odds)))
+    got = [(r["doc_id"], r["score"]) for r in quality.quality(d, y).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert [r[0] for r in sorted(got, key=order)] == [r[0] for r in sorted(want, key=order)]
+    assert [r[1] for r in sorted(got, key=order)] == pytest.approx([r[1] for r in sorted(want, key=order)], abs=1e-6)
+    kept = quality.drop_rejected(d.select("doc_id", "text", "length"), y)
+    assert kept.columns == ["doc_id", "text", "length"]
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, s in want if s >= 0.3)
+
+
 def test_commonest_word_wherever_it_stands():
     at = quality.NAMES.index("commonest")
     some = ["buy"] * 30 + [f"w{i}" for i in range(20)] + ["buy"] + [f"v{i}" for i in range(50)]
