@@ -11,7 +11,7 @@ random into shards of about ``SHARD`` pieces, each packed in one task: the last,
 filled windows of a shard are its only loss, a fixed number per shard.
 
 Defined results: null text counts as empty, so it is the single id 0; strings of special
-tokens are ordinary text; repeated rows are packed each; a null id stays null; an empty
+tokens are those tokens, as the tokenizer reads them; repeated rows are packed each; a null id stays null; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -37,7 +37,7 @@ SHARD = 32768
 LONG_STRETCH = 2000
 
 
-def _byte_of() -> dict[str, int]:
+def byte_of() -> dict[str, int]:
     """The usual byte-level alphabet: printable Latin-1 stands for itself, other bytes for 256 and up in order."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -45,39 +45,48 @@ def _byte_of() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of a byte-level BPE file.  A faster encoder built from the same vocabulary does ordinary texts."""
+    """Ids of a byte-level BPE file, as ``tokenizers`` gives them without adding special tokens.
 
-    def __init__(self, path: str) -> None:
+    Strings of special tokens that stand in a text are those tokens, or with ``plain`` ordinary text.  A faster encoder
+    built from the same vocabulary does ordinary texts.
+    """
+
+    def __init__(self, path: str, plain: bool = False) -> None:
         import tiktoken
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.slow.encode_special_tokens = plain
         self.fast = None
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
-        special = {t["content"] for t in parts.get("added_tokens") or ()}
+        added = parts.get("added_tokens") or ()
+        special = {t["content"]: t["id"] for t in added}
+        self.special = () if plain else tuple(special)
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the usual byte-level split
         split = parts.get("pre_tokenizer") or {}
-        plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not parts.get("normalizer")
-        if plain and parts["model"].get("type") == "BPE":
-            alphabet = _byte_of()
+        usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not parts.get("normalizer")
+        usual = usual and not any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip"))
+        if usual and parts["model"].get("type") == "BPE":
+            alphabet = byte_of()
             ranks = {bytes(alphabet[c] for c in t): i for t, i in parts["model"]["vocab"].items() if t not in special}
             merges = [m.split(" ") if isinstance(m, str) else m for m in parts["model"]["merges"]]
             merged = [parts["model"]["vocab"][a + b] for a, b in merges]
             if len(ranks) == 256 + len(merged) and merged == sorted(merged):  # then ranks say as much as the list of merges
-                self.fast = tiktoken.Encoding("fast", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+                self.fast = tiktoken.Encoding("fast", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, text: str) -> list[int]:
         if self.fast is None or len(text) > LONG_STRETCH and max(map(len, text.split(" "))) > LONG_STRETCH:
             return self.slow.encode(text, add_special_tokens=False).ids
+        if any(s in text for s in self.special):
+            return self.fast.encode(text, allowed_special="all")
         return self.fast.encode_ordinary(text)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One per Python worker and file."""
-    return Encoder(path)
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """One per Python worker, file and reading of special tokens."""
+    return Encoder(path, plain)
 
 
 def default_tokenizer() -> str:

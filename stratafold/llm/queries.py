@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratafold.llm.alignment import alignment
 from stratafold.llm.exact_dedup import exact_duplicates
 from stratafold.llm.jaccard import jaccard_components
 from stratafold.llm.licenses import license_scan
+from stratafold.llm.line_dedup import line_digests
 from stratafold.llm.mixing import sampled
 from stratafold.llm.near_vectors import near_vectors
 from stratafold.llm.packing import pack
@@ -16,6 +18,7 @@ from stratafold.llm.quality import quality
 from stratafold.llm.repeats import without_repeats
 from stratafold.llm.secrets import secret_digests
 from stratafold.llm.toxicity import toxicity
+from stratafold.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +67,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(_table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -76,6 +91,9 @@ def queries() -> dict[str, Query]:
         "op8_near_vectors": op8_near_vectors,
         "op9_toxicity": op9_toxicity,
         "op10_quality": op10_quality,
+        "op11_alignment": op11_alignment,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_whitening": op13_whitening,
     }
 
 
@@ -149,4 +167,18 @@ SELECT doc_id, size, source_size, target,
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op12_line_dedup": """
+WITH lines AS (
+  SELECT r, doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS i
+  FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), common AS (
+  SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) >= 3
+), told AS (
+  SELECT k.*, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.top AS gone FROM keyed k LEFT JOIN common c ON k.key = c.key
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM told GROUP BY r""",
 }
