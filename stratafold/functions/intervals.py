@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
@@ -9,6 +11,22 @@ import numpy as np
 _NORMAL = NormalDist()
 
 
+@dataclass(frozen=True)
+class Influence:
+    """Leave-one-out estimates by their number, those that are finite, and their skewness (null where they do not vary)."""
+
+    n: int
+    n_finite: int
+    skewness: float | None
+
+    @property
+    def acceleration(self) -> float | None:
+        """Sum of cubed gaps to the mean over six times the sum of squared gaps to the power 3/2."""
+        if self.skewness is None or not math.isfinite(self.skewness):
+            return None
+        return -self.skewness / (6 * math.sqrt(self.n))
+
+
 def percentile(replicates: np.ndarray, level: float) -> tuple[float, float]:
     a = (1 - level) / 2
     low, high = np.quantile(replicates, [a, 1 - a])
@@ -20,19 +38,16 @@ def basic(point: float, replicates: np.ndarray, level: float) -> tuple[float, fl
     return 2 * point - high, 2 * point - low
 
 
-def bca(point: float, replicates: np.ndarray, level: float, jackknife: np.ndarray) -> tuple[float, float] | str:
+def bca(point: float, replicates: np.ndarray, level: float, left: Influence | None) -> tuple[float, float] | str:
     """Bias-corrected and accelerated interval, or why there is none."""
-    if len(jackknife) < 3 or not np.isfinite(jackknife).all():
+    if left is None or left.n < 3 or left.n_finite < left.n:
         return "fewer than three finite leave-one-out estimates"
     below = float(np.mean(replicates < point))
     if below in (0.0, 1.0):
         return "all replicates lie on one side of the estimate"
-    bias = _NORMAL.inv_cdf(below)
-    gap = jackknife.mean() - jackknife
-    scale = 6 * float((gap**2).sum()) ** 1.5
-    if not np.isfinite(scale) or scale == 0:
+    bias, speed = _NORMAL.inv_cdf(below), left.acceleration
+    if speed is None:
         return "leave-one-out estimates do not vary"
-    speed = float((gap**3).sum()) / scale
     ends = []
     for tail in ((1 - level) / 2, (1 + level) / 2):
         shifted = bias + _NORMAL.inv_cdf(tail)
@@ -44,12 +59,12 @@ def bca(point: float, replicates: np.ndarray, level: float, jackknife: np.ndarra
     return ends[0], ends[1]
 
 
-def interval(point: float, replicates: np.ndarray, level: float, method: str, jackknife: np.ndarray | None = None) -> tuple[float, float, str, str]:
+def interval(point: float, replicates: np.ndarray, level: float, method: str, left: Influence | None = None) -> tuple[float, float, str, str]:
     """Ends, the method that was used and a note if it is not the one asked for."""
     if method == "basic":
         return *basic(point, replicates, level), "basic", ""
     if method == "bca":
-        found = bca(point, replicates, level, jackknife if jackknife is not None else np.zeros(0))
+        found = bca(point, replicates, level, left)
         if not isinstance(found, str):
             return *found, "bca", ""
         return *percentile(replicates, level), "percentile", f"percentile instead of bca: {found}"

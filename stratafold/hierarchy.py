@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.issues import Issue
-from stratafold.jobs import together
+from stratafold.operators.dependencies import Determined, dependencies, grouped_dependencies
 from stratafold.schema import OUTCOME_COLUMNS, REQUIRED_COLUMNS
 
 DEFAULT_ORDER = ("world_id", "event_id", "resident_id")
@@ -81,18 +81,21 @@ def unit_label(keys: tuple[str, ...]) -> Column:
 unit_labels = unit_label
 
 
-def _max_partners(records: DataFrame, a: str, b: str) -> Column:
-    return records.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a).agg(F.countDistinct(b).alias("n")).agg(F.max("n").alias("n"))
+def nesting_relations(records: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], str]:
+    """one_to_one, a_within_b, b_within_a or crossed (also when the two never meet) of every pair, from one scan."""
+    known = dependencies(records, [c for pair in pairs for c in pair])
+    return {(a, b): _relation(known[a].by[b], known[b].by[a]) for a, b in pairs}
+
+
+def _relation(down: bool | None, up: bool | None) -> str:
+    if down:
+        return "one_to_one" if up else "a_within_b"
+    return "b_within_a" if up else "crossed"
 
 
 def nesting_relation(records: DataFrame, a: str, b: str) -> str:
-    """one_to_one, a_within_b, b_within_a or crossed (also when no pair is there)."""
-    b_per_a, a_per_b = (r[0] for r in together(lambda: _max_partners(records, a, b).first(), lambda: _max_partners(records, b, a).first()))
-    if b_per_a is None:
-        return "crossed"
-    if b_per_a == 1:
-        return "one_to_one" if a_per_b == 1 else "a_within_b"
-    return "b_within_a" if a_per_b == 1 else "crossed"
+    """``nesting_relations`` of one pair."""
+    return nesting_relations(records, [(a, b)])[a, b]
 
 
 def candidate_units(records: DataFrame, spec: InferenceSpec) -> list[str]:
@@ -100,18 +103,16 @@ def candidate_units(records: DataFrame, spec: InferenceSpec) -> list[str]:
     return [c for c in records.columns if c.endswith("_id") and c not in spec.levels and c != "policy_id"]
 
 
-def check_structure(records: DataFrame, spec: InferenceSpec) -> list[Issue]:
-    """Issues of the declared nesting; relations are read from the data, coarser level first."""
-    missing = [c for c in spec.levels if c not in records.columns]
-    if missing:
-        return [Issue("error", "undeclared_unit_column_missing", f"declared level column(s) not in the records: {', '.join(missing)}")]
+def _compared(records: DataFrame, spec: InferenceSpec) -> tuple[list[tuple[str, str]], list[str]]:
+    """Declared neighbours, coarser first, and other columns that may group the units."""
+    return list(zip(spec.levels, spec.levels[1:], strict=False)), candidate_units(records, spec)
+
+
+def _structure_issues(spec: InferenceSpec, nested: list[tuple[str, str]], others: list[str], known: dict[str, Determined]) -> list[Issue]:
     issues: list[Issue] = []
-    nested, others = list(zip(spec.levels, spec.levels[1:], strict=False)), candidate_units(records, spec)
-    pairs = [*nested, *((spec.primary_unit, other) for other in others)]
-    units, *found = together(lambda: records.select(F.countDistinct(spec.primary_unit)).first()[0], *(partial(nesting_relation, records, a, b) for a, b in pairs))
-    relations = dict(zip(pairs, found, strict=True))
+    relation_of = lambda a, b: _relation(known[a].by[b], known[b].by[a])
     for outer, inner in nested:
-        relation = relations[outer, inner]
+        relation = relation_of(outer, inner)
         if relation == "a_within_b":
             issues.append(Issue("error", "inverted_nesting", f"{outer} is nested in {inner}, the reverse of what is declared"))
         elif relation == "crossed":
@@ -119,16 +120,37 @@ def check_structure(records: DataFrame, spec: InferenceSpec) -> list[Issue]:
         elif relation == "one_to_one":
             issues.append(Issue("warning", "degenerate_level", f"each {outer} has exactly one {inner}; the level adds nothing"))
     for other in others:
-        if relations[spec.primary_unit, other] == "a_within_b":
+        if relation_of(spec.primary_unit, other) == "a_within_b":
             issues.append(Issue("error", "undeclared_coarser_grouping", f"{spec.primary_unit} is nested in {other}, which is not declared; units in one {other} are not independent"))
+    units = known[spec.primary_unit].values
     if units <= 1:
         issues.append(Issue("error", "single_primary_unit", f"{spec.primary_unit} has {units} distinct value(s); nothing can be resampled"))
     return issues
 
 
+def check_structure(records: DataFrame, spec: InferenceSpec) -> list[Issue]:
+    """Issues of the declared nesting; relations are read from the data in one scan, coarser level first."""
+    missing = [c for c in spec.levels if c not in records.columns]
+    if missing:
+        return [Issue("error", "undeclared_unit_column_missing", f"declared level column(s) not in the records: {', '.join(missing)}")]
+    nested, others = _compared(records, spec)
+    return _structure_issues(spec, nested, others, dependencies(records, [*spec.levels, *others]))
+
+
+def grouped_structure(records: DataFrame, spec: InferenceSpec, group: str) -> dict[str, list[Issue]]:
+    """``check_structure`` of every group of records that have the declared columns, still in one scan."""
+    nested, others = _compared(records, spec)
+    found = grouped_dependencies(records, [*spec.levels, *others], group)
+    return {name: _structure_issues(spec, nested, others, known) for name, known in found.items()}
+
+
 def require_valid_structure(records: DataFrame, spec: InferenceSpec) -> list[Issue]:
     """Warnings; raises on errors."""
-    issues = check_structure(records, spec)
+    return without_errors(check_structure(records, spec))
+
+
+def without_errors(issues: list[Issue]) -> list[Issue]:
+    """The issues; raises if one is an error."""
     errors = [i for i in issues if i.severity == "error"]
     if errors:
         raise InferenceStructureError("; ".join(f"{i.code}: {i.message}" for i in errors), errors)

@@ -138,7 +138,7 @@ MUTANTS = (
     Mutant("p_value_read_as_equivalence", decisions, "classify_difference", lambda f: lambda *a, **k: ("statistically_equivalent", None) if f(*a, **k)[0] == "inconclusive" else f(*a, **k), _not_equivalent),
     Mutant("reversed_metric_orientation", MetricSpec, "better", lambda _: lambda self, d: d > 0 if self.direction == "lower_is_better" else d < 0, _orientation),
     Mutant("cvar_wrong_tail", estimators, "_taken", lambda f: lambda x, w, skip, take: f(-x, w, skip, take) * -1, _tail),
-    Mutant("failed_runs_dropped_silently", compare, "run_status_ledger", lambda f: lambda df, spec, unit: f(df.where(F.col(spec.status_column) == "completed"), spec, unit), _ledger),
+    Mutant("failed_runs_dropped_silently", compare, "run_status_ledger", lambda f: lambda df, *a: f(df.where(F.col(a[0].status_column) == "completed"), *a), _ledger),
     Mutant("uneven_unit_reuse_unreported", pairing, "imbalance", lambda f: lambda *a, **k: f(*a, **k).withColumn("flagged", F.lit(False)), _uneven),
     Mutant("multiplicity_family_ignored", decisions, "adjust", lambda _: lambda p, method: dict(p), _family),
     Mutant("strata_incorrectly_merged", strata, "unit_strata", lambda f: lambda *a: f(*a).withColumn("stratum", F.lit("all")), _strata),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,35 +24,36 @@ def _reason(df: DataFrame, reason: str) -> Column:
     return F.when(F.length(F.trim(reason)) > 0, F.col(reason)).otherwise(F.lit(UNSPECIFIED))
 
 
-def failure_totals(df: DataFrame, success: str = "mission_success", reason: str = "failure_reason") -> DataFrame:
-    """Per policy: observations and failures."""
-    return df.groupBy("policy_id").agg(F.count("*").alias("observations"), F.count_if(_failed(df, success, reason)).alias("failures"))
+def failure_totals(df: DataFrame, success: str = "mission_success", reason: str = "failure_reason", keys: Sequence[str] = ()) -> DataFrame:
+    """Per policy (of each group by keys): observations and failures."""
+    return df.groupBy(*keys, "policy_id").agg(F.count("*").alias("observations"), F.count_if(_failed(df, success, reason)).alias("failures"))
 
 
-def failure_table(df: DataFrame, success: str = "mission_success", reason: str = "failure_reason") -> DataFrame:
-    """Per policy and reason: failures, share of the policy's failures, rate of its observations."""
-    marked = df.select("policy_id", _failed(df, success, reason).alias("failed"), _reason(df, reason).alias("reason"))
-    counts = marked.groupBy("policy_id", "reason").agg(F.count("*").alias("all"), F.count_if("failed").alias("failures"))
-    policy = Window.partitionBy("policy_id")
+def failure_table(df: DataFrame, success: str = "mission_success", reason: str = "failure_reason", keys: Sequence[str] = ()) -> DataFrame:
+    """Per policy and reason (of each group by keys): failures, share of the policy's failures, rate of its observations."""
+    marked = df.select(*keys, "policy_id", _failed(df, success, reason).alias("failed"), _reason(df, reason).alias("reason"))
+    counts = marked.groupBy(*keys, "policy_id", "reason").agg(F.count("*").alias("all"), F.count_if("failed").alias("failures"))
+    policy = Window.partitionBy(*keys, "policy_id")
     made = counts.withColumns({"observations": F.sum("all").over(policy), "total": F.sum("failures").over(policy)}).where("failures > 0")
-    return made.select("policy_id", "reason", "failures", (F.col("failures") / F.col("total")).alias("share_of_failures"), (F.col("failures") / F.col("observations")).alias("rate"))
+    return made.select(*keys, "policy_id", "reason", "failures", (F.col("failures") / F.col("total")).alias("share_of_failures"), (F.col("failures") / F.col("observations")).alias("rate"))
 
 
-def failure_shifts(df: DataFrame, unit: str, baseline: str, candidate: str, success: str = "mission_success", reason: str = "failure_reason") -> DataFrame:
-    """Per reason: mean over shared units of the rates under both policies and their difference.
+def failure_shifts(df: DataFrame, unit: str, baseline: str, candidate: str, success: str = "mission_success", reason: str = "failure_reason", keys: Sequence[str] = ()) -> DataFrame:
+    """Per reason (of each group by keys): mean over shared units of the rates under both policies and their difference.
 
     A unit's rate is its failures of the reason over all its observations.  The dense grid
     of units, policies and reasons is never built: a unit without a failure of the reason
     adds 0, so sums of rates over the number of shared units are enough.
     """
-    own = df.where(F.col("policy_id").isin(baseline, candidate)).select(F.col(unit).alias("unit"), "policy_id", _failed(df, success, reason).alias("failed"), _reason(df, reason).alias("reason"))
-    sizes = own.groupBy("unit", "policy_id").agg(F.count("*").alias("n"))
-    both = sizes.groupBy("unit").agg(F.count("*").alias("arms")).where("arms = 2").select("unit")
-    rates = own.where("failed").groupBy("unit", "policy_id", "reason").agg(F.count("*").alias("k")).join(sizes, ["unit", "policy_id"]).join(both, "unit", "left_semi")
+    own = df.where(F.col("policy_id").isin(baseline, candidate)).select(*keys, F.col(unit).alias("unit"), "policy_id", _failed(df, success, reason).alias("failed"), _reason(df, reason).alias("reason"))
+    sizes = own.groupBy(*keys, "unit", "policy_id").agg(F.count("*").alias("n"))
+    both = sizes.groupBy(*keys, "unit").agg(F.count("*").alias("arms")).where("arms = 2").select(*keys, "unit")
+    rates = own.where("failed").groupBy(*keys, "unit", "policy_id", "reason").agg(F.count("*").alias("k")).join(sizes, [*keys, "unit", "policy_id"]).join(both, [*keys, "unit"], "left_semi")
     rate = F.col("k") / F.col("n")
-    sums = rates.groupBy("reason").agg(*(F.coalesce(F.sum(F.when(F.col("policy_id") == p, rate)), F.lit(0.0)).alias(name) for p, name in ((baseline, "base"), (candidate, "cand"))))
-    n = both.agg(F.count("*").alias("n_units"))
-    return sums.crossJoin(F.broadcast(n)).select("reason", (F.col("base") / F.col("n_units")).alias("baseline_rate"), (F.col("cand") / F.col("n_units")).alias("candidate_rate"), ((F.col("cand") - F.col("base")) / F.col("n_units")).alias("shift"), "n_units")
+    sums = rates.groupBy(*keys, "reason").agg(*(F.coalesce(F.sum(F.when(F.col("policy_id") == p, rate)), F.lit(0.0)).alias(name) for p, name in ((baseline, "base"), (candidate, "cand"))))
+    n = both.groupBy(*keys).agg(F.count("*").alias("n_units"))
+    joined = sums.join(n, list(keys)) if keys else sums.crossJoin(F.broadcast(n))
+    return joined.select(*keys, "reason", (F.col("base") / F.col("n_units")).alias("baseline_rate"), (F.col("cand") / F.col("n_units")).alias("candidate_rate"), ((F.col("cand") - F.col("base")) / F.col("n_units")).alias("shift"), "n_units")
 
 
 @dataclass
@@ -68,12 +70,27 @@ class FailureSummary:
 
 def summarize_failures(df: DataFrame, unit: str, baseline: str, candidates: list[str], reason: str = "failure_reason", success: str = "mission_success") -> FailureSummary | None:
     """All three tables, shifts for every candidate; None if the records tell nothing of failures."""
+    found = failure_summaries(df.withColumn("__all", F.lit("all")), unit, baseline, candidates, "__all", reason, success)
+    return None if found is None else found.get("all", FailureSummary([], [], {c: [] for c in candidates}))
+
+
+def failure_summaries(df: DataFrame, unit: str, baseline: str, candidates: list[str], key: str, reason: str = "failure_reason", success: str = "mission_success") -> dict[str, FailureSummary] | None:
+    """``summarize_failures`` of every group, in as many jobs as for one."""
     if success not in df.columns and reason not in df.columns:
         return None
-    rows = lambda t, *order: [r.asDict() for r in t.orderBy(*order).collect()]
+    rows = lambda t, *order: t.orderBy(key, *order).collect()
     totals, table, *shifts = together(
-        lambda: rows(failure_totals(df, success, reason), "policy_id"),
-        lambda: rows(failure_table(df, success, reason), "policy_id", F.col("failures").desc(), "reason"),
-        *(lambda c=c: rows(failure_shifts(df, unit, baseline, c, success, reason), F.col("shift").desc(), "reason") for c in candidates),
+        lambda: rows(failure_totals(df, success, reason, [key]), "policy_id"),
+        lambda: rows(failure_table(df, success, reason, [key]), "policy_id", F.col("failures").desc(), "reason"),
+        *(lambda c=c: rows(failure_shifts(df, unit, baseline, c, success, reason, [key]), F.col("shift").desc(), "reason") for c in candidates),
     )
-    return FailureSummary(totals, table, dict(zip(candidates, shifts, strict=True)))
+    out = {r[key]: FailureSummary([], [], {c: [] for c in candidates}) for r in totals}
+    plain = lambda r: {k: v for k, v in r.asDict().items() if k != key}
+    for r in totals:
+        out[r[key]].totals.append(plain(r))
+    for r in table:
+        out[r[key]].table.append(plain(r))
+    for c, found in zip(candidates, shifts, strict=True):
+        for r in found:
+            out[r[key]].shifts[c].append(plain(r))
+    return out

@@ -8,7 +8,7 @@ rows and units are only ever joined on a rank that one row has.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,39 +50,40 @@ FORMS: dict[str, Callable[..., Form]] = {
 }
 
 
-def _running(order: DataFrame) -> DataFrame:
-    """policy_id, rank, value and the sum of values up to the rank; windows hold at most a chunk of ranks."""
+def _running(order: DataFrame, by: list[str]) -> DataFrame:
+    """by, rank, value and the sum of values up to the rank; windows hold at most a chunk of ranks."""
     chunk = F.shiftright(F.col("rank") - 1, CHUNK_BITS)
     order = order.withColumn("chunk", chunk)
-    ahead = Window.partitionBy("policy_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = order.groupBy("policy_id", "chunk").agg(F.sum("value").alias("own")).withColumn("ahead", F.coalesce(F.sum("own").over(ahead), F.lit(0.0)))
-    inside = Window.partitionBy("policy_id", "chunk").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return order.withColumn("total", F.sum("value").over(inside)).join(sums, ["policy_id", "chunk"]).select("policy_id", "rank", "value", (F.col("total") + F.col("ahead")).alias("total"))
+    ahead = Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = order.groupBy(*by, "chunk").agg(F.sum("value").alias("own")).withColumn("ahead", F.coalesce(F.sum("own").over(ahead), F.lit(0.0)))
+    inside = Window.partitionBy(*by, "chunk").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    return order.withColumn("total", F.sum("value").over(inside)).join(sums, [*by, "chunk"]).select(*by, "rank", "value", (F.col("total") + F.col("ahead")).alias("total"))
 
 
-def leave_one_out(rows: DataFrame, units: DataFrame, estimator: str, params: dict) -> DataFrame:
-    """units(unit_ix, policy_id) with ``estimate``, that of the policy without the unit; null where nothing is left.
+def leave_one_out(rows: DataFrame, units: DataFrame, estimator: str, params: dict, keys: Sequence[str] = ()) -> DataFrame:
+    """units(keys, unit_ix, policy_id) with ``estimate``, that of the policy (in its group) without the unit; null where nothing is left.
 
-    rows: unit_ix, policy_id, value.  Policies without a finite value are absent.
+    rows: keys, unit_ix, policy_id, value.  Policies without a finite value are absent.
     """
     places, estimate = FORMS[estimator](**params)
-    have = rows.select("unit_ix", "policy_id", finite(F.col("value")).alias("value")).where(F.col("value").isNotNull())
-    order = ranked(have, ["policy_id"], "value", ["unit_ix"]).withColumnRenamed("__rank", "rank").drop("__n")
+    by = [*keys, "policy_id"]
+    have = rows.select(*by, "unit_ix", finite(F.col("value")).alias("value")).where(F.col("value").isNotNull())
+    order = ranked(have, by, "value", ["unit_ix"]).withColumnRenamed("__rank", "rank").drop("__n")
     order = materialize(order, "leave-out-ranks")
-    own = ranked(order, ["policy_id", "unit_ix"], "rank").withColumnsRenamed({"__rank": "place", "__n": "own_n"})
-    # One row per policy.
-    sizes = F.broadcast(order.groupBy("policy_id").agg(F.count("*").alias("whole")))
+    own = ranked(order, [*by, "unit_ix"], "rank").withColumnsRenamed({"__rank": "place", "__n": "own_n"})
+    # One row per group and policy.
+    sizes = F.broadcast(order.groupBy(*by).agg(F.count("*").alias("whole")))
     at = places(F.col("whole") - F.col("own_n"))
     before = [F.col("rank") - F.col("place") < t for t in at]
-    each = own.join(sizes, "policy_id").groupBy("unit_ix", "policy_id").agg(
+    each = own.join(sizes, by).groupBy(*by, "unit_ix").agg(
         F.max("own_n").alias("own_n"), *(F.count_if(b).alias(f"c{k}") for k, b in enumerate(before)), *(F.coalesce(F.sum(F.when(b, F.col("value"))), F.lit(0.0)).alias(f"o{k}") for k, b in enumerate(before))
     )
-    each = units.join(sizes, "policy_id").join(each, ["unit_ix", "policy_id"], "left").na.fill(0, ["own_n", "c0", "c1"]).na.fill(0.0, ["o0", "o1"])
+    each = units.join(sizes, by).join(each, [*by, "unit_ix"], "left").na.fill(0, ["own_n", "c0", "c1"]).na.fill(0.0, ["o0", "o1"])
     each = each.withColumn("n", F.col("whole") - F.col("own_n"))
     at = places(F.col("n"))
-    looks = each.select("unit_ix", "policy_id", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (at[k] + F.col(f"c{k}")).alias("rank"), F.col(f"o{k}").alias("o")) for k in (0, 1)))).alias("look"))
-    looks = looks.select("unit_ix", "policy_id", "n", "look.*").join(_running(order), ["policy_id", "rank"], "left")
+    looks = each.select(*by, "unit_ix", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (at[k] + F.col(f"c{k}")).alias("rank"), F.col(f"o{k}").alias("o")) for k in (0, 1)))).alias("look"))
+    looks = looks.select(*by, "unit_ix", "n", "look.*").join(_running(order, by), [*by, "rank"], "left")
     pick = lambda c, k: F.max(F.when(F.col("k") == k, c))
     v = [pick(F.col("value"), k) for k in (0, 1)]
     s = [pick(F.coalesce("total", F.lit(0.0)) - F.col("o"), k) for k in (0, 1)]
-    return looks.groupBy("unit_ix", "policy_id", "n").agg(estimate(F.col("n"), v, s).alias("estimate")).select("unit_ix", "policy_id", F.when(F.col("n") > 0, F.col("estimate")).alias("estimate"))
+    return looks.groupBy(*by, "unit_ix", "n").agg(estimate(F.col("n"), v, s).alias("estimate")).select(*by, "unit_ix", F.when(F.col("n") > 0, F.col("estimate")).alias("estimate"))

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafold.issues import Issue
+from stratafold.operators.dependencies import dependencies
 from stratafold.operators.pairing import shared_units
 from stratafold.schema import NON_STRATUM_COLUMNS
+from stratafold.scratch import materialize
 
 MISSING = "__missing__"
 #: Fewer units make a thin cell.
@@ -63,30 +65,40 @@ def composition_shift(records: DataFrame, unit: str, column: str, policies: Sequ
     return counts.select("policy_id", "stratum", F.round(every, 6).alias("share_all"), F.round(common, 6).alias("share_shared"), F.round(common - every, 6).alias("shift"))
 
 
+def unit_table(records: DataFrame, unit: str, columns: Sequence[str]) -> DataFrame:
+    """(unit, s0, s1, ..., first_policy, last_policy): ``unit_strata`` of all columns side by side, and the extremes of the unit's policies."""
+    values = F.array(*(F.struct(F.lit(k).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("stratum")) for k, c in enumerate(columns)))
+    each = records.select(F.col(unit).alias("unit"), "policy_id", F.explode(values).alias("s"))
+    counted = each.groupBy("unit", "s.column", "s.stratum").agg(F.count("*").alias("n"), F.min("policy_id").alias("low"), F.max("policy_id").alias("high"))
+    order = F.struct((-F.col("n")).alias("order"), "stratum")
+    modes = [F.min(F.when(F.col("column") == k, order))["stratum"].alias(f"s{k}") for k in range(len(columns))]
+    return counted.groupBy("unit").agg(*modes, F.min("low").alias("first_policy"), F.max("high").alias("last_policy"))
+
+
 def stratum_redundancy(records: DataFrame, unit: str, columns: Sequence[str]) -> list[Issue]:
-    """Strata that say nothing, too little, or the same as another or as the policy."""
-    issues, maps = [], {}
+    """Strata that say nothing, too little, or the same as another or as the policy: two jobs for any number of columns."""
     have = [c for c in columns if c in records.columns]
-    for c in have:
-        maps[c] = unit_strata(records, unit, c)
-        cells = maps[c].groupBy("stratum").agg(F.count("*").alias("n")).agg(F.count("*").alias("levels"), F.min("n").alias("least")).first()
-        if cells["levels"] <= 1:
+    if not have:
+        return []
+    units = materialize(unit_table(records, unit, have), "unit-strata")
+    names = [f"s{k}" for k in range(len(have))]
+    known = dependencies(units, names, {"policy": ("first_policy", "last_policy")})
+    several = units.agg(F.min("first_policy") != F.max("last_policy")).first()[0]
+    issues = []
+    for c, s in zip(have, names, strict=True):
+        if known[s].values <= 1:
             issues.append(Issue("warning", "single_level_stratum", f"{c} has one level", c))
             continue
-        if cells["least"] < THIN_CELL:
-            issues.append(Issue("warning", "thin_stratum_cell", f"{c} has a level with {cells['least']} unit(s)", c, cells["least"]))
-        arms = records.select(F.col(unit).alias("unit"), "policy_id").distinct().join(maps[c], "unit").groupBy("stratum").agg(F.countDistinct("policy_id").alias("n"))
-        every = records.select(F.countDistinct("policy_id")).first()[0]
-        if every > 1 and arms.agg(F.max("n")).first()[0] == 1:
+        if known[s].least < THIN_CELL:
+            issues.append(Issue("warning", "thin_stratum_cell", f"{c} has a level with {known[s].least} unit(s)", c, known[s].least))
+        if several and known[s].by["policy"]:
             issues.append(Issue("warning", "stratum_confounded_with_policy", f"each level of {c} has one policy only", c))
-    for a, b in combinations(maps, 2):
-        pairs = maps[a].join(maps[b].withColumnRenamed("stratum", "other"), "unit").select("stratum", "other").distinct()
-        ab = pairs.groupBy("stratum").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        ba = pairs.groupBy("other").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        if ab == ba == 1:
+    for (a, x), (b, y) in combinations(zip(have, names, strict=True), 2):
+        ab, ba = known[x].by[y], known[y].by[x]
+        if ab and ba:
             issues.append(Issue("warning", "identical_strata", f"{a} and {b} split the units alike", a))
-        elif 1 in (ab, ba):
-            issues.append(Issue("warning", "nested_strata", f"{a if ab == 1 else b} is nested in {b if ab == 1 else a}", a))
+        elif ab or ba:
+            issues.append(Issue("warning", "nested_strata", f"{a if ab else b} is nested in {b if ab else a}", a))
     return issues
 
 

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from stratafold.config import AnalysisConfig, Margin, MetricSpec
 from stratafold.functions import decisions, estimators, intervals
-from stratafold.hierarchy import InferenceStructureError, require_valid_structure, resolve_unit
+from stratafold.hierarchy import InferenceStructureError, grouped_structure, require_valid_structure, resolve_unit, without_errors
 from stratafold.issues import Issue
 from stratafold.jobs import together
 from stratafold.operators import pairing, resample
-from stratafold.operators.failures import FailureSummary, summarize_failures
-from stratafold.operators.prepare import PreparationLog, apply_filters, apply_missing_policy, apply_run_status, run_status_ledger, with_status
+from stratafold.operators.failures import FailureSummary, failure_summaries
+from stratafold.operators.prepare import PreparationLog, filter_log, filtered, missing_counts, run_status_ledger, status_logs, with_missing_policy, with_status
 from stratafold.operators.rollup import panel
 from stratafold.operators.strata import WIDE_GAP, allocation_balance, unit_strata
 from stratafold.operators.validate import validate_for_config
@@ -26,6 +26,12 @@ from stratafold.provenance import Provenance, provenance_for
 from stratafold.scratch import materialize
 
 ROLE_ORDER = {"primary": 0, "secondary": 1, "exploratory": 2}
+#: Column that names a row's group; the group of all rows, and what the names of the others begin with.
+GROUP = "__group"
+WHOLE = "whole"
+LEVEL = "level:"
+#: Why a group has no comparison.
+Refused = InferenceStructureError | pairing.PairingError | resample.BootstrapError
 #: Units that every policy shares in a stratum, at least, for a comparison within it.
 LEAST_UNITS = 5
 
@@ -88,21 +94,50 @@ class ComparisonResult:
         return pd.DataFrame([c.row() for c in rows])
 
 
-def _one(config: AnalysisConfig, metric: MetricSpec, rows: DataFrame, base: str, cand: str, source: Any) -> MetricComparison:
-    ask = config.comparison
-    own = pairing.build_paired_panel(rows, [base, cand], ask.require_common_units)
-    notes = [] if own.paired else ["the policies are compared on different sets of units"]
-    b = config.bootstrap
+@dataclass
+class _Facts:
+    """What one metric's comparison of two policies rests on, in one group."""
+
+    panel: pairing.PairedPanel
+    made: dict[str, resample.BootstrapResult]
+    overlap: list[dict[str, Any]]
+    effect: dict[str, dict[str, Any]]
+    uneven: dict[str, Any]
+
+
+def _without(row: dict[str, Any], *names: str) -> dict[str, Any]:
+    return {k: v for k, v in row.items() if k not in names}
+
+
+def _facts(config: AnalysisConfig, metric: MetricSpec, rows: DataFrame, base: str, cand: str) -> dict[str, _Facts | Refused]:
+    """By group, all groups in the same jobs.  rows: the metric's panel with the column ``GROUP``."""
+    ask, b = config.comparison, config.bootstrap
+    panels = pairing.paired_panels(rows, [base, cand], GROUP, ask.require_common_units)
+    out: dict[str, _Facts | Refused] = {g: p for g, p in panels.items() if isinstance(p, pairing.PairingError)}
+    panels = {g: p for g, p in panels.items() if g not in out}
+    if not panels:
+        return out
+    own = next(iter(panels.values())).rows
     bootstrap = partial(
-        resample.paired_cluster_bootstrap, own, metric.estimator, metric.parameters, n_resamples=b.n_resamples, seed=b.seed, confidence_level=b.confidence_level, method=b.method, hierarchical=b.hierarchical, paired=ask.paired and own.paired
+        resample.grouped_bootstraps, panels, GROUP, metric.estimator, metric.parameters, n_resamples=b.n_resamples, seed=b.seed, confidence_level=b.confidence_level, method=b.method, hierarchical=b.hierarchical, paired=ask.paired
     )
-    made, overlap, effect, uneven = together(
+    made, overlaps, effects, uneven = together(
         bootstrap,
-        lambda: [r.asDict() for r in pairing.overlap(rows, [base, cand]).collect()],
-        lambda: {r["policy_id"]: {k: v for k, v in r.asDict().items() if k != "policy_id"} for r in resample.design_effect(own.rows, ["policy_id"]).collect()},
-        lambda: pairing.imbalance_report(own.rows, [base, cand], config.missing_data.max_count_imbalance),
+        lambda: [r.asDict() for r in pairing.overlap(rows, [base, cand], [GROUP]).collect()],
+        lambda: [r.asDict() for r in resample.design_effect(own, [GROUP, "policy_id"]).collect()],
+        lambda: pairing.imbalance_reports(own, [base, cand], GROUP, config.missing_data.max_count_imbalance),
     )
-    gap = made["difference"]
+    for g, panel_ in panels.items():
+        found = made[g]
+        out[g] = found if isinstance(found, resample.BootstrapError) else _Facts(
+            panel_, found, [_without(r, GROUP) for r in overlaps if r[GROUP] == g], {r["policy_id"]: _without(r, GROUP, "policy_id") for r in effects if r[GROUP] == g}, uneven[g]
+        )
+    return out
+
+
+def _one(config: AnalysisConfig, metric: MetricSpec, facts: _Facts, base: str, cand: str, source: Any) -> MetricComparison:
+    own, made, gap = facts.panel, facts.made, facts.made["difference"]
+    notes = [] if own.paired else ["the policies are compared on different sets of units"]
     for arm, support in ((made["baseline"], (metric.bounds.lower, metric.bounds.upper)), (made["candidate"], (metric.bounds.lower, metric.bounds.upper)), (gap, metric.bounds.of_difference() or (None, None))):
         notes += intervals.outside(arm.low, arm.high, support)
     margin = config.margin_for(metric)
@@ -112,11 +147,11 @@ def _one(config: AnalysisConfig, metric: MetricSpec, rows: DataFrame, base: str,
     credible, why = estimators.credibility(metric.estimator, own.n_units)
     if not credible:
         notes.append(why)
-    notes += [f"shared units of {r['policy_id']} are not typical of its units: standardised shift {r['shift']:.2f}" for r in overlap if r["flagged"]]
-    if uneven["n_flagged"]:
-        notes.append(f"{uneven['n_flagged']} unit(s) have uneven numbers of values")
+    notes += [f"shared units of {r['policy_id']} are not typical of its units: standardised shift {r['shift']:.2f}" for r in facts.overlap if r["flagged"]]
+    if facts.uneven["n_flagged"]:
+        notes.append(f"{facts.uneven['n_flagged']} unit(s) have uneven numbers of values")
     out = MetricComparison(metric, base, cand, made["baseline"], made["candidate"], gap, verdict, {"candidate": cand, "baseline": base}.get(favours), same, safe, margin, own.n_units, own.coverage, own.estimand(), credible, [*notes, *gap.notes])
-    out.diagnostics = {"overlap": overlap, "design_effect": effect, "imbalance": uneven, "dropped_units": own.dropped}
+    out.diagnostics = {"overlap": facts.overlap, "design_effect": facts.effect, "imbalance": facts.uneven, "dropped_units": own.dropped}
     out.provenance = provenance_for(config, metric, base, cand, source, gap.method)
     return out
 
@@ -154,36 +189,78 @@ def compare_policies(records: DataFrame, config: AnalysisConfig, *, validate: bo
     The structure is always checked, on the unfiltered records: filters cannot rescue an
     invalid table.  Prepared rows are written once and read by every metric.
     """
-    unit = config.inference.primary_unit
     warnings = require_valid_structure(records, config.inference)
     if validate:
         report = validate_for_config(records, config)
         report.raise_if_invalid()
         warnings = report.warnings
-    kept, log = apply_filters(records, config.filters, unit)
-    status = config.missing_data.status_column
-    ledger = run_status_ledger(kept, config.missing_data, unit).orderBy("policy_id", "status") if status in kept.columns else None
-    ledger, (_, log), ready = together(
+    found = _compare_groups(records.withColumn(GROUP, F.lit(WHOLE)), config, [WHOLE], metrics, source)[WHOLE]
+    if isinstance(found, Exception):
+        raise found
+    found.warnings = warnings
+    return found
+
+
+def _compare_groups(records: DataFrame, config: AnalysisConfig, groups: Sequence[str], metrics: Sequence[str] | None, source: Any) -> dict[str, ComparisonResult | Refused]:
+    """The comparison of every group (column ``GROUP``), or why there is none.
+
+    Groups are keys of every aggregate, join and draw: the number of jobs follows metrics and candidates, not groups.
+    """
+    unit, missing = config.inference.primary_unit, config.missing_data
+    kept = filtered(records, config.filters)
+    ledger = run_status_ledger(kept, missing, unit, [GROUP]).orderBy(GROUP, "policy_id", "status") if missing.status_column in kept.columns else None
+    steps, ledger, status, ready = together(
+        lambda: [r.asDict() for r in filter_log(records, config.filters, unit, [GROUP]).orderBy(GROUP, "step").collect()],
         lambda: [r.asDict() for r in ledger.collect()] if ledger is not None else [],
-        lambda: apply_run_status(kept, config.missing_data, unit, log),
-        lambda: materialize(with_status(kept, config.missing_data), "compare-ready"),
+        lambda: status_logs(kept, missing, unit, GROUP),
+        lambda: materialize(with_status(kept, missing), "compare-ready"),
     )
-    base, cands = pairing.resolve_policies(ready, config.comparison.baseline, config.comparison.candidates)
+    have: dict[str, list[str]] = {}
+    for g, policy in sorted((r[0], r[1]) for r in ready.select(GROUP, "policy_id").where("policy_id is not null").distinct().collect()):  # a row for each group and policy
+        have.setdefault(g, []).append(policy)
+    out: dict[str, ComparisonResult | Refused] = {}
+    arms: dict[str, tuple[str, tuple[str, ...]]] = {}
+    for g in groups:
+        try:
+            base, cands = pairing.chosen_policies(have.get(g, []), config.comparison.baseline, config.comparison.candidates)
+            arms[g] = base, tuple(cands)
+        except pairing.PairingError as e:
+            out[g] = e
     chosen = [config.metric(m) for m in metrics] if metrics else sorted(config.metrics, key=lambda m: ROLE_ORDER[m.role])
-
-    def compared(metric: MetricSpec) -> tuple[dict[str, int], list[MetricComparison]]:
-        rows, seen = apply_missing_policy(ready, metric.column, config.missing_data, metric.direction == "lower_is_better")
-        rolled = materialize(panel(rows, config.inference, metric.column, resolve_unit(metric.level), config.aggregation), "compare-panel")
-        return seen.missing_by_policy, together(*(partial(_one, config, metric, rolled, base, cand, source) for cand in cands))
-
-    failures, *found = together(lambda: summarize_failures(ready, unit, base, cands, config.failure_column), *(partial(compared, m) for m in chosen))
-    out = [c for _, own in found for c in own]
-    if found:
-        log.missing_by_policy = found[-1][0]
-    families = _families(config, out)
-    for c in out:
-        c.p_adjusted = families[c.metric.role]["p_adjusted"][c.key]
-    return ComparisonResult(config, base, cands, out, log, ledger, warnings, detect_disagreements(out), failures, families)
+    pairs = sorted({(base, cand) for base, cands in arms.values() for cand in cands})
+    of = lambda rows, own: rows if len(own) == len(groups) else rows.where(F.col(GROUP).isin(own))
+
+    def compared(metric: MetricSpec) -> tuple[dict[str, dict[str, int]], dict[tuple[str, str], dict[str, _Facts | Refused]]]:
+        gone: dict[str, dict[str, int]] = {}
+        for r in missing_counts(ready, metric.column, [GROUP]).collect():
+            gone.setdefault(r[GROUP], {})[r["policy_id"]] = r["missing"]
+        rows = with_missing_policy(ready, metric.column, missing.policy, metric.direction == "lower_is_better", [GROUP])
+        rolled = materialize(panel(rows, config.inference, metric.column, resolve_unit(metric.level), config.aggregation, [GROUP]), "compare-panel")
+        calls = (partial(_facts, config, metric, of(rolled, [g for g, (base, cands) in arms.items() if base == b and c in cands]), b, c) for b, c in pairs)
+        return gone, dict(zip(pairs, together(*calls), strict=True))
+
+    kinds = sorted(set(arms.values()))
+    tables = (partial(failure_summaries, of(ready, [g for g in arms if arms[g] == kind]), unit, kind[0], list(kind[1]), GROUP, config.failure_column) for kind in kinds)
+    found = together(*tables, *(partial(compared, m) for m in chosen))
+    failures, told = dict(zip(kinds, found, strict=False)), dict(zip([m.name for m in chosen], found[len(kinds) :], strict=True))
+    for g, (base, cands) in arms.items():
+        facts = [(m, c, told[m.name][1][base, c].get(g, pairing.PairingError(f"policy {base} has no finite value"))) for m in chosen for c in cands]
+        refused = [f for _, _, f in facts if isinstance(f, Exception)]
+        if refused:
+            out[g] = refused[0]
+            continue
+        comparisons = [_one(config, m, f, base, c, source) for m, c, f in facts]
+        log = PreparationLog([_without(r, GROUP) for r in steps if r[GROUP] == g])
+        for name, value in status.get(g, {}).items():
+            setattr(log, name, value)
+        if chosen:
+            log.missing_by_policy = told[chosen[-1].name][0].get(g, {})
+        families = _families(config, comparisons)
+        for c in comparisons:
+            c.p_adjusted = families[c.metric.role]["p_adjusted"][c.key]
+        summary = failures[base, cands]
+        out[g] = ComparisonResult(config, base, list(cands), comparisons, log, [_without(r, GROUP) for r in ledger if r[GROUP] == g], [], detect_disagreements(comparisons), summary[g] if summary else None, families)
+    return out
 
 
 @dataclass
@@ -204,29 +281,41 @@ class StratifiedResult:
 
 
 def compare_by_stratum(records: DataFrame, config: AnalysisConfig, column: str, *, min_units: int = LEAST_UNITS, source: Any = None, metrics: Sequence[str] | None = None) -> StratifiedResult:
-    """The comparison within each level, units assigned to their commonest value."""
+    """The comparison overall and within each level, units assigned to their commonest value: all in the jobs of one comparison."""
     unit = config.inference.primary_unit
     if column not in records.columns:
         raise KeyError(f"stratum column {column} is not in the records")
-    mapped = records.join(unit_strata(records, unit, column).select(F.col("unit").alias(unit), F.col("stratum").alias("__stratum")), unit)
-    mapped = materialize(mapped, "strata-rows")
-    overall = compare_policies(records, config, validate=False, source=source, metrics=metrics)
-    policies = [overall.baseline, *overall.candidates]
-    arms = mapped.where(F.col("policy_id").isin(policies)).groupBy("__stratum", unit).agg(F.countDistinct("policy_id").alias("n"))
-    shared = {r[0]: r[1] for r in arms.groupBy("__stratum").agg(F.count_if(F.col("n") == len(policies))).collect()}
-
-    def within(level: str) -> ComparisonResult | str:
-        if shared[level] < min_units:
-            return f"{shared[level]} unit(s) have every policy; {min_units} are needed"
+    warnings = require_valid_structure(records, config.inference)
+    level_of = unit_strata(records, unit, column).select(F.col("unit").alias(unit), F.concat(F.lit(LEVEL), "stratum").alias("__level"))
+    grouped = records.join(level_of, unit, "left").withColumn(GROUP, F.explode(F.array(F.lit(WHOLE), "__level"))).where(F.col(GROUP).isNotNull()).drop("__level")
+    grouped = materialize(grouped, "strata-rows")
+    structure = grouped_structure(grouped.where(F.col(GROUP) != WHOLE), config.inference, GROUP)
+    arms = grouped.where(F.col("policy_id").isNotNull()).groupBy(GROUP, unit).agg(F.collect_set("policy_id").alias("arms"))
+    policies = [config.comparison.baseline, *config.comparison.candidates] if config.comparison.baseline and config.comparison.candidates else None
+    if policies is None:
+        ready = with_status(filtered(records, config.filters), config.missing_data)
+        base, cands = pairing.resolve_policies(ready, config.comparison.baseline, config.comparison.candidates)
+        policies = [base, *cands]
+    shared = {r[0]: r[1] for r in arms.groupBy(GROUP).agg(F.count_if(F.size(F.array_intersect("arms", F.lit(policies))) == len(set(policies)))).collect()}  # a row for each level
+    levels = sorted(g for g in structure if g in shared)
+    refused: dict[str, Exception | str] = {g: f"{shared[g]} unit(s) have every policy; {min_units} are needed" for g in levels if shared[g] < min_units}
+    for g in levels:
         try:
-            return compare_policies(mapped.where(F.col("__stratum") == level).drop("__stratum"), config, validate=False, source=source, metrics=metrics)
-        except (InferenceStructureError, pairing.PairingError, resample.BootstrapError) as e:
-            return str(e)
-
-    levels = sorted(shared)
-    found = dict(zip(levels, together(*(partial(within, level) for level in levels)), strict=True))
-    skipped = {level: why for level, why in found.items() if isinstance(why, str)}
-    done = {level: made for level, made in found.items() if level not in skipped}
+            without_errors(structure[g])
+        except InferenceStructureError as e:
+            refused.setdefault(g, e)
+    asked = [WHOLE, *(g for g in levels if g not in refused)]
+    found = _compare_groups(grouped.where(F.col(GROUP).isin(asked)), config, asked, metrics, source)
+    overall = found.pop(WHOLE)
+    if isinstance(overall, Exception):
+        raise overall
+    overall.warnings = warnings
+    skipped = {g.removeprefix(LEVEL): str(why) for g, why in [*refused.items(), *((g, r) for g, r in found.items() if isinstance(r, Exception))]}
+    done = {}
+    for g, made in found.items():
+        if not isinstance(made, Exception):
+            made.warnings = structure[g]
+            done[g.removeprefix(LEVEL)] = made
     gap = allocation_balance(records, unit, column).agg(F.max("gap")).first()[0] or 0.0
     note = f"shares of units in a level of {column} differ by up to {gap:.2f} between policies" if gap > WIDE_GAP else ""
     return StratifiedResult(column, overall, done, skipped, stratum_disagreements(overall, done), note)

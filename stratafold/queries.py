@@ -14,14 +14,13 @@ from pyspark.sql.types import DoubleType
 
 from stratafold.config import AggregationSpec, FilterSpec, Margin, MetricSpec, MissingDataSpec, config_from_mapping
 from stratafold.functions import decisions, estimators
-from stratafold.hierarchy import InferenceSpec, nesting_relation
+from stratafold.hierarchy import InferenceSpec, nesting_relations
 from stratafold.operators import failures, pairing, prepare, resample, rollup, strata, validate
+from stratafold.operators.multiplicity import multiplicity_sql
 from stratafold.plans.compare import compare_by_stratum, compare_policies
 from stratafold.scratch import materialize, shared_root
 from stratafold.sources.records import coerce_types, scan
-from stratafold.synth.generate import Policy, World, scaled
-from stratafold.synth.scenarios import coverage_study
-from stratafold.views import ALL_RECORDS_SQL, LINES_SQL, RECORDS_SQL, event_records, event_rows, every_row, line_records
+from stratafold.views import INCOMPLETE_SQL, LINES_SQL, RECORDS_SQL, event_records, incomplete_records, line_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,11 +33,10 @@ SEED, RESAMPLES = 7, 200
 STATUS = MissingDataSpec(status_handling={"crashed": "failure", "timeout": "failure"})
 
 
-def query(sql: str | None = None, source: str = RECORDS_SQL) -> Callable[[Query], Query]:
+def query(sql: str, source: str = RECORDS_SQL) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = f"WITH {source}{sql}" if sql.startswith(",") else f"WITH {source} {sql}"
+        SQL[f.__name__] = f"WITH RECURSIVE {source}{sql}" if sql.startswith(",") else f"WITH RECURSIVE {source} {sql}"
         return f
 
     return add
@@ -54,7 +52,7 @@ def rounded(df: DataFrame, places: int = 6, nudge: float = 0.0) -> DataFrame:
 
 def _copied(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     rows = event_records(spark, sf_dir).select("world_id", "policy_id", "resident_id", "loss", "failure_reason")
-    path = f"{shared_root(spark)}/copy-{kind}-{abs(hash((sf_dir, event_rows())))}"
+    path = f"{shared_root(spark)}/copy-{kind}-{abs(hash(sf_dir))}"
     out = rows.write.mode("overwrite")
     if kind in ("csv", "tsv"):
         out.option("header", True).option("sep", "," if kind == "csv" else "\t").csv(path)
@@ -267,23 +265,23 @@ def e7_cvar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BOTH = f", both_arms AS (SELECT world_id FROM records WHERE policy_id IN ('{BASE}', 'purchase') AND loss IS NOT NULL GROUP BY world_id HAVING count(DISTINCT policy_id) = 2)"
 
 
-def _panel(spark: SparkSession, sf_dir: str, level: str = "event_id") -> DataFrame:
-    return rollup.panel(prepare.with_missing_policy(event_records(spark, sf_dir), "loss", "drop_record"), SPEC, "loss", level)
+def _panel(spark: SparkSession, sf_dir: str, level: str = "event_id", records: Callable[[SparkSession, str], DataFrame] = event_records) -> DataFrame:
+    return rollup.panel(prepare.with_missing_policy(records(spark, sf_dir), "loss", "drop_record"), SPEC, "loss", level)
 
 
-@query(_BOTH + " SELECT world_id AS unit FROM both_arms")
+@query(_BOTH + " SELECT world_id AS unit FROM both_arms", INCOMPLETE_SQL)
 def j1_shared_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairing.shared_units(_panel(spark, sf_dir), [BASE, "purchase"])
+    return pairing.shared_units(_panel(spark, sf_dir, records=incomplete_records), [BASE, "purchase"])
 
 
-@query(f", own AS (SELECT DISTINCT policy_id, world_id FROM records WHERE policy_id IN ('{BASE}', 'purchase') AND loss IS NOT NULL) SELECT p.policy_id, u.world_id AS unit FROM (SELECT DISTINCT world_id FROM own) u CROSS JOIN (SELECT DISTINCT policy_id FROM own) p ANTI JOIN own o ON o.policy_id = p.policy_id AND o.world_id = u.world_id")
+@query(f", own AS (SELECT DISTINCT policy_id, world_id FROM records WHERE policy_id IN ('{BASE}', 'purchase') AND loss IS NOT NULL) SELECT p.policy_id, u.world_id AS unit FROM (SELECT DISTINCT world_id FROM own) u CROSS JOIN (SELECT DISTINCT policy_id FROM own) p ANTI JOIN own o ON o.policy_id = p.policy_id AND o.world_id = u.world_id", INCOMPLETE_SQL)
 def j2_dropped_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairing.dropped_units(_panel(spark, sf_dir), [BASE, "purchase"])
+    return pairing.dropped_units(_panel(spark, sf_dir, records=incomplete_records), [BASE, "purchase"])
 
 
-@query(_BOTH + f" SELECT world_id AS unit, policy_id, round(avg(loss), 6) AS value, event_id AS sub FROM records WHERE world_id IN (SELECT world_id FROM both_arms) AND policy_id IN ('{BASE}', 'purchase') AND loss IS NOT NULL GROUP BY world_id, event_id, policy_id")
+@query(_BOTH + f" SELECT world_id AS unit, policy_id, round(avg(loss), 6) AS value, event_id AS sub FROM records WHERE world_id IN (SELECT world_id FROM both_arms) AND policy_id IN ('{BASE}', 'purchase') AND loss IS NOT NULL GROUP BY world_id, event_id, policy_id", INCOMPLETE_SQL)
 def p1_paired_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pairing.build_paired_panel(_panel(spark, sf_dir), [BASE, "purchase"]).rows.select("unit", "policy_id", "value", "sub"))
+    return rounded(pairing.build_paired_panel(_panel(spark, sf_dir, records=incomplete_records), [BASE, "purchase"]).rows.select("unit", "policy_id", "value", "sub"))
 
 
 @query("SELECT world_id AS unit, policy_id, round(avg(loss), 6) AS estimate FROM records WHERE loss IS NOT NULL GROUP BY 1, 2")
@@ -296,37 +294,37 @@ def p5_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pairing.imbalance(_panel(spark, sf_dir, "resident_id"), [BASE, CAND]))
 
 
-@query(_BOTH + f", m AS (SELECT policy_id, world_id, avg(loss) AS m FROM records WHERE policy_id IN ('{BASE}', 'purchase') AND loss IS NOT NULL GROUP BY 1, 2), t AS (SELECT m.*, b.world_id IS NOT NULL AS shared FROM m LEFT JOIN both_arms b USING (world_id)), g AS (SELECT policy_id, count(*) FILTER (shared) AS n_shared, count(*) FILTER (NOT shared) AS n_other, avg(m) FILTER (shared) AS mi, avg(m) FILTER (NOT shared) AS mo, var_samp(m) FILTER (shared) AS vi, var_samp(m) FILTER (NOT shared) AS vo FROM t GROUP BY 1) SELECT policy_id, n_shared, n_other, round(mi, 6) AS mean_shared, round(mo, 6) AS mean_other, round(CASE WHEN n_shared >= 2 AND n_other >= 2 AND vi + vo > 0 THEN (mo - mi) / sqrt((vi + vo) / 2) END, 6) AS shift, CASE WHEN n_shared >= 2 AND n_other >= 2 AND vi + vo > 0 THEN abs((mo - mi) / sqrt((vi + vo) / 2)) > 0.2 END AS flagged FROM g")
+@query(_BOTH + f", m AS (SELECT policy_id, world_id, avg(loss) AS m FROM records WHERE policy_id IN ('{BASE}', 'purchase') AND loss IS NOT NULL GROUP BY 1, 2), t AS (SELECT m.*, b.world_id IS NOT NULL AS shared FROM m LEFT JOIN both_arms b USING (world_id)), g AS (SELECT policy_id, count(*) FILTER (shared) AS n_shared, count(*) FILTER (NOT shared) AS n_other, avg(m) FILTER (shared) AS mi, avg(m) FILTER (NOT shared) AS mo, var_samp(m) FILTER (shared) AS vi, var_samp(m) FILTER (NOT shared) AS vo FROM t GROUP BY 1) SELECT policy_id, n_shared, n_other, round(mi, 6) AS mean_shared, round(mo, 6) AS mean_other, round(CASE WHEN n_shared >= 2 AND n_other >= 2 AND vi + vo > 0 THEN (mo - mi) / sqrt((vi + vo) / 2) END, 6) AS shift, CASE WHEN n_shared >= 2 AND n_other >= 2 AND vi + vo > 0 THEN abs((mo - mi) / sqrt((vi + vo) / 2)) > 0.2 END AS flagged FROM g", INCOMPLETE_SQL)
 def p7_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pairing.overlap(_panel(spark, sf_dir, "resident_id"), [BASE, "purchase"]))
+    return rounded(pairing.overlap(_panel(spark, sf_dir, "resident_id", incomplete_records), [BASE, "purchase"]))
 
 
 # Resampling
 
 _UNITS = ", v AS (SELECT world_id, policy_id, loss FROM records WHERE loss IS NOT NULL AND policy_id IN ('{a}', '{b}')), s AS (SELECT world_id FROM v GROUP BY 1 HAVING count(DISTINCT policy_id) = 2), ix AS (SELECT world_id, row_number() OVER (ORDER BY world_id) - 1 AS unit_ix FROM s), stats AS (SELECT unit_ix, count(*) FILTER (policy_id = '{a}') AS na, sum(loss) FILTER (policy_id = '{a}') AS sa, count(*) FILTER (policy_id = '{b}') AS nb, sum(loss) FILTER (policy_id = '{b}') AS sb FROM v JOIN ix USING (world_id) GROUP BY 1), k AS (SELECT count(*) AS k FROM ix)".format(a=BASE, b=CAND)
-_DRAWS = ", draws AS (SELECT b, slot, ('0x' || substr(md5('{seed}|{stream}|' || b || '|' || slot), 1, 8))::BIGINT % k AS unit_ix FROM range({n}) t(b), k, LATERAL (SELECT unnest(range(k)) AS slot))"
-_REPS = ", reps AS (SELECT b, sum(sa) / sum(na) AS e0, sum(sb) / sum(nb) AS e1 FROM draws JOIN stats USING (unit_ix) GROUP BY b)"
-_BOOT = _UNITS + _DRAWS.format(seed=SEED, stream=0, n=RESAMPLES) + _REPS
 
 
-def _pair(spark: SparkSession, sf_dir: str, level: str = "resident_id") -> pairing.PairedPanel:
-    return pairing.build_paired_panel(_panel(spark, sf_dir, level), [BASE, CAND])
+def _drawn(n: int, stream: int = 0, name: str = "draws") -> str:
+    """name(b, root, unit_ix, w): how often each of n replicates draws each unit of k."""
+    return multiplicity_sql(name, SEED, stream, f"SELECT b, 0 AS root, k AS n, k AS c FROM range({n}) t(b), k")
 
 
-def _indexed(panel: pairing.PairedPanel) -> DataFrame:
-    return panel.rows.join(resample.unit_index(panel.rows), "unit").select("unit_ix", "policy_id", "sub", "value")
+_REPS = ", reps AS (SELECT b, sum(sa * w) / sum(na * w) AS e0, sum(sb * w) / sum(nb * w) AS e1 FROM draws JOIN stats USING (unit_ix) GROUP BY b)"
+_BOOT = _UNITS + _drawn(RESAMPLES) + _REPS
 
 
-def _replicates(spark: SparkSession, sf_dir: str, streams: Sequence[int] = (0,), n: int = RESAMPLES) -> DataFrame:
-    panel = _pair(spark, sf_dir)
-    stats = materialize(resample.sufficient(_indexed(panel)), "queries-stats")
-    picks = [resample.draws(spark, SEED, n, panel.n_units, s) for s in streams]
-    return resample.algebraic_replicates(stats, (BASE, CAND), "mean", picks)
+def _pair(spark: SparkSession, sf_dir: str, level: str = "resident_id") -> pairing.PairedPanel:
+    return pairing.build_paired_panel(_panel(spark, sf_dir, level), [BASE, CAND])
 
 
-@query(_UNITS + _DRAWS.format(seed=SEED, stream=0, n=20) + " SELECT b, slot, unit_ix FROM draws")
+def _replicates(spark: SparkSession, sf_dir: str, streams: Sequence[int] = (0,), n: int = RESAMPLES, estimator: str = "mean", params: dict | None = None) -> DataFrame:
+    rows = _pair(spark, sf_dir).rows
+    return resample.replicates(rows, (BASE, CAND), estimator, params, seed=SEED, n_resamples=n, streams=streams).where(F.col("b") >= 0)
+
+
+@query(_UNITS + _drawn(20) + " SELECT b, unit_ix, w FROM draws")
 def b1_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.draws(spark, SEED, 20, _pair(spark, sf_dir).n_units)
+    return resample.draws(spark, SEED, 20, _pair(spark, sf_dir).n_units).where("b >= 0")
 
 
 @query(_BOOT + " SELECT b, round(e0, 6) AS e0 FROM reps")
@@ -339,7 +337,7 @@ def b3_paired_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_replicates(spark, sf_dir).withColumn("diff", F.col("e1") - F.col("e0")))
 
 
-@query(_UNITS + _DRAWS.format(seed=SEED, stream=0, n=RESAMPLES) + _DRAWS.format(seed=SEED, stream=1, n=RESAMPLES).replace("draws AS", "other AS") + " SELECT x.b, round(x.e0, 6) AS e0, round(y.e1, 6) AS e1 FROM (SELECT b, sum(sa) / sum(na) AS e0 FROM draws JOIN stats USING (unit_ix) GROUP BY b) x JOIN (SELECT b, sum(sb) / sum(nb) AS e1 FROM other JOIN stats USING (unit_ix) GROUP BY b) y ON x.b = y.b")
+@query(_UNITS + _drawn(RESAMPLES) + _drawn(RESAMPLES, 1, "other") + " SELECT x.b, round(x.e0, 6) AS e0, round(y.e1, 6) AS e1 FROM (SELECT b, sum(sa * w) / sum(na * w) AS e0 FROM draws JOIN stats USING (unit_ix) GROUP BY b) x JOIN (SELECT b, sum(sb * w) / sum(nb * w) AS e1 FROM other JOIN stats USING (unit_ix) GROUP BY b) y ON x.b = y.b")
 def b4_unpaired_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_replicates(spark, sf_dir, (0, 1)))
 
@@ -367,25 +365,35 @@ def b8_basic_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _interval_row(spark, _difference(spark, sf_dir, method="basic"))
 
 
-@query()
+#: Normal distribution function by its series, and its inverse by Newton's steps from 0.
+_PHI = "(0.5 + exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum([pow({x}, 2 * j + 1) * sqrt(pi()) / (pow(2, j + 1) * gamma(j + 1.5)) for j in range(80)]))"
+_BCA = (
+    ", gaps AS (SELECT (SELECT sum(sb) FROM stats) AS tb, (SELECT sum(nb) FROM stats) AS mb, (SELECT sum(sa) FROM stats) AS ta, (SELECT sum(na) FROM stats) AS ma), left_out AS (SELECT (tb - sb) / (mb - nb) - (ta - sa) / (ma - na) AS e FROM stats, gaps),"
+    " speed AS (SELECT sum(pow(m - e, 3)) / (6 * pow(sum(pow(m - e, 2)), 1.5)) AS a FROM left_out, (SELECT avg(e) AS m FROM left_out)),"
+    " asked AS (SELECT 'bias' AS name, avg((e1 - e0 < d)::INT) AS p FROM reps, point UNION ALL SELECT 'low', 0.025 UNION ALL SELECT 'high', 0.975),"
+    " newton AS (SELECT name, p, 0 AS i, 0.0::DOUBLE AS x FROM asked UNION ALL SELECT name, p, i + 1, x - (" + _PHI.format(x="x") + " - p) * sqrt(2 * pi()) * exp(x * x / 2) FROM newton WHERE i < 20),"
+    " normal AS (SELECT max(x) FILTER (name = 'bias') AS z, max(x) FILTER (name = 'low') AS l, max(x) FILTER (name = 'high') AS h FROM newton WHERE i = 20),"
+    " shifted AS (SELECT z + (z + l) / (1 - a * (z + l)) AS xl, z + (z + h) / (1 - a * (z + h)) AS xh FROM normal, speed),"
+    " ends AS (SELECT " + _PHI.format(x="xl") + " AS pl, " + _PHI.format(x="xh") + " AS ph FROM shifted),"
+    " listed AS (SELECT list(e1 - e0 ORDER BY e1 - e0) AS v, count(*) - 1 AS m FROM reps), at AS (SELECT v, pl * m AS kl, ph * m AS kh FROM listed, ends)"
+)
+
+
+@query(_BOOT + _POINT + _BCA + " SELECT round(d, 6) AS estimate, round(v[floor(kl)::INT + 1] + (kl - floor(kl)) * (v[ceil(kl)::INT + 1] - v[floor(kl)::INT + 1]), 6) AS low, round(v[floor(kh)::INT + 1] + (kh - floor(kh)) * (v[ceil(kh)::INT + 1] - v[floor(kh)::INT + 1]), 6) AS high, 'bca' AS method, n AS n_units, round(p, 6) AS p_value FROM point, q, at")
 def b9_bca_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _interval_row(spark, _difference(spark, sf_dir, method="bca"))
 
 
 @query(_UNITS + " SELECT unit_ix, round((sum(sa) OVER () - sa) / (sum(na) OVER () - na), 6) AS e0, round((sum(sb) OVER () - sb) / (sum(nb) OVER () - nb), 6) AS e1 FROM stats")
 def b10_jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = _pair(spark, sf_dir)
-    table = resample._jackknife(_indexed(panel), (BASE, CAND), "mean", {}, panel.n_units)
-    return rounded(spark.createDataFrame(table))
+    return rounded(resample.leave_one_out(_pair(spark, sf_dir).rows, (BASE, CAND)))
 
 
 @query(
     _UNITS + ", ev AS (SELECT unit_ix, policy_id, loss AS x FROM v JOIN ix USING (world_id)), o AS (SELECT ix.unit_ix AS out, policy_id, x, row_number() OVER (PARTITION BY ix.unit_ix, policy_id ORDER BY x) AS rank, count(*) OVER (PARTITION BY ix.unit_ix, policy_id) AS n FROM ix JOIN ev ON ev.unit_ix <> ix.unit_ix), c AS (SELECT out, policy_id, avg(x) FILTER (n - rank < greatest(1, ceil(round((1 - 0.9::DOUBLE) * n, 9)))) AS e FROM o GROUP BY 1, 2) SELECT out AS unit_ix, round(max(e) FILTER (policy_id = '" + BASE + "') + 3e-8, 6) AS e0, round(max(e) FILTER (policy_id = '" + CAND + "') + 3e-8, 6) AS e1 FROM c GROUP BY out"
 )
 def b10_jackknife_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = _pair(spark, sf_dir)
-    table = resample._jackknife(_indexed(panel), (BASE, CAND), "cvar", {"alpha": 0.9, "tail": "upper"}, panel.n_units)
-    return rounded(spark.createDataFrame(table), nudge=3e-8)
+    return rounded(resample.leave_one_out(_pair(spark, sf_dir).rows, (BASE, CAND), "cvar", {"alpha": 0.9, "tail": "upper"}), nudge=3e-8)
 
 
 @query(_BOOT + _POINT + " SELECT round(d, 6) AS estimate, round(lo, 6) AS low, round(hi, 6) AS high, 'percentile' AS method, n AS n_units, round(p, 6) AS p_value FROM point, q")
@@ -393,23 +401,26 @@ def b11_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _interval_row(spark, _difference(spark, sf_dir))
 
 
-@query(_UNITS + _DRAWS.format(seed=SEED, stream=0, n=50) + ", ev AS (SELECT unit_ix, policy_id, loss FROM v JOIN ix USING (world_id)), d AS (SELECT b, policy_id, loss AS x, row_number() OVER (PARTITION BY b, policy_id ORDER BY loss) AS rank, count(*) OVER (PARTITION BY b, policy_id) AS n FROM draws JOIN ev USING (unit_ix)), c AS (SELECT b, policy_id, avg(x) FILTER (n - rank < greatest(1, ceil(round((1 - 0.9::DOUBLE) * n, 9)))) AS e FROM d GROUP BY 1, 2) SELECT b, round(max(e) FILTER (policy_id = '" + BASE + "') + 3e-8, 6) AS e0, round(max(e) FILTER (policy_id = '" + CAND + "') + 3e-8, 6) AS e1 FROM c GROUP BY b")
+@query(_UNITS + _drawn(50) + ", ev AS (SELECT unit_ix, policy_id, loss FROM v JOIN ix USING (world_id)), d AS (SELECT b, policy_id, loss AS x, row_number() OVER (PARTITION BY b, policy_id ORDER BY loss) AS rank, count(*) OVER (PARTITION BY b, policy_id) AS n FROM draws JOIN ev USING (unit_ix), LATERAL (SELECT unnest(range(w)))), c AS (SELECT b, policy_id, avg(x) FILTER (n - rank < greatest(1, ceil(round((1 - 0.9::DOUBLE) * n, 9)))) AS e FROM d GROUP BY 1, 2) SELECT b, round(max(e) FILTER (policy_id = '" + BASE + "') + 3e-8, 6) AS e0, round(max(e) FILTER (policy_id = '" + CAND + "') + 3e-8, 6) AS e1 FROM c GROUP BY b")
 def b11_cvar_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = _pair(spark, sf_dir)
-    return rounded(resample.order_replicates(_indexed(panel), (BASE, CAND), "cvar", {"alpha": 0.9, "tail": "upper"}, [resample.draws(spark, SEED, 50, panel.n_units)]), nudge=3e-8)
+    return rounded(_replicates(spark, sf_dir, n=50, estimator="cvar", params={"alpha": 0.9, "tail": "upper"}), nudge=3e-8)
 
 
 _SUBS = ", ev AS (SELECT world_id, event_id, policy_id, avg(loss) AS x FROM records WHERE loss IS NOT NULL AND policy_id IN ('{a}', '{b}') GROUP BY 1, 2, 3), sub AS (SELECT unit_ix, policy_id, x, row_number() OVER w - 1 AS sub_ix, count(*) OVER (PARTITION BY unit_ix, policy_id) AS n_subs FROM ev JOIN ix USING (world_id) WINDOW w AS (PARTITION BY unit_ix, policy_id ORDER BY event_id))".format(a=BASE, b=CAND)
-_TWO_STAGE = f", picked AS (SELECT b, unit_ix, policy_id, ('0x' || substr(md5('{SEED}|2|' || b || '|' || slot || '|' || sub_ix), 1, 8))::BIGINT % n_subs AS sub_ix FROM draws JOIN sub USING (unit_ix)), reps AS (SELECT b, avg(x) FILTER (policy_id = '{BASE}') AS e0, avg(x) FILTER (policy_id = '{CAND}') AS e1 FROM picked JOIN sub USING (unit_ix, policy_id, sub_ix) GROUP BY b)"
+_TWO_STAGE = (
+    ", lists AS (SELECT unit_ix, policy_id, n_subs, row_number() OVER (ORDER BY unit_ix, policy_id) AS list FROM (SELECT DISTINCT unit_ix, policy_id, n_subs FROM sub))"
+    + multiplicity_sql("picked", SEED, 2, "SELECT b, list AS root, n_subs AS n, w * n_subs AS c FROM draws JOIN lists USING (unit_ix)", depth=6)
+    + f", reps AS (SELECT b, sum(x * w) FILTER (policy_id = '{BASE}') / sum(w) FILTER (policy_id = '{BASE}') AS e0, sum(x * w) FILTER (policy_id = '{CAND}') / sum(w) FILTER (policy_id = '{CAND}') AS e1 FROM (SELECT b, root AS list, unit_ix AS sub_ix, w FROM picked) JOIN lists USING (list) JOIN sub USING (unit_ix, policy_id, sub_ix) GROUP BY b)"
+)
 _ENDS = ", q AS (SELECT quantile_cont(e1 - e0, 0.025) AS lo, quantile_cont(e1 - e0, 0.975) AS hi, least(1.0, greatest(2 * least(avg((e1 - e0 <= 0)::INT), avg((e1 - e0 >= 0)::INT)), 1.0 / (count(*) + 1))) AS p FROM reps)"
 
 
-@query(_UNITS + _SUBS + _DRAWS.format(seed=SEED, stream=0, n=RESAMPLES) + _TWO_STAGE + _ENDS + f" SELECT round((SELECT avg(x) FILTER (policy_id = '{CAND}') - avg(x) FILTER (policy_id = '{BASE}') FROM sub), 6) AS estimate, round(lo, 6) AS low, round(hi, 6) AS high, 'percentile' AS method, k AS n_units, round(p, 6) AS p_value FROM q, k")
+@query(_UNITS + _SUBS + _drawn(RESAMPLES) + _TWO_STAGE + _ENDS + f" SELECT round((SELECT avg(x) FILTER (policy_id = '{CAND}') - avg(x) FILTER (policy_id = '{BASE}') FROM sub), 6) AS estimate, round(lo, 6) AS low, round(hi, 6) AS high, 'percentile' AS method, k AS n_units, round(p, 6) AS p_value FROM q, k")
 def b6_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _interval_row(spark, _difference(spark, sf_dir, level="event_id", hierarchical=True))
 
 
-@query(f", r AS (SELECT loss, row_number() OVER (ORDER BY world_id || chr(31) || event_id || chr(31) || resident_id) - 1 AS unit_ix FROM records WHERE loss IS NOT NULL AND policy_id = '{BASE}'), k AS (SELECT count(*) AS k FROM r)" + _DRAWS.format(seed=SEED, stream=0, n=100) + ", reps AS (SELECT b, avg(loss) AS e0 FROM draws JOIN r USING (unit_ix) GROUP BY b) SELECT round((SELECT avg(loss) FROM r), 6) AS estimate, round(quantile_cont(e0, 0.025), 6) AS low, round(quantile_cont(e0, 0.975), 6) AS high, 'percentile' AS method, (SELECT k FROM k) AS n_units, NULL::DOUBLE AS p_value FROM reps")
+@query(f", r AS (SELECT loss, row_number() OVER (ORDER BY world_id || chr(31) || event_id || chr(31) || resident_id) - 1 AS unit_ix FROM records WHERE loss IS NOT NULL AND policy_id = '{BASE}'), k AS (SELECT count(*) AS k FROM r)" + _drawn(100) + ", reps AS (SELECT b, sum(loss * w) / sum(w) AS e0 FROM draws JOIN r USING (unit_ix) GROUP BY b) SELECT round((SELECT avg(loss) FROM r), 6) AS estimate, round(quantile_cont(e0, 0.025), 6) AS low, round(quantile_cont(e0, 0.975), 6) AS high, 'percentile' AS method, (SELECT k FROM k) AS n_units, NULL::DOUBLE AS p_value FROM reps")
 def b15_naive_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pairing.single_policy_values(_panel(spark, sf_dir, "resident_id"), BASE)
     return _interval_row(spark, resample.naive_iid_bootstrap(rows, n_resamples=100, seed=SEED))
@@ -497,14 +508,14 @@ def t3_allocation_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(strata.allocation_balance(event_records(spark, sf_dir), "world_id", "stratum"))
 
 
-@query(f", own AS (SELECT * FROM records WHERE policy_id IN ('{BASE}', 'purchase')), s AS (SELECT world_id FROM own GROUP BY 1 HAVING count(DISTINCT policy_id) = 2) SELECT policy_id, count(DISTINCT world_id) AS units, count(DISTINCT world_id) FILTER (world_id IN (SELECT world_id FROM s)) AS shared_units, count(*) AS rows, count(DISTINCT event_id) AS n_event_id, count(*) FILTER (mission_success = 0) AS failures, count(DISTINCT world_id) FILTER (world_id NOT IN (SELECT world_id FROM s)) AS unshared_units FROM own GROUP BY 1")
+@query(f", own AS (SELECT * FROM records WHERE policy_id IN ('{BASE}', 'purchase')), s AS (SELECT world_id FROM own GROUP BY 1 HAVING count(DISTINCT policy_id) = 2) SELECT policy_id, count(DISTINCT world_id) AS units, count(DISTINCT world_id) FILTER (world_id IN (SELECT world_id FROM s)) AS shared_units, count(*) AS rows, count(DISTINCT event_id) AS n_event_id, count(*) FILTER (mission_success = 0) AS failures, count(DISTINCT world_id) FILTER (world_id NOT IN (SELECT world_id FROM s)) AS unshared_units FROM own GROUP BY 1", INCOMPLETE_SQL)
 def t4_allocation_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strata.allocation_ledger(event_records(spark, sf_dir), "world_id", [BASE, "purchase"], ["event_id"])
+    return strata.allocation_ledger(incomplete_records(spark, sf_dir), "world_id", [BASE, "purchase"], ["event_id"])
 
 
-@query(f", own AS (SELECT DISTINCT world_id, policy_id, stratum FROM records WHERE policy_id IN ('{BASE}', 'purchase')), s AS (SELECT world_id FROM own GROUP BY 1 HAVING count(DISTINCT policy_id) = 2), c AS (SELECT policy_id, stratum, count(*) AS units, count(*) FILTER (world_id IN (SELECT world_id FROM s)) AS shared FROM own GROUP BY 1, 2), f AS (SELECT *, units / sum(units) OVER w::DOUBLE AS x, shared / sum(shared) OVER w::DOUBLE AS y FROM c WINDOW w AS (PARTITION BY policy_id)) SELECT policy_id, stratum, round(x, 6) AS share_all, round(y, 6) AS share_shared, round(y - x, 6) AS shift FROM f")
+@query(f", own AS (SELECT DISTINCT world_id, policy_id, stratum FROM records WHERE policy_id IN ('{BASE}', 'purchase')), s AS (SELECT world_id FROM own GROUP BY 1 HAVING count(DISTINCT policy_id) = 2), c AS (SELECT policy_id, stratum, count(*) AS units, count(*) FILTER (world_id IN (SELECT world_id FROM s)) AS shared FROM own GROUP BY 1, 2), f AS (SELECT *, units / sum(units) OVER w::DOUBLE AS x, shared / sum(shared) OVER w::DOUBLE AS y FROM c WINDOW w AS (PARTITION BY policy_id)) SELECT policy_id, stratum, round(x, 6) AS share_all, round(y, 6) AS share_shared, round(y - x, 6) AS shift FROM f", INCOMPLETE_SQL)
 def t4_composition_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strata.composition_shift(event_records(spark, sf_dir), "world_id", "stratum", [BASE, "purchase"])
+    return strata.composition_shift(incomplete_records(spark, sf_dir), "world_id", "stratum", [BASE, "purchase"])
 
 
 #: Strata of which some say the same, or nothing.
@@ -625,11 +636,11 @@ def k1_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(table[columns]))
 
 
-_TAIL = ", tails AS (SELECT b, policy_id, x, row_number() OVER (PARTITION BY b, policy_id ORDER BY x) AS rank, count(*) OVER (PARTITION BY b, policy_id) AS n FROM (SELECT b, unit_ix FROM draws UNION ALL SELECT -1, unit_ix FROM ix) JOIN sub USING (unit_ix)), means AS (SELECT b, policy_id, avg(x) FILTER (n - rank < greatest(1, ceil(round((1 - 0.9::DOUBLE) * n, 9)))) AS e FROM tails GROUP BY 1, 2), gaps AS (SELECT b, max(e) FILTER (policy_id = '{b}') - max(e) FILTER (policy_id = '{a}') AS gap FROM means GROUP BY b), both_metrics AS (SELECT 'mean_loss' AS metric, d, lo, hi, (SELECT quantile_cont(e1 - e0, 0.05) > -3 AND quantile_cont(e1 - e0, 0.95) < 4 FROM reps) AS same FROM point, q UNION ALL SELECT 'cvar_loss', max(gap) FILTER (b = -1), quantile_cont(gap, 0.025) FILTER (b >= 0), quantile_cont(gap, 0.975) FILTER (b >= 0), false FROM gaps)".format(a=BASE, b=CAND)
+_TAIL = ", tails AS (SELECT b, policy_id, x, row_number() OVER (PARTITION BY b, policy_id ORDER BY x) AS rank, count(*) OVER (PARTITION BY b, policy_id) AS n FROM (SELECT b, unit_ix, w FROM draws UNION ALL SELECT -1, unit_ix, 1 FROM ix) JOIN sub USING (unit_ix), LATERAL (SELECT unnest(range(w)))), means AS (SELECT b, policy_id, avg(x) FILTER (n - rank < greatest(1, ceil(round((1 - 0.9::DOUBLE) * n, 9)))) AS e FROM tails GROUP BY 1, 2), gaps AS (SELECT b, max(e) FILTER (policy_id = '{b}') - max(e) FILTER (policy_id = '{a}') AS gap FROM means GROUP BY b), both_metrics AS (SELECT 'mean_loss' AS metric, d, lo, hi, (SELECT quantile_cont(e1 - e0, 0.05) > -3 AND quantile_cont(e1 - e0, 0.95) < 4 FROM reps) AS same FROM point, q UNION ALL SELECT 'cvar_loss', max(gap) FILTER (b = -1), quantile_cont(gap, 0.025) FILTER (b >= 0), quantile_cont(gap, 0.975) FILTER (b >= 0), false FROM gaps)".format(a=BASE, b=CAND)
 _VERDICT = "CASE WHEN (lo > 0 OR hi < 0) AND same THEN 'statistically_different_within_margin' WHEN lo > 0 OR hi < 0 THEN CASE WHEN d < 0 THEN 'superior' ELSE 'worse' END WHEN same THEN 'statistically_equivalent' ELSE 'inconclusive' END"
 
 
-@query(_UNITS + _SUBS + _DRAWS.format(seed=SEED, stream=0, n=100) + _REPS + _POINT + _TAIL + f" SELECT metric, k AS n_units, round(d, 6) AS difference, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, {_VERDICT} AS verdict, CASE WHEN (lo > 0 OR hi < 0) AND NOT same THEN CASE WHEN d < 0 THEN '{CAND}' ELSE '{BASE}' END ELSE 'neither' END AS favours FROM both_metrics, k")
+@query(_UNITS + _SUBS + _drawn(100) + _REPS + _POINT + _TAIL + f" SELECT metric, k AS n_units, round(d, 6) AS difference, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, {_VERDICT} AS verdict, CASE WHEN (lo > 0 OR hi < 0) AND NOT same THEN CASE WHEN d < 0 THEN '{CAND}' ELSE '{BASE}' END ELSE 'neither' END AS favours FROM both_metrics, k")
 def k2_compare_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = config_from_mapping(query_config(100))
     table = compare_policies(event_records(spark, sf_dir), config, validate=False).summary_table()
@@ -651,8 +662,8 @@ def _relation_sql(a: str, b: str) -> str:
 
 @query(" UNION ALL ".join(_relation_sql(*p) for p in _PAIRS))
 def n1_nesting_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_records(spark, sf_dir)
-    return spark.createDataFrame([(a, b, nesting_relation(rows, a, b)) for a, b in _PAIRS], "a string, b string, relation string")
+    found = nesting_relations(event_records(spark, sf_dir), _PAIRS)
+    return spark.createDataFrame([(a, b, found[a, b]) for a, b in _PAIRS], "a string, b string, relation string")
 
 
 @query("SELECT policy_id, stratum, round(avg(loss), 6) AS mean_loss, count(DISTINCT world_id) AS units FROM records WHERE loss IS NOT NULL GROUP BY 1, 2")
@@ -665,11 +676,11 @@ def t6_strata_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STRATIFIED = """, v AS (SELECT g, world_id, policy_id, loss FROM (SELECT '__all__' AS g, world_id, policy_id, loss FROM records UNION ALL SELECT stratum, world_id, policy_id, loss FROM records) WHERE loss IS NOT NULL AND policy_id IN ('{a}', '{b}')),
  s AS (SELECT g, world_id FROM v GROUP BY 1, 2 HAVING count(DISTINCT policy_id) = 2), ix AS (SELECT g, world_id, row_number() OVER (PARTITION BY g ORDER BY world_id) - 1 AS unit_ix FROM s),
- stats AS (SELECT g, unit_ix, count(*) FILTER (policy_id = '{a}') AS na, sum(loss) FILTER (policy_id = '{a}') AS sa, count(*) FILTER (policy_id = '{b}') AS nb, sum(loss) FILTER (policy_id = '{b}') AS sb FROM v JOIN ix USING (g, world_id) GROUP BY 1, 2), k AS (SELECT g, count(*) AS k FROM ix GROUP BY 1),
- draws AS (SELECT g, b, slot, ('0x' || substr(md5('{seed}|0|' || b || '|' || slot), 1, 8))::BIGINT % k AS unit_ix FROM range(100) t(b), k, LATERAL (SELECT unnest(range(k)) AS slot)),
- reps AS (SELECT g, b, sum(sb) / sum(nb) - sum(sa) / sum(na) AS gap FROM draws JOIN stats USING (g, unit_ix) GROUP BY 1, 2),
+ stats AS (SELECT g, unit_ix, count(*) FILTER (policy_id = '{a}') AS na, sum(loss) FILTER (policy_id = '{a}') AS sa, count(*) FILTER (policy_id = '{b}') AS nb, sum(loss) FILTER (policy_id = '{b}') AS sb FROM v JOIN ix USING (g, world_id) GROUP BY 1, 2), k AS (SELECT g, count(*) AS k FROM ix GROUP BY 1)""".format(a=BASE, b=CAND)
+_STRATIFIED += multiplicity_sql("draws", SEED, 0, "SELECT g, b, 0 AS root, k AS n, k AS c FROM range(100) t(b), k", "g, b") + """,
+ reps AS (SELECT g, b, sum(sb * w) / sum(nb * w) - sum(sa * w) / sum(na * w) AS gap FROM draws JOIN stats USING (g, unit_ix) GROUP BY 1, 2),
  point AS (SELECT g, sum(sb) / sum(nb) - sum(sa) / sum(na) AS d, count(*) AS n FROM stats GROUP BY 1),
- q AS (SELECT g, quantile_cont(gap, 0.025) AS lo, quantile_cont(gap, 0.975) AS hi, quantile_cont(gap, 0.05) > -3 AND quantile_cont(gap, 0.95) < 4 AS same FROM reps GROUP BY 1)""".format(a=BASE, b=CAND, seed=SEED)
+ q AS (SELECT g, quantile_cont(gap, 0.025) AS lo, quantile_cont(gap, 0.975) AS hi, quantile_cont(gap, 0.05) > -3 AND quantile_cont(gap, 0.95) < 4 AS same FROM reps GROUP BY 1)"""
 
 
 @query(_STRATIFIED + f" SELECT g AS stratum, 'mean_loss' AS metric, n AS n_units, round(d, 6) AS difference, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, {_VERDICT} AS verdict FROM point JOIN q USING (g)")
@@ -677,36 +688,3 @@ def t6_compare_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = config_from_mapping({**query_config(100), "metrics": query_config()["metrics"][:1]})
     found = compare_by_stratum(event_records(spark, sf_dir), config, "stratum", min_units=2)
     return rounded(spark.createDataFrame(found.summary_table()[["stratum", "metric", "n_units", "difference", "ci_low", "ci_high", "verdict"]]))
-
-
-@query()
-def c6_coverage_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = coverage_study(spark, World(20, 2, 5), (Policy("policy_a"), Policy("policy_b", shift=0.6)), 0.6, 120, 5)
-    low, high = found.interval
-    return spark.createDataFrame([(found.hits, found.n, round(low, 6), round(high, 6), found.consistent)], "hits bigint, n bigint, low double, high double, consistent boolean")
-
-
-@query()
-def g1_scaled_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scaled(spark, 50).groupBy("policy_id").agg(F.count("*").alias("rows"), F.avg("loss").alias("mean_loss")))
-
-
-# Whole tables
-
-#: Of these, the incomplete arm of the records is the point; the others over one or two complete arms see no purchase.
-_INCOMPLETE = ("j1_shared_units", "j2_dropped_units", "p1_paired_panel", "p7_overlap", "t4_allocation_ledger", "t4_composition_shift")
-_TWO_ARMS = ("f1_include", "p5_imbalance", "q1_tost", "q3_non_inferiority", "q5_verdict", "k1_compare", "k2_compare_tail", "t6_compare_by_stratum")
-
-
-def _whole(made: Query) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        with every_row():
-            return made(spark, sf_dir)
-
-    return run
-
-
-for _name in [n for n in QUERIES if RECORDS_SQL in SQL.get(n, "")]:
-    if _name not in (*_INCOMPLETE, *_TWO_ARMS) and not _name.startswith("b"):
-        QUERIES[f"{_name}_whole"] = _whole(QUERIES[_name])
-        SQL[f"{_name}_whole"] = SQL[_name].replace(RECORDS_SQL, ALL_RECORDS_SQL)

@@ -100,13 +100,32 @@ def coerce_types(df: DataFrame) -> DataFrame:
     return df.select(*(_typed(df, c) for c in df.columns))
 
 
+def _broken_lines(spark: SparkSession, path: str) -> list[str]:
+    """Files in which a line holds an odd number of quotes: only there may a quoted field go on in the next line."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
+    return [r["file"] for r in lines.where(F.col("quotes") % 2 == 1).select("file").distinct().collect()]  # a name for each file
+
+
+def _delimited(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """Text columns of delimited files.  A pass over the lines tells which files must be read whole; the others are split over tasks."""
+    reader = spark.read.option("header", True).option("sep", separator).option("quote", '"').option("escape", '"')
+    whole = reader.option("multiLine", True).csv(path)
+    broken = _broken_lines(spark, path)
+    if not broken:
+        return reader.option("multiLine", False).schema(whole.schema).csv(path)
+    name = F.col("_metadata.file_path")
+    lines = reader.option("multiLine", False).schema(whole.schema).csv(path)
+    kept = whole.columns
+    return lines.where(~name.isin(broken)).select(kept).unionByName(whole.where(name.isin(broken)).select(kept))
+
+
 def scan(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A table as it is stored.  Delimited files are read as text: 0001 stays 0001, and NA texts are null."""
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "jsonl":
         return spark.read.json(path)
-    raw = spark.read.option("header", True).option("sep", "\t" if kind == "tsv" else ",").option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    raw = _delimited(spark, path, "\t" if kind == "tsv" else ",")
     return raw.select(*(F.when(~F.col(f"`{c}`").isin(list(NA_TEXTS)), F.col(f"`{c}`")).alias(c) for c in raw.columns))
 
 

@@ -71,23 +71,15 @@ def coverage_study(spark: SparkSession, world: World, policies: tuple[Policy, Po
     def made(key: pd.DataFrame) -> pd.DataFrame:
         r = int(key["r"].iloc[0])
         table = generate_experiment(world, policies, seed + 7919 * r)
-        unit = [f"{k:09d}" for k in range(len(table))] if alone else table[cluster]
+        unit = table.groupby("policy_id").cumcount().map("{:09d}".format) if alone else table[cluster]
         return pd.DataFrame({"r": r, "unit": unit, "policy_id": table["policy_id"], "value": table["loss"]})
 
     numbers = spark.range(replications).withColumnRenamed("id", "r").repartition(min(replications, 32), "r")
     rows = materialize(numbers.groupBy("r").applyInPandas(made, "r bigint, unit string, policy_id string, value double"), "coverage-rows")
-    sizes = rows.groupBy("r", *(["policy_id"] if alone else [])).agg(F.countDistinct("unit").alias("n"))
-    n = sizes.agg(F.max("n")).first()[0]
-    place = F.dense_rank().over(Window.partitionBy("r", *(["policy_id"] if alone else [])).orderBy("unit")) - 1  # the units of one replication
-    rows = rows.select("policy_id", "value", (F.col("r") * n + place).alias("unit_ix"))
-
-    def picks(stream: int) -> DataFrame:
-        drawn = resample.draws(spark, seed, replications * resamples, n, stream)
-        return drawn.withColumn("unit_ix", F.floor(F.col("b") / resamples) * n + F.col("unit_ix"))
-
     streams = (resample.BASE, resample.CANDIDATE) if alone else (resample.BASE,)
-    replicates = resample.algebraic_replicates(resample.sufficient(rows), names, "mean", [picks(k) for k in streams])
-    ends = replicates.groupBy(F.floor(F.col("b") / resamples).alias("r")).agg(F.percentile(F.col("e1") - F.col("e0"), F.array(F.lit(0.025), F.lit(0.975))).alias("ends"))
+    leaves = resample.wide(rows, names, keys=["r"])
+    made = resample.algebraic_replicates(leaves, names, "mean", seed, resamples, streams, ["r"], apart=True).where(F.col("b") >= 0)
+    ends = made.groupBy("r").agg(F.percentile(F.col("e1") - F.col("e0"), F.array(F.lit(0.025), F.lit(0.975))).alias("ends"))
     hits, n = ends.agg(F.count_if((F.col("ends")[0] <= truth) & (F.col("ends")[1] >= truth)), F.count("*")).first()
     return decisions.CoverageEstimate(hits, n)
 

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 
-# Runs end in several ways, arms miss units, reasons and outcomes are missing: all by arithmetic on ids.
+# Runs end in several ways, reasons and outcomes are missing: all by arithmetic on ids.
 EVENT_COLUMNS = {
     "world_id": "'u' || CAST(user_id AS STRING)",
     "event_id": "'u' || CAST(user_id AS STRING) || '-' || CAST(event_id % 7 AS STRING)",
@@ -22,7 +18,7 @@ EVENT_COLUMNS = {
     "stratum": "'s' || CAST(user_id % 4 AS STRING)",
     "regime": "CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'g' || CAST((user_id + event_id % 2) % 3 AS STRING) END",
 }
-#: One arm misses a fifth of the units, for the operators that pair arms.
+#: One arm misses a fifth of the units, for the operators whose subject is which units arms share.
 EVENT_ROWS = "NOT (event_type = 'purchase' AND user_id % 5 = 0)"
 LINE_COLUMNS = {
     "world_id": "'c' || CAST(o_custkey AS STRING)",
@@ -37,32 +33,19 @@ def _select(columns: dict[str, str]) -> str:
     return ", ".join(f"{e} AS {c}" for c, e in columns.items())
 
 
-RECORDS_SQL = f"records AS (SELECT {_select(EVENT_COLUMNS)} FROM events WHERE {EVENT_ROWS})"
-ALL_RECORDS_SQL = f"records AS (SELECT {_select(EVENT_COLUMNS)} FROM events)"
+RECORDS_SQL = f"records AS (SELECT {_select(EVENT_COLUMNS)} FROM events)"
+INCOMPLETE_SQL = f"records AS (SELECT {_select(EVENT_COLUMNS)} FROM events WHERE {EVENT_ROWS})"
 LINES_SQL = f"lines AS (SELECT {_select(LINE_COLUMNS)} FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
-_rows: ContextVar[str] = ContextVar("rows", default=EVENT_ROWS)
-
-
-def event_rows() -> str:
-    """The condition on events that ``event_records`` holds now."""
-    return _rows.get()
-
-
-@contextmanager
-def every_row() -> Iterator[None]:
-    """Within it, ``event_records`` carries all rows of events."""
-    token = _rows.set("true")
-    try:
-        yield
-    finally:
-        _rows.reset(token)
+def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as experiment records: users as units, event types as policies."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*(f"{e} AS {c}" for c, e in EVENT_COLUMNS.items()))
 
 
-def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as experiment records: users as units, event types as policies; one arm is incomplete but within ``every_row``."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").where(event_rows()).selectExpr(*(f"{e} AS {c}" for c, e in EVENT_COLUMNS.items()))
+def incomplete_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_records`` in which one arm misses units: for operators that say which units arms share."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").where(EVENT_ROWS).selectExpr(*(f"{e} AS {c}" for c, e in EVENT_COLUMNS.items()))
 
 
 def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,27 +1,28 @@
 """The evaluation engine: hand-computed values, invariances, refusals, round trips."""
 
-import hashlib
 import json
 import math
 import os
+from contextvars import ContextVar
+from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import stratafold as sf
-from stratafold import cli, mutation, report
+from stratafold import cli, mutation, queries, report, views
 from stratafold.config import FilterSpec, MissingDataSpec
 from stratafold.functions import decisions, estimators, intervals
 from stratafold.hierarchy import infer_default, nesting_relation
-from stratafold.operators import failures, leave_out, pairing, prepare, resample, rollup, strata, validate
+from stratafold.operators import failures, histogram, leave_out, multiplicity, pairing, prepare, resample, rollup, strata, validate
 from stratafold.operators.ranks import ranked
 from stratafold.plans.compare import stratified_estimate
 from stratafold.jobs import together
-from stratafold.sources.records import coerce_types, load_records, write_records
-from stratafold.views import event_rows, every_row
+from stratafold.sources.records import coerce_types, load_records, scan, write_records
 from stratafold.synth import scenarios
 from stratafold.synth.generate import Policy, World, generate_experiment, scaled, to_spark
 
@@ -161,22 +162,16 @@ def test_credibility():
 # Preparation
 
 
-def test_whole_forms_read_every_event(spark):
-    """Scans, counts and estimators have a form over all of events, the incomplete arm's missing rows included."""
-    from stratafold import queries, views
-
+def test_queries_read_every_event(spark):
+    """Base forms read the whole table; only queries about shared units see an incomplete arm."""
     small = "/root/testdata/sf0.001"
     if not os.path.isdir(small):
         pytest.skip("needs the driver's tables")
-    events = spark.read.parquet(f"{small}/events.parquet")
-    total, kept = events.count(), events.where(views.EVENT_ROWS).count()
-    assert kept < total
-    run = lambda name: queries.QUERIES[name](spark, small)
-    whole, part = run("s1_scan_parquet_whole"), run("s1_scan_parquet")  # both before either is read
-    assert (whole.count(), part.count()) == (total, kept)
-    assert run("r9_missing_counts_whole").agg(F.sum("rows")).first()[0] == total
-    assert run("r9_missing_counts").agg(F.sum("rows")).first()[0] == kept
-    assert views.event_rows() == views.EVENT_ROWS
+    total = spark.read.parquet(f"{small}/events.parquet").count()
+    assert queries.QUERIES["s1_scan_parquet"](spark, small).count() == total == views.event_records(spark, small).count()
+    assert views.incomplete_records(spark, small).count() < total
+    part = [n for n, sql in queries.SQL.items() if views.INCOMPLETE_SQL in sql]
+    assert sorted(part) == ["j1_shared_units", "j2_dropped_units", "p1_paired_panel", "p7_overlap", "t4_allocation_ledger", "t4_composition_shift"]
 
 
 def test_filters_and_log(spark):
@@ -248,21 +243,96 @@ def test_results_do_not_depend_on_partitions_or_order(records):
 
 def test_algebraic_equals_kernel(records):
     own = pairing.build_paired_panel(panel_of(records), ["policy_a", "policy_b"])
-    rows = own.rows.join(resample.unit_index(own.rows), "unit").select("unit_ix", "policy_id", "sub", "value")
-    picks = [resample.draws(records.sparkSession, 3, 120, own.n_units)]
+    placed = own.rows.join(resample.unit_index(own.rows), "unit")
     for name in ("mean", "std", "sum", "p_exceed"):
         params = {"threshold": 12.0} if name == "p_exceed" else {}
-        a = resample.algebraic_replicates(resample.sufficient(rows, name, 12.0), own.policies, name, picks).toPandas().sort_values("b")
-        b = resample.order_replicates(rows, own.policies, name, params, picks).toPandas().sort_values("b")
-        assert np.allclose(a[["e0", "e1"]], b[["e0", "e1"]])
-
-
-def test_large_panels_are_joined(records, monkeypatch):
+        for streams in ((0,), (0, 1)):
+            a = resample.replicates(own.rows, own.policies, name, params, seed=3, n_resamples=120, streams=streams).toPandas().sort_values("b")
+            b = resample.order_replicates(placed, own.policies, name, params, 3, 120, streams).toPandas().sort_values("b")
+            assert a["b"].tolist() == list(range(-1, 120)) and np.allclose(a[["e0", "e1"]], b[["e0", "e1"]])
+
+
+def test_draws_are_multinomial(spark):
+    """Every replicate draws as often as there are units; few units of a tree give the same counts as all; moments are right."""
+    drawn = resample.draws(spark, 3, 400, 23).toPandas()
+    assert (drawn.groupby("b")["w"].sum() == 23).all() and set(drawn["b"]) == set(range(-1, 400))
+    leaves = pd.DataFrame({"unit_ix": np.arange(23), "k": 23})
+    w = multiplicity.weights(3, 0, np.arange(20_000), leaves)
+    assert (w[:400][drawn["b"].to_numpy()[drawn["b"] >= 0], drawn["unit_ix"][drawn["b"] >= 0]] == drawn["w"][drawn["b"] >= 0]).all()
+    assert (multiplicity.weights(3, 0, np.arange(50), leaves.iloc[[20, 4]]) == w[:50, [20, 4]]).all()
+    assert np.abs(w.mean(axis=0) - 1).max() < 0.03
+    covariance = np.cov(w.T)
+    assert np.abs(np.diag(covariance) - 22 / 23).max() < 0.05 and np.abs(covariance - np.diag(np.diag(covariance)) + (1 - np.eye(23)) / 23).max() < 0.04
+    chances = [math.comb(23, k) * (1 / 23) ** k * (22 / 23) ** (23 - k) for k in range(5)]
+    assert np.abs(np.bincount(w.ravel(), minlength=5)[:5] / w.size - chances).max() < 0.005
+
+
+def test_binomial_quantiles():
+    """Against exact distribution functions, split sizes of every kind, large counts by their moments."""
+    for n, c in ((2, 9), (3, 14), (7, 40)):
+        p = Fraction(n // 2, n)
+        exact, total = [], Fraction(0)
+        for k in range(c + 1):
+            total += math.comb(c, k) * p**k * (1 - p) ** (c - k)
+            exact.append(total)
+        u = np.random.default_rng(1).random(300)
+        want = [min(sum(f < Fraction(x) for f in exact), c) for x in u.tolist()]
+        assert multiplicity.binomial_quantile(u, np.full(300, c), n // 2, n).tolist() == want
+    u = (np.arange(20_000) + 0.5) / 20_000
+    big = multiplicity.binomial_quantile(u, np.full(20_000, 4_000_001), 500_000, 1_000_001)
+    p = 500_000 / 1_000_001
+    assert abs(big.mean() - 4_000_001 * p) < 2 and abs(big.std() / (4_000_001 * p * (1 - p)) ** 0.5 - 1) < 1e-3
+    assert multiplicity.binomial_quantile(np.array([0.5, 0.9]), np.array([0, 1]), 1, 2).tolist() == [0, 1]
+
+
+def test_groups_draw_as_they_would_alone(records):
+    rows = panel_of(records).withColumn("g", F.when(F.col("unit") < "u0012", "x"))  # the other group's name is null
+    both = resample.algebraic_replicates(resample.wide(rows, ("policy_a", "policy_b"), keys=["g"]), ("policy_a", "policy_b"), "mean", 5, 40, keys=["g"]).toPandas()
+    for name, own in (("x", rows.where("g = 'x'")), (None, rows.where("g is null"))):
+        alone = resample.replicates(own, ("policy_a", "policy_b"), seed=5, n_resamples=40).toPandas().sort_values("b")
+        mine = both[both["g"] == name] if name else both[both["g"].isna()]
+        assert np.allclose(mine.sort_values("b")[["e0", "e1"]], alone[["e0", "e1"]])
+
+
+@pytest.mark.parametrize("two_stage", [False, True])
+def test_large_panels_by_histograms(records, monkeypatch, two_stage):
+    """Panels beyond the broadcast: the same order statistics from histograms, custom estimators from repeated rows."""
+    monkeypatch.setattr(histogram, "CELLS", 7)
     own = pairing.build_paired_panel(panel_of(records), ["policy_a", "policy_b"])
-    small = resample.paired_cluster_bootstrap(own, "cvar", {"alpha": 0.8, "tail": "upper"}, n_resamples=100, seed=2)["difference"]
-    monkeypatch.setattr(resample, "BROADCAST_ROWS", 0)
-    large = resample.paired_cluster_bootstrap(own, "cvar", {"alpha": 0.8, "tail": "upper"}, n_resamples=100, seed=2)["difference"]
-    assert np.allclose(small.replicates, large.replicates)
+    cases = [("cvar", {"alpha": 0.8, "tail": "upper"}), ("quantile", {"q": 0.83})] if two_stage else [("cvar", {"alpha": 0.9, "tail": "lower"}), ("median", {}), ("trimmed_mean", {"trim": 0.2}), ("max", {})]
+    for k, (name, params) in enumerate(cases):
+        streams = (0,) if two_stage or k % 2 else (0, 1)
+        run = lambda: resample.replicates(own.rows, own.policies, name, params, seed=2, n_resamples=30, streams=streams, two_stage=two_stage).toPandas().sort_values("b")  # noqa: B023, E731
+        monkeypatch.setattr(resample, "BROADCAST_ROWS", 1000)
+        small = run()
+        monkeypatch.setattr(resample, "BROADCAST_ROWS", 0)
+        large = run()
+        assert large["b"].tolist() == list(range(-1, 30)) and np.allclose(small[["e0", "e1"]], large[["e0", "e1"]]), name
+
+
+def test_histograms_of_awkward_panels(spark, monkeypatch):
+    """Ties, a unit with most rows, a policy with one value and one without any, null and infinite values."""
+    monkeypatch.setattr(histogram, "CELLS", 5)
+    rng = np.random.default_rng(4)
+    rows = [(f"u{k}", "a", float(round(x))) for k, x in zip(rng.integers(0, 9, 60), rng.normal(size=60) * 2, strict=True)] + [("u3", "a", float(x)) for x in rng.normal(size=90)]
+    rows += [("u1", "a", None), ("u2", "a", float("inf")), ("u2", "b", 4.0), ("u4", "c", float("nan"))]
+    df = spark.createDataFrame(rows, "unit string, policy_id string, value double")
+    for name in ("median", "cvar"):
+        monkeypatch.setattr(resample, "BROADCAST_ROWS", 1000)
+        small = resample.replicates(df, ("a", "b", "c"), name, seed=1, n_resamples=25).toPandas().sort_values("b")
+        monkeypatch.setattr(resample, "BROADCAST_ROWS", 0)
+        large = resample.replicates(df, ("a", "b", "c"), name, seed=1, n_resamples=25).toPandas().sort_values("b")
+        assert np.allclose(small[["e0", "e1", "e2"]].astype(float), large[["e0", "e1", "e2"]].astype(float), equal_nan=True)
+        assert small["e1"].isna().any() and small["e2"].isna().all()
+
+
+def test_custom_estimators_of_large_panels(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(f"u{k % 7}", p, float(x)) for p in "ab" for k, x in enumerate(rng.normal(size=40))], "unit string, policy_id string, value double")
+    placed = df.join(resample.unit_index(df), "unit").select("unit_ix", "k", "policy_id", "value")
+    small = resample.order_replicates(placed, ("a", "b"), "median", {}, 1, 15).toPandas().sort_values("b")
+    large = resample._joined_replicates(placed, ("a", "b"), "median", {}, 1, 15, (0,)).toPandas().sort_values("b")
+    assert np.allclose(small[["e0", "e1"]], large[["e0", "e1"]])
 
 
 def test_pairing_narrows_and_methods_agree(records):
@@ -285,10 +355,10 @@ def test_leaving_units_out_by_ranks(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(int(u), p, float(round(x, 1))) for p, n in (("a", 150), ("b", 90)) for u, x in zip(rng.integers(0, 12, n), rng.normal(size=n), strict=True)]
     rows += [(12, "a", float(x)) for x in rng.normal(size=150)] + [(13, "a", float("nan")), (14, "c", 1.0), (14, "c", 3.0)]
-    df = spark.createDataFrame(rows, "unit_ix bigint, policy_id string, value double")
+    df = spark.createDataFrame([(f"{u:02d}", p, v) for u, p, v in rows], "unit string, policy_id string, value double")
     for name, params in (("median", {}), ("quantile", {"q": 0.83}), ("cvar", {"alpha": 0.8, "tail": "upper"}), ("cvar", {"alpha": 0.9, "tail": "lower"}), ("trimmed_mean", {"trim": 0.2}), ("min", {}), ("max", {})):
-        made = resample._jackknife(df, ("a", "b", "c"), name, params, 16)
-        assert made["unit_ix"].tolist() == list(range(16))
+        made = resample.leave_one_out(df, ("a", "b", "c"), name, params).toPandas().sort_values("unit_ix")
+        assert made["unit_ix"].tolist() == list(range(15))
         for k, p in enumerate("abc"):
             for u, e in zip(made["unit_ix"], made[f"e{k}"], strict=True):
                 left = [v for i, q, v in rows if q == p and i != u and np.isfinite(v)]
@@ -298,23 +368,25 @@ def test_leaving_units_out_by_ranks(spark, monkeypatch):
 
 @pytest.mark.parametrize("name", ["mean", "median"])
 def test_two_stages(spark, name):
-    """Units, then sub-units within unit and policy: against the draws' definition, null sub-units and several rows included."""
+    """Units, then sub-units within unit and policy: against the counts' definition, null sub-units and several rows included."""
     rng = np.random.default_rng(5)
-    rows = [(int(u), p, None if s == 0 else f"s{s}", float(rng.normal())) for u in range(6) for p in "ab" for s in range(int(rng.integers(1, 5))) for _ in range(int(rng.integers(1, 3)))]
-    df = spark.createDataFrame(rows, "unit_ix bigint, policy_id string, sub string, value double")
-    within, drawn = resample.two_stage(df, 3, 20, 6)
-    got = resample._replicates(within, ("a", "b"), name, {}, [drawn]).toPandas().set_index("b")
-    word = lambda *c: int(hashlib.md5("|".join(map(str, c)).encode()).hexdigest()[:8], 16)
-    for b in range(20):
-        for k, p in enumerate("ab"):
+    rows = [(f"u{u}", p, None if s == 0 else f"s{s}", float(rng.normal())) for u in range(6) for p in "ab" for s in range(int(rng.integers(1, 5))) for _ in range(int(rng.integers(1, 3)))]
+    df = spark.createDataFrame(rows, "unit string, policy_id string, sub string, value double")
+    got = resample.replicates(df, ("a", "b"), name, seed=3, n_resamples=20, two_stage=True).toPandas().set_index("b")
+    one = lambda k, n: pd.DataFrame({"unit_ix": np.arange(n), "k": n}).assign(**k)
+    numbers = np.arange(20)
+    units = multiplicity.weights(3, 0, numbers, one({}, 6))
+    for k, p in enumerate("ab"):
+        for b in range(20):
             taken = []
-            for slot in range(6):
-                unit = word(3, 0, b, slot) % 6
-                subs = sorted({r[2] for r in rows if r[:2] == (unit, p)}, key=lambda s: (s is not None, s or ""))
-                for i in range(len(subs)):
-                    pick = subs[word(3, 2, b, slot, i) % len(subs)]
-                    taken += [r[3] for r in rows if r[:3] == (unit, p, pick)]
-            assert got.loc[b, f"e{k}"] == pytest.approx(estimators.estimate(name, taken))
+            for u in range(6):
+                subs = sorted({r[2] for r in rows if r[:2] == (f"u{u}", p)}, key=lambda s: (s is not None, s or ""))
+                n = len(subs)
+                inner = multiplicity.split(3, 2, numbers[b : b + 1], units[b : b + 1, [u]] * n, np.array([1 + 2 * u + k]), np.array([n]), np.zeros(n, int), np.arange(n))[0]
+                assert inner.sum() == units[b, u] * n
+                for sub, w in zip(subs, inner.tolist(), strict=True):
+                    taken += [r[3] for r in rows if r[:3] == (f"u{u}", p, sub)] * w
+            assert got.loc[b, f"e{k}"] == pytest.approx(estimators.estimate(name, taken)) if taken else np.isnan(got.loc[b, f"e{k}"])
     assert got.loc[resample.ITSELF, "e0"] == pytest.approx(estimators.estimate(name, [r[3] for r in rows if r[1] == "a"]))
 
 
@@ -340,8 +412,8 @@ def test_intervals():
     rng = np.random.default_rng(0)
     x = rng.normal(1, 1, 4000)
     assert intervals.p_two_sided(np.ones(99)) == 0.01 and intervals.p_two_sided(np.array([-1.0, 1.0])) == 1.0
-    assert intervals.interval(1.0, x, 0.95, "bca", np.zeros(2))[2] == "percentile"
-    assert intervals.interval(99.0, x, 0.95, "bca", np.arange(9.0))[3]
+    assert intervals.interval(1.0, x, 0.95, "bca", intervals.Influence(2, 2, 0.0))[2] == "percentile"
+    assert intervals.interval(99.0, x, 0.95, "bca", intervals.Influence(9, 9, 0.1))[3]
     assert intervals.outside(-0.1, 1.2, (0.0, 1.0)) and not intervals.outside(0.1, 0.9, (0.0, 1.0))
     with pytest.raises(ValueError):
         intervals.interval(1.0, x, 0.95, "other")
@@ -431,8 +503,33 @@ def test_together(spark):
     assert together(lambda: 1, lambda: spark.range(5).count(), lambda: 3) == [1, 5, 3] and together() == []
     with pytest.raises(KeyError):
         together(lambda: {}["x"], lambda: 1)
-    with every_row():
-        assert together(event_rows, event_rows) == ["true", "true"]
+    told = ContextVar("told", default=0)
+    told.set(4)
+    assert together(told.get, told.get) == [4, 4]
+
+
+def test_delimited_files_are_split(spark, tmp_path):
+    """One large file gives many tasks; files with line breaks inside quotes are read whole, beside files that are not."""
+    plain = tmp_path / "plain.csv"
+    plain.write_text("world_id,loss,note\n" + "".join(f"u{k},{k}.5,\"a, \"\"quoted\"\" {k}\"\n" for k in range(4000)))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+        df = scan(spark, f"file://{plain}", "csv")
+        assert df.rdd.getNumPartitions() > 4
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert len(rows) == 4000 and {r["note"] for r in rows} == {f'a, "quoted" {k}' for k in range(4000)} and rows[0]["loss"].endswith(".5")
+    several = tmp_path / "several.csv"
+    several.mkdir()
+    (several / "a.csv").write_text('world_id,loss,note\nu1,1,"one\nline, ""and"" another"\nu2,2,NA\n')
+    (several / "b.csv").write_text('world_id,loss,note\nu3,3,"plain"\n0004,,x\n')
+    got = {r["world_id"]: (r["loss"], r["note"]) for r in scan(spark, f"file://{several}", "csv").collect()}
+    assert got == {"u1": ("1", 'one\nline, "and" another'), "u2": ("2", None), "u3": ("3", "plain"), "0004": (None, "x")}
+    tabbed = tmp_path / "t.tsv"
+    tabbed.write_text("world_id\tnote\nu1\ta,b\n")
+    assert [tuple(r) for r in scan(spark, f"file://{tabbed}", "tsv").collect()] == [("u1", "a,b")]
 
 
 # Structure and validation
