@@ -26,24 +26,33 @@ BITS = 15
 BROADCAST_BITMAPS = 1 << 14
 
 
-#: What a plan holds that reads stored rows in the same order each time.
-_STORED = re.compile(r"^[\s+:*()\d-]*(FileScan|Scan|BatchScan|ColumnarToRow|Filter|Project|WholeStageCodegen|InputAdapter)\b")
-_DRAWN = re.compile(r"\b(rand|randn|uuid|shuffle|monotonically_increasing_id|Scan ExistingRDD)\b", re.IGNORECASE)
+#: What a plan may hold above one scan of Parquet files for its rows to keep their places there.
+_PLACED = re.compile(r"^[\s+:*()\d-]*(FileScan parquet|Scan parquet|ColumnarToRow|Filter|Project|WholeStageCodegen|InputAdapter)\b")
+_DRAWN = re.compile(r"\b(rand|randn|uuid|shuffle|monotonically_increasing_id)\b", re.IGNORECASE)
+#: Rows of a file at most, as a power of two.
+FILE_BITS = 40
 
 
 def steady(docs: DataFrame) -> DataFrame:
-    """``docs`` if each of its reads numbers its rows alike (a stored table, filtered or projected), else a written copy.
-
-    After a shuffle, for one, rows come in another order each time, and numbers drawn twice would not agree.
-    """
+    """``docs`` if its rows are those of Parquet files (filtered or projected), else a written copy."""
     plan = docs._jdf.queryExecution().executedPlan().toString().strip().splitlines()
-    stored = all(_STORED.match(line) for line in plan) and not any(_DRAWN.search(line) for line in plan)
+    stored = all(_PLACED.match(line) for line in plan) and "FileScan parquet" in plan[-1] and not any(_DRAWN.search(line) for line in plan)
     return docs if stored else materialize(docs, "numbered")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` (``steady``) with ``RID``, the same numbers each time."""
-    return docs.withColumn(RID, F.monotonically_increasing_id())
+    """``docs`` (``steady``) with ``RID``: the place of a row's file among the files by name, and its place in the file.
+
+    It is the same in every read, however the files are split: with more or fewer executors, or another split size.
+    """
+    if RID in docs.columns:
+        raise ValueError(f"a corpus must not have a column {RID}")
+    name, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    paths = sorted(r[0] for r in docs.select(name).distinct().collect())  # a name for each file
+    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "__sf_file bigint, __sf_path string")
+    rows = docs.select("*", name.alias("__sf_name"), place.alias("__sf_place"))
+    number = F.shiftleft("__sf_file", FILE_BITS) + F.col("__sf_place")
+    return rows.join(F.broadcast(files), F.col("__sf_name") == F.col("__sf_path")).select(*docs.columns, number.alias(RID))
 
 
 def _bit(bitmap: Column, place: Column) -> Column:

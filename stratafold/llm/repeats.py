@@ -11,18 +11,18 @@ strings at equal places.  The windows of a text with the same anchor are consecu
 they and their bytes are a segment, about 1.4 windows long.  Every window belongs to
 exactly one segment, and equal windows lie in segments with equal anchor strings.
 
-1.  One pass finds all segments: hash of the anchor string, hash of the whole segment.
+1.  One pass finds all segments: hash of the anchor string, 128 bits of BLAKE2b of the whole segment.
 2.  Anchor strings that occur once have no repeated window.  Segments that occur twice or
     more have only repeated windows.  Neither needs its bytes.
 3.  Of what is left, one copy of each distinct segment is fetched and buckets of them get
     a suffix order, previous and next smaller positions in it, and from these the longest
     previous (and next) factor of every window, cut at ``LENGTH``.
-4.  An anchor string with very many distinct segments is split over all tasks instead: its
-    windows are counted by hash, with partial counts before the shuffle.
-Equal means equal hashes of the anchor string and of the segment (or window): 64 bits each,
-that of the segments only compared within one anchor string.
+4.  The distinct segments of an anchor string with more than ``SPLIT`` of them are cut again by longer anchor
+    strings, as if they were texts, and so on up to whole windows: a longer string is shared by fewer.
+    Every window stays in one group, so the rows grow with the segments.
 5.  Repeated windows become spans of the texts, which are cut out (or all copies but the
     first are kept track of, see ``keep``).
+Hashes of anchor strings only gather what may be equal; what is equal is told by the 128 bits or by the symbols.
 
 Defined results: null text is empty; texts shorter than a window have no repeats;
 matches never cross texts and may overlap within one; repeated rows count as repeats of
@@ -33,7 +33,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.llm.arrow import slices
-from stratafold.llm.joins import steady
+from stratafold.llm.joins import RID, numbered, steady
 from stratafold.llm.shingles import mix, word_hashes
 from stratafold.scratch import materialize
 
@@ -53,7 +53,7 @@ WORDS = 50
 WORD_GRAM = 16
 #: Symbols handled at once in the first pass; longer texts are cut into overlapping chunks.
 CHUNK = 500_000
-#: Symbols of segments in a bucket, and distinct segments of an anchor string above which it is split.
+#: Symbols of segments in a bucket, and distinct segments of an anchor string above which longer ones part them.
 BUCKET = 500_000
 SPLIT = 1500
 #: Places in texts (of up to seven longs each) up to which they are broadcast; more are joined by a shuffle.
@@ -99,7 +99,7 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Segments of concatenated texts: first and last window start, anchor, anchor hash, segment hash.
+    """Segments of concatenated texts: first and last window start, anchor hash, and two halves of the segment's digest.
 
     bounds: starts of the texts and the end of the last; positions are in ``data``, which
     is shorter than 16 MiB.
@@ -120,9 +120,15 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: i
         return none, none, none, none, none
     fresh = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))))
     first, last = start[fresh], start[np.concatenate((fresh[1:] - 1, [len(start) - 1]))]
-    anchor = anchor[fresh]
-    whole = mix(hashed.of(first, last + length) + (anchor - first).astype(np.uint64) * _BASE + (last - first).astype(np.uint64) * _INVERSE)
-    return first, last, anchor, grams[anchor].view(np.int64), whole.view(np.int64)
+    return first, last, grams[anchor[fresh]].view(np.int64), *digests(data, first, last + length)
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each stretch of symbols, as two longs."""
+    view, size = memoryview(np.ascontiguousarray(data)).cast("B"), data.itemsize
+    made = b"".join(hashlib.blake2b(view[a * size : b * size], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True))
+    both = np.frombuffer(made, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 class Suffixes:
@@ -245,7 +251,9 @@ def _symbols(texts: pa.Array, words: bool) -> Iterator[np.ndarray]:
         yield from np.split(hashes, np.cumsum(counts)[:-1])
 
 
-_SEGMENTS = "rid bigint, first bigint, last bigint, anchor bigint, segment bigint, copies bigint"
+_SEGMENTS = "rid bigint, first bigint, last bigint, anchor bigint, segment bigint, check bigint, copies bigint"
+#: What names a distinct segment.
+KEY = ("anchor", "segment", "check")
 
 
 def _segments(length: int, gram: int, spare: int, words: bool):
@@ -260,13 +268,16 @@ def _segments(length: int, gram: int, spare: int, words: bool):
             for pieces in _pieces(rows, length):
                 names, offsets, bodies = (list(x) for x in zip(*pieces, strict=True))
                 bounds = np.concatenate(([0], np.cumsum([len(b) for b in bodies])))
-                first, last, _, anchor, segment = segments(np.concatenate(bodies), bounds, length, gram)
+                first, last, anchor, segment, check = segments(np.concatenate(bodies), bounds, length, gram)
                 owner = np.searchsorted(bounds, first, side="right") - 1
                 rid = np.array(names, np.int64)[owner]
                 shift = np.array(offsets, np.int64)[owner] - bounds[owner]
                 # Equal segments of a piece become one row with a count.
-                order = np.lexsort((segment, anchor, owner))
-                fresh = np.concatenate(([True], (np.diff(owner[order]) != 0) | (np.diff(anchor[order]) != 0) | (np.diff(segment[order]) != 0))) if len(order) else np.zeros(0, bool)
+                order = np.lexsort((check, segment, anchor, owner))
+                fresh = np.zeros(len(order), bool)
+                fresh[:1] = True
+                for x in (owner, anchor, segment, check):
+                    fresh[1:] |= x[order][1:] != x[order][:-1]
                 lead = np.flatnonzero(fresh)
                 copies = np.diff(np.concatenate((lead, [len(order)])))
                 rank = np.arange(len(order)) - np.repeat(lead, copies)
@@ -281,13 +292,13 @@ def _segments(length: int, gram: int, spare: int, words: bool):
                 lost = pa.nulls(len(start), pa.int64())
                 joined = [(rid[one], spans_of), ((first + shift)[one], start), ((last + shift)[one], end)]
                 columns = [pa.array(np.concatenate(pair).astype(np.int64)) for pair in joined]
-                columns += [pa.concat_arrays([pa.array(np.asarray(x, np.int64)), lost]) for x in (anchor[one], segment[one], copies)]
-                yield pa.RecordBatch.from_arrays(columns, names=["rid", "first", "last", "anchor", "segment", "copies"])
+                columns += [pa.concat_arrays([pa.array(np.asarray(x, np.int64)), lost]) for x in (anchor[one], segment[one], check[one], copies)]
+                yield pa.RecordBatch.from_arrays(columns, names=["rid", "first", "last", *KEY, "copies"])
 
     return run
 
 
-_WANTED = ("bucket", "anchor", "segment", "n", "low_rid", "high_rid", "rid", "first")
+_WANTED = ("different", *KEY, "n", "low_rid", "high_rid", "rid", "first")
 
 
 def _fetched(length: int, words: bool):
@@ -334,24 +345,52 @@ def _factored(length: int, first_stays: bool, words: bool, across: bool):
         mask[starts[repeats]] = True
         low, high = _runs(mask)
         of = np.searchsorted(begin, low, side="right") - 1
-        return pa.table([table.column("anchor").take(pa.array(of)), table.column("segment").take(pa.array(of)), pa.array(low - begin[of]), pa.array(high - begin[of])], names=["anchor", "segment", "low", "high"])
+        return pa.table([*(table.column(k).take(pa.array(of)) for k in KEY), pa.array(low - begin[of]), pa.array(high - begin[of])], names=[*KEY, "low", "high"])
 
     return run
 
 
-_COUNTED = ("anchor", "segment", "n", "low_rid", "high_rid", "rid", "first")
+#: Of a part of a distinct segment: what names the segment, and the place in it.
+_PARENT = ("in_anchor", "in_segment", "in_check")
+_PARTS = ", ".join(f"{k} bigint" for k in (*_PARENT, "at", "span", "rid", "first", *KEY, "n", "low_rid", "high_rid"))
+
 
+def longer(gram: int, length: int) -> int:
+    """The next longer anchor string; at last the whole window."""
+    return length - (length - gram) * 3 // 8
 
-def _windows(length: int, words: bool):
-    """Mapper: segments with symbols -> hash of every window, for anchor strings too frequent for one task."""
+
+def _parts(length: int, gram: int, words: bool):
+    """Mapper: distinct segments with symbols -> their parts by anchor strings of ``gram`` symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, body in enumerate(batch.column(batch.schema.get_field_index("symbols")).to_pylist()):
-                data = np.frombuffer(body, np.uint64 if words else np.uint8)
-                at = np.arange(len(data) - length + 1)
-                same = [pa.array(np.full(len(at), batch.column(c)[k].as_py())) for c in _COUNTED]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(at), pa.array(Hashed(data).of(at, at + length).view(np.int64))], names=[*_COUNTED, "low", "window"])
+            for begin, end in slices(batch.column(batch.schema.get_field_index("symbols"))):
+                rows = batch.slice(begin, end - begin)
+                bodies = [np.frombuffer(x.as_buffer(), np.uint64 if words else np.uint8) for x in rows.column("symbols")]
+                bounds = np.concatenate(([0], np.cumsum([len(b) for b in bodies])))
+                first, last, anchor, segment, check = segments(np.concatenate(bodies), bounds, length, gram)
+                owner = np.searchsorted(bounds, first, side="right") - 1
+                own = {k: rows.column(k).to_numpy()[owner] for k in (*KEY, "rid", "first", "n", "low_rid", "high_rid")}
+                at = first - bounds[owner]
+                # Parts of other anchor strings stay apart; whole windows are told apart by their digest at once.
+                inner = segment ^ check if gram == length else anchor
+                joined = mix(own["anchor"].view(np.uint64) * _BASE + inner.view(np.uint64)).view(np.int64)
+                columns = [own["anchor"], own["segment"], own["check"], at, last - first, own["rid"], own["first"] + at, joined, segment, check, own["n"], own["low_rid"], own["high_rid"]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[c.split(" ")[0] for c in _PARTS.split(", ")])
+
+    return run
+
+
+def _cut(length: int, words: bool):
+    """Mapper: (symbols of a segment, place and span of a part, and what is wanted of it) -> the part's symbols."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = 8 if words else 1
+        for batch in batches:
+            places = zip(batch.column("symbols"), batch.column("at").to_pylist(), batch.column("span").to_pylist(), strict=True)
+            parts = [x.as_buffer()[at * unit : (at + span + length) * unit].to_pybytes() for x, at, span in places]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in _WANTED), pa.array(parts, pa.binary())], names=[*_WANTED, "symbols"])
 
     return run
 
@@ -381,6 +420,50 @@ def _merged_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), spans], names=["rid", "spans"])
 
 
+def _repeats(found: DataFrame, carry: tuple[str, ...], fetch: Callable[[DataFrame], DataFrame], length: int, gram: int, stays: bool, words: bool, across: bool) -> DataFrame:
+    """(carry, low, high): runs of windows that repeat, numbered like ``at``.
+
+    found: segments (carry, at, span, rid, first, KEY, n, low_rid, high_rid), in texts or in other segments.
+    fetch: distinct ones of them (``_WANTED``, carry, at, span) -> ``_WANTED`` and symbols.
+    """
+    twice = F.min("low_rid") != F.max("high_rid") if across else F.sum("n") > 1
+    several = (F.min("segment") != F.max("segment")) | (F.min("check") != F.max("check"))
+    often = found.groupBy("anchor").agg(twice.alias("twice"), several.alias("mixed")).where("twice").select("anchor", "mixed")
+    found = materialize(found.join(often, "anchor"), "repeats-frequent")
+    lead = F.min(F.struct("rid", "first", *carry, "at", "span")).alias("lead")
+    whole = (*carry, F.col("at").alias("low"), (F.col("at") + F.col("span")).alias("high"))
+    if stays:  # every copy but the first goes whole
+        firsts = found.groupBy(*KEY).agg(F.min(F.struct("rid", "first")).alias("lead"))
+        runs = found.join(firsts, list(KEY)).where(F.struct("rid", "first") != F.col("lead")).select(*whole)
+    else:
+        runs = found.where("not mixed").select(*whole)
+    mixed = found.where("mixed")
+    distinct = mixed.groupBy(*KEY).agg(F.sum("n").alias("n"), F.min("low_rid").alias("low_rid"), F.max("high_rid").alias("high_rid"), lead)
+    distinct = materialize(distinct.select(*KEY, "n", "low_rid", "high_rid", "lead.*"), "repeats-distinct")
+    per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("different"))
+    fetched = materialize(fetch(distinct.join(per_anchor, "anchor")), "repeats-fetched")
+    total = fetched.agg(F.sum(F.length("symbols"))).first()[0] or 0
+    buckets = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (BUCKET * (8 if words else 1))))
+    few = fetched.where(F.col("different") <= SPLIT).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    inside = few.groupBy("bucket").applyInArrow(_factored(length, stays, words, across), ", ".join(f"{k} bigint" for k in (*KEY, "low", "high")))
+    many = fetched.where(F.col("different") > SPLIT)
+    if not many.isEmpty():
+        gram = longer(gram, length)
+        parts = materialize(many.mapInArrow(_parts(length, gram, words), _PARTS), "repeats-parts")
+
+        def cut(wanted: DataFrame) -> DataFrame:
+            of = [F.col(k).alias(f"in_{k}") for k in KEY]
+            bodies = many.select(*of, "symbols")
+            return wanted.join(bodies, list(_PARENT)).select(*_WANTED, "at", "span", "symbols").mapInArrow(_cut(length, words), ", ".join(f"{k} bigint" for k in _WANTED) + ", symbols binary")
+
+        deeper = _repeats(parts, _PARENT, cut, length, gram, stays, words, across)
+        inside = inside.unionByName(deeper.select(*(F.col(f"in_{k}").alias(k) for k in KEY), "low", "high"))
+    inside = materialize(inside, "repeats-runs").select(*KEY, F.col("low").alias("from"), F.col("high").alias("to"))
+    # Where the first copy stays, these windows are repeats already there.
+    hits = (distinct if stays else mixed).select(*carry, "at", *KEY).join(inside, list(KEY))
+    return runs.unionByName(hits.select(*carry, (F.col("at") + F.col("from")).alias("low"), (F.col("at") + F.col("to")).alias("high")))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", words: bool = False, across: bool = False) -> DataFrame:
     """docs(rid, text) -> rid and its maximal spans of repeated symbols (array of start, end).
 
@@ -394,62 +477,40 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     spare = 2**62 if across else int(stays)
     found = materialize(docs.select("rid", "text").mapInArrow(_segments(length, gram, spare, words), _SEGMENTS), "repeats-segments")
     spans = found.where("anchor is null").select("rid", F.col("first").alias("start"), F.col("last").alias("end"))
-    found = found.where("anchor is not null")
-    twice = F.min("rid") != F.max("rid") if across else F.sum("copies") > 1
-    often = found.groupBy("anchor").agg(twice.alias("twice"), (F.min("segment") != F.max("segment")).alias("mixed")).where("twice").select("anchor", "mixed")
-    found = materialize(found.join(often, "anchor"), "repeats-frequent")
-    place = F.struct("rid", "first", "last")
-    if stays:  # every copy but the first goes whole
-        firsts = found.groupBy("anchor", "segment").agg(F.min(F.struct("rid", "first")).alias("lead"))
-        later = found.join(firsts, ["anchor", "segment"]).where(F.struct("rid", "first") != F.col("lead"))
-        spans = spans.unionByName(later.select("rid", F.col("first").alias("start"), (F.col("last") + length).alias("end")))
-    else:
-        alike = found.where("not mixed")
-        spans = spans.unionByName(alike.select("rid", F.col("first").alias("start"), (F.col("last") + length).alias("end")))
-    mixed = found.where("mixed")
-    distinct = mixed.groupBy("anchor", "segment").agg(F.sum("copies").alias("n"), F.min("rid").alias("low_rid"), F.max("rid").alias("high_rid"), F.min(place).alias("at"))
-    distinct = materialize(distinct.select("anchor", "segment", "n", "low_rid", "high_rid", "at.*"), "repeats-distinct")
-    total = distinct.agg(F.sum(F.col("last") - F.col("first") + length)).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("different"))
-    wanted = distinct.join(per_anchor, "anchor").select(
-        *(c for c in distinct.columns),
-        F.when(F.col("different") > SPLIT, F.lit(-1)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(buckets))).cast("bigint").alias("bucket"),
-    )
-    wanted = materialize(wanted.groupBy("rid").agg(F.collect_list(F.struct(*wanted.columns)).alias("wanted")), "repeats-wanted")
-    fetched = _joined(docs, wanted, "wanted", "inner").select("wanted", "text").mapInArrow(_fetched(length, words), ", ".join(f"{k} bigint" for k in _WANTED) + ", symbols binary")
-    fetched = materialize(fetched, "repeats-fetched")
-    runs = fetched.where("bucket >= 0").groupBy("bucket").applyInArrow(_factored(length, stays, words, across), "anchor bigint, segment bigint, low bigint, high bigint")
-    if not per_anchor.where(F.col("different") > SPLIT).isEmpty():
-        windows = fetched.where("bucket < 0").mapInArrow(_windows(length, words), ", ".join(f"{k} bigint" for k in (*_COUNTED, "low", "window")))
-        windows = materialize(windows, "repeats-windows")
-        lead = F.min(F.struct("rid", (F.col("first") + F.col("low")).alias("at"))).alias("lead")
-        counted = windows.groupBy("anchor", "window").agg(F.sum("n").alias("all"), (F.min("low_rid") != F.max("high_rid")).alias("differ"), lead).where("differ" if across else "all > 1")
-        counted = windows.join(counted, ["anchor", "window"])
-        if stays:
-            counted = counted.where((F.col("rid") != F.col("lead.rid")) | (F.col("first") + F.col("low") != F.col("lead.at")))
-        runs = runs.unionByName(counted.select("anchor", "segment", "low", F.col("low").alias("high")))
-    runs = materialize(runs, "repeats-runs")
-    if stays:  # these windows are repeats already at the first copy
-        mixed = distinct.select("anchor", "segment", "rid", "first")
-    hits = mixed.select("anchor", "segment", "rid", "first").join(runs, ["anchor", "segment"])
-    spans = spans.unionByName(hits.select("rid", (F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high") + length).alias("end")))
+
+    def fetch(distinct: DataFrame) -> DataFrame:
+        last = (F.col("first") + F.col("span")).alias("last")
+        wanted = distinct.groupBy("rid").agg(F.collect_list(F.struct(*_WANTED, last)).alias("wanted"))  # segments of one text
+        joined = _joined(docs, materialize(wanted, "repeats-wanted"), "wanted", "inner")
+        return joined.select("wanted", "text").mapInArrow(_fetched(length, words), ", ".join(f"{k} bigint" for k in _WANTED) + ", symbols binary")
+
+    placed = found.where("anchor is not null").select("rid", "first", F.col("first").alias("at"), (F.col("last") - F.col("first")).alias("span"), *KEY, F.col("copies").alias("n"), F.col("rid").alias("low_rid"), F.col("rid").alias("high_rid"))
+    runs = _repeats(placed.withColumn("of", F.col("rid")), ("of",), fetch, length, gram, stays, words, across)
+    spans = spans.unionByName(runs.select(F.col("of").alias("rid"), F.col("low").alias("start"), (F.col("high") + length).alias("end")))
     # The spans of one text.
     by_text = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return materialize(by_text.mapInArrow(_merged_spans, "rid bigint, spans array<struct<start: bigint, end: bigint>>"), "repeats-spans")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", words: int = WORDS, word_gram: int = WORD_GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words, and kept (the remaining bytes).
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return numbered(steady(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))).withColumnRenamed(RID, "rid")
 
-    n_shared_words: words in passages of at least ``words`` words that also stand in another
-    document (A-Z in lower case, any space between words); these are counted, not cut out.
+
+def shared_words(docs: DataFrame, words: int = WORDS, gram: int = WORD_GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shared_words, the words in passages of at least ``words`` words that also stand in another document.
+
+    A-Z in lower case, any space between words; nothing is cut out.
     """
-    numbered = steady(docs).select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    spans = repeated_spans(numbered, length, gram, keep)
-    passages = repeated_spans(numbered, words, word_gram, words=True, across=True)
-    shared = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
-    marks = materialize(spans.join(passages.select("rid", shared.alias("shared")), "rid", "full"), "repeats-marks")
+    rows = _rows(docs, doc_id, text)
+    spans = repeated_spans(rows, words, gram, words=True, across=True)
+    total = F.aggregate("spans", F.lit(0).cast("bigint"), lambda done, s: done + s["end"] - s["start"])
+    return rows.select("doc_id", "rid").join(spans.select("rid", total.alias("n")), "rid", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_shared_words"))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes)."""
+    rows = _rows(docs, doc_id, text)
+    spans = repeated_spans(rows, length, gram, keep)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -462,10 +523,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
                 out.append((len(body), len(body) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            n_bytes, n_removed, n_spans, sha, kept = (pa.array(c, k) for c, k in zip(columns, kinds, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, n_removed, n_spans, sha, batch.column(3), kept], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "kept"]
-    joined = _joined(numbered, marks, "spans", "left").select("doc_id", "text", "spans", F.coalesce("shared", F.lit(0)).cast("bigint"))
-    kind = numbered.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_shared_words bigint, kept binary")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    joined = _joined(rows, spans, "spans", "left").select("doc_id", "text", "spans")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")

@@ -10,6 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from stratafold.llm import exact_dedup, jaccard, joins, licenses, mixing, near_vectors, packing, quality, repeats, secrets, shingles, toxicity
 
@@ -85,7 +86,9 @@ def test_many_near_copies_of_one_text(spark, tmp_path):
 
 
 def test_signatures_are_guaranteed():
+    """Linked sets share as many signatures as guaranteed; where a set's t is 0 its band is signed by shingles."""
     rng = np.random.default_rng(3)
+    ends = jaccard.band_ends()
     for n in (1, 2, 5, 24, 25, 40, 77, 150, 700):
         for _ in range(60):
             pool = rng.integers(0, 2**63, 3 * n + 4, dtype=np.uint64)
@@ -95,11 +98,38 @@ def test_signatures_are_guaranteed():
             k = len(np.intersect1d(a, b))
             if not k or 100 * k < 75 * (len(a) + len(b) - k):
                 continue
-            signs, rows, sure = jaccard.signatures(np.concatenate((a, b)), np.array([len(a), len(b)]))
-            mine, other = signs[rows == 0], signs[rows == 1]
-            shared = np.intersect1d(mine, other)
-            assert len(shared)
-            assert any((shared & np.uint64(1) == p).sum() >= max(1, sure[0, p], sure[1, p]) for p in (0, 1))
+            for fine in (frozenset(), frozenset(range(200))):
+                signs, rows, sure = jaccard.signatures(np.concatenate((a, b)), np.array([len(a), len(b)]), fine=fine)
+                mine, other = signs[rows == 0], signs[rows == 1]
+                shared = np.intersect1d(mine, other)
+                met = max(np.searchsorted(ends, len(a)), np.searchsorted(ends, len(b))) & 1
+                assert (shared & np.uint64(1) == met).sum() >= max(sure[0, met], sure[1, met])
+
+
+def test_no_set_is_without_a_guarantee():
+    """Of all sizes to 400: t is 1 or more, or the band is signed by shingles, where it always is."""
+    rng = np.random.default_rng(11)
+    ends, lost = jaccard.band_ends(), 0
+    for n in range(1, 401):
+        sizes = np.full(300 if n < 40 else 20, n)
+        hashes = np.sort(rng.integers(0, 2**63, (len(sizes), n), dtype=np.uint64), axis=1)
+        if n < 30:  # crowded into few partitions, as chance does now and then
+            hashes[::7] = np.sort(hashes[::7] >> np.uint64(2), axis=1)
+        _, _, sure = jaccard.signatures(hashes.ravel(), sizes)
+        band = int(np.searchsorted(ends, n))
+        fine = frozenset(b for b in (band, band + 1) if (sure[:, b & 1] < 1).any())
+        lost += len(fine)
+        assert (jaccard.signatures(hashes.ravel(), sizes, fine=fine)[2] > 0).all()
+    assert lost
+
+
+def test_links_of_sets_that_fill_few_partitions(spark, tmp_path):
+    text = "tojl wcdzsi vfdg vsxtwok vyrep fruw qvvxp kwi gnntjno wbvudawh mxblenaq pgzrodso ngasvt eluvuzk smso vnr pfjasklc gwnsowx qfmq cldl aigecyjf nstbmsjw"
+    rows = [(1, text), (2, text + " ixrunx wshorp aywzf usjlkp aqdqvq gkcg"), (3, " ".join(f"w{k}" for k in range(30)))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"file://{tmp_path}/d")
+    docs = spark.read.parquet(f"file://{tmp_path}/d")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert jaccard._guaranteed(jaccard._described_docs(docs, None, "doc_id", "text"))[1]
 
 
 def test_shingles_match_words(rows):
@@ -180,10 +210,10 @@ def test_mixing(corpus, rows):
 def test_packing(corpus, rows):
     got = packing.pack(corpus, with_ids=True)
     table = got.collect()
-    encode = packing.encoder(packing.default_tokenizer())
+    encode = Tokenizer.from_file(packing.default_tokenizer())
     expected = Counter()
     for r in rows:
-        ids = [*encode.slow.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        ids = [*encode.encode(r[1] or "", add_special_tokens=False).ids, 0]
         for start in range(0, len(ids), 1024):
             data = np.array(ids[start : start + 1024], "<u4").tobytes()
             expected[(r[0], start, len(data) // 4, zlib.crc32(data), len(ids))] += 1
@@ -202,6 +232,18 @@ def test_packing(corpus, rows):
     assert all(len(r["ids"]) == 4 * r["length"] for r in whole)
 
 
+def test_special_tokens_in_texts(spark):
+    """The contract's tokenizer, untouched, against both of ours."""
+    untouched = Tokenizer.from_file(packing.default_tokenizer())
+    ours = packing.encoder(packing.default_tokenizer())
+    assert ours.fast is not None
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "<|endoftext", "a <|endoftext|>" + "z" * 2500, "<|startoftext|> <s>"):
+        assert ours(text) == untouched.encode(text, add_special_tokens=False).ids
+    assert ours("a <|endoftext|> b") == [64, 220, 50256, 275]
+    plain = packing.encoder(packing.default_tokenizer(), plain=True)
+    assert 50256 not in plain("a <|endoftext|> b") and plain("ab cd") == ours("ab cd")
+
+
 def test_best_fit_is_tightest():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 65, 400)
@@ -353,7 +395,7 @@ def test_marks_of_rows(spark, monkeypatch, tmp_path, broadcast):
     assert kept.count() == got.where(F.col(joins.MARK) == 0).count() and kept.where(mark > 0).count() == 0
 
 
-def test_numbers_are_drawn_from_stored_rows(spark, corpus):
+def test_numbers_are_places_in_files(spark, corpus):
     assert joins.steady(corpus) is corpus
     held = corpus.where("doc_id > 1").select("doc_id", "text")
     assert joins.steady(held) is held
@@ -361,6 +403,33 @@ def test_numbers_are_drawn_from_stored_rows(spark, corpus):
         assert joins.steady(moving) is not moving
     shuffled = corpus.repartition(5)
     assert exact_dedup.drop_exact_duplicates(shuffled).count() == exact_dedup.drop_exact_duplicates(corpus).count()
+    with pytest.raises(ValueError, match="__sf_rid"):
+        joins.numbered(corpus.withColumn(joins.RID, F.lit(1)))
+
+
+def test_results_survive_another_number_of_cores(spark, tmp_path):
+    """Files are split anew between building a plan and running it: a row keeps its number, so decisions hit the rows they were made of."""
+    copies = [(k, f"text number {k % 400} of a corpus with copies and some more words", f"s{k % 3}") for k in range(3000)]
+    rows = copies + [(5000 + k, " ".join(f"w{(k // 3) * 50 + j}" for j in range(40)) + f" tail{k}", "s0") for k in range(60)]
+    path = f"file://{tmp_path}/d"
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").coalesce(2).write.option("parquet.block.size", 2048).option("parquet.page.size", 512).parquet(path)
+    keys = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")
+    held = {k: spark.conf.get(k, None) for k in keys}
+    told = {}
+    try:
+        for name, act in (("exact", exact_dedup.drop_exact_duplicates), ("near", jaccard.keep_one_per_component), ("mix", mixing.mix), ("repeats", lambda d: repeats.without_repeats(d).drop("kept"))):
+            for parallelism, after in ((2, 2), (2, 13)):
+                spark.conf.set(keys[1], "1024")
+                spark.conf.set(keys[0], str(parallelism))
+                made = act(spark.read.parquet(path))
+                spark.conf.set(keys[0], str(after))
+                told.setdefault(name, []).append(bag(made.select("*").collect()))
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for name, found in told.items():
+        assert found[0] == found[1], name
+    assert sum(told["exact"][0].values()) == 400 + 60
 
 
 def brute_passages(rows, words):
@@ -379,9 +448,59 @@ def test_repeats(corpus, rows, monkeypatch, split, chunk, broadcast):
     monkeypatch.setattr(repeats, "SPLIT", split)
     monkeypatch.setattr(repeats, "CHUNK", chunk)
     monkeypatch.setattr(repeats, "BROADCAST_PLACES", broadcast)
-    got = repeats.without_repeats(corpus, 60, 20, words=12, word_gram=4).drop("kept")
-    assert bag(got.drop("n_shared_words").collect()) == brute_repeats(rows, 60)
-    assert bag(got.select("doc_id", "n_shared_words").collect()) == brute_passages(rows, 12)
+    assert bag(repeats.without_repeats(corpus, 60, 20).drop("kept").collect()) == brute_repeats(rows, 60)
+
+
+@pytest.mark.parametrize("split", [1500, 2])
+def test_shared_words(corpus, rows, monkeypatch, split):
+    monkeypatch.setattr(repeats, "SPLIT", split)
+    assert bag(repeats.shared_words(corpus, 12, 4).collect()) == brute_passages(rows, 12)
+
+
+def test_longer_anchor_strings_end_at_the_window():
+    for length, gram in ((400, 128), (50, 16), (60, 20), (100, 99), (12, 4)):
+        seen = [gram]
+        while seen[-1] < length:
+            seen.append(repeats.longer(seen[-1], length))
+            assert seen[-2] < seen[-1] <= length and len(seen) < 12
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_one_passage_in_many_texts(spark, monkeypatch, tmp_path, keep):
+    """An anchor string whose segments all differ, parted by longer ones again and again."""
+    monkeypatch.setattr(repeats, "SPLIT", 6)
+    rng = np.random.default_rng(7)
+    text = lambda n: "".join(map(chr, rng.integers(97, 99, n)))  # noqa: E731  two letters: contexts repeat in part
+    passage = "".join(map(chr, rng.integers(97, 123, 70)))
+    rows = [(i, text(60) + passage[: 40 + i % 31] + text(60)) for i in range(60)] + [(70, passage + passage), (71, passage[5:] + passage)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"file://{tmp_path}/d")
+    docs = spark.read.parquet(f"file://{tmp_path}/d")
+    got = repeats.without_repeats(docs, 60, 20, keep)
+    if keep == "none":
+        assert bag(got.drop("kept").collect()) == brute_repeats(rows, 60)
+        return
+    order = {r["doc_id"]: r["rid"] for r in repeats._rows(docs, "doc_id", "text").collect()}
+    seen, want = set(), {}
+    for i, t in sorted(rows, key=lambda r: order[r[0]]):
+        later = []
+        for x in range(len(t) - 59):
+            if t[x : x + 60] in seen:
+                later.append((x, x + 60))
+            seen.add(t[x : x + 60])
+        want[i] = sum(b - a for a, b in repeats.merged(later))
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == want
+
+
+def test_texts_that_a_polynomial_confuses(spark, tmp_path):
+    """Two texts of Thue-Morse signs around one middle: equal under any polynomial modulo 2^64, no 400 bytes in common."""
+    signs = [bin(k).count("1") % 2 for k in range(256)]
+    one, other = "".join("/;"[b] for b in signs), "".join(";/"[b] for b in signs)
+    rows = []
+    for seed in range(80):
+        middle = "".join(map(chr, np.random.default_rng(seed).integers(97, 123, 128)))
+        rows += [(2 * seed, one + middle + other), (2 * seed + 1, other + middle + one)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2).write.parquet(f"file://{tmp_path}/d")
+    assert bag(repeats.without_repeats(spark.read.parquet(f"file://{tmp_path}/d")).drop("kept").collect()) == brute_repeats(rows, 400)
 
 
 def test_first_copies_stay(spark, tmp_path):
@@ -573,6 +692,20 @@ def test_toxicity_against_dense_matrices(spark):
     assert used.sum() > 5 and len({round(s, 3) for _, s in got}) > 5
 
 
+def test_toxicity_of_long_texts_in_chunks(monkeypatch):
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 6, 60, 63, 64, 65, 200):
+        text = "".join(map(chr, rng.integers(97, 123, n)))
+        whole = toxicity.presence(text)
+        weights = rng.standard_normal(1 << toxicity.BITS).astype(np.float32)
+        score = toxicity.score_texts([text, "abc", text], weights, 0.1)
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, "CHUNK", 7)
+            assert (toxicity.presence(text) == whole).all()
+            assert (toxicity.score_texts([text, "abc", text], weights, 0.1) == score).all()
+        assert score[0] == score[2]
+
+
 def brute_statistics(text):
     words = (text or "").split()
     if not words:
