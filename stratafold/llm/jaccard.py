@@ -9,9 +9,11 @@ enumeration of partition subsets with all but one second-level part left out: th
 setting, see ``partitions``).  Sets that differ in at most D shingles agree in all
 non-empty partitions but D, so linked sets share at least
 
-    t = non-empty partitions - D(size, band)  > 0
+    t = non-empty partitions - D(size, band)
 
-signatures, where D follows from the threshold and the sizes.
+signatures, where D follows from the threshold and the sizes.  A set that happens to leave so many partitions
+empty that t is 0 has no guarantee; a band that holds one signs shingle by shingle instead, all its
+sets alike, where t = size - D is never 0 (``fine``: bands are found by a first pass, which counts).
 
 The search goes by lists: the sets that share a signature, equal lists counted once.  It
 never forms all pairs of a list.  A set with fewer than t shared signatures is linked with
@@ -94,17 +96,17 @@ def partitions(ends: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.where(ends <= SINGLE, 0, np.ceil(1.15 * share * ends + np.sqrt(ends) + 1)).astype(np.uint64)
 
 
-def signatures(hashes: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(hashes: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, fine: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures, the row of each, and by row and band the guaranteed number t (2 columns, even and odd bands).
 
-    hashes: ascending within each row.  A signature's lowest bit is its band's.
+    hashes: ascending within each row.  A signature's lowest bit is its band's.  fine: bands signed shingle by shingle.
     """
     ends = band_ends(percent)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     signs, rows, sure = [], [], np.zeros((len(sizes), 2), np.int64)
     for step in (0, 1):
         band = np.searchsorted(ends, sizes) + step
-        count = partitions(ends[band], percent)[owner]
+        count = np.where(np.isin(band, list(fine)), np.uint64(0), partitions(ends[band], percent))[owner]
         part = np.where(count > 0, ((hashes >> np.uint64(32)) * count) >> np.uint64(32), hashes)
         first = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])))) if len(owner) else np.zeros(0, np.int64)
         if len(first):
@@ -138,15 +140,18 @@ def checks_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _described(texts: list) -> tuple[None, list[pa.Array]]:
     hashes, sizes = shingle_sets(texts)
-    signs, rows, sure = signatures(hashes, sizes)
+    _, rows, sure = signatures(hashes, sizes)
+    ends = band_ends()
+    band = np.searchsorted(ends, sizes)
+    single = [sizes - differing(sizes, ends[band + step]) for step in (0, 1)]
     bits = np.zeros((len(sizes), 64 * SKETCH), bool)
     bits[np.repeat(np.arange(len(sizes)), sizes), (hashes & np.uint64(64 * SKETCH - 1)).astype(np.int64)] = True
     longs = np.packbits(bits, axis=1).view(np.int64)
-    made = [sizes, nodes_of(hashes, sizes), checks_of(hashes, sizes), np.bincount(rows, minlength=len(sizes)), sure[:, 0], sure[:, 1]]
+    made = [sizes, nodes_of(hashes, sizes), checks_of(hashes, sizes), np.bincount(rows, minlength=len(sizes)), sure[:, 0], sure[:, 1], band, *single]
     return None, [*map(pa.array, made), *(pa.array(np.ascontiguousarray(longs[:, k])) for k in range(SKETCH))]
 
 
-_DESCRIBED = "n_shingles bigint, node bigint, check bigint, n_signs bigint, t0 bigint, t1 bigint, " + ", ".join(f"s{k} bigint" for k in range(SKETCH))
+_DESCRIBED = "n_shingles bigint, node bigint, check bigint, n_signs bigint, t0 bigint, t1 bigint, band bigint, single bigint, single_next bigint, " + ", ".join(f"s{k} bigint" for k in range(SKETCH))
 
 
 def _described_docs(docs: DataFrame, rid: str | None, doc_id: str, text: str) -> DataFrame:
@@ -154,6 +159,21 @@ def _described_docs(docs: DataFrame, rid: str | None, doc_id: str, text: str) ->
     return materialize(map_texts(chosen, _described, _DESCRIBED), "jaccard-described")
 
 
+def _guaranteed(described: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """described with a t of 1 and more for every set, and the bands that sign shingle by shingle for it."""
+    upper = F.col("band") + 1
+    even = lambda band: F.pmod(band, F.lit(2)) == 0
+    own = lambda band: F.when(even(band), F.col("t0")).otherwise(F.col("t1"))
+    lost = described.where("n_shingles > 0").select(F.explode(F.array(F.when(own(F.col("band")) < 1, F.col("band")), F.when(own(upper) < 1, upper))).alias("band"))
+    fine = frozenset(r[0] for r in lost.where("band is not null").distinct().collect())  # bands are as many as the logarithm of the largest set
+    if not fine:
+        return described, fine
+    low, high = F.col("band").isin(*fine), upper.isin(*fine)
+    now = lambda odd: F.when(even(F.col("band")) != F.lit(odd), F.when(low, F.col("single"))).otherwise(F.when(high, F.col("single_next")))
+    signs = F.when(low & high, 2 * F.col("n_shingles")).when(low | high, F.col("n_signs") + F.col("n_shingles")).otherwise(F.col("n_signs"))
+    return described.withColumns({"t0": F.coalesce(now(False), F.col("t0")), "t1": F.coalesce(now(True), F.col("t1")), "n_signs": signs}), fine
+
+
 def _apart(described: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
     """described with a node for each set, and the new nodes by (node, check) of sets that had one with others.
 
@@ -172,7 +192,7 @@ def _apart(described: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]
     return materialize(joined.withColumn("node", F.coalesce("new", "node")).drop("new"), "jaccard-described"), named
 
 
-def _blocks(heavy: dict[int, object], buckets: int, moved: dict[tuple[int, int], int]):
+def _blocks(heavy: dict[int, object], buckets: int, moved: dict[tuple[int, int], int], fine: frozenset[int]):
     """Mapper: (doc_id, text) batches -> one block of signatures per slice and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +207,7 @@ def _blocks(heavy: dict[int, object], buckets: int, moved: dict[tuple[int, int],
                 once = np.flatnonzero([n not in heavy or heavy[n] == i for n, i in zip(nodes.tolist(), names, strict=True)])
                 kept = np.zeros(len(nodes), bool)
                 kept[once[np.unique(nodes[once], return_index=True)[1]]] = True
-                signs, rows, _ = signatures(hashes, sizes)
+                signs, rows, _ = signatures(hashes, sizes, fine=fine)
                 use = kept[rows]
                 signs, rows = signs[use], rows[use]
                 bucket = ((signs >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
@@ -370,7 +390,7 @@ def _last_pairs(rows: DataFrame, labels: DataFrame, facts: DataFrame, sets: Data
     return pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
 
-def _node_components(docs: DataFrame, described: DataFrame, moved: dict[tuple[int, int], int], text: str) -> tuple[DataFrame, DataFrame]:
+def _node_components(docs: DataFrame, described: DataFrame, moved: dict[tuple[int, int], int], fine: frozenset[int], text: str) -> tuple[DataFrame, DataFrame]:
     """One row per distinct non-empty set, and (node, component) of the linked ones.  docs has rid."""
     full = described.where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "rid")).alias("first")
@@ -381,7 +401,7 @@ def _node_components(docs: DataFrame, described: DataFrame, moved: dict[tuple[in
     found = {r["node"]: r["rid"] for r in reps.where("copies > 1").orderBy(F.col("copies").desc(), "node").limit(HEAVY).select("node", "rid").collect()}
     total = reps.agg(F.sum("n_signs")).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    blocks = docs.select("rid", F.col(text).alias("text")).mapInArrow(_blocks(found, buckets, moved), "bucket bigint, low binary, mid binary, place binary, nodes binary")
+    blocks = docs.select("rid", F.col(text).alias("text")).mapInArrow(_blocks(found, buckets, moved, fine), "bucket bigint, low binary, mid binary, place binary, nodes binary")
     lists = blocks.groupBy("bucket").applyInArrow(_met, "gid bigint, odd bigint, part bigint, m bigint, members array<bigint>")
     lists = materialize(materialize(lists, "jaccard-met").groupBy("gid", "odd", "part").agg(F.sum("m").alias("m"), F.any_value("members").alias("members")), "jaccard-lists")
     rows = lists.select("gid", "odd", "m", F.explode("members").alias("a"))
@@ -404,8 +424,9 @@ def _node_components(docs: DataFrame, described: DataFrame, moved: dict[tuple[in
 
 def _named(docs: DataFrame) -> DataFrame:
     """docs(doc_id, rid, text) -> doc_id, rid, n_shingles, component (a node; null for empty sets), component_id."""
-    described, moved = _apart(_described_docs(docs, "rid", "doc_id", "text"))
-    reps, labels = _node_components(docs, described, moved, "text")
+    described, fine = _guaranteed(_described_docs(docs, "rid", "doc_id", "text"))
+    described, moved = _apart(described)
+    reps, labels = _node_components(docs, described, moved, fine, "text")
     named = _across(reps.select("node", "doc_id"), labels, "node")
     names = named.groupBy("c_node").agg(F.min("doc_id").alias("component_id"))
     named = named.join(names, "c_node").select("node", F.col("c_node").alias("component"), "component_id")
@@ -416,7 +437,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    rows = steady(docs).select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"))
+    rows = numbered(steady(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))).withColumnRenamed(RID, "rid")
     return _named(rows).select("doc_id", "n_shingles", "component_id")
 
 
