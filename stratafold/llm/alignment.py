@@ -44,7 +44,7 @@ HEAVY = 1 << 18
 #: Characters of one part of a text, and of what is aligned at once.
 PART = 1 << 17
 #: Stretches kept in memory, and the longest of them, in characters.
-KEPT = 1 << 17
+KEPT = 1 << 18
 KEPT_LENGTH = 48
 #: Distinct pairs that a task gathers before it passes their numbers on.
 GATHERED = 1 << 20
@@ -74,43 +74,78 @@ class Vocabularies:
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes))
         #: A id and comma, A id and bar, B id and comma, B id and semicolon.
         self.words = [f"{i}{end}" for n, ends in ((len(self.a_bytes), ",|"), (self.n_b, ",;")) for end in ends for i in range(n)]
-        self.known: dict[str, tuple[tuple[int, ...], tuple[int, ...], bool]] = {}
-
-    def _learn(self, stretches: set[str]) -> dict[str, tuple]:
-        """(A ids, B ids, whether both give the stretch back) of stretches that begin with a space."""
-        names = list(stretches)
-        made = {}
-        for name, b in zip(names, self.b.encode([s[1:] for s in names], num_threads=1) if names else (), strict=True):
-            a, whole = self.encode_a(name), name.encode()
-            good = b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
-            made[name] = tuple(a), tuple(b), good
-        return made
-
-    def parts(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """Ids of A and of B for each part of space + text, and whether they give it back."""
-        stretches = _STRETCH.split(" " + text) if self.splits else [" " + text]
-        if len(self.known) > KEPT:
-            self.known.clear()
-        known = self.known
-        at = 0
-        while at < len(stretches):
-            size, end = 0, at
-            while end < len(stretches) and (end == at or size + len(stretches[end]) <= PART):
-                size += len(stretches[end])
-                end += 1
-            now = stretches[at:end]
-            made = self._learn({s for s in now if s not in known})
-            known.update((s, ids) for s, ids in made.items() if len(s) <= KEPT_LENGTH)
-            found = [known.get(s) or made[s] for s in now]
-            a, b, good = zip(*found, strict=True)
-            yield np.array(list(chain.from_iterable(a)), np.int64), np.array(list(chain.from_iterable(b)), np.int64), all(good)
-            at = end
-
-    def encoded(self, text: str) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Parts of a text; none where a vocabulary does not give its bytes back."""
-        made = list(self.parts(text)) if text else []
-        if all(good for _, _, good in made):
-            return [(a, b) for a, b, _ in made]
+        #: Ids of A and of B by stretch, and the stretches that one of them does not give back.
+        self.known: tuple[dict[str, list[int]], dict[str, list[int]]] = {}, {}
+        self.bad: set[str] = set()
+
+    def _pieces(self, text: str) -> list[int]:
+        """Ids of B for a text that begins with a space, which B adds itself."""
+        return self.b.encode(text[1:], num_threads=1)
+
+    def learn(self, stretches: set[str]) -> None:
+        """Encodes stretches, which begin with a space, those that end in something else as one text."""
+        names = sorted(s for s in stretches if not s[-1].isspace() and len(s) <= KEPT_LENGTH)
+        whole = "".join(names)
+        ends = np.cumsum([len(s.encode()) for s in names], dtype=np.int64)
+        for known, encode, sizes in ((self.known[0], self.encode_a, self.a_sizes), (self.known[1], self._pieces, self.b_sizes)):
+            ids = encode(whole) if whole else []
+            reach = np.cumsum(sizes[ids]) if ids else np.zeros(0, np.int64)
+            cuts = np.searchsorted(reach, ends)
+            if len(names) and (cuts[-1] != len(reach) - 1 or (reach[cuts] != ends).any()):  # not given back
+                known.update((s, encode(s)) for s in names)
+            else:
+                stops = (cuts + 1).tolist()
+                known.update((s, ids[i:j]) for s, i, j in zip(names, [0, *stops][: len(stops)], stops, strict=True))
+        for s in stretches.difference(names):
+            self.known[0][s], self.known[1][s] = self.encode_a(s), self._pieces(s)
+        tables = self.a_bytes, self.b_bytes
+        back = lambda s: (b"".join(map(table.__getitem__, known[s])) for known, table in zip(self.known, tables, strict=True))
+        listed = list(stretches)
+        told = "".join(listed).encode()
+        if any(b"".join(map(table.__getitem__, chain.from_iterable(map(known.__getitem__, listed)))) != told for known, table in zip(self.known, tables, strict=True)):
+            self.bad.update(s for s in listed if any(x != s.encode() for x in back(s)))
+
+    def cut(self, text: str) -> list[str]:
+        """Space + text in stretches."""
+        return _STRETCH.split(" " + text) if self.splits else [" " + text]
+
+    def trim(self) -> None:
+        """Forgets all when too much is kept; long stretches are never kept."""
+        if len(self.known[0]) > KEPT:
+            for held in (*self.known, self.bad):
+                held.clear()
+
+    def _ids(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        new = set(stretches).difference(self.known[0])
+        if new:
+            self.learn(new)
+        return tuple(np.array(list(chain.from_iterable(map(known.__getitem__, stretches))), np.int64) for known in self.known)
+
+    def encoded(self, text: str, stretches: list[str] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of A and of B for each part of space + text; none where a vocabulary does not give its bytes back.
+
+        stretches: those of the text, if they are cut already.
+        """
+        if not text:
+            return []
+        stretches = stretches or self.cut(text)
+        if len(text) <= PART:
+            made = [self._ids(stretches)]
+        else:
+            made, at, size = [], 0, 0
+            for k, s in enumerate(stretches):
+                if size and size + len(s) > PART:
+                    made.append(self._ids(stretches[at:k]))
+                    at, size = k, 0
+                size += len(s)
+            made.append(self._ids(stretches[at:]))
+        given_back = not self.bad or self.bad.isdisjoint(stretches)
+        for s in {s for s in stretches if len(s) > KEPT_LENGTH}:
+            self.bad.discard(s)
+            for known in self.known:
+                known.pop(s, None)
+        if given_back:
+            return made
         a, b = (np.concatenate([m[k] for m in made]) for k in (0, 1))
         whole = (" " + text).encode()
         same = all(b"".join(map(table.__getitem__, ids.tolist())) == whole for table, ids in ((self.a_bytes, a), (self.b_bytes, b)))
@@ -123,6 +158,13 @@ def vocabularies(byte_bpe: str, piece_bpe: str) -> Vocabularies:
     return Vocabularies(byte_bpe, piece_bpe)
 
 
+def _union(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``np.union1d`` of ascending arrays, by a merge: its own way of finding what is distinct takes longer."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    return both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+
+
 class Slice:
     """What is known of the documents of one slice."""
 
@@ -140,7 +182,7 @@ class Slice:
         t = self.tables
         a, b = np.concatenate(a_parts), np.concatenate(b_parts)
         a_ends, b_ends = np.cumsum(t.a_sizes[a]), np.cumsum(t.b_sizes[b])
-        ends = np.union1d(a_ends, b_ends)
+        ends = _union(a_ends, b_ends)
         own_a, own_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
         shared = ends[(a_ends[own_a] == ends) & (b_ends[own_b] == ends)]
         a_counts, b_counts = (np.array([len(p) for p in parts]) for parts in (a_parts, b_parts))
@@ -192,11 +234,15 @@ def aligned(docs: DataFrame, files: tuple[str, str] | None = None, with_groups:
 
     def kernel(texts: list) -> tuple[None, list[pa.Array]]:
         tables = vocabularies(*files)
+        tables.trim()
+        # What the slice has that is not known is encoded at once.
+        cuts = [tables.cut(words) if words and len(words) <= PART else None for words in texts]
+        tables.learn({s for s in set().union(*(cut for cut in cuts if cut)) if len(s) <= KEPT_LENGTH and s not in tables.known[0]})
         done = Slice(tables, len(texts), with_groups)
         held: tuple[list, list, list] = [], [], []
         size = 0
         for doc, words in enumerate(texts):
-            for a, b in tables.encoded(words or ""):
+            for a, b in tables.encoded(words or "", cuts[doc]):
                 for column, value in zip(held, (doc, a, b), strict=True):
                     column.append(value)
                 size += len(a)
