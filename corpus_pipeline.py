@@ -9,7 +9,7 @@ from stratafold.llm.jaccard import keep_one_per_component
 from stratafold.llm.mixing import mix
 from stratafold.llm.packing import pack
 from stratafold.llm.quality import drop_rejected
-from stratafold.scratch import materialize
+from stratafold.scratch import remove, save, scope
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +47,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and reread before the next stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is written and reread before the next stage, and what made it is freed."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        with scope() as written:
+            docs, path = save(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        for made in [*before, *(p for p in written if p != path)]:
+            remove(spark, made)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -12,12 +12,14 @@ a time in fixed memory, without a shuffle.
 
 Defined results: null and empty texts have no n-grams and get the score of the
 intercept; rows with a null id are scored and never trained on; null labels are not
-used; repeated label rows count as often as they appear; without rows of both classes
+used; repeated rows count as often as they appear (four times ``FIT_ROWS`` rows in all at most); without rows of both classes
 the score is 0.5; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,6 +32,8 @@ FIT_ROWS = 1500
 #: Length of the n-grams in bytes, bits of the feature hash.
 SIZES = (3, 4, 5, 6)
 BITS = 18
+#: Bytes of a text handled at once.
+CHUNK = 1 << 20
 #: Smoothing of the counts, standard errors of a used feature, L2 penalty, gradient steps and their rate.
 SMOOTHING = 1.0
 SIGNIFICANT = 3.0
@@ -43,26 +47,31 @@ _ODD = 0x9E3779B1
 _MIX = 0x85EBCA6B
 
 
-def features(text: str | None, bits: int = BITS) -> np.ndarray:
-    """Hashes of the n-grams of a text, unsorted and with repeats (uint32)."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8).astype(np.uint32)
-    found, rolled, power = [], np.zeros(len(data), np.uint32), 1
-    for n in range(1, max(SIZES) + 1):
-        if len(data) < n:
-            break
-        rolled = rolled[: len(data) - n + 1] + data[n - 1 :] * np.uint32(power)
-        power = power * _ODD & 0xFFFFFFFF
-        if n in SIZES:
-            mixed = (rolled ^ np.uint32(n)) * np.uint32(_MIX)
-            mixed ^= mixed >> np.uint32(15)
-            found.append(mixed * np.uint32(_ODD) >> np.uint32(32 - bits))
-    return np.concatenate(found) if found else np.zeros(0, np.uint32)
+def features(text: str | None, bits: int = BITS) -> Iterator[np.ndarray]:
+    """Hashes of the n-grams of a text, unsorted and with repeats (uint32), for ``CHUNK`` of its bytes at a time.
+
+    Chunks overlap by one byte less than the longest n-gram, so none is lost; those in the overlap come twice.
+    """
+    whole = (text or "").encode("utf-8", "surrogatepass")
+    for at in range(0, max(1, len(whole) - max(SIZES) + 1), CHUNK):
+        data = np.frombuffer(whole[at : at + CHUNK + max(SIZES) - 1].lower(), np.uint8).astype(np.uint32)
+        rolled, power = np.zeros(len(data), np.uint32), 1
+        for n in range(1, max(SIZES) + 1):
+            if len(data) < n:
+                break
+            rolled = rolled[: len(data) - n + 1] + data[n - 1 :] * np.uint32(power)
+            power = power * _ODD & 0xFFFFFFFF
+            if n in SIZES:
+                mixed = (rolled ^ np.uint32(n)) * np.uint32(_MIX)
+                mixed ^= mixed >> np.uint32(15)
+                yield mixed * np.uint32(_ODD) >> np.uint32(32 - bits)
 
 
 def presence(text: str | None, bits: int = BITS) -> np.ndarray:
     """Distinct hashes of a text in ascending order (uint32)."""
     seen = np.zeros(1 << bits, bool)
-    seen[features(text, bits)] = True
+    for found in features(text, bits):
+        seen[found] = True
     return np.flatnonzero(seen).astype(np.uint32)
 
 
@@ -136,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     # At most twice fit_rows ids: a size bound by parameter.
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id")
-    got = map_texts(rows.select("toxic", "text"), _features_of, "features binary").collect()
+    found = map_texts(rows.select("toxic", "text"), _features_of, "features binary")
+    got = found.orderBy(F.xxhash64("features", "toxic")).limit(4 * fit_rows).collect()  # so many at most, also where ids repeat
     got.sort(key=lambda r: (r["toxic"], r["features"]))
     weights, bias = fit([r["features"] for r in got], np.array([r["toxic"] for r in got]))
     seen = {r["toxic"]: r["count"] for r in usable.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
@@ -148,10 +158,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def score_texts(texts: list, weights: np.ndarray, bias: float) -> np.ndarray:
     seen, out = np.zeros(len(weights), bool), np.empty(len(texts))
     for i, t in enumerate(texts):
-        found = features(t)
-        seen[found] = True
+        marked = []
+        for found in features(t):
+            seen[found] = True
+            if marked is not None:
+                marked = [*marked, found] if len(marked) < len(SIZES) else None
         out[i] = weights[seen].sum(dtype=np.float64) + bias
-        seen[found] = False
+        for found in marked or [slice(None)]:  # of a text of several chunks all marks go
+            seen[found] = False
     return 1 / (1 + np.exp(-np.clip(out, -700, 700)))
 
 
