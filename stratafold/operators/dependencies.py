@@ -65,3 +65,23 @@ def grouped_dependencies(rows: DataFrame, columns: Sequence[str], group: str, ra
         own = out.setdefault(r["group"], {c: Determined(0, None, dict.fromkeys([*names, *ranges])) for c in names})
         own[names[r["column"]]] = Determined(r["values"], r["least"], told)
     return out
+
+
+def distinct_counts(rows: DataFrame, by: Sequence[str], columns: Sequence[str], facts: dict[str, Column] | None = None, flag: Column | None = None) -> DataFrame:
+    """by, rows, n0, n1, ...: distinct values of each column, exact, null not counted; f_NAME: sums of facts; flagged: values of the first column with the flag.
+
+    Each row stands once for each column and is added up by (by, column, value), so no row is copied whole, and
+    several distinct counts need one shuffle of values.
+    """
+    facts = facts or {}
+    keys = F.array(*(F.struct(F.lit(k).alias("column"), F.col(c).cast("string").alias("value")) for k, c in enumerate(columns)))
+    first = F.col("key.column") == 0
+    each = rows.select(*by, F.explode(keys).alias("key"), *(f.alias(f"f_{n}") for n, f in facts.items()), *([flag.alias("flag")] if flag is not None else []))
+    inner = each.groupBy(*by, "key.column", "key.value").agg(
+        F.count("*").alias("rows"), *(F.sum(F.when(first, F.col(f"f_{n}"))).alias(f"f_{n}") for n in facts), *([F.max("flag").alias("flag")] if flag is not None else [])
+    )
+    first, known = F.col("column") == 0, F.col("value").isNotNull()
+    return inner.groupBy(*by).agg(
+        F.sum(F.when(first, F.col("rows"))).alias("rows"), *(F.count_if((F.col("column") == k) & known).alias(f"n{k}") for k in range(len(columns))),
+        *(F.coalesce(F.sum(f"f_{n}"), F.lit(0)).alias(f"f_{n}") for n in facts), *([F.count_if(first & known & F.col("flag")).alias("flagged")] if flag is not None else []),
+    )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stratafold.config import AggregationSpec
 from stratafold.functions.estimators import finite
 from stratafold.hierarchy import InferenceSpec, resolve_unit, unit_label
+from stratafold.operators.dependencies import distinct_counts
 from stratafold.operators.ranks import ranked
 
 
@@ -56,7 +57,8 @@ def panel(df: DataFrame, spec: InferenceSpec, value: str, level: str, rules: Agg
 
 def nesting_counts(df: DataFrame, spec: InferenceSpec) -> DataFrame:
     """Per unit and policy: distinct identifiers at each nested level and rows."""
-    return df.groupBy(F.col(spec.primary_unit).alias("unit"), "policy_id").agg(*(F.countDistinct(c).alias(f"n_{c}") for c in spec.nested_units), F.count("*").alias("n_rows"))
+    counted = distinct_counts(df.withColumn("unit", F.col(spec.primary_unit)), ["unit", "policy_id"], spec.nested_units or [spec.primary_unit])
+    return counted.select("unit", "policy_id", *(F.col(f"n{k}").alias(f"n_{c}") for k, c in enumerate(spec.nested_units)), F.col("rows").alias("n_rows"))
 
 
 observation_counts = nesting_counts

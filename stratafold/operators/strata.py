@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafold.issues import Issue
-from stratafold.operators.dependencies import dependencies
+from stratafold.operators.dependencies import dependencies, distinct_counts
 from stratafold.operators.pairing import shared_units
 from stratafold.schema import NON_STRATUM_COLUMNS
 from stratafold.scratch import materialize
@@ -48,11 +48,10 @@ def allocation_ledger(records: DataFrame, unit: str, policies: Sequence[str], ne
     """Per policy: units, shared and unique units, rows, distinct nested identifiers, failures."""
     own = records.where(F.col("policy_id").isin(list(policies))).withColumn("unit", F.col(unit))
     marked = own.join(shared_units(own, policies).withColumn("shared", F.lit(True)), "unit", "left")
-    failed = [F.count_if(F.col(success) == 0).alias("failures")] if success in records.columns else []
-    per = marked.groupBy("policy_id").agg(
-        F.countDistinct("unit").alias("units"), F.countDistinct(F.when(F.col("shared"), F.col("unit"))).alias("shared_units"), F.count("*").alias("rows"), *(F.countDistinct(c).alias(f"n_{c}") for c in nested), *failed
-    )
-    return per.withColumn("unshared_units", F.col("units") - F.col("shared_units"))
+    failed = {"failures": F.coalesce((F.col(success) == 0).cast("bigint"), F.lit(0))} if success in records.columns else {}
+    per = distinct_counts(marked, ["policy_id"], ["unit", *nested], failed, F.coalesce("shared", F.lit(False)))
+    names = [F.col(f"n{k + 1}").alias(f"n_{c}") for k, c in enumerate(nested)]
+    return per.select("policy_id", F.col("n0").alias("units"), F.col("flagged").alias("shared_units"), "rows", *names, *(F.col(f"f_{n}").alias(n) for n in failed), (F.col("n0") - F.col("flagged")).alias("unshared_units"))
 
 
 def composition_shift(records: DataFrame, unit: str, column: str, policies: Sequence[str]) -> DataFrame:

@@ -375,11 +375,11 @@ _BCA = (
     " normal AS (SELECT max(x) FILTER (name = 'bias') AS z, max(x) FILTER (name = 'low') AS l, max(x) FILTER (name = 'high') AS h FROM newton WHERE i = 20),"
     " shifted AS (SELECT z + (z + l) / (1 - a * (z + l)) AS xl, z + (z + h) / (1 - a * (z + h)) AS xh FROM normal, speed),"
     " ends AS (SELECT " + _PHI.format(x="xl") + " AS pl, " + _PHI.format(x="xh") + " AS ph FROM shifted),"
-    " listed AS (SELECT list(e1 - e0 ORDER BY e1 - e0) AS v, count(*) - 1 AS m FROM reps), at AS (SELECT v, pl * m AS kl, ph * m AS kh FROM listed, ends)"
+    " listed AS (SELECT list(e1 - e0 ORDER BY e1 - e0) AS v, count(*) - 1 AS m FROM reps), places AS (SELECT v, pl * m AS kl, ph * m AS kh FROM listed, ends)"
 )
 
 
-@query(_BOOT + _POINT + _BCA + " SELECT round(d, 6) AS estimate, round(v[floor(kl)::INT + 1] + (kl - floor(kl)) * (v[ceil(kl)::INT + 1] - v[floor(kl)::INT + 1]), 6) AS low, round(v[floor(kh)::INT + 1] + (kh - floor(kh)) * (v[ceil(kh)::INT + 1] - v[floor(kh)::INT + 1]), 6) AS high, 'bca' AS method, n AS n_units, round(p, 6) AS p_value FROM point, q, at")
+@query(_BOOT + _POINT + _BCA + " SELECT round(d, 6) AS estimate, round(v[floor(kl)::INT + 1] + (kl - floor(kl)) * (v[ceil(kl)::INT + 1] - v[floor(kl)::INT + 1]), 6) AS low, round(v[floor(kh)::INT + 1] + (kh - floor(kh)) * (v[ceil(kh)::INT + 1] - v[floor(kh)::INT + 1]), 6) AS high, 'bca' AS method, n AS n_units, round(p, 6) AS p_value FROM point, q, places")
 def b9_bca_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _interval_row(spark, _difference(spark, sf_dir, method="bca"))
 

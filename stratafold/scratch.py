@@ -13,6 +13,7 @@ import contextlib
 import threading
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_FALLBACK = "file:///tmp/checkpoints/stratafold"
 
 _roots: set[str] = set()
+_scope: ContextVar[list[str] | None] = ContextVar("scratch scope", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -43,6 +45,17 @@ def remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def scope() -> Iterator[list[str]]:
+    """Lists the paths of tables written within it, which ``remove`` may free once nothing reads them any more."""
+    written: list[str] = []
+    token = _scope.set(written)
+    try:
+        yield written
+    finally:
+        _scope.reset(token)
+
+
 #: Rows that go to Python at once while a table is written: texts are long.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -72,6 +85,9 @@ def save(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder; return the reread table and its path."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    written = _scope.get()
+    if written is not None:
+        written.append(path)
     with _small_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

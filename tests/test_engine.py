@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import uuid
 from contextvars import ContextVar
 from fractions import Fraction
 
@@ -17,11 +18,13 @@ import stratafold as sf
 from stratafold import cli, mutation, queries, report, views
 from stratafold.config import FilterSpec, MissingDataSpec
 from stratafold.functions import decisions, estimators, intervals
-from stratafold.hierarchy import infer_default, nesting_relation
+from stratafold.hierarchy import infer_default, nesting_relation, nesting_relations
 from stratafold.operators import failures, histogram, leave_out, multiplicity, pairing, prepare, resample, rollup, strata, validate
+from stratafold.operators.dependencies import dependencies
 from stratafold.operators.ranks import ranked
 from stratafold.plans.compare import stratified_estimate
 from stratafold.jobs import together
+from stratafold.scratch import materialize, remove, save, scope
 from stratafold.sources.records import coerce_types, load_records, scan, write_records
 from stratafold.synth import scenarios
 from stratafold.synth.generate import Policy, World, generate_experiment, scaled, to_spark
@@ -470,6 +473,8 @@ def test_configurations_that_are_refused(change):
 
 
 def test_configuration():
+    both = config(analysis_role={"primary": ["success", "mean_loss"], "secondary": ["mean_loss"]})
+    assert {m.name: m.role for m in both.metrics}["mean_loss"] == "secondary"  # of lists that overlap the later one
     c = config(analysis_role={"primary": "success", "exploratory": ["mean_loss"]}, aggregation={"resident_to_event": {"loss": "sum"}})
     assert {m.name: m.role for m in c.metrics} == {"mean_loss": "exploratory", "cvar90_loss": "secondary", "success": "primary"}
     assert c.aggregation.rule("resident_id", "event_id", "loss") == "sum" and c.aggregation.rule("event_id", "world_id", "loss") == "mean"
@@ -508,6 +513,80 @@ def test_together(spark):
     assert together(told.get, told.get) == [4, 4]
 
 
+def _jobs(spark, call) -> int:
+    """Spark jobs that the call starts, in all its threads."""
+    name = f"jobs-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(name, "counted")
+    try:
+        call()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_jobs_do_not_follow_levels_or_columns(spark):
+    """All levels of a stratum, all pairs of columns and all strata are keys of the same jobs."""
+    table = generate_experiment(World(48, 2, 4), [Policy("policy_a"), Policy("policy_b", shift=0.5)], 3)
+    table["few"] = [f"l{int(u[1:]) % 2}" for u in table["world_id"]]
+    table["many"] = [f"l{int(u[1:]) % 8}" for u in table["world_id"]]
+    for k in range(4):
+        table[f"c{k}"] = [f"v{int(u[1:]) // 2**k % 3}" for u in table["world_id"]]
+    df = to_spark(spark, table).cache()
+    config = sf.config_from_mapping({**CONFIG, "metrics": CONFIG["metrics"][:2], "equivalence": {}})
+    by = {}
+    two, eight = (_jobs(spark, lambda c=c: by.update({c: sf.compare_by_stratum(df, config, c, min_units=3)})) for c in ("few", "many"))
+    assert sorted(by["many"].strata) == [f"l{k}" for k in range(8)] and eight <= two + 4
+    level = by["many"].strata["l3"]
+    alone = sf.compare_policies(df.where("many = 'l3'"), config, validate=False)
+    assert level.summary_table().drop(columns="p_adjusted").equals(alone.summary_table().drop(columns="p_adjusted")) or np.allclose(level.summary_table()[["difference", "ci_low", "ci_high"]], alone.summary_table()[["difference", "ci_low", "ci_high"]])
+    assert level.log.counters == alone.log.counters and level.ledger == alone.ledger and level.failures == alone.failures
+    assert [c.diagnostics["imbalance"] for c in level.comparisons] == [c.diagnostics["imbalance"] for c in alone.comparisons]
+    assert _jobs(spark, lambda: nesting_relations(df, [("world_id", "event_id")])) == _jobs(spark, lambda: nesting_relations(df, [("world_id", c) for c in ("event_id", "few", "many", "c0", "c1")]))
+    assert _jobs(spark, lambda: strata.stratum_redundancy(df, "world_id", ["few", "c0"])) == _jobs(spark, lambda: strata.stratum_redundancy(df, "world_id", ["few", "many", "c0", "c1", "c2", "c3"]))
+
+
+def test_dependencies_against_counts(spark):
+    rng = np.random.default_rng(2)
+    rows = [(None if k % 11 == 0 else f"a{k % 6}", f"b{k % 3}", int(rng.integers(0, 4)), f"d{k}", None) for k in range(60)]
+    df = spark.createDataFrame(rows, "a string, b string, c int, d string, e string")
+    names = list("abcde")
+    got = dependencies(df, names)
+    for i, x in enumerate(names):
+        values = {r[i] for r in rows if r[i] is not None}
+        assert got[x].values == len(values) and got[x].least == min((sum(r[i] == v for r in rows) for v in values), default=None)
+        for j, y in enumerate(names):
+            met = [{r[j] for r in rows if r[i] == v and r[j] is not None} for v in values]
+            assert got[x].by[y] == (None if not any(met) else all(len(m) <= 1 for m in met)), (x, y)
+
+
+def test_distinct_counts_copy_no_row(spark):
+    """Several exact distinct counts at once, without the plan node that copies each row for each of them."""
+    rows = [("p" if k % 3 else "q", f"u{k % 5}", f"u{k % 5}-e{k % 7}" if k % 8 else None, float(k % 2) if k % 9 else None) for k in range(70)]
+    df = spark.createDataFrame(rows, "policy_id string, world_id string, event_id string, mission_success double")
+    got = strata.allocation_ledger(df, "world_id", ["p", "q"], ["event_id"])
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        own = [x for x in rows if x[0] == r["policy_id"]]
+        shared = {x[1] for x in rows if x[0] == "p"} & {x[1] for x in rows if x[0] == "q"}
+        units = {x[1] for x in own}
+        assert (r["rows"], r["units"], r["shared_units"], r["unshared_units"], r["n_event_id"], r["failures"]) == (len(own), len(units), len(units & shared), len(units - shared), len({x[2] for x in own if x[2]}), sum(x[3] == 0 for x in own))
+    counts = rollup.nesting_counts(df, sf.InferenceSpec("world_id", ("event_id",)))
+    assert "Expand" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert {(r["unit"], r["policy_id"]): (r["n_event_id"], r["n_rows"]) for r in counts.collect()} == {(u, p): (len({x[2] for x in rows if x[:2] == (p, u) and x[2]}), sum(x[:2] == (p, u) for x in rows)) for p, u in {x[:2] for x in rows}}
+
+
+def test_scratch_scope(spark):
+    with scope() as written:
+        kept, path = save(spark.range(3), "scope")
+        materialize(spark.range(2), "scope")
+    materialize(spark.range(1), "scope")
+    assert len(written) == 2 and written[0] == path
+    remove(spark, written[1])
+    assert kept.count() == 3
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        spark.read.parquet(written[1]).count()
+
+
 def test_delimited_files_are_split(spark, tmp_path):
     """One large file gives many tasks; files with line breaks inside quotes are read whole, beside files that are not."""
     plain = tmp_path / "plain.csv"
