@@ -10,7 +10,6 @@ most ``BROADCAST_ROWS`` rows, and beyond that ``histogram`` finds the ranks of a
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 

@@ -18,7 +18,7 @@ from stratafold.hierarchy import InferenceSpec, nesting_relations
 from stratafold.operators import failures, pairing, prepare, resample, rollup, strata, validate
 from stratafold.operators.multiplicity import multiplicity_sql
 from stratafold.plans.compare import compare_by_stratum, compare_policies
-from stratafold.scratch import materialize, shared_root
+from stratafold.scratch import shared_root
 from stratafold.sources.records import coerce_types, scan
 from stratafold.views import INCOMPLETE_SQL, LINES_SQL, RECORDS_SQL, event_records, incomplete_records, line_records
 
