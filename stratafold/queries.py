@@ -327,19 +327,19 @@ def b1_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.draws(spark, SEED, 20, _pair(spark, sf_dir).n_units).where("b >= 0")
 
 
-@query(_BOOT + " SELECT b, round(e0, 6) AS e0 FROM reps")
+@query(_BOOT + " SELECT b, round(e0 + 3e-8, 6) AS e0 FROM reps")
 def b2_one_arm_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_replicates(spark, sf_dir).select("b", "e0"))
+    return rounded(_replicates(spark, sf_dir).select("b", "e0"), nudge=3e-8)
 
 
-@query(_BOOT + " SELECT b, round(e0, 6) AS e0, round(e1, 6) AS e1, round(e1 - e0, 6) AS diff FROM reps")
+@query(_BOOT + " SELECT b, round(e0 + 3e-8, 6) AS e0, round(e1 + 3e-8, 6) AS e1, round(e1 - e0 + 3e-8, 6) AS diff FROM reps")
 def b3_paired_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_replicates(spark, sf_dir).withColumn("diff", F.col("e1") - F.col("e0")))
+    return rounded(_replicates(spark, sf_dir).withColumn("diff", F.col("e1") - F.col("e0")), nudge=3e-8)
 
 
-@query(_UNITS + _drawn(RESAMPLES) + _drawn(RESAMPLES, 1, "other") + " SELECT x.b, round(x.e0, 6) AS e0, round(y.e1, 6) AS e1 FROM (SELECT b, sum(sa * w) / sum(na * w) AS e0 FROM draws JOIN stats USING (unit_ix) GROUP BY b) x JOIN (SELECT b, sum(sb * w) / sum(nb * w) AS e1 FROM other JOIN stats USING (unit_ix) GROUP BY b) y ON x.b = y.b")
+@query(_UNITS + _drawn(RESAMPLES) + _drawn(RESAMPLES, 1, "other") + " SELECT x.b, round(x.e0 + 3e-8, 6) AS e0, round(y.e1 + 3e-8, 6) AS e1 FROM (SELECT b, sum(sa * w) / sum(na * w) AS e0 FROM draws JOIN stats USING (unit_ix) GROUP BY b) x JOIN (SELECT b, sum(sb * w) / sum(nb * w) AS e1 FROM other JOIN stats USING (unit_ix) GROUP BY b) y ON x.b = y.b")
 def b4_unpaired_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_replicates(spark, sf_dir, (0, 1)))
+    return rounded(_replicates(spark, sf_dir, (0, 1)), nudge=3e-8)
 
 
 @query(_BOOT + " SELECT round(quantile_cont(e1 - e0, 0.025), 6) AS low, round(quantile_cont(e1 - e0, 0.975), 6) AS high, round(stddev_samp(e1 - e0), 6) AS se FROM reps")
