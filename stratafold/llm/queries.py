@@ -15,7 +15,7 @@ from stratafold.llm.mixing import sampled
 from stratafold.llm.near_vectors import near_vectors
 from stratafold.llm.packing import pack
 from stratafold.llm.quality import quality
-from stratafold.llm.repeats import without_repeats
+from stratafold.llm.repeats import WORDS, without_repeats
 from stratafold.llm.secrets import secret_digests
 from stratafold.llm.toxicity import toxicity
 from stratafold.llm.whitening import whiten
@@ -52,7 +52,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+    return without_repeats(_table(spark, sf_dir, "documents"), passages=WORDS).drop("kept")
 
 
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,10 +256,11 @@ _SEGMENTS = "rid bigint, first bigint, last bigint, anchor bigint, segment bigin
 KEY = ("anchor", "segment", "check")
 
 
-def _segments(length: int, gram: int, spare: int, words: bool):
+def _segments(length: int, gram: int, spare: int, words: bool, across: bool):
     """Mapper: (rid, text) -> segments, one row for those that repeat within a piece, and spans (anchor null) of these.
 
     spare: how many of the equal segments of a piece are not spans (1: the first stays).
+    across: no spans, but ``others`` has how far behind the first of equal segments the others of the piece start.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +282,14 @@ def _segments(length: int, gram: int, spare: int, words: bool):
                 lead = np.flatnonzero(fresh)
                 copies = np.diff(np.concatenate((lead, [len(order)])))
                 rank = np.arange(len(order)) - np.repeat(lead, copies)
-                local = np.sort(order[(np.repeat(copies, copies) > 1) & (rank >= spare)])
                 one = order[lead]
+                if across:
+                    behind = (first + shift)[order] - np.repeat((first + shift)[one], copies)
+                    others = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(copies - 1))), pa.int32()), pa.array(behind[rank > 0], pa.int64()))
+                    columns = [pa.array(np.asarray(x, np.int64)) for x in (rid[one], (first + shift)[one], (last + shift)[one], anchor[one], segment[one], check[one], copies)]
+                    yield pa.RecordBatch.from_arrays([*columns, others], names=["rid", "first", "last", *KEY, "copies", "others"])
+                    continue
+                local = np.sort(order[(np.repeat(copies, copies) > 1) & (rank >= spare)])
                 start, end = (first + shift)[local], (last + shift)[local] + length
                 if len(local):  # spans that touch become one
                     cut = np.flatnonzero(np.concatenate(([True], (start[1:] > end[:-1]) | (rid[local][1:] != rid[local][:-1]))))
@@ -413,11 +420,23 @@ def _joined(docs: DataFrame, side: DataFrame, places: str, how: str) -> DataFram
 
 
 def _merged_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, spans) with overlapping and touching spans made one."""
+    """(rid, spans) with overlapping and touching spans made one; ``others`` of a span: how far behind it equal ones start."""
     for batch in batches:
-        made = [merged([(s["start"], s["end"]) for s in spans]) for spans in batch.column(1).to_pylist()]
-        spans = pa.array([[{"start": a, "end": b} for a, b in m] for m in made], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), spans], names=["rid", "spans"])
+        starts, ends = [], []
+        for spans in batch.column(1):
+            start, end = (spans.values.field(k).to_numpy() for k in ("start", "end"))
+            if spans.values.type.num_fields == 3:
+                others = spans.values.field("others")
+                of, behind = pc.list_parent_indices(others).to_numpy(), pc.list_flatten(others).to_numpy()
+                start, end = np.concatenate((start, start[of] + behind)), np.concatenate((end, end[of] + behind))
+            order = np.argsort(start, kind="stable")
+            start, end = start[order], np.maximum.accumulate(end[order])
+            cut = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
+            starts.append(start[cut])
+            ends.append(end[np.concatenate((cut[1:] - 1, [len(end) - 1]))])
+        fields = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (starts, ends)]
+        offsets = pa.array(np.cumsum([0, *map(len, starts)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["start", "end"]))], names=["rid", "spans"])
 
 
 def _repeats(found: DataFrame, carry: tuple[str, ...], fetch: Callable[[DataFrame], DataFrame], length: int, gram: int, stays: bool, words: bool, across: bool) -> DataFrame:
@@ -474,9 +493,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     stays = keep == "first"
     if across and stays:
         raise ValueError("across texts every copy is marked")
-    spare = 2**62 if across else int(stays)
-    found = materialize(docs.select("rid", "text").mapInArrow(_segments(length, gram, spare, words), _SEGMENTS), "repeats-segments")
-    spans = found.where("anchor is null").select("rid", F.col("first").alias("start"), F.col("last").alias("end"))
+    kinds = _SEGMENTS + ", others array<bigint>" * across
+    found = materialize(docs.select("rid", "text").mapInArrow(_segments(length, gram, int(stays), words, across), kinds), "repeats-segments")
 
     def fetch(distinct: DataFrame) -> DataFrame:
         last = (F.col("first") + F.col("span")).alias("last")
@@ -485,10 +503,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
         return joined.select("wanted", "text").mapInArrow(_fetched(length, words), ", ".join(f"{k} bigint" for k in _WANTED) + ", symbols binary")
 
     placed = found.where("anchor is not null").select("rid", "first", F.col("first").alias("at"), (F.col("last") - F.col("first")).alias("span"), *KEY, F.col("copies").alias("n"), F.col("rid").alias("low_rid"), F.col("rid").alias("high_rid"))
-    runs = _repeats(placed.withColumn("of", F.col("rid")), ("of",), fetch, length, gram, stays, words, across)
-    spans = spans.unionByName(runs.select(F.col("of").alias("rid"), F.col("low").alias("start"), (F.col("high") + length).alias("end")))
+    placed = placed.withColumn("of", F.col("rid"))
+    made = (F.col("of").alias("rid"), F.col("low").alias("start"), (F.col("high") + length).alias("end"))
+    if across:  # what is shared in a segment is shared in those of the text that equal it
+        runs = _repeats(placed.withColumn("place", F.col("first")), ("of", "place"), fetch, length, gram, stays, words, across)
+        more = found.where(F.size("others") > 0).select(F.col("rid").alias("of"), F.col("first").alias("place"), "others")
+        spans = runs.join(more, ["of", "place"], "left").select(*made, "others")
+    else:
+        spans = found.where("anchor is null").select("rid", F.col("first").alias("start"), F.col("last").alias("end"))
+        spans = spans.unionByName(_repeats(placed, ("of",), fetch, length, gram, stays, words, across).select(*made))
     # The spans of one text.
-    by_text = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    by_text = spans.groupBy("rid").agg(F.collect_list(F.struct(*spans.columns[1:])).alias("spans"))
     return materialize(by_text.mapInArrow(_merged_spans, "rid bigint, spans array<struct<start: bigint, end: bigint>>"), "repeats-spans")
 
 
@@ -496,21 +521,33 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return numbered(steady(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))).withColumnRenamed(RID, "rid")
 
 
+def _shared(rows: DataFrame, words: int, gram: int) -> DataFrame:
+    """(rid, n_shared_words) of the texts that have any."""
+    spans = repeated_spans(rows, words, gram, words=True, across=True)
+    total = F.aggregate("spans", F.lit(0).cast("bigint"), lambda done, s: done + s["end"] - s["start"])
+    return spans.select("rid", total.alias("n_shared_words"))
+
+
 def shared_words(docs: DataFrame, words: int = WORDS, gram: int = WORD_GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shared_words, the words in passages of at least ``words`` words that also stand in another document.
 
     A-Z in lower case, any space between words; nothing is cut out.
     """
     rows = _rows(docs, doc_id, text)
-    spans = repeated_spans(rows, words, gram, words=True, across=True)
-    total = F.aggregate("spans", F.lit(0).cast("bigint"), lambda done, s: done + s["end"] - s["start"])
-    return rows.select("doc_id", "rid").join(spans.select("rid", total.alias("n")), "rid", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_shared_words"))
+    found = rows.select("doc_id", "rid").join(_shared(rows, words, gram), "rid", "left")
+    return found.select("doc_id", F.coalesce("n_shared_words", F.lit(0)).cast("bigint").alias("n_shared_words"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes)."""
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", doc_id: str = "doc_id", text: str = "text", passages: int | None = None, passage_gram: int = WORD_GRAM) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes).
+
+    passages: words of a passage; before kept then stands n_shared_words, as ``shared_words`` counts them.
+    """
     rows = _rows(docs, doc_id, text)
-    spans = repeated_spans(rows, length, gram, keep)
+    marks, counts = repeated_spans(rows, length, gram, keep), []
+    if passages:
+        counts = ["n_shared_words"]
+        marks = materialize(marks.join(_shared(rows, passages, passage_gram), "rid", "full"), "repeats-marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -523,9 +560,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
                 out.append((len(body), len(body) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+            *made, kept = (pa.array(c, k) for c, k in zip(columns, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[3:], kept], names=names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    joined = _joined(rows, spans, "spans", "left").select("doc_id", "text", "spans")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *counts, "kept"]
+    numbers = (F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts)
+    joined = _joined(rows, marks, "spans", "left").select("doc_id", "text", "spans", *numbers)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, {''.join(f'{c} bigint, ' for c in counts)}kept binary")

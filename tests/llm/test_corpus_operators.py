@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stratafold.llm import exact_dedup, jaccard, joins, licenses, mixing, near_vectors, packing, quality, repeats, secrets, shingles, toxicity
+from stratafold.llm import queries as corpus_queries
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -457,6 +458,45 @@ def test_shared_words(corpus, rows, monkeypatch, split):
     assert bag(repeats.shared_words(corpus, 12, 4).collect()) == brute_passages(rows, 12)
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_repeats_and_passages_together(corpus, rows, nothing, monkeypatch, broadcast):
+    monkeypatch.setattr(repeats, "BROADCAST_PLACES", broadcast)
+    got = repeats.without_repeats(corpus, 60, 20, passages=12, passage_gram=4).drop("kept").collect()
+    assert bag(r[:5] for r in got) == brute_repeats(rows, 60)
+    assert bag((r["doc_id"], r["n_shared_words"]) for r in got) == brute_passages(rows, 12)
+    assert repeats.without_repeats(nothing, passages=50).columns[-2:] == ["n_shared_words", "kept"]
+    assert repeats.without_repeats(nothing, passages=50).count() == 0
+
+
+@pytest.mark.parametrize(("split", "chunk"), [(1500, 500_000), (2, 500)])
+def test_shared_words_of_a_text_that_repeats_them(spark, tmp_path, monkeypatch, split, chunk):
+    """Every place of a passage counts, also where its surroundings in a text are equal, and in texts of one word."""
+    monkeypatch.setattr(repeats, "SPLIT", split)
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    rng = np.random.default_rng(12)
+    words = lambda n: ["".join(map(chr, rng.integers(97, 123, 4))) for _ in range(n)]
+    passage, before, after = words(20), words(60), words(60)
+    around = [*before, *passage, *after]
+    texts = [around * 4, passage, [*words(9), *passage, *words(9), *passage], ["wall"] * 700, ["wall"] * 30, around[70:], words(40) * 3]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2).write.parquet(f"file://{tmp_path}/d")
+    assert bag(repeats.shared_words(spark.read.parquet(f"file://{tmp_path}/d"), 12, 4).collect()) == brute_passages(rows, 12)
+
+
+def test_query_tells_passages_shorter_than_its_strings(spark, tmp_path):
+    """Over 50 short words in two texts: no 400 bytes to cut, but words that the query counts."""
+    rng = np.random.default_rng(11)
+    words = lambda n: ["".join(map(chr, rng.integers(97, 123, 4))) for _ in range(n)]
+    passage, again = words(60), words(55)
+    texts = [[*words(80), *passage, *words(70)], [*words(30), *passage], [*again, *words(20), *again], words(300)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(4, None), (5, "\n".join(w.upper() for w in passage[5:57]))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = corpus_queries.op7_repeats(spark, f"file://{tmp_path}").collect()
+    assert bag(r[:5] for r in got) == brute_repeats(rows, 400)
+    assert {r["doc_id"]: r["n_removed"] for r in got} == dict.fromkeys(range(6), 0)
+    assert {r["doc_id"]: r["n_shared_words"] for r in got} == {0: 60, 1: 60, 2: 0, 3: 0, 4: 0, 5: 52}
+
+
 def test_longer_anchor_strings_end_at_the_window():
     for length, gram in ((400, 128), (50, 16), (60, 20), (100, 99), (12, 4)):
         seen = [gram]
