@@ -28,15 +28,15 @@ def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def map_texts(df: DataFrame, kernel: Kernel, added: str) -> DataFrame:
-    """df: carried columns and the text last.  added: schema of the columns that ``kernel`` makes."""
+def map_texts(df: DataFrame, kernel: Kernel, added: str, most: int = SLICE) -> DataFrame:
+    """df: carried columns and the text last.  added: schema of the columns that ``kernel`` makes of texts of about ``most`` characters."""
     carried = df.columns[:-1]
     schema = StructType([*df.schema.fields[:-1], *StructType.fromDDL(added).fields])
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, end in slices(batch.column(len(carried))):
+            for start, end in slices(batch.column(len(carried)), most):
                 part = batch.slice(start, end - start)
                 index, made = kernel(part.column(len(carried)).to_pylist())
                 kept = [part.column(k) if index is None else part.column(k).take(pa.array(index, pa.int64())) for k in range(len(carried))]

@@ -119,6 +119,60 @@ def test_alignment_in_parts(spark, texts, monkeypatch):
     assert sum(want.values()) == len(texts)
 
 
+def kernel_of(spark, monkeypatch):
+    """What ``aligned`` does to the texts of a slice, and the vocabularies that it does it with."""
+    monkeypatch.setattr(alignment, "map_texts", lambda docs, kernel, *_: kernel)
+    return alignment.aligned(spark.createDataFrame([], "doc_id bigint, text string")), alignment.vocabularies(*alignment.default_files())
+
+
+def test_alignment_encodes_new_stretches_in_short_texts(spark, monkeypatch):
+    """Encoders get no long text made of short stretches, and frequent stretches stay when too many are kept."""
+    alignment.vocabularies.cache_clear()
+    kernel, tables = kernel_of(spark, monkeypatch)
+    given = {"a": [], "b": []}
+    for side, name in (("a", "encode_a"), ("b", "_pieces")):
+        real = getattr(tables, name)
+        monkeypatch.setattr(tables, name, lambda text, side=side, real=real: given[side].append(text) or real(text))
+    kernel([" ".join(f"word{k}" for k in range(5000))])
+    for texts in given.values():
+        assert sum(map(len, texts)) > 40_000
+        assert max(map(len, texts)) < 4096
+    monkeypatch.setattr(alignment, "KEPT", 50)
+    for k in range(6):
+        kernel(["always again " + " ".join(f"once{k}x{j}" for j in range(40))])
+    for texts in given.values():
+        texts.clear()
+    kernel(["zz always again"])
+    assert given == {"a": [" zz"], "b": [" zz"]}
+    alignment.vocabularies.cache_clear()
+
+
+def test_alignment_by_stretches(spark, monkeypatch):
+    """Texts put together from known stretches equal brute force, whatever is kept and encoded together."""
+    rng = random.Random(3)
+    words = "a", "the", "über", "it's", "x\u2003", "y\u00a0", "z\u0085", "q\x1c", "", "", "\n", "\r\n", "3.14", "你好", "\u3000", "w" * 300, "\U0001f600", "<s>", "\u1680", "(a)", "\x00", "tab\t", "\u200b"
+    texts = [*ODD, *(" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(150)), "well ▁ known the a", None, "", " ", "\u2003 \u2003"]
+    want = brute_alignment(enumerate(texts), brute_tokens())
+    counts = Counter()
+    for together, kept, part in ((1, 5, 3), (40, 20, 1 << 17), (1 << 10, 1 << 18, 7)):
+        monkeypatch.setattr(alignment, "TOGETHER", together)
+        monkeypatch.setattr(alignment, "KEPT", kept)
+        monkeypatch.setattr(alignment, "PART", part)
+        tables = alignment.Vocabularies(*alignment.default_files())
+        got, seen = Counter(), Counter()
+        for at in range(0, len(texts), 20):
+            n_a, n_b, n_groups, n_links, sha, pairs, times, groups = (c.to_pylist() for c in alignment.slice_of(tables, texts[at : at + 20], True).columns())
+            got.update((at + k, *row) for k, row in enumerate(zip(n_a, n_b, n_groups, n_links, sha, strict=True)))
+            assert [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups] == sha
+            assert [sum(t) for t in times] == n_links
+            for own, n in zip(pairs, times, strict=True):
+                seen.update(dict(zip(own, n, strict=True)))
+        assert got == Counter(row[:6] for row in want)
+        assert not counts or seen == counts
+        counts = seen
+    assert any(tables.bad)
+
+
 def test_alignment_gives_groups(spark):
     docs = spark.createDataFrame([(1, "hello unbelievable worlds"), (2, None)], "doc_id bigint, text string")
     got = {r["doc_id"]: r for r in alignment.alignment(docs, with_groups=True).collect()}
