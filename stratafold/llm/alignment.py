@@ -182,9 +182,11 @@ class Vocabularies:
         whole, lengths = b"".join(names), np.array([len(s) for s in names])
         bad = np.zeros(len(names), bool)
         for side, (ids, own) in enumerate(zip(sides, counts, strict=True)):
-            if self._back(side, ids) != whole:
-                stops = np.cumsum(own).tolist()
-                bad |= [self._back(side, ids[i:j]) != s for s, i, j in zip(names, [0, *stops], stops, strict=False)]
+            back, offsets = self.tokens[side].take(ids)
+            told = back.tobytes()
+            if told != whole:
+                stops = offsets[np.cumsum(own)].tolist()
+                bad |= [told[i:j] != s for s, i, j in zip(names, [0, *stops[:-1]], stops, strict=True)]
         if bad.any():
             sides = [ids[np.repeat(~bad, own)] for ids, own in zip(sides, counts, strict=True)]
             counts, lengths = [np.where(bad, 0, own) for own in counts], np.where(bad, 0, lengths)
